@@ -13,6 +13,7 @@ from __future__ import annotations
 import dataclasses
 import functools
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -37,6 +38,13 @@ class Settings:
     threshold: float = 0.3
 
 
+#: What every window is compressed behind; not a piece of UTF-8.
+LEAD = bytes(range(128, 224))
+#: Bars for telling word pieces: share of toxic documents, times the expected number, standard deviations above it.
+BARS = ((0.015, 6.0, 6.0), (0.015, 5.0, 5.0), (0.01, 4.0, 4.0), (0.01, 3.0, 3.0))
+BETWEEN_WORDS = re.compile(r"[\W\d_]+")
+
+
 @dataclasses.dataclass(frozen=True)
 class Model:
     ordinary: bytes
@@ -67,17 +75,27 @@ def compressor(dictionary: bytes):
     return z.ZstdCompressor(compression_params=params, dict_data=data)
 
 
+def plain(text: str) -> str:
+    """Lower-case words and single spaces."""
+    return BETWEEN_WORDS.sub(" ", text.lower())
+
+
 def gains(text: str, model: Model) -> np.ndarray:
     """Bytes that the toxic dictionary saves over the ordinary one, by window."""
     a, b = compressor(model.ordinary).compress, compressor(model.toxic).compress
-    return np.array([len(a(w)) - len(b(w)) for w in windows(text.lower().encode(), model.settings.window_bytes)])
+    found = []
+    for w in windows(plain(text).encode(), model.settings.window_bytes):
+        w = LEAD + w
+        found.append(len(a(w)) - len(b(w)))
+    return np.array(found)
 
 
-def measures(gain: np.ndarray) -> tuple[float, float]:
-    return float(gain.max()), float(np.sort(gain)[-3:].sum())
+def measures(gain: np.ndarray) -> tuple[float, ...]:
+    n, total = len(gain), float(np.maximum(gain - 1, 0).sum())
+    return float(gain.max()), float(np.sort(gain)[-3:].sum()), math.log1p(total), total / n, total / math.sqrt(n), math.log(n)
 
 
-def score(measured: tuple[float, float], weights: tuple[float, ...]) -> float:
+def score(measured: tuple[float, ...], weights: tuple[float, ...]) -> float:
     z = weights[0] + sum(w * x for w, x in zip(weights[1:], measured))
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
@@ -95,19 +113,21 @@ def different(texts: list[str]) -> list[str]:
 
 
 def word_pieces(text: str) -> set[str]:
-    words = {w.strip(".,;:!?|\"'()") for w in text.lower().split()}
-    return {w[:n] for w in words for n in (4, 5, 6, 7, len(w)) if len(w) >= 4}
+    return {w[:n] for w in set(plain(text).split()) for n in (4, 5, 6, 7, len(w)) if len(w) >= 4}
+
 
+def telling_pieces(toxic: Counter, ordinary: Counter, n_toxic: int, n_ordinary: int, bar: tuple[float, float, float]) -> list[str]:
+    """Word pieces that far more toxic than ordinary documents hold, the most telling last.
 
-def telling_pieces(toxic: list[str], ordinary: list[str]) -> list[str]:
-    """Word pieces that far more toxic than ordinary documents hold, the most telling last."""
-    a, b = (Counter(p for t in texts for p in word_pieces(t)) for texts in (toxic, ordinary))
+    A piece that nearly always goes on to a longer telling piece leaves its place to that.
+    """
     found = {}
-    for piece, n in a.items():
-        expected = (b[piece] + 0.5) * len(toxic) / max(1, len(ordinary))
-        if n >= max(3, 0.015 * len(toxic)) and n >= 6 * expected and (z := (n - expected) / math.sqrt(expected + 1)) >= 6:
+    for piece, n in toxic.items():
+        expected = (ordinary[piece] + 0.5) * n_toxic / max(1, n_ordinary)
+        if n >= max(3, bar[0] * n_toxic) and n >= bar[1] * expected and (z := (n - expected) / math.sqrt(expected + 1)) >= bar[2]:
             found[piece] = z
-    return sorted(found, key=lambda p: (found[p], p))
+    covered = {p[:k] for p in found for k in range(4, len(p)) if toxic[p] >= 0.8 * toxic[p[:k]]}
+    return sorted(found.keys() - covered, key=lambda p: (found[p], p))
 
 
 def calibrate(measured: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tuple[float, ...]:
@@ -131,15 +151,25 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = sorted(rows.toLocalIterator(), key=lambda r: (r["h"], str(r["doc_id"])))
     toxic, ordinary = (different([r["text"] for r in sample if r["__label"] == label]) for label in (1, 0))
     learn = lambda texts: [t for k, t in enumerate(texts) if k % 5 < 3]
-    common = b"".join(b" " + w for t in learn(ordinary)[:400] for w in windows(t.lower().encode(), settings.window_bytes)[:1])[: settings.ordinary_bytes] or b"ordinary"
-    telling = "".join(" " + p for p in telling_pieces(learn(toxic), learn(ordinary)))
-    model = Model(common, common + telling.encode()[-settings.toxic_bytes :], (), settings)
+    common = b"".join(b" " + w for t in learn(ordinary)[:400] for w in windows(plain(t).encode(), settings.window_bytes)[:1])[: settings.ordinary_bytes] or b"ordinary"
+    counts = [Counter(p for t in learn(texts) for p in word_pieces(t)) for texts in (toxic, ordinary)]
     rest = [(t, label) for texts, label in ((toxic, 1), (ordinary, 0)) for k, t in enumerate(texts) if k % 5 >= 3]
-    if len({label for _, label in rest}) < 2:  # too few labels to calibrate: nothing is called toxic
-        return dataclasses.replace(model, weights=(-4.0, 0.0, 0.0))
-    measured, marks = np.array([measures(gains(t, model)) for t, _ in rest]), np.array([label for _, label in rest])
-    weight = np.array([shares[label] / max(1, (marks == label).sum()) for label in marks], float)
-    return dataclasses.replace(model, weights=calibrate(measured, marks, weight * len(marks) / weight.sum()))
+    marks = np.array([label for _, label in rest])
+    if len(set(marks)) < 2:  # too few labels to calibrate: nothing is called toxic
+        return Model(common + LEAD, common + LEAD, (-4.0, *[0.0] * 6), settings)
+    weight = np.array([shares[label] / (marks == label).sum() for label in marks], float)
+    weight *= len(marks) / weight.sum()
+    best: tuple[float, Model] | None = None
+    for bar in BARS:
+        telling = "".join(" " + p for p in telling_pieces(*counts, len(learn(toxic)), len(learn(ordinary)), bar))
+        model = Model(common + LEAD, common + telling.encode()[-settings.toxic_bytes :] + b" " + LEAD, (), settings)
+        measured = np.array([measures(gains(t, model)) for t, _ in rest])
+        model = dataclasses.replace(model, weights=calibrate(measured, marks, weight))
+        p = np.array([score(tuple(m), model.weights) for m in measured])
+        loss = float(-(weight * np.log(np.where(marks == 1, p, 1 - p))).sum())
+        if best is None or loss < best[0]:
+            best = loss, model
+    return best[1]
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep_columns: bool = False) -> DataFrame:
