@@ -4,8 +4,14 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    return {}
+    from . import chunking, cleaning, evaluation, retrieval, support, sync, telemetry  # noqa: F401 they register
+    from .registry import QUERIES
+
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    queries()
+    from .registry import ORACLES
+
+    return dict(ORACLES)
