@@ -1 +1,315 @@
-"""Registered queries."""
+"""Registered queries: index, search, answer assembly."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import rules
+from ..functions import text as T
+from ..operators import search
+from .registry import register, table
+
+STOP = "'" + "','".join(rules.STOPWORDS) + "'"
+TOKENS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
+QTERMS = f"SELECT DISTINCT item_id AS query_id, term FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS term FROM benchmark) WHERE length(term) > 1 AND term NOT IN ({STOP})"
+POST = f"SELECT doc_id AS chunk_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS}) AS term FROM documents) GROUP BY 1, 2"
+BM25 = f"""q AS ({QTERMS}), p AS MATERIALIZED ({POST}), l AS (SELECT chunk_id, sum(tf) AS len FROM p GROUP BY 1), v AS (SELECT DISTINCT term AS word FROM p),
+m AS (SELECT t.term, v.word FROM (SELECT DISTINCT term FROM q) t JOIN v ON starts_with(v.word, t.term)),
+h AS (SELECT m.term, p.chunk_id, sum(p.tf) AS tf FROM m JOIN p ON p.term = m.word GROUP BY 1, 2), d AS (SELECT term, count(*) AS df FROM h GROUP BY 1), n AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(len) FROM l) AS total),
+s AS (SELECT q.query_id, h.chunk_id, round(sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * h.tf * 2.2 / (h.tf + 1.2 * (0.25 + 0.75 * len / (total / n)))), 6) AS score FROM q JOIN h USING (term) JOIN d USING (term) JOIN l ON l.chunk_id = h.chunk_id, n GROUP BY 1, 2),
+bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 40)"""
+OVERLAP = """ov AS (SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT q.query_id, p.chunk_id, count(*)::DOUBLE AS score FROM q JOIN p USING (term) GROUP BY 1, 2)) WHERE rank <= 40)"""
+FUSED = """f0 AS (SELECT query_id, chunk_id, rank AS r, 0 AS list, 'bm25' AS source FROM bm UNION ALL SELECT query_id, chunk_id, rank, 1, 'overlap' FROM ov),
+f1 AS (SELECT query_id, chunk_id, round(sum(1.0 / (60 + r)), 9) AS score, array_to_string(list_sort(list(DISTINCT source)), '+') AS sources, min(list * 1000 + r) AS first FROM f0 GROUP BY 1, 2),
+fu AS (SELECT query_id, chunk_id, score, sources, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, chunk_id) AS rank FROM f1)"""
+
+
+def bm25(spark, sf):
+    return search.bm25_topk(table(spark, sf, "benchmark"), table(spark, sf, "documents"))
+
+
+def fused(spark, sf):
+    overlap = search.overlap_topk(table(spark, sf, "benchmark"), table(spark, sf, "documents"))
+    return search.rrf_fuse([("bm25", bm25(spark, sf)), ("overlap", overlap)])
+
+
+@register(f"SELECT doc_id, len({TOKENS}) AS n_tokens, len(list_distinct({TOKENS})) AS n_terms FROM documents")
+def tokenize_index(spark, sf):
+    t = T.index_tokens(F.coalesce("text", F.lit("")))
+    return table(spark, sf, "documents").select("doc_id", F.size(t).alias("n_tokens"), F.size(F.array_distinct(t)).alias("n_terms"))
+
+
+@register(QTERMS)
+def query_terms(spark, sf):
+    return search.query_terms(table(spark, sf, "benchmark"), "item_id", "text")
+
+
+@register(f"SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM ({POST}) GROUP BY 1")
+def inverted_index(spark, sf):
+    return search.postings(table(spark, sf, "documents"), "doc_id", "text").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+@register(f"WITH {BM25} SELECT query_id, chunk_id, score, rank FROM bm")
+def bm25_topk(spark, sf):
+    return bm25(spark, sf)
+
+
+@register(f"WITH {BM25}, {OVERLAP}, {FUSED} SELECT * FROM fu")
+def rrf_fuse(spark, sf):
+    return fused(spark, sf)
+
+
+def _vectors(spark, sf):
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("kb"), F.col("embedding").alias("vector"))
+
+
+DOT = "round(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])), 6)"
+VEC = "(SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)"
+
+
+def _topk(k: int, pairs: str) -> str:
+    return f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ({pairs})) WHERE rank <= {k}"
+
+
+@register(_topk(10, f"SELECT a.vec_id AS query_id, b.vec_id AS id, {DOT} AS score FROM {VEC} a JOIN {VEC} b ON a.label = b.label WHERE a.vec_id % 20 = 0"))
+def vector_topk_exact(spark, sf):
+    v = _vectors(spark, sf)
+    return search.vector_topk(v.where("id % 20 = 0").withColumnRenamed("id", "query_id"), v)
+
+
+@register()
+def vector_topk_ann(spark, sf):
+    v = _vectors(spark, sf)
+    return search.vector_topk_ann(v.where("id % 20 = 0").withColumnRenamed("id", "query_id"), v)
+
+
+@register(_topk(5, f"SELECT a.s AS query_id, b.s AS id, {DOT} AS score FROM u a, u b WHERE a.s % 25 = 0").replace("SELECT * FROM (", "WITH u AS (SELECT vec_id % 200 AS s, arg_max(embedding::DOUBLE[], vec_id) AS v FROM embeddings GROUP BY 1) SELECT * FROM (", 1))
+def image_index_search(spark, sf):
+    """The last vector of each source counts; best five of every source that is a query."""
+    v = _vectors(spark, sf).withColumn("source", F.col("id") % 200)
+    last = v.groupBy("source").agg(F.max_by("vector", "id").alias("vector")).select(F.col("source").alias("id"), F.lit(0).alias("kb"), "vector")
+    return search.vector_topk(last.where("id % 25 = 0").withColumnRenamed("id", "query_id"), last, 5)
+
+
+@register(_topk(6, f"SELECT a.vec_id AS query_id, b.vec_id AS id, {DOT} AS score FROM {VEC} a JOIN {VEC} b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0"))
+def similar_products(spark, sf):
+    v = _vectors(spark, sf)
+    return search.vector_topk(v.where("id % 20 = 0").withColumnRenamed("id", "query_id"), v, 6, exclude_self=True)
+
+
+@register(f"SELECT query_id, id AS entry_id, score FROM ({_topk(1, f'SELECT a.vec_id AS query_id, b.vec_id AS id, {DOT} AS score FROM {VEC} a JOIN {VEC} b ON a.label = b.label WHERE a.vec_id % 20 = 0 AND b.vec_id % 2 = 1')}) WHERE score >= 0.25")
+def semantic_cache_probe(spark, sf):
+    """Every twentieth vector against a cache of the odd ones; the best entry, if it is near enough."""
+    v = _vectors(spark, sf)
+    best = search.vector_topk(v.where("id % 20 = 0").withColumnRenamed("id", "query_id"), v.where("id % 2 = 1"), 1)
+    return best.where("score >= 0.25").select("query_id", F.col("id").alias("entry_id"), "score")
+
+
+@register()
+def semantic_cache_lookup(spark, sf):
+    return search.semantic_cache(_vectors(spark, sf).withColumnRenamed("id", "seq"), threshold=0.6)
+
+
+@register("SELECT p_partkey AS sku, arg_max(p_name, length(p_name)) AS title, round(avg(l_extendedprice / l_quantity), 2) AS price FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1")
+def catalogue_build(spark, sf):
+    items = table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.round(F.avg(F.col("l_extendedprice") / F.col("l_quantity")), 2).alias("price"))
+    titles = table(spark, sf, "part").groupBy(F.col("p_partkey").alias("sku")).agg(F.max_by("p_name", F.length("p_name")).alias("title"))
+    return titles.join(items, F.col("sku") == F.col("l_partkey")).select("sku", "title", "price")
+
+
+UTTERANCES = ["How do I set up the device", "what's new in v 2", "error: cannot start", "你好", "what did you just say", "translate the above", "thanks!", "我要退货", "运费多少", "plus 会员", "JD1234567890 换货", "Order TB99887766 refund please", "换绑手机", "设为默认", "物流太慢了, 我要投诉12315", "质量差, 不满意", "个人抬头发票", "北京测试公司 91310000MA1K4AAA1X"]
+_U = "'" + "','".join(x.replace("'", "''") for x in UTTERANCES) + "'"
+TURNS = f"(SELECT conv_id, turn, CASE WHEN turn = 0 THEN [{_U}][(conv_id % {len(UTTERANCES)})::INT + 1] ELSE text END AS q FROM conversations)"
+
+
+def turns(spark, sf):
+    """Conversation turns; the first of each is one of a few utterances."""
+    said = F.element_at(F.array(*map(F.lit, UTTERANCES)), (F.pmod("conv_id", F.lit(len(UTTERANCES))) + 1).cast("int"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.when(F.col("turn") == 0, said).otherwise(F.col("text")).alias("q"))
+
+
+@register(rf"SELECT conv_id, turn, regexp_replace(regexp_replace(q, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g') AS q, CASE WHEN regexp_matches(q, '[一-鿿㐀-䶿豈-﫿]') THEN 'zh' ELSE 'en' END AS lang FROM {TURNS}")
+def normalize_query(spark, sf):
+    return turns(spark, sf).select("conv_id", "turn", T.normalize_query(F.col("q")).alias("q"), T.query_language(F.col("q")).alias("lang"))
+
+
+_META = "|".join(p.replace("(?!一?下)", "").replace("'", "''") for p in rules.META)
+_CHAT = "|".join(p.replace("'", "''") for p in rules.CHITCHAT)
+
+
+@register(rf"WITH t AS (SELECT conv_id, turn, regexp_replace(q, '^\s+|\s+$', '', 'g') AS q FROM {TURNS}) SELECT conv_id, turn, CASE WHEN q = '' THEN 'kb' WHEN regexp_matches(q, '(?i){_CHAT}') THEN 'chitchat' WHEN length(q) <= 40 AND regexp_matches(q, '(?i){_META}') THEN 'meta' ELSE 'kb' END AS intent FROM t")
+def intent_route(spark, sf):
+    route, matched = T.intent_route(F.col("q"))
+    return turns(spark, sf).select("conv_id", "turn", route.alias("intent"))
+
+
+_REL, _TRO, _HOW = (p.replace("'", "''") for p in (rules.RELEASE, rules.TROUBLE, rules.HOWTO))
+INTENT = f"CASE WHEN regexp_matches(q, '{_REL}') THEN 'release' WHEN regexp_matches(q, '{_TRO}') THEN 'trouble' WHEN regexp_matches(q, '{_HOW}') THEN 'howto' ELSE 'neutral' END"
+
+
+@register(f"SELECT conv_id, turn, {INTENT} AS intent FROM {TURNS}")
+def query_intent(spark, sf):
+    return turns(spark, sf).select("conv_id", "turn", T.query_intent(F.col("q")).alias("intent"))
+
+
+PATHS = "(SELECT page_id, url, CASE page_id % 6 WHEN 0 THEN url || '/release-notes' WHEN 1 THEN url || '/FAQ' WHEN 2 THEN url || '/quickstart' WHEN 3 THEN url || '/issues/7' WHEN 4 THEN url || '/v2' ELSE url END AS path FROM pages)"
+STYPE = r"CASE WHEN contains(lower(path), 'release') OR regexp_matches(lower(path), '/v[-_.]?\d') THEN 'release' WHEN contains(lower(path), 'faq') OR contains(lower(path), 'troubleshoot') THEN 'faq' WHEN contains(lower(path), 'getting-started') OR contains(lower(path), 'quickstart') OR contains(lower(path), 'getting_started') THEN 'getting_started' WHEN contains(lower(path), 'issue') OR contains(lower(path), 'github.com') THEN 'issue' ELSE 'doc' END"
+
+
+def paths(spark, sf):
+    tails = F.array(*map(F.lit, ("/release-notes", "/FAQ", "/quickstart", "/issues/7", "/v2", "")))
+    return table(spark, sf, "pages").select("page_id", F.concat("url", F.element_at(tails, (F.pmod("page_id", F.lit(6)) + 1).cast("int"))).alias("path"))
+
+
+@register(f"SELECT page_id, {STYPE} AS source_type FROM {PATHS}")
+def infer_source_type(spark, sf):
+    return paths(spark, sf).select("page_id", T.source_type(F.col("path")).alias("source_type"))
+
+
+def priors(spark):
+    return spark.createDataFrame([(a, b, x) for (a, b), x in rules.PRIORS.items()], "intent string, source_type string, prior double")
+
+
+_PRIORS = "(VALUES " + ", ".join(f"('{a}', '{b}', {x})" for (a, b), x in rules.PRIORS.items()) + ") AS pr(intent, source_type, prior)"
+
+
+@register(f"WITH t AS (SELECT conv_id, {INTENT} AS intent FROM {TURNS} WHERE turn = 0), p AS (SELECT page_id, {STYPE} AS source_type FROM {PATHS}) SELECT conv_id, t.intent, page_id, p.source_type, coalesce(prior, 0)::DOUBLE AS prior FROM t JOIN p ON page_id = conv_id LEFT JOIN {_PRIORS} ON pr.intent = t.intent AND pr.source_type = p.source_type")
+def score_prior(spark, sf):
+    t = turns(spark, sf).where("turn = 0").select("conv_id", T.query_intent(F.col("q")).alias("intent"))
+    p = paths(spark, sf).select("page_id", T.source_type(F.col("path")).alias("source_type"))
+    rows = t.join(p, F.col("page_id") == F.col("conv_id")).join(F.broadcast(priors(spark)), ["intent", "source_type"], "left")
+    return rows.select("conv_id", "intent", "page_id", "source_type", F.coalesce("prior", F.lit(0.0)).alias("prior"))
+
+
+def _first_rule_sql(col: str, entries) -> str:
+    return "CASE " + " ".join("WHEN " + " OR ".join(f"contains({col}, '{w}')" for w in words) + f" THEN '{name}'" for name, words in entries) + " END"
+
+
+@register(f"SELECT conv_id, turn, {_first_rule_sql('lower(q)', rules.POLICY_FAMILIES)} AS family FROM {TURNS}")
+def policy_filter_pick(spark, sf):
+    return turns(spark, sf).select("conv_id", "turn", T.first_rule(F.lower("q"), rules.POLICY_FAMILIES, None).alias("family"))
+
+
+@register("""SELECT doc_id FROM (SELECT doc_id, source AS path, lang AS stype, '2024-0' || (1 + doc_id % 9) || '-15' AS d, [source, lang] AS ents FROM documents)
+WHERE contains(lower(path), 'src1') AND stype IN ('en', 'de') AND d >= '2024-03' AND d <= '2024-08' AND list_contains(list_transform(ents, lambda e: contains(e, 'src') AND (contains('src10', e) OR contains(e, 'src10'))), true)""")
+def metadata_filter(spark, sf):
+    """Substring, one-of, overlap in either direction, date range; all at once."""
+    d = table(spark, sf, "documents").withColumn("date", F.concat(F.lit("2024-0"), (1 + F.col("doc_id") % 9).cast("string"), F.lit("-15"))).withColumn("entities", F.array("source", "lang"))
+    either = F.exists("entities", lambda e: e.contains("src") & (F.lit("src10").contains(e) | e.contains("src10")))
+    return d.where(F.lower("source").contains("src1") & F.col("lang").isin("en", "de") & (F.col("date") >= "2024-03") & (F.col("date") <= "2024-08") & either).select("doc_id")
+
+
+RERANK = f"""rr AS (SELECT fu.query_id, fu.chunk_id, CASE WHEN fu.query_id % 2 = 0 THEN 'howto' ELSE 'neutral' END AS intent, CASE fu.chunk_id % 3 WHEN 0 THEN 'doc' WHEN 1 THEN 'getting_started' ELSE 'release' END AS source_type, fu.score * 100 - 3 AS raw FROM fu),
+rs AS (SELECT rr.*, coalesce(prior, 0) AS prior, round(greatest(0, least(1, 1 / (1 + exp(-raw)) + coalesce(prior, 0))), 6) AS score FROM rr LEFT JOIN {_PRIORS} ON pr.intent = rr.intent AND pr.source_type = rr.source_type),
+rk AS (SELECT * FROM (SELECT query_id, chunk_id, score, prior, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM rs) WHERE rank <= 8)"""
+
+
+def reranked(spark, sf):
+    kinds = F.array(*map(F.lit, ("doc", "getting_started", "release")))
+    rows = fused(spark, sf).select("query_id", "chunk_id", F.when(F.col("query_id") % 2 == 0, "howto").otherwise("neutral").alias("intent"), F.element_at(kinds, (F.pmod("chunk_id", F.lit(3)) + 1).cast("int")).alias("source_type"), (F.col("score") * 100 - 3).alias("raw"))
+    return search.rerank_adjust(rows, priors(spark)).select("query_id", "chunk_id", "score", "prior", "rank")
+
+
+@register(f"WITH {BM25}, {OVERLAP}, {FUSED}, {RERANK} SELECT query_id, chunk_id, score, prior::DOUBLE AS prior, rank FROM rk")
+def rerank_adjust(spark, sf):
+    return reranked(spark, sf)
+
+
+@register()
+def mmr_select(spark, sf):
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    return search.mmr_select(reranked(spark, sf).join(docs, "chunk_id"))
+
+
+@register()
+def hybrid_retrieve(spark, sf):
+    """Fused lists, a filter on the language, reranking and diversification; five chunks a query."""
+    docs = table(spark, sf, "documents").where("lang IN ('en', 'de', 'fr')").select(F.col("doc_id").alias("chunk_id"), "text", "lang")
+    hits = fused(spark, sf).join(docs.select("chunk_id"), "chunk_id")
+    rows = hits.select("query_id", "chunk_id", F.lit("neutral").alias("intent"), F.lit("doc").alias("source_type"), (F.col("score") * 100 - 3).alias("raw"))
+    best = search.rerank_adjust(rows, priors(spark)).select("query_id", "chunk_id", "score", "rank")
+    return search.mmr_select(best.join(docs, "chunk_id"))
+
+
+@register()
+def multi_query_fuse(spark, sf):
+    """Each query and a variant of its second half, fused per variant and again, reranked once against the query."""
+    b, docs = table(spark, sf, "benchmark"), table(spark, sf, "documents")
+    half = b.withColumn("text", F.expr("substr(text, cast(length(text) / 2 as int))"))
+    lists = [(name, search.bm25_topk(q, docs)) for name, q in (("whole", b), ("half", half))]
+    rows = search.rrf_fuse(lists).select("query_id", "chunk_id", F.lit("neutral").alias("intent"), F.lit("doc").alias("source_type"), (F.col("score") * 100 - 3).alias("raw"))
+    return search.rerank_adjust(rows, priors(spark)).select("query_id", "chunk_id", "score", "rank")
+
+
+@register(f"WITH {BM25}, hx AS (SELECT bm.*, CASE WHEN chunk_id % 4 = 0 THEN NULL ELSE 1000000 + chunk_id // 10 END AS parent_id FROM bm), b AS (SELECT query_id, coalesce(parent_id, chunk_id) AS target, arg_max({{'c': chunk_id, 'e': parent_id IS NOT NULL}}, {{'s': score, 'r': -rank}}) AS b, max(score) AS score FROM hx GROUP BY 1, 2) SELECT query_id, target AS chunk_id, b.c AS best_leaf, score, b.e AS expanded, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, target) AS rank FROM b")
+def parent_expand(spark, sf):
+    parents = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.when(F.col("doc_id") % 4 != 0, F.floor(F.col("doc_id") / 10) + 1_000_000).alias("parent_id"))
+    return search.parent_expand(bm25(spark, sf), parents)
+
+
+@register(f"WITH {BM25}, {OVERLAP}, {FUSED}, {RERANK}, t AS (SELECT query_id, max(score) AS top FROM rk GROUP BY 1) SELECT item_id AS query_id, coalesce(top, 0) < 0.15 AS abstain, CASE WHEN top IS NULL THEN 'no hits' WHEN top < 0.15 THEN 'top score ' || top || ' below 0.15' ELSE NULL END IS NOT NULL AS has_reason FROM benchmark LEFT JOIN t ON query_id = item_id")
+def abstain_decide(spark, sf):
+    """Without hits, or with a best score below 0.15, a query gets no answer."""
+    best = reranked(spark, sf).groupBy("query_id").agg(F.max("score").alias("top"))
+    rows = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id")).join(best, "query_id", "left")
+    reason = F.when(F.col("top").isNull(), F.lit("no hits")).when(F.col("top") < 0.15, F.format_string("top score %.3f below 0.15", "top"))
+    return rows.select("query_id", (F.coalesce("top", F.lit(0.0)) < 0.15).alias("abstain"), reason.isNotNull().alias("has_reason"))
+
+
+@register("SELECT conv_id, turn, starts_with(x, 'I cannot answer that') OR starts_with(x, 'I do not know the answer') AS abstained FROM (SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN 'I cannot answer that. ' ELSE '' END || text AS x FROM conversations WHERE role = 'assistant')")
+def abstain_reply_detect(spark, sf):
+    x = F.concat(F.when(F.col("conv_id") % 3 == 0, "I cannot answer that. ").otherwise(""), "text")
+    return table(spark, sf, "conversations").where("role = 'assistant'").select("conv_id", "turn", (F.startswith(x, F.lit("I cannot answer that")) | F.startswith(x, F.lit("I do not know the answer"))).alias("abstained"))
+
+
+_ANS = "(SELECT item_id, substr(text, 1, 30) || ' [2] and [1], again [2] and [9]. ' || text || ' [' || (item_id % 5) || ']' AS a FROM benchmark)"
+
+
+@register(f"WITH {BM25}, r AS (SELECT item_id, unnest(regexp_extract_all(a, '\\[(\\d+)\\]', 1)) AS n, generate_subscripts(regexp_extract_all(a, '\\[(\\d+)\\]', 1), 1) AS pos FROM {_ANS}), f AS (SELECT item_id, n::INT AS n, min(pos) AS pos FROM r GROUP BY 1, 2) SELECT f.item_id AS query_id, f.n, row_number() OVER (PARTITION BY f.item_id ORDER BY pos) AS nth, bm.chunk_id, substr(d.text, 1, 240) AS snippet FROM f JOIN bm ON bm.query_id = f.item_id AND bm.rank = f.n AND bm.rank <= 5 JOIN documents d ON d.doc_id = bm.chunk_id")
+def citation_parse(spark, sf):
+    """Markers of an answer in the order of their first place, those in range, with the hit they point to."""
+    from pyspark.sql import Window
+
+    a = F.concat(F.substring("text", 1, 30), F.lit(" [2] and [1], again [2] and [9]. "), "text", F.lit(" ["), (F.col("item_id") % 5).cast("string"), F.lit("]"))
+    marks = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.posexplode(F.regexp_extract_all(a, F.lit(r"\[(\d+)\]"), 1)).alias("pos", "n")).groupBy("query_id", F.col("n").cast("int").alias("rank")).agg(F.min("pos").alias("pos"))
+    hits = bm25(spark, sf).where("rank <= 5").join(table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.substring("text", 1, 240).alias("snippet")), "chunk_id")
+    return marks.join(hits, ["query_id", "rank"]).select("query_id", F.col("rank").alias("n"), F.row_number().over(Window.partitionBy("query_id").orderBy("pos")).alias("nth"), "chunk_id", "snippet")
+
+
+@register(f"WITH {BM25}, c AS (SELECT query_id, rank, '[' || rank || '] doc-' || chunk_id || chr(10) || substr(text, 1, greatest(400, 6000 // count(*) OVER (PARTITION BY query_id))::INT) AS b FROM bm JOIN documents ON doc_id = chunk_id WHERE rank <= 5) SELECT query_id, string_agg(b, chr(10) || chr(10) ORDER BY rank) AS context FROM c GROUP BY 1")
+def context_assemble(spark, sf):
+    """Numbered blocks of the first five hits, each cut to its share of 6,000 characters, 400 at least."""
+    from pyspark.sql import Window
+
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    hits = bm25(spark, sf).where("rank <= 5").join(docs, "chunk_id").withColumn("n", F.count("*").over(Window.partitionBy("query_id")))
+    cut = F.col("text").substr(F.lit(1), F.greatest(F.lit(400), F.floor(6000 / F.col("n")).cast("int")))
+    block = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] doc-"), F.col("chunk_id").cast("string"), F.lit("\n"), cut)
+    return hits.select("query_id", F.struct("rank", block.alias("b")).alias("x")).groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["b"]), "\n\n").alias("context"))
+
+
+@register()
+def extractive_answer(spark, sf):
+    """The leading sentences of the first three hits, up to 240 characters each, with their markers."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    hits = bm25(spark, sf).where("rank <= 3").join(docs, "chunk_id")
+    lead = F.aggregate(T.sentences(F.col("text")), F.lit(""), lambda acc, s: F.when(F.length(acc) + F.length(s) < 240, F.trim(F.concat(acc, F.lit(" "), s))).otherwise(acc))
+    lead = F.when(lead == "", F.substring("text", 1, 240)).otherwise(lead)
+    part = F.struct("rank", F.concat(lead, F.lit(" ["), F.col("rank").cast("string"), F.lit("]")).alias("b"))
+    return hits.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["b"]), " ").alias("answer"))
+
+
+@register("SELECT conv_id, turn, s.text AS sentence, coalesce(s.supported, true) AS supported FROM (SELECT conv_id, turn, unnest([{'text': substr(text, 1, 20), 'supported': conv_id % 2 = 0}, {'text': substr(text, 21, 20), 'supported': NULL}]) AS s FROM conversations WHERE role = 'assistant')")
+def grounding_report(spark, sf):
+    """A verifier's JSON reply, one row per sentence; a missing verdict counts as supported."""
+    reply = F.to_json(F.struct(F.array(F.struct(F.substring("text", 1, 20).alias("text"), (F.col("conv_id") % 2 == 0).alias("supported")), F.struct(F.substring("text", 21, 20).alias("text"), F.lit(None).cast("boolean").alias("supported"))).alias("sentences")))
+    rows = table(spark, sf, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.explode(F.from_json(reply, "sentences array<struct<text:string,supported:boolean>>")["sentences"]).alias("s"))
+    return rows.select("conv_id", "turn", F.col("s.text").alias("sentence"), F.coalesce("s.supported", F.lit(True)).alias("supported"))
+
+
+@register("SELECT query_id, step, pos, row_number() OVER (PARTITION BY query_id ORDER BY step, pos) AS n FROM (SELECT conv_id AS query_id, turn // 2 AS step, turn % 2 AS pos FROM conversations GROUP BY ALL)")
+def citation_renumber(spark, sf):
+    from pyspark.sql import Window
+
+    rows = table(spark, sf, "conversations").select(F.col("conv_id").alias("query_id"), F.floor(F.col("turn") / 2).alias("step"), (F.col("turn") % 2).alias("pos")).distinct()
+    return rows.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("step", "pos")))
