@@ -1 +1,165 @@
-"""Registered queries."""
+"""Registered queries: evaluation, replies of models, prompts."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..operators import enrich, evaluate
+from .registry import register, table
+from .retrieval import BM25, bm25
+
+#: A passage's relevant documents are those that hold it word for word.
+EVAL = f"""{BM25}, rel AS (SELECT item_id, list(doc_id ORDER BY doc_id) AS relevant FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1),
+eq AS (SELECT b.item_id AS query_id, CASE WHEN r.relevant IS NULL THEN 'out_of_domain' WHEN b.item_id % 2 = 0 THEN 'even' ELSE 'odd' END AS category, coalesce(r.relevant, []) AS relevant FROM benchmark b LEFT JOIN rel r USING (item_id)),
+es AS (SELECT query_id, chunk_id AS source_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM bm),
+ef AS (SELECT eq.query_id, min(place) AS first_rank FROM eq JOIN es ON es.query_id = eq.query_id AND list_contains(relevant, source_id) GROUP BY 1),
+er AS (SELECT eq.query_id, category, category <> 'out_of_domain' AND len(relevant) > 0 AS scored, first_rank, relevant FROM eq LEFT JOIN ef USING (query_id)),
+ev AS (SELECT query_id, category, scored, first_rank, CASE WHEN scored THEN (coalesce(first_rank, 1000000) <= 1)::INT END AS hit1, CASE WHEN scored THEN (coalesce(first_rank, 1000000) <= 3)::INT END AS hit3, CASE WHEN scored THEN (coalesce(first_rank, 1000000) <= 5)::INT END AS hit5, CASE WHEN scored THEN coalesce(1.0 / first_rank, 0)::DOUBLE END AS rr FROM er)"""
+MEANS = ", ".join(f"round(coalesce(avg({m}), 0), 6)::DOUBLE AS {m}" for m in evaluate.METRICS)
+
+
+def eval_rows(spark, sf):
+    b, d = table(spark, sf, "benchmark"), table(spark, sf, "documents")
+    # candidates hold the passage's longest word; only those are searched for the whole passage
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), 0)
+    key = F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))[0]["w"]
+    q = b.select("item_id", F.col("text").alias("passage"), key.alias("w"))
+    docs = d.select("doc_id", "text", F.explode(F.array_distinct(words)).alias("w")).join(q, "w").where(F.contains("text", F.col("passage")))
+    relevant = docs.groupBy("item_id").agg(F.array_sort(F.collect_set("doc_id")).alias("relevant"))
+    queries = b.join(relevant, "item_id", "left").select(F.col("item_id").alias("query_id"), F.when(F.col("relevant").isNull(), "out_of_domain").when(F.col("item_id") % 2 == 0, "even").otherwise("odd").alias("category"), F.coalesce("relevant", F.array().cast("array<long>")).alias("relevant"))
+    return evaluate.retrieval_rows(bm25(spark, sf).select("query_id", F.col("chunk_id").alias("source_id"), "rank"), queries)
+
+
+@register(f"WITH {EVAL} SELECT * FROM ev")
+def eval_retrieval_rows(spark, sf):
+    return eval_rows(spark, sf)
+
+
+@register(f"WITH {EVAL} SELECT count(*) FILTER (scored) AS n, count(*) FILTER (NOT scored) AS n_skipped, {MEANS} FROM ev")
+def eval_retrieval_metrics(spark, sf):
+    return evaluate.retrieval_metrics(eval_rows(spark, sf))
+
+
+@register(f"WITH {EVAL} SELECT category, count(*) FILTER (scored) AS n, count(*) FILTER (NOT scored) AS n_skipped, {MEANS} FROM ev GROUP BY 1")
+def eval_by_category(spark, sf):
+    return evaluate.retrieval_metrics(eval_rows(spark, sf), "category")
+
+
+BASELINE = [("hit1", 0.754, 0.02), ("hit3", 0.942, 0.02), ("hit5", 0.942, 0.02)]
+_BASE = "(VALUES " + ", ".join(f"('{a}', {b}, {c})" for a, b, c in BASELINE) + ") AS b(metric, base, tolerance)"
+
+
+@register(f"WITH {EVAL}, mm AS (SELECT {MEANS} FROM ev), ll AS (UNPIVOT mm ON hit1, hit3, hit5, rr INTO NAME metric VALUE value) SELECT l.metric, value, base::DOUBLE AS base, round(value - base, 6)::DOUBLE AS delta, CASE WHEN base IS NULL THEN 'no-baseline' WHEN round(value - base, 6) >= 0 THEN 'ok' WHEN round(value - base, 6) >= -tolerance THEN 'within_tol' ELSE 'REGRESSED' END AS verdict FROM ll l LEFT JOIN {_BASE} ON b.metric = l.metric")
+def regression_gate(spark, sf):
+    base = spark.createDataFrame(BASELINE, "metric string, base double, tolerance double")
+    return evaluate.regression_gate(evaluate.retrieval_metrics(eval_rows(spark, sf)).select(*evaluate.METRICS), base)
+
+
+REPLY = "CASE WHEN doc_id % 3 = 0 THEN 'no json' ELSE 'Verdict: {\"faithful\": ' || CASE WHEN quality = 1 THEN 'true' ELSE 'false' END || ', \"cites\": true, \"answers\": ' || CASE WHEN toxic = 1 THEN 'true' ELSE 'false' END || '} ok' END"
+
+
+def replies(spark, sf):
+    flag = lambda c: F.when(F.col(c) == 1, "true").otherwise("false")
+    reply = F.when(F.col("doc_id") % 3 == 0, "no json").otherwise(F.concat(F.lit('Verdict: {"faithful": '), flag("quality"), F.lit(', "cites": true, "answers": '), flag("toxic"), F.lit("} ok")))
+    return table(spark, sf, "labels").select("doc_id", reply.alias("reply"))
+
+
+@register("SELECT doc_id, doc_id % 3 <> 0 AND quality = 1 AS faithful, doc_id % 3 <> 0 AS cites, doc_id % 3 <> 0 AND toxic = 1 AS answers, false AS abstains FROM labels")
+def judge_parse(spark, sf):
+    return replies(spark, sf).select("doc_id", *enrich.judge_flags(F.col("reply")))
+
+
+@register("SELECT count(*) AS n, round(avg((doc_id % 3 <> 0 AND quality = 1)::INT), 6) AS faithful, round(avg((doc_id % 3 <> 0)::INT), 6) AS cites, round(avg((doc_id % 3 <> 0 AND toxic = 1)::INT), 6) AS answers, 0.0::DOUBLE AS abstains, round(avg(doc_id % 1000), 6) AS latency_ms FROM labels")
+def eval_answer_metrics(spark, sf):
+    rows = replies(spark, sf).select(*enrich.judge_flags(F.col("reply")), (F.col("doc_id") % 1000).alias("latency"))
+    return rows.agg(F.count("*").alias("n"), *(F.round(F.avg(F.col(c).cast("int")), 6).alias(c) for c in ("faithful", "cites", "answers", "abstains")), F.round(F.avg("latency"), 6).alias("latency_ms"))
+
+
+@register("SELECT item_id FROM benchmark WHERE item_id % 5 <> 0 ORDER BY item_id LIMIT 20")
+def answer_subset(spark, sf):
+    """The first twenty queries that are in the domain."""
+    return table(spark, sf, "benchmark").where("item_id % 5 <> 0").orderBy("item_id").limit(20).select("item_id")
+
+
+@register("SELECT event_id, event_type AS kb_id, ts, count(*) OVER (PARTITION BY event_type) AS kb_total FROM (SELECT * FROM events WHERE event_type IN ('error', 'click') AND value < 20) QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id) <= 50")
+def feedback_candidates(spark, sf):
+    """Down votes by knowledge base, the newest fifty of each with the number of all."""
+    down = table(spark, sf, "events").where("event_type IN ('error', 'click') AND value < 20")
+    totals = down.groupBy("event_type").agg(F.count("*").alias("kb_total"))
+    newest = down.withColumn("n", F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("ts"), "event_id"))).where("n <= 50")
+    return newest.join(F.broadcast(totals), "event_type").select("event_id", F.col("event_type").alias("kb_id"), "ts", "kb_total")
+
+
+@register("SELECT event_id, CASE WHEN v IN ('up', 'down') THEN 'accepted' ELSE 'rejected' END AS state FROM (SELECT event_id, CASE event_type WHEN 'click' THEN 'up' WHEN 'error' THEN 'down' ELSE event_type END AS v FROM events)")
+def feedback_validate(spark, sf):
+    v = F.when(F.col("event_type") == "click", "up").when(F.col("event_type") == "error", "down").otherwise(F.col("event_type"))
+    return table(spark, sf, "events").select("event_id", F.when(v.isin("up", "down"), "accepted").otherwise("rejected").alias("state"))
+
+
+# around a model call
+
+
+@register("SELECT sha256(coalesce(text, '')) AS key, count(*) AS uses FROM documents WHERE sha256(coalesce(text, '')) NOT IN (SELECT sha256(coalesce(text, '')) FROM documents WHERE doc_id % 3 = 0) GROUP BY 1")
+def inference_cache_plan(spark, sf):
+    """Texts that a cache, filled by every third document, does not hold: once each."""
+    d = table(spark, sf, "documents").withColumn("key", F.sha2(F.coalesce("text", F.lit("")), 256))
+    return enrich.cache_misses(d, d.where("doc_id % 3 = 0"), "key").groupBy("key").agg(F.count("*").alias("uses"))
+
+
+@register("SELECT DISTINCT sha256(html) AS pixel_hash, CASE WHEN page_id % 2 = 0 THEN 'caption' ELSE 'layout' END AS task FROM pages WHERE (sha256(html), CASE WHEN page_id % 2 = 0 THEN 'caption' ELSE 'layout' END) NOT IN (SELECT (sha256(html), 'caption') FROM pages WHERE page_id % 4 = 0)")
+def vision_cache_plan(spark, sf):
+    p = table(spark, sf, "pages").select("page_id", F.sha2("html", 256).alias("pixel_hash"), F.when(F.col("page_id") % 2 == 0, "caption").otherwise("layout").alias("task"))
+    return enrich.cache_misses(p, p.where("page_id % 4 = 0"), "pixel_hash", "task").select("pixel_hash", "task").distinct()
+
+
+@register("SELECT d.doc_id, 'About ' || coalesce(p.source, '') || ': ' || substr(coalesce(p.text, ''), 1, 40) || chr(10) || chr(10) || d.text AS text FROM documents d LEFT JOIN documents p ON p.doc_id = d.doc_id // 10 * 10")
+def contextual_prefix(spark, sf):
+    """A leaf's text behind a line made from its parent, cut; here every tenth document is a parent."""
+    d = table(spark, sf, "documents")
+    parents = d.where("doc_id % 10 = 0").select(F.col("doc_id").alias("pid"), F.col("source").alias("ps"), F.substring("text", 1, 40).alias("pt"))
+    rows = d.join(parents, F.floor(F.col("doc_id") / 10) * 10 == F.col("pid"), "left")
+    return rows.select("doc_id", F.concat(F.lit("About "), F.coalesce("ps", F.lit("")), F.lit(": "), F.coalesce("pt", F.lit("")), F.lit("\n\n"), "text").alias("text"))
+
+
+@register("SELECT doc_id, ['Ada', 'Bob', lang] AS entities, ['release_notes', 'how_to'] AS topics, CASE WHEN doc_id % 2 = 0 THEN '2024-05-01' END AS date FROM documents")
+def metadata_normalise(spark, sf):
+    """A loose JSON reply: distinct entities, snake-case topics, dates of the right shape."""
+    reply = F.concat(F.lit('```json\n{"entities": ["Ada", "ada", " Bob ", "'), "lang", F.lit('"], "topics": ["Release Notes", "how-to"], "date": "'), F.when(F.col("doc_id") % 2 == 0, "2024-05-01").otherwise("May"), F.lit('"}\n```'))
+    return table(spark, sf, "documents").select("doc_id", *enrich.metadata(reply))
+
+
+@register("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN [] ELSE [lang] END AS entities, CASE WHEN doc_id % 5 <> 0 AND doc_id % 2 = 0 THEN '2024-05-01' END AS date FROM documents")
+def metadata_merge(spark, sf):
+    """Replies joined to leaves; parents (every fifth) keep what they have."""
+    d = table(spark, sf, "documents")
+    replies_ = d.select("doc_id", F.array("lang").alias("new_entities"), F.when(F.col("doc_id") % 2 == 0, "2024-05-01").alias("new_date"))
+    leaf = F.col("doc_id") % 5 != 0
+    return d.join(replies_, "doc_id", "left").select("doc_id", F.when(leaf, F.col("new_entities")).otherwise(F.array().cast("array<string>")).alias("entities"), F.when(leaf, F.col("new_date")).alias("date"))
+
+
+@register("SELECT item_id, ['a ' || item_id, 'b'] AS variants FROM benchmark")
+def parse_llm_array(spark, sf):
+    """The first array of a reply, without what repeats itself or the query, four at most."""
+    reply = F.concat(F.lit('Sure: ["a '), F.col("item_id").cast("string"), F.lit('", "b", "B", " the query ", ""] done'))
+    return table(spark, sf, "benchmark").select("item_id", enrich.variants(reply, F.lit("the query")).alias("variants"))
+
+
+@register("SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN 'User: ' ELSE 'Assistant: ' END || substr(text, 1, 300), chr(10) ORDER BY turn, role, text) AS history FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS back FROM conversations WHERE role IN ('user', 'assistant')) WHERE back <= 4 GROUP BY 1")
+def prompt_history_tail(spark, sf):
+    """The last four turns of each conversation, 300 characters of each."""
+    said = table(spark, sf, "conversations").where("role IN ('user', 'assistant')")
+    return enrich.history_tail(said, 4, 300)
+
+
+@register("SELECT item_id, CASE WHEN item_id % 3 = 0 THEN text WHEN item_id % 3 = 1 THEN text || ' rewritten' ELSE 'rewritten' END AS query FROM benchmark")
+def rewrite_merge(spark, sf):
+    """The first line of a rewrite after the query, alone if there was a conversation; the query if it is empty."""
+    reply = F.when(F.col("item_id") % 3 == 0, "").otherwise("rewritten\nsecond line")
+    return table(spark, sf, "benchmark").select("item_id", enrich.merge_rewrite(F.col("text"), reply, F.col("item_id") % 3 == 2).alias("query"))
+
+
+@register()
+def embed_batch(spark, sf):
+    """Unit vectors of documents by the default embedder."""
+    return enrich.embed(table(spark, sf, "documents").select("doc_id", F.concat_ws("\n", "source", "text").alias("payload")), "doc_id", "payload")
