@@ -1 +1,100 @@
-"""Registered queries."""
+"""Registered queries: sections, packing, parents and leaves."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import chunk
+from .registry import register, table
+
+#: Documents have no headings: the first two lines of text get some.
+HEADED = "(SELECT doc_id, 'intro ' || doc_id || chr(10) || '# A' || doc_id || chr(10) || substr(text, 1, 100) || chr(10) || '## B' || chr(10) || substr(text, 101, 200) || chr(10) || '# C' || chr(10) || substr(text, 301) AS text FROM (SELECT doc_id, replace(text, '#', '') AS text FROM documents))"
+
+
+def headed(spark, sf):
+    n = F.lit("\n")
+    docs = table(spark, sf, "documents").withColumn("text", F.replace("text", F.lit("#"), F.lit("")))
+    t = F.concat(F.lit("intro "), F.col("doc_id").cast("string"), n, F.lit("# A"), F.col("doc_id").cast("string"), n, F.substring("text", 1, 100), n, F.lit("## B"), n, F.substring("text", 101, 200), n, F.lit("# C"), n, F.expr("substr(text, 301)"))
+    return docs.select("doc_id", t.alias("text"))
+
+
+SECTIONS = rf"""WITH l AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM {HEADED}),
+s AS (SELECT *, sum((regexp_matches(line, '^#{{1,6}}\s+\S'))::INT) OVER (PARTITION BY id ORDER BY n) AS section FROM l),
+b AS (SELECT id, section, trim(string_agg(line, chr(10) ORDER BY n) FILTER (NOT regexp_matches(line, '^#{{1,6}}\s+\S')), E' \n\t\r') AS body FROM s GROUP BY 1, 2)
+SELECT id, section::BIGINT AS section, CASE section WHEN 0 THEN '' WHEN 1 THEN 'A' || id WHEN 2 THEN 'A' || id || '/B' ELSE 'C' END AS path, body FROM b WHERE body <> ''"""
+
+
+@register(SECTIONS)
+def split_sections(spark, sf):
+    rows = chunk.split_sections(headed(spark, sf))
+    return rows.select("id", F.col("section").cast("long").alias("section"), F.array_join("path", "/").alias("path"), "body")
+
+
+_TOK = "len(regexp_extract_all(p, '[A-Za-z0-9_]+'))"
+
+
+@register(rf"""WITH RECURSIVE l AS (SELECT item_id, p, {_TOK} AS k, row_number() OVER (PARTITION BY item_id ORDER BY n) AS n FROM (SELECT item_id, unnest(string_split(text, ' ')) AS p, generate_subscripts(string_split(text, ' '), 1) AS n FROM benchmark) WHERE p <> ''),
+f AS (SELECT item_id, 0::BIGINT AS n, 0::BIGINT AS c, 0::BIGINT AS t FROM (SELECT DISTINCT item_id FROM l) UNION ALL SELECT f.item_id, l.n, CASE WHEN f.n = 0 THEN 1 WHEN t + k <= 12 THEN c ELSE c + 1 END, CASE WHEN f.n > 0 AND t + k <= 12 THEN t + k ELSE k END FROM f JOIN l ON l.item_id = f.item_id AND l.n = f.n + 1)
+SELECT f.item_id, f.c AS part, string_agg(p, chr(10) || chr(10) ORDER BY f.n) AS chunk FROM f JOIN l ON l.item_id = f.item_id AND l.n = f.n GROUP BY 1, 2""")
+def pack_paragraphs(spark, sf):
+    """Greedy filling, here of single words up to twelve tokens."""
+    rows = table(spark, sf, "benchmark").select("item_id", F.posexplode(chunk.pack(F.split("text", " "), 12)).alias("part", "chunk"))
+    return rows.select("item_id", (F.col("part") + 1).cast("long").alias("part"), "chunk")
+
+
+@register()
+def split_long(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.posexplode(chunk.split_long(F.col("text"), 450)).alias("part", "chunk"))
+
+
+@register(rf"""WITH w AS (SELECT item_id, unnest(regexp_split_to_array(text, '\s+')) AS p, generate_subscripts(regexp_split_to_array(text, '\s+'), 1) AS n FROM benchmark),
+r AS (SELECT *, sum(greatest(1, {_TOK})) OVER (PARTITION BY item_id ORDER BY n DESC) AS so_far FROM w WHERE p <> '') SELECT item_id, string_agg(p, ' ' ORDER BY n) AS tail FROM r WHERE so_far <= 10 GROUP BY 1""")
+def tail_overlap(spark, sf):
+    return table(spark, sf, "benchmark").select("item_id", chunk.tail_overlap(F.col("text"), 10).alias("tail"))
+
+
+@register()
+def parent_leaf_chunks(spark, sf):
+    return chunk.parent_leaf_chunks(headed(spark, sf)).withColumn("section_path", F.array_join("section_path", "/"))
+
+
+@register("SELECT source, string_agg(substr(text, 1, 50), chr(10) || chr(10) ORDER BY doc_id) AS text, count(*) AS leaves FROM documents WHERE doc_id % 10 = 0 GROUP BY source, doc_id // 500".replace("SELECT source,", "SELECT source, doc_id // 500 AS part,"))
+def parentify(spark, sf):
+    """A parent for the leaves of a source: here of every tenth document, by ranges of ids."""
+    rows = table(spark, sf, "documents").where("doc_id % 10 = 0").groupBy("source", F.floor(F.col("doc_id") / 500).alias("part"))
+    leaf = F.struct("doc_id", F.substring("text", 1, 50).alias("t"))
+    return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(leaf)), lambda x: x["t"]), "\n\n").alias("text"), F.count("*").alias("leaves"))
+
+
+@register(r"""WITH s AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(text, '([。!?;])', E'\\1\x01', 'g'), '\.\s+', E'.\x01', 'g'), E'\x01|\n{2,}'), lambda x: regexp_replace(regexp_replace(x, '^\s+', ''), '\s+$', '')), lambda x: x <> '')) AS x FROM documents) SELECT doc_id, count(*) AS n, sum(length(x))::BIGINT AS chars FROM s GROUP BY 1""")
+def split_sentences(spark, sf):
+    s = T.sentences(F.col("text"))
+    rows = table(spark, sf, "documents").select("doc_id", F.explode(s).alias("x"))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("x")).alias("chars"))
+
+
+DIST = "SELECT label, vec_id, round(1 - least(1, greatest(-1, list_sum(list_transform(range(1, len(v) + 1), lambda i: v[i] * w[i])))), 6) AS distance FROM (SELECT label, vec_id, embedding::DOUBLE[] AS v, lag(embedding::DOUBLE[]) OVER (PARTITION BY label ORDER BY vec_id) AS w FROM embeddings) WHERE w IS NOT NULL"
+
+
+def distances(spark, sf):
+    w = Window.partitionBy("label").orderBy("vec_id")
+    rows = table(spark, sf, "embeddings").withColumn("before", F.lag("embedding").over(w)).where("before IS NOT NULL")
+    dot = T.cosine(F.col("embedding"), F.col("before"))
+    return rows.select("label", "vec_id", F.round(1 - F.least(F.lit(1.0), F.greatest(F.lit(-1.0), dot)), 6).alias("distance"))
+
+
+@register(DIST)
+def adjacent_distance(spark, sf):
+    """One minus the inner product of a vector and the one before it, as of a document's sentences."""
+    return distances(spark, sf)
+
+
+@register(f"WITH d AS ({DIST}), p AS (SELECT label, quantile_cont(distance, 0.95) AS cut FROM d GROUP BY 1) SELECT d.label, vec_id, sum((distance >= cut)::INT) OVER (PARTITION BY d.label ORDER BY vec_id) AS segment FROM d JOIN p ON p.label = d.label")
+def semantic_split(spark, sf):
+    """A new segment where the distance reaches the 95th percentile of its document."""
+    d = distances(spark, sf)
+    cut = d.groupBy("label").agg(F.percentile("distance", F.lit(0.95)).alias("cut"))
+    w = Window.partitionBy("label").orderBy("vec_id")
+    return d.join(cut, "label").select("label", "vec_id", F.sum((F.col("distance") >= F.col("cut")).cast("int")).over(w).alias("segment"))

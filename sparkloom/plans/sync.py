@@ -1 +1,145 @@
-"""Registered queries."""
+"""Registered queries: listings, registry, sync, knowledge bases, file formats."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import sync
+from ..streaming import streams
+from .registry import register, table
+
+_SIDE = "SELECT 'd' || doc_id AS source_id, {cheap} AS cheap_hash, sha256({text}) AS content_hash, {title} AS title FROM documents WHERE {where}"
+LISTING = "(" + _SIDE.format(cheap="CASE WHEN doc_id % 4 = 0 THEN 'old' || doc_id WHEN doc_id % 11 = 0 THEN NULL ELSE 'new' || doc_id END", text="CASE WHEN doc_id % 3 = 0 THEN text || '!' ELSE text END", title="CASE WHEN doc_id % 2 = 0 THEN source END", where="doc_id % 10 <> 9") + ")"
+REGISTRY = "(" + _SIDE.format(cheap="'old' || doc_id", text="text", title="lang", where="doc_id % 10 <> 8").replace(" AS title FROM", " AS title, 2::BIGINT AS chunk_count FROM") + ")"
+DIFF = f"(SELECT coalesce(l.source_id, r.source_id) AS source_id, CASE WHEN r.source_id IS NULL THEN 'add' WHEN l.source_id IS NULL THEN 'delete' WHEN l.cheap_hash = r.cheap_hash THEN 'skip' WHEN l.content_hash = r.content_hash THEN 'skip' ELSE 'update' END AS action, r.source_id IS NOT NULL AND l.source_id IS NOT NULL AND NOT coalesce(l.cheap_hash = r.cheap_hash, false) AND l.content_hash = r.content_hash AS refresh FROM {LISTING} l FULL JOIN {REGISTRY} r ON l.source_id = r.source_id)"
+
+
+def _id(prefix: str):
+    return F.concat(F.lit(prefix), F.col("doc_id").cast("string"))
+
+
+def listing(spark, sf):
+    d = table(spark, sf, "documents").where("doc_id % 10 <> 9")
+    cheap = F.when(F.col("doc_id") % 4 == 0, _id("old")).when(F.col("doc_id") % 11 == 0, None).otherwise(_id("new"))
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    return d.select(_id("d").alias("source_id"), cheap.alias("cheap_hash"), F.sha2(text, 256).alias("content_hash"), F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("title"))
+
+
+def registry_(spark, sf):
+    d = table(spark, sf, "documents").where("doc_id % 10 <> 8")
+    return d.select(_id("d").alias("source_id"), _id("old").alias("cheap_hash"), F.sha2("text", 256).alias("content_hash"), F.col("lang").alias("title"), F.lit(2).cast("long").alias("chunk_count"))
+
+
+def changes(spark, sf):
+    return sync.diff(listing(spark, sf), registry_(spark, sf))
+
+
+@register(f"SELECT source_id, action, coalesce(refresh, false) AS refresh FROM {DIFF}")
+def sync_diff(spark, sf):
+    return changes(spark, sf)
+
+
+@register(f"SELECT action, count(*) AS n, count(*) FILTER (refresh) AS refreshed FROM {DIFF} GROUP BY 1")
+def sync_summary(spark, sf):
+    return changes(spark, sf).groupBy("action").agg(F.count("*").alias("n"), F.count_if("refresh").alias("refreshed"))
+
+
+@register(f"SELECT source_id, part, false AS fresh FROM (SELECT source_id, unnest([0, 1]) AS part FROM {REGISTRY}) WHERE source_id NOT IN (SELECT source_id FROM {DIFF} WHERE action IN ('update', 'delete')) UNION ALL SELECT source_id, part, true FROM (SELECT source_id, unnest([0, 1, 2]) AS part FROM {DIFF} WHERE action IN ('add', 'update'))")
+def sync_apply_chunks(spark, sf):
+    old = registry_(spark, sf).select("source_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("part"), F.lit(False).alias("fresh"))
+    change = changes(spark, sf)
+    new = change.where("action IN ('add', 'update')").select("source_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("part"), F.lit(True).alias("fresh"))
+    return sync.apply_chunks(old, change, new)
+
+
+@register(f"SELECT d.source_id, l.cheap_hash, l.content_hash, coalesce(l.title, r.title) AS title, CASE WHEN action IN ('add', 'update') THEN 3 ELSE coalesce(r.chunk_count, 0) END AS chunk_count FROM {DIFF} d JOIN {LISTING} l ON l.source_id = d.source_id LEFT JOIN {REGISTRY} r ON r.source_id = d.source_id WHERE action <> 'delete'")
+def registry_upsert(spark, sf):
+    change = changes(spark, sf)
+    counts = change.where("action IN ('add', 'update')").select("source_id", F.lit(3).cast("long").alias("chunk_count"))
+    return sync.upsert_registry(registry_(spark, sf), listing(spark, sf), change, counts)
+
+
+@register("SELECT source AS kb_id, count(*) AS chunk_count, count(*) FILTER (doc_id % 5 <> 0) AS leaves FROM documents GROUP BY 1")
+def kb_manifest(spark, sf):
+    return table(spark, sf, "documents").groupBy(F.col("source").alias("kb_id")).agg(F.count("*").alias("chunk_count"), F.count_if(F.col("doc_id") % 5 != 0).alias("leaves"))
+
+
+@register("SELECT source, min_by(substr(text, 1, 20), doc_id) AS title, count(*) AS section_count, sum(length(text))::BIGINT AS char_count FROM documents GROUP BY 1")
+def kb_documents_listing(spark, sf):
+    return table(spark, sf, "documents").groupBy("source").agg(F.min_by(F.substring("text", 1, 20), "doc_id").alias("title"), F.count("*").alias("section_count"), F.sum(F.length("text")).alias("char_count"))
+
+
+@register("SELECT doc_id AS chunk_id, source AS source_id, text FROM documents")
+def chunks_jsonl_io(spark, sf):
+    """Chunks written as JSON lines and read again with their schema."""
+    from .registry import scratch
+
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("source_id"), "text")
+    path = scratch(spark, "chunks")
+    rows.write.json(path)
+    return spark.read.schema(rows.schema).json(path)
+
+
+@register("SELECT text AS query, 'kb' AS kb_id, 'd' || item_id AS relevant FROM benchmark WHERE item_id % 4 <> 0")
+def eval_jsonl_scan(spark, sf):
+    """Evaluation rows as lines: comments and blanks are skipped, the rest is JSON."""
+    from .registry import scratch
+
+    line = F.to_json(F.struct(F.col("text").alias("query"), F.lit("kb").alias("kb_id"), F.concat(F.lit("d"), F.col("item_id").cast("string")).alias("relevant")))
+    path = scratch(spark, "eval")
+    table(spark, sf, "benchmark").select(F.when(F.col("item_id") % 8 == 0, "# comment").when(F.col("item_id") % 4 == 0, "  ").otherwise(line).alias("value")).write.text(path)
+    rows = spark.read.text(path).where((F.trim("value") != "") & ~F.col("value").startswith("#"))
+    return rows.select(F.from_json("value", "query string, kb_id string, relevant string").alias("r")).select("r.*")
+
+
+@register()
+def scan_files(spark, sf):
+    """The listing of a folder of documents written as files: path, size and a cheap hash, without reading contents."""
+    from .registry import scratch
+
+    path = scratch(spark, "files")
+    table(spark, sf, "documents").select("source", F.to_json(F.struct("doc_id", "text")).alias("value")).write.partitionBy("source").text(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path)
+    return files.select(F.regexp_extract("path", r"source=([^/]+)/", 1).alias("source"), F.col("length").alias("bytes"), F.concat_ws(":", F.unix_micros("modificationTime").cast("string"), F.col("length").cast("string")).alias("cheap_hash"))
+
+
+@register("SELECT page_id, string_agg(t, chr(10) || chr(10) ORDER BY pos) AS markdown FROM (SELECT page_id, 0 AS pos, '# ' || url AS t FROM pages UNION ALL SELECT page_id, 1, '- item ' || page_id FROM pages UNION ALL SELECT page_id, 2, '  - child' FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT page_id, 3, '> ' || substr(url, 1, 10) FROM pages) GROUP BY 1")
+def block_tree_render(spark, sf):
+    """Exported blocks (type, depth, text, place) to one markdown text per page."""
+    p = table(spark, sf, "pages")
+    block = lambda k, kind, depth, text: F.struct(F.lit(k).alias("pos"), F.lit(kind).alias("kind"), F.lit(depth).alias("depth"), text.alias("text"))
+    four = F.array(block(0, "heading_1", 0, F.col("url")), block(1, "bulleted_list_item", 0, F.concat(F.lit("item "), F.col("page_id").cast("string"))), block(2, "bulleted_list_item", 1, F.lit("child")), block(3, "quote", 0, F.substring("url", 1, 10)))
+    rows = p.select("page_id", F.explode(four).alias("b")).select("page_id", "b.*").where((F.col("pos") != 2) | (F.col("page_id") % 2 == 0))
+    mark = F.when(F.col("kind") == "heading_1", "# ").when(F.col("kind") == "bulleted_list_item", "- ").when(F.col("kind") == "quote", "> ").otherwise("")
+    line = F.concat(F.repeat(F.lit("  "), F.col("depth")), mark, "text")
+    return rows.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("t")))), lambda x: x["t"]), "\n\n").alias("markdown"))
+
+
+@register("SELECT doc_id, coalesce(CASE WHEN doc_id % 3 <> 0 THEN source END, 'legacy') AS source_id, CASE WHEN lang = 'en' THEN lang ELSE 'Parent/' || lang END AS section, row_number() OVER (PARTITION BY coalesce(CASE WHEN doc_id % 3 <> 0 THEN source END, 'legacy'), doc_id // 1000 ORDER BY doc_id) - 1 AS ord FROM documents")
+def legacy_chunk_migrate(spark, sf):
+    """Old chunks: a missing source id is filled in, equal section titles collapse, an order number is given."""
+    from pyspark.sql import Window
+
+    d = table(spark, sf, "documents")
+    source = F.coalesce(F.when(F.col("doc_id") % 3 != 0, F.col("source")), F.lit("legacy"))
+    parent = F.when(F.col("lang") == "en", F.col("lang")).otherwise("Parent")
+    section = F.array_join(F.array_distinct(F.array(parent, "lang")), "/")
+    n = F.row_number().over(Window.partitionBy("source_id", F.floor(F.col("doc_id") / 1000)).orderBy("doc_id")) - 1
+    return d.select("doc_id", source.alias("source_id"), section.alias("section")).withColumn("ord", n)
+
+
+@register("SELECT page_id, r.role, r.body, r.ord FROM (SELECT page_id, unnest([{'role': 'title', 'body': url, 'ord': 0}, {'role': 'table', 'body': '| a | ' || page_id || ' |', 'ord': 1}, {'role': 'code', 'body': '```py' || chr(10) || 'x' || chr(10) || '```', 'ord': 2}, {'role': 'parent', 'body': url || chr(10) || chr(10) || '| a | ' || page_id || ' |' || chr(10) || chr(10) || '```py' || chr(10) || 'x' || chr(10) || '```', 'ord': -1}]) AS r FROM pages)")
+def region_chunks(spark, sf):
+    """Layout regions as JSON to typed leaves, and one parent of them all."""
+    js = F.to_json(F.struct(F.array(F.struct(F.lit("title").alias("type"), F.col("url").alias("text"), F.lit(None).cast("string").alias("markdown"), F.lit(None).cast("string").alias("language")), F.struct(F.lit("table").alias("type"), F.lit("").alias("text"), F.concat(F.lit("| a | "), F.col("page_id").cast("string"), F.lit(" |")).alias("markdown"), F.lit(None).cast("string").alias("language")), F.struct(F.lit("code").alias("type"), F.lit("x").alias("text"), F.lit(None).cast("string").alias("markdown"), F.lit("py").alias("language"))).alias("regions")))
+    regions = table(spark, sf, "pages").select("page_id", F.posexplode(F.from_json(js, "regions array<struct<type:string,text:string,markdown:string,language:string>>")["regions"]).alias("ord", "r"))
+    body = F.when(F.col("r.type") == "code", F.concat(F.lit("```"), F.coalesce("r.language", F.lit("")), F.lit("\n"), "r.text", F.lit("\n```"))).otherwise(F.coalesce("r.markdown", "r.text"))
+    leaves = regions.select("page_id", F.col("r.type").alias("role"), body.alias("body"), "ord")
+    parents = leaves.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "body"))), lambda x: x["body"]), "\n\n").alias("body")).select("page_id", F.lit("parent").alias("role"), "body", F.lit(-1).alias("ord"))
+    return leaves.unionByName(parents)
+
+
+@register("SELECT event_type AS action, count(*) AS n FROM events GROUP BY 1")
+def sync_stream(spark, sf):
+    """Changed rows arriving as a stream, merged batch by batch into a registry; counts by kind of what it then holds."""
+    return streams.sync_stream(spark, f"{sf}/events.parquet", "event_id", "event_type").groupBy(F.col("event_type").alias("action")).agg(F.count("*").alias("n"))
