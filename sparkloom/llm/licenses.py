@@ -39,8 +39,9 @@ BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 def word_text(text: Column) -> Column:
     """The words, each with one space before it and one space after the last; the empty text for no words."""
-    lowered = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = F.trim(F.regexp_replace(lowered, BREAKS, " "))
+    # two letters beyond A-Z become ASCII when lowered; others stand in for them, as they are no letters of a phrase
+    kept = F.replace(F.replace(text, F.lit("\u212a"), F.lit("\u0138")), F.lit("\u0130"), F.lit("\u0131"))
+    words = F.trim(F.regexp_replace(F.lower(kept), BREAKS, " "))
     return F.when(words == "", "").otherwise(F.concat(F.lit(" "), words, F.lit(" ")))
 
 
@@ -49,18 +50,22 @@ def _words_in(text: Column) -> Column:
     return (F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))).cast("long")
 
 
+def _known(words: list[str]) -> Column:
+    """Which of a fixed list of words a word text holds."""
+    return F.array_intersect(F.split(F.trim("wt"), " "), F.array(*map(F.lit, words)))
+
+
 def template_index(docs: DataFrame, templates: dict[str, list[str]], containment: float) -> list[dict]:
     """Each template with its words in the global order, rarest first, and the number that must be there.
 
-    Counts how many rows of ``docs`` (with ``wt``) hold each template word: one row, as wide as the fixed list.
+    Counts how many rows of ``docs`` (with ``wt``) hold each template word: as many rows as the fixed list has words.
     """
     words = sorted({w for group in templates.values() for t in group for w in t.split()})
-    counts = docs.agg(*(F.count_if(F.contains("wt", F.lit(f" {w} "))).alias(f"c{k}") for k, w in enumerate(words))).first()
-    often = {w: counts[k] or 0 for k, w in enumerate(words)}
+    often = {r["word"]: r["count"] for r in docs.select(F.explode(_known(words)).alias("word")).groupBy("word").count().collect()}
     out = []
     for label, group in sorted(templates.items()):
         for t in group:
-            ordered = sorted(set(t.split()), key=lambda w: (often[w], w))
+            ordered = sorted(set(t.split()), key=lambda w: (often.get(w, 0), w))
             out.append({"no": len(out), "label": label, "words": ordered, "need": math.ceil(containment * len(ordered) - 1e-9)})
     return out
 
@@ -75,10 +80,7 @@ def find_blocks(docs: DataFrame, index: list[dict], block_words: int = BLOCK_WOR
     prefix = spark.createDataFrame(postings, "word string, at int, size int, need int, template int, label string, words array<string>")
     rare = sorted({p[0] for p in postings})
     half = block_words // 2
-    holds = F.lit(False)
-    for w in rare:
-        holds = holds | F.contains("wt", F.lit(f" {w} "))
-    words = docs.where(holds).select("doc_id", F.split(F.trim("wt"), " ").alias("words"))
+    words = docs.where(F.col("wt").rlike(f" (?:{'|'.join(rare)}) ")).select("doc_id", F.split(F.trim("wt"), " ").alias("words"))
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - 1), F.lit(half))
     blocks = words.select("doc_id", "words", F.posexplode(starts).alias("block", "start")).select("doc_id", "block", F.array_distinct(F.slice("words", F.col("start") + 1, F.lit(block_words))).alias("have"))
     tokens = blocks.select("doc_id", "block", "have", F.explode(F.array_intersect("have", F.array(*map(F.lit, rare)))).alias("word"))
