@@ -10,9 +10,11 @@ Classes. Texts of equal words are one class member each (its smallest id). Membe
 coordinates meet in a bucket. In each round a bucket has a few leaders, which are compared with the
 members of other classes; a link needs the exact Jaccard similarity of the shingle sets. The classes that
 links join are merged at once, so a bucket whose members all belong together is done after one round, however
-many they are. Rounds take ever more leaders per bucket until every member that is outside its
-bucket's largest class has been a leader: then every pair in a bucket is linked, in one class already, or known
-to differ, and no pair was left out or counted twice over.
+many they are. Where classes remain, a member can only be linked with others through shingles that another
+has too, so a member with too many of its own is ruled out, and pairs are only made within the sizes that the
+shared ones allow. Rounds take ever more leaders per bucket until every member that is not ruled out and
+outside its bucket's largest class has been a leader: then every pair in a bucket is linked, in one class
+already, or known to differ, and no pair was left out.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ class Settings:
     similarity: float = 0.8
     bands: int = 24
     rows: int = 5
-    leaders: int = 2  # of a bucket in the second round; four times as many in each round after
+    leaders: int = 64  # of a bucket in the second round; sixteen times as many in each round after
 
     @property
     def coordinates(self) -> int:
@@ -214,22 +216,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = stored(verified(pairs), "star")
     labels = components(links)
     done = first.withColumnRenamed("a", "rep")  # (bucket, rep) that were leaders
-    leaders = settings.leaders
-    while True:
+
+    def open_buckets() -> DataFrame:
+        """(bucket, rep, label, largest) of the buckets whose members are in several classes."""
         at = entries.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("label", "rep").alias("label"))
         groups = at.groupBy("bucket", "label").agg(F.count("*").alias("n"))
         spread = groups.groupBy("bucket").agg(F.count("*").alias("classes"), F.max(F.struct("n", F.col("label"))).alias("most")).where("classes > 1").select("bucket", F.col("most.label").alias("largest"))
-        open_ = at.join(spread, "bucket")
-        waiting = open_.where("label <> largest").join(done, ["bucket", "rep"], "left_anti")
+        return at.join(spread, "bucket")
+
+    # What a member could share with others at most: its shingles that another member of an open bucket has too.
+    # A link needs (|a| + |b|) t / (1 + t) common ones, which bounds the partner's size, or rules out any partner.
+    share = settings.similarity / (1 + settings.similarity)
+    own = sets.join(open_buckets().select("rep").distinct(), "rep", "left_semi")
+    once = own.select("rep", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("rep").alias("rep")).where("n = 1").groupBy("rep").agg(F.count("*").alias("alone"))
+    reach = own.select("rep", F.size("shingles").alias("size")).join(once, "rep", "left").select("rep", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"))
+    reach = stored(reach.where(F.col("common") >= settings.similarity * F.col("size")), "reach")
+    leaders = settings.leaders
+    while True:
+        able = open_buckets().join(reach, "rep")
+        waiting = able.where("label <> largest").join(done, ["bucket", "rep"], "left_anti")
         turn = Window.partitionBy("bucket").orderBy("rep")
-        now = stored(waiting.withColumn("nth", F.row_number().over(turn)).where(F.col("nth") <= leaders).select("bucket", F.col("rep").alias("a"), F.col("label").alias("la")), "leaders")
+        now = stored(waiting.withColumn("nth", F.row_number().over(turn)).where(F.col("nth") <= leaders).select("bucket", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("size").alias("size_a"), F.col("common").alias("common_a")), "leaders")
         if not now.limit(1).count():
             break
-        pairs = open_.join(now, "bucket").where("label <> la").select("a", F.col("rep").alias("b"))
+        fits = (F.col("label") != F.col("la")) & (F.least("common", "common_a") >= share * (F.col("size") + F.col("size_a")))
+        pairs = able.alias("m").join(now.alias("l"), (F.col("m.bucket") == F.col("l.bucket")) & fits).select("a", F.col("rep").alias("b"))
         links = stored(links.unionByName(verified(pairs)).distinct(), "links")
         labels = components(links)
         done = stored(done.unionByName(now.select("bucket", F.col("a").alias("rep"))), "done")
-        leaders *= 4
+        leaders *= 16
 
     ends = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy("a").agg(F.count("*").alias("n_links")).withColumnRenamed("a", "rep")
     by_words = members.select("rep", "words_hash", "copies").join(labels.withColumnRenamed("id", "rep"), "rep", "left").join(ends, "rep", "left").select("words_hash", "copies", F.coalesce("label", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
