@@ -1,6 +1,7 @@
 """Near-duplicates by DartMinHash: darts thrown into weighted shingle regions, banded joins, verified links.
 
-Signatures. A document is a weighted set of five-word shingles. Darts are a hashed Poisson process: each
+Signatures. A document is a set of five-word shingles, each of weight one however often it occurs, as in the
+similarity that links need; so bands miss no more pairs where passages are repeated. Darts are a hashed Poisson process: each
 shingle has, per unit of weight, a fixed sequence of darts with growing rank, each dart in one of
 ``coordinates`` coordinates; those within the shingle's weight hit it. Only darts up to a rank that fills
 all coordinates are thrown, so a signature costs a fixed number of darts, whatever the length. The earliest dart per
@@ -23,6 +24,7 @@ import dataclasses
 import functools
 import re
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +48,11 @@ class Settings:
     def coordinates(self) -> int:
         return self.bands * self.rows
 
+    @property
+    def ratio(self) -> tuple[int, int]:
+        """The similarity as a fraction of integers, so that pairs that just reach it are not lost by rounding."""
+        return Fraction(str(self.similarity)).as_integer_ratio()
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: multiply and shift."""
@@ -57,20 +64,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingles(words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes of the runs of ``n`` words and how often each occurs; fewer words are one shingle."""
+def shingles(words: np.ndarray, n: int) -> np.ndarray:
+    """Distinct hashes of the runs of ``n`` words; fewer words are one shingle."""
     if not len(words):
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64)
     width = min(n, len(words))
     h = np.zeros(len(words) - width + 1, np.uint64)
     for k in range(width):
         h = mix(h * GOLDEN + words[k : len(words) - width + 1 + k] + np.uint64(k + 1))
-    return np.unique(h, return_counts=True)
-
-
-def weights_of(counts: np.ndarray) -> np.ndarray:
-    """Repetition adds a little weight: 1 for a shingle that occurs once, 1.125 for twice, 1.25 for four times."""
-    return 1 + 0.125 * np.log2(counts)
+    return np.unique(h)
 
 
 def darts(hashes: np.ndarray, weights: np.ndarray, coordinates: int) -> np.ndarray:
@@ -147,9 +149,9 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sett
                     words = WORD.findall(text.lower())
                     hashes.append(xxhash.xxh3_128_hexdigest(" ".join(words)))
                     counts.append(len(words))
-                    distinct, times = shingles(hash_words(words), settings.words)
+                    distinct = shingles(hash_words(words), settings.words)
                     if len(distinct):
-                        sign = darts(distinct, weights_of(times), settings.coordinates).reshape(settings.bands, settings.rows)
+                        sign = darts(distinct, np.ones(len(distinct)), settings.coordinates).reshape(settings.bands, settings.rows)
                         key = np.arange(settings.bands, dtype=np.uint64)
                         for k in range(settings.rows):
                             key = mix(key * GOLDEN + sign[:, k])
@@ -189,8 +191,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest doc_id, whose rows stay. Texts without words are one class. A text of fewer than five words is one shingle.
     ``n_links`` counts the verified links of the row's word sequence to others that the rounds needed.
     Null texts are empty; a null id is never the smallest, a group of null ids keeps them. Repeated rows share a class and are kept alike.
-    Candidates come from bands, which miss a pair of similarity 0.8 once in ten thousand and nearer pairs less.
+    Candidates come from bands, which miss a pair of similarity 0.8 with probability (1 - 0.8^5)^24, 7 in
+    100,000, and nearer pairs less, however often their shingles are repeated.
     """
+    part, whole = settings.ratio
     base = stored(sketch(docs, id_col, text_col, settings), "sketch")
     members = base.groupBy("words_hash").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max_by("bands", "n_words").alias("bands"))
     members = stored(members.where(F.col("rep").isNotNull()), "members")
@@ -207,9 +211,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         with_b = pairs.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
         both = with_b.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a")
         low, high = F.least(F.size("sa"), F.size("sb")), F.greatest(F.size("sa"), F.size("sb"))
-        both = both.where(low >= settings.similarity * high)
+        both = both.where(whole * low >= part * high)
         common = F.size(F.array_intersect("sa", "sb"))
-        return both.where(common >= settings.similarity * (low + high - common)).select("a", "b")
+        return both.where((part + whole) * common >= part * (low + high)).select("a", "b")
 
     first = entries.groupBy("bucket").agg(F.min("rep").alias("a"))
     pairs = entries.join(first, "bucket").where("rep <> a").select("a", F.col("rep").alias("b"))
@@ -226,11 +230,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # What a member could share with others at most: its shingles that another member of an open bucket has too.
     # A link needs (|a| + |b|) t / (1 + t) common ones, which bounds the partner's size, or rules out any partner.
-    share = settings.similarity / (1 + settings.similarity)
     own = sets.join(open_buckets().select("rep").distinct(), "rep", "left_semi")
     once = own.select("rep", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("rep").alias("rep")).where("n = 1").groupBy("rep").agg(F.count("*").alias("alone"))
     reach = own.select("rep", F.size("shingles").alias("size")).join(once, "rep", "left").select("rep", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"))
-    reach = stored(reach.where(F.col("common") >= settings.similarity * F.col("size")), "reach")
+    reach = stored(reach.where(whole * F.col("common") >= part * F.col("size")), "reach")
     leaders = settings.leaders
     while True:
         able = open_buckets().join(reach, "rep")
@@ -239,7 +242,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         now = stored(waiting.withColumn("nth", F.row_number().over(turn)).where(F.col("nth") <= leaders).select("bucket", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("size").alias("size_a"), F.col("common").alias("common_a")), "leaders")
         if not now.limit(1).count():
             break
-        fits = (F.col("label") != F.col("la")) & (F.least("common", "common_a") >= share * (F.col("size") + F.col("size_a")))
+        fits = (F.col("label") != F.col("la")) & ((part + whole) * F.least("common", "common_a") >= part * (F.col("size") + F.col("size_a")))
         pairs = able.alias("m").join(now.alias("l"), (F.col("m.bucket") == F.col("l.bucket")) & fits).select("a", F.col("rep").alias("b"))
         links = stored(links.unionByName(verified(pairs)).distinct(), "links")
         labels = components(links)

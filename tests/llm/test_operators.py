@@ -197,6 +197,29 @@ def test_near_duplicates(spark, docs, odd, empty):
     assert dartminhash.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_of_repeated_passages(spark):
+    """A passage once and many times: nearly the same shingles, however often each occurs."""
+    rows = []
+    for k in range(12):
+        passage = " ".join(f"p{k}w{j}" for j in range(40))
+        rows += [(2 * k, passage), (2 * k + 1, " ".join([passage] * (16, 64, 1000)[k % 3]))]
+    got = {r["doc_id"]: r["class_id"] for r in dartminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows) == {d: d - d % 2 for d, _ in rows}
+
+
+def test_near_duplicates_that_just_reach_the_similarity(spark):
+    """28 shingles within 35, in buckets led by texts that are too far from both; 0.8 / 1.8 as a float would lose them."""
+    rows = []
+    for k in range(4):
+        words = [f"f{k}w{j}" for j in range(39)]
+        for at in range(4, 28):
+            rows += [(len(rows) + n, " ".join([*words[:at], f"x{k}n{n}at{at}", *words[at + 1 : 32]])) for n in range(4)]
+        rows += [(1_000_000 + 2 * k, " ".join(words[:32])), (1_000_001 + 2 * k, " ".join(words))]
+    got = {r["doc_id"]: r["class_id"] for r in dartminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows)
+    assert all(got[1_000_001 + 2 * k] == got[1_000_000 + 2 * k] for k in range(4))
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(1)
     a = rng.integers(1, 1 << 62, 400, dtype=np.uint64)
