@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,24 +75,60 @@ def complaint_fold(events: DataFrame) -> DataFrame:
     """(complaint_id, status, escalated, assigned_to, n_events): the events of each complaint applied in order.
 
     open and reopen set the status by severity; claim assigns unless cancelled; escalate raises unless cancelled;
-    cancel clears; reopen works on cancelled ones only. The events of one complaint are one short list.
+    cancel clears; reopen works on cancelled ones only. A complaint is one sequence, whose rows stream through;
+    only its state is held, however many events it has.
     """
-    e = F.array_sort(F.collect_list(F.struct("seq", "kind", "severity", "actor")))
-    start = F.struct(F.lit(None).cast("string").alias("status"), F.lit(False).alias("escalated"), F.lit(None).cast("string").alias("assigned_to"))
-
-    def apply(s: Column, x: Column) -> Column:
-        fresh = (x["kind"] == "open") & s["status"].isNull() | (x["kind"] == "reopen") & (s["status"] == "cancelled")
-        live = s["status"].isNotNull() & (s["status"] != "cancelled")
-        high = x["severity"] == "high"
-        status = (
-            F.when(fresh & high, "escalated").when(fresh, "open").when(live & (x["kind"] == "claim"), "in_progress")
-            .when(live & (x["kind"] == "escalate"), "escalated").when(live & (x["kind"] == "cancel"), "cancelled").otherwise(s["status"])
-        )
-        escalated = F.when(fresh, high).when(live & (x["kind"] == "escalate"), True).when(live & (x["kind"] == "cancel"), False).otherwise(s["escalated"])
-        return F.struct(status.alias("status"), escalated.alias("escalated"), F.when(live & (x["kind"] == "claim"), x["actor"]).otherwise(s["assigned_to"]).alias("assigned_to"))
-
-    folded = events.groupBy("complaint_id").agg(e.alias("e")).select("complaint_id", F.size("e").alias("n_events"), F.aggregate("e", start, apply).alias("s"))
-    return folded.select("complaint_id", "s.status", "s.escalated", "s.assigned_to", "n_events")
+    rows = events.select("complaint_id", "seq", "kind", "severity", "actor").repartition("complaint_id").sortWithinPartitions("complaint_id", "seq", "kind", "severity", "actor")
+
+    kind_of_id = rows.schema["complaint_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, seen, status, escalated, assigned, n = None, False, None, False, None, 0
+        id_type = None
+
+        def out(done: list[tuple]) -> pa.RecordBatch:
+            types = [id_type, pa.string(), pa.bool_(), pa.string(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in done], t) for k, t in enumerate(types)], names=["complaint_id", "status", "escalated", "assigned_to", "n_events"])
+
+        for batch in batches:
+            id_type, done = batch.column(0).type, []
+            for complaint, kind, severity, actor in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4))):
+                if not seen or complaint != of:
+                    if seen:
+                        done.append((of, status, escalated, assigned, n))
+                    of, seen, status, escalated, assigned, n = complaint, True, None, False, None, 0
+                n += 1
+                live = status is not None and status != "cancelled"
+                if kind == "open" and status is None or kind == "reopen" and status == "cancelled":
+                    escalated = severity == "high"
+                    status = "escalated" if escalated else "open"
+                elif live and kind == "claim":
+                    status, assigned = "in_progress", actor
+                elif live and kind == "escalate":
+                    status, escalated = "escalated", True
+                elif live and kind == "cancel":
+                    status, escalated = "cancelled", False
+            yield out(done)
+        if seen:
+            yield out([(of, status, escalated, assigned, n)])
+
+    return rows.mapInArrow(run, f"complaint_id {kind_of_id}, status string, escalated boolean, assigned_to string, n_events long")
+
+
+def positions(rows: DataFrame, key: str, order: list[str], path: str) -> DataFrame:
+    """``rows`` whole, with ``position``: the place among the rows of the same ``key``, from 1.
+
+    Rows are dealt by ranges of key and order and kept in ``path``, so a hot key is spread over tasks: a
+    position is a number within a task plus the rows of the key in the tasks before.
+    """
+    rows.repartitionByRange(key, *order).withColumn("task", F.spark_partition_id()).write.parquet(path)
+    dealt = rows.sparkSession.read.parquet(path)
+    counts = dealt.groupBy(key, "task").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(key).orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(F.col(key).alias("of"), F.col("task").alias("at"), before.alias("before"))
+    nth = F.row_number().over(Window.partitionBy(key, "task").orderBy(*order))
+    placed = dealt.withColumn("nth", nth).join(starts, F.col(key).eqNullSafe(F.col("of")) & (F.col("task") == F.col("at")))
+    return placed.select(*rows.columns, (F.col("nth") + F.col("before")).alias("position"))
 
 
 def erase(tables: dict[str, tuple[DataFrame, str]], users: DataFrame, key: str) -> tuple[DataFrame, dict[str, DataFrame]]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions import text as T
 from ..operators import support
-from .registry import register, table
+from .registry import register, scratch, table
 from .retrieval import TURNS, _first_rule_sql, turns
 
 ORDERS = "(SELECT o_orderkey AS id, o_custkey AS user_id, CASE o_orderstatus WHEN 'F' THEN 'delivered' WHEN 'O' THEN 'shipped' ELSE 'paid' END AS status, CAST(round(o_totalprice * 100) AS BIGINT) AS cents, o_orderdate AS placed_at FROM orders)"
@@ -201,7 +201,7 @@ def complaint_thread_link(spark, sf):
 
 def complaint_events(spark, sf):
     kind = F.when(F.col("turn") == 0, "open").otherwise(F.element_at(F.array(*map(F.lit, ("claim", "escalate", "cancel", "reopen"))), (F.pmod(F.col("conv_id") + F.col("turn") * 3, F.lit(4)) + 1).cast("int")))
-    rows = table(spark, sf, "conversations").where("turn < 64").select(F.col("conv_id").alias("complaint_id"), F.col("turn").alias("seq"), kind.alias("kind"), F.when(F.col("conv_id") % 3 == 0, "high").otherwise("low").alias("severity"), F.concat(F.lit("agent"), F.col("turn").cast("string")).alias("actor"))
+    rows = table(spark, sf, "conversations").select(F.col("conv_id").alias("complaint_id"), F.col("turn").alias("seq"), kind.alias("kind"), F.when(F.col("conv_id") % 3 == 0, "high").otherwise("low").alias("severity"), F.concat(F.lit("agent"), F.col("turn").cast("string")).alias("actor"))
     return rows.dropDuplicates(["complaint_id", "seq"])
 
 
@@ -229,6 +229,13 @@ def complaint_thread(spark, sf):
     return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.concat(x["role"], F.lit(":"), F.substring(x["text"], 1, 10))), "|").alias("thread"), F.count("*").alias("n"))
 
 
+@register()
+def complaint_thread_replies(spark, sf):
+    """Every reply to a complaint, whole, one row each in the order of the thread."""
+    rows = table(spark, sf, "conversations").where("turn >= 1").select(F.col("conv_id").alias("complaint_id"), "turn", "role", "text")
+    return support.positions(rows, "complaint_id", ["turn", "role", "text"], scratch(spark, "thread"))
+
+
 @register(f"SELECT conv_id, turn, CASE WHEN trim(r.text) = '' THEN 'empty' WHEN c.id IS NULL THEN 'not_found' WHEN c.id % 5 = 0 THEN 'closed' WHEN c.id % 7 = 0 THEN 'other_tenant' ELSE 'accepted' END AS verdict, CASE WHEN trim(r.text) <> '' AND c.id IS NOT NULL AND c.id % 5 <> 0 AND c.id % 7 <> 0 THEN substr(sha256(r.text), 1, 16) END AS audit_hash FROM (SELECT conv_id, turn, CASE WHEN turn = 2 THEN ' ' ELSE text END AS text, conv_id + CASE WHEN turn = 3 THEN 100000000 ELSE 0 END AS cid FROM conversations WHERE role = 'assistant') r LEFT JOIN {COMPLAINTS} c ON c.id = cid")
 def reply_apply(spark, sf):
     """Replies of staff: refused if empty, unknown, closed or another tenant's; accepted ones leave a hash for audit."""
@@ -254,6 +261,15 @@ def user_inbox(spark, sf):
     return support.latest(rows, ["user_id"], 20, F.desc("created_at"), F.col("id")).select("user_id", "id", "n", "replies")
 
 
+@register()
+def user_inbox_replies(spark, sf):
+    """The latest complaints of each user that have replies since a turn, with all of these, whole, one row each."""
+    r = table(spark, sf, "conversations").where("role = 'assistant' AND turn >= 3").select(F.col("conv_id").alias("id"), "turn", "text")
+    rows = complaints(spark, sf).join(r, "id", "left_semi").withColumn("user_id", F.col("id") % 50)
+    newest = support.latest(rows, ["user_id"], 20, F.desc("created_at"), F.col("id")).select("user_id", "id")
+    return support.positions(newest.join(r, "id").select("user_id", "id", "turn", "text"), "id", ["turn", "text"], scratch(spark, "inbox"))
+
+
 @register("SELECT conv_id, CASE WHEN min_by(text, turn) = '' THEN 'New chat' ELSE substr(min_by(text, (turn, role, text)), 1, 40) END AS title, min(turn) AS first_turn, max(turn) AS last_turn FROM conversations GROUP BY 1")
 def session_rollup(spark, sf):
     first = F.min_by("text", F.struct("turn", "role", "text"))
