@@ -115,20 +115,22 @@ def complaint_fold(events: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"complaint_id {kind_of_id}, status string, escalated boolean, assigned_to string, n_events long")
 
 
-def positions(rows: DataFrame, key: str, order: list[str], path: str) -> DataFrame:
-    """``rows`` whole, with ``position``: the place among the rows of the same ``key``, from 1.
+def positions(rows: DataFrame, key: str, order: list[str], path: str, size: str | None = None) -> DataFrame:
+    """``rows`` whole, with ``position``: the place among the rows of the same ``key``, from 1; with ``size``, ``start`` too: the sizes before.
 
     Rows are dealt by ranges of key and order and kept in ``path``, so a hot key is spread over tasks: a
-    position is a number within a task plus the rows of the key in the tasks before.
+    position is a number within a task plus the rows of the key in the tasks before, and so are the sizes.
     """
     rows.repartitionByRange(key, *order).withColumn("task", F.spark_partition_id()).write.parquet(path)
     dealt = rows.sparkSession.read.parquet(path)
-    counts = dealt.groupBy(key, "task").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(key).orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select(F.col(key).alias("of"), F.col("task").alias("at"), before.alias("before"))
-    nth = F.row_number().over(Window.partitionBy(key, "task").orderBy(*order))
-    placed = dealt.withColumn("nth", nth).join(starts, F.col(key).eqNullSafe(F.col("of")) & (F.col("task") == F.col("at")))
-    return placed.select(*rows.columns, (F.col("nth") + F.col("before")).alias("position"))
+    earlier = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    amounts = {"position": F.lit(1)} | ({"start": F.col(size)} if size else {})
+    counts = dealt.groupBy(key, "task").agg(*(F.sum(x).alias(f"sum_{name}") for name, x in amounts.items()))
+    before = [F.coalesce(F.sum(f"sum_{name}").over(earlier(key).orderBy("task")), F.lit(0)).alias(f"before_{name}") for name in amounts]
+    starts = counts.select(F.col(key).alias("of"), F.col("task").alias("at"), *before)
+    placed = dealt.select("*", *(F.coalesce(F.sum(x).over(earlier(key, "task").orderBy(*order)), F.lit(0)).alias(f"within_{name}") for name, x in amounts.items()))
+    placed = placed.join(starts, F.col(key).eqNullSafe(F.col("of")) & (F.col("task") == F.col("at")))
+    return placed.select(*rows.columns, *((F.col(f"within_{name}") + F.col(f"before_{name}") + int(name == "position")).alias(name) for name in amounts))
 
 
 def erase(tables: dict[str, tuple[DataFrame, str]], users: DataFrame, key: str) -> tuple[DataFrame, dict[str, DataFrame]]:

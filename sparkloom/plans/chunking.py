@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunk
-from .registry import register, table
+from .registry import register, scratch, table
 
 #: Documents have no headings: the first two lines of text get some.
 HEADED = "(SELECT doc_id, 'intro ' || doc_id || chr(10) || '# A' || doc_id || chr(10) || substr(text, 1, 100) || chr(10) || '## B' || chr(10) || substr(text, 101, 200) || chr(10) || '# C' || chr(10) || substr(text, 301) AS text FROM (SELECT doc_id, replace(text, '#', '') AS text FROM documents))"
@@ -68,6 +68,12 @@ def parentify(spark, sf):
     return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(leaf)), lambda x: x["t"]), "\n\n").alias("text"), F.count("*").alias("leaves"))
 
 
+@register()
+def parentify_whole(spark, sf):
+    """One parent per source, of the whole texts of all its documents, as ordered pieces."""
+    return chunk.parentify(table(spark, sf, "documents").select("source", F.col("doc_id").alias("leaf_id"), "text"), scratch(spark, "parents"))
+
+
 @register(r"""WITH s AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(text, '([。!?;])', E'\\1\x01', 'g'), '\.\s+', E'.\x01', 'g'), E'\x01|\n{2,}'), lambda x: regexp_replace(regexp_replace(x, '^\s+', ''), '\s+$', '')), lambda x: x <> '')) AS x FROM documents) SELECT doc_id, count(*) AS n, sum(length(x))::BIGINT AS chars FROM s GROUP BY 1""")
 def split_sentences(spark, sf):
     s = T.sentences(F.col("text"))
