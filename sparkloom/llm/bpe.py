@@ -4,10 +4,12 @@ The vocabulary is a ``tokenizers`` JSON file of the byte-level BPE kind whose id
 order. A text is cut at every space that follows a non-space, which is always a pre-token border; the
 distinct segments of some megabytes of text are encoded once and their ids gathered with Arrow.
 
-A distinct segment's pre-tokens go through the backtracking encoder: an Aho-Corasick automaton of
-the vocabulary gives the longest match at the current byte; the longest token within it is taken whose
-pair with its left neighbour is compatible (BPE merges would not cross the border), and the encoder
-steps back when none is. Every byte position is ruled out once at most, so the time is linear.
+A distinct segment's pre-tokens go through the backtracking encoder. One scan of the Aho-Corasick
+automaton of the vocabulary gives the longest token that starts at each byte; a table gives for each
+token the next shorter one that begins it. From the longest token at the current byte down that table,
+the first is taken whose pair with its left neighbour is compatible (BPE merges would not cross the
+border), and the encoder steps back when none is. Every byte position is ruled out once at most, so the
+time is linear.
 """
 
 from __future__ import annotations
@@ -24,12 +26,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import id_and_text
+from .common import id_and_text, parts
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Pre-tokens that a worker's cache holds at most, and the longest that it holds; bytes of text encoded at once.
-CACHE_ENTRIES, CACHED_CHARS, STEP_BYTES = 600_000, 48, 16 << 20
-PAIR_ENTRIES = 1_000_000
+CACHE_ENTRIES, CACHED_CHARS, STEP_BYTES = 300_000, 48, 2 << 20
+PAIR_ENTRIES = 500_000
 #: Fixed: the characters of Unicode's White_Space property, one of them before a space, and the pre-token pattern of this vocabulary.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 UNSAFE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
@@ -97,12 +99,16 @@ class BacktrackingEncoder:
         import regex
 
         self.v, self.pre_tokens = vocabulary, regex.compile(PRE_TOKEN)
-        self.rank = {token.decode("latin-1"): i for token, i in vocabulary.ranks.items() if token}
-        self.reach = max(map(len, self.rank))
+        rank = {token.decode("latin-1"): i for token, i in vocabulary.ranks.items() if token}
         self.automaton = ahocorasick.Automaton()
-        for token, i in self.rank.items():
+        for token, i in rank.items():
             self.automaton.add_word(token, i)
         self.automaton.make_automaton()
+        self.lengths = list(map(len, vocabulary.tokens))
+        #: The longest token that begins token i and is shorter, or -1.
+        self.shorter = [-1] * len(vocabulary.tokens)
+        for token, i in rank.items():
+            self.shorter[i] = next((rank[token[:n]] for n in range(len(token) - 1, 0, -1) if token[:n] in rank), -1)
         self.cache = RecentCache()
         #: The pair-compatibility table, filled as pairs are met; bounded by clearing.
         self.fits: dict[int, bool] = {}
@@ -122,14 +128,20 @@ class BacktrackingEncoder:
             else:
                 limit, right = right + 1, inner_right
 
+    def longest_tokens(self, letters: str) -> list[int]:
+        """The longest token that starts at each place, from one scan: matches come by their ends, so the last to be seen is it."""
+        longest, lengths = [-1] * (len(letters) + 1), self.lengths
+        for end, i in self.automaton.iter(letters):
+            longest[end - lengths[i] + 1] = i
+        return longest
+
     def encode_pre_token(self, piece: bytes) -> list[int]:
-        letters, rank, fits, longest, reach = piece.decode("latin-1"), self.rank, self.fits, self.automaton.longest_prefix, self.reach
-        size, ids, trail, open_at = len(letters), [], [], bytearray(b"\1") * (len(letters) + 1)
-        at, n = 0, longest(letters[:reach])
+        longest, lengths, shorter, fits = self.longest_tokens(piece.decode("latin-1")), self.lengths, self.shorter, self.fits
+        size, ids, open_at = len(piece), [], bytearray(b"\1") * (len(piece) + 1)
+        at, i = 0, longest[0]
         while at < size:
-            while n:
-                i = rank.get(letters[at : at + n])
-                if i is not None and open_at[at + n]:
+            while i >= 0:
+                if open_at[at + lengths[i]]:
                     if not ids:
                         break
                     if (ok := fits.get(pair := ids[-1] << 20 | i)) is None:
@@ -138,18 +150,16 @@ class BacktrackingEncoder:
                         ok = fits[pair] = self.compatible(ids[-1], i)
                     if ok:
                         break
-                n -= 1
-            if n:
+                i = shorter[i]
+            if i >= 0:
                 ids.append(i)
-                trail.append(n)
-                at += n
-                n = longest(letters[at : at + reach])
+                at += lengths[i]
+                i = longest[at]
             else:
                 open_at[at] = 0
-                ids.pop()
-                n = trail.pop()
-                at -= n
-                n -= 1
+                i = ids.pop()
+                at -= lengths[i]
+                i = shorter[i]
         return ids
 
     def encode_ordinary(self, text: str) -> np.ndarray:
@@ -290,7 +300,7 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, v = backtracking_coder(path), vocabulary(path)
-        for batch in batches:
+        for batch in parts(batches, 1):
             ids = list(coder.encode_all(batch.column(1)))
             decoded = [v.decode(i).decode("utf-8", "replace") for i in ids]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([i.astype("<u4").tobytes() for i in ids], pa.binary()), pa.array([len(i) for i in ids], pa.int64()), pa.array(decoded, pa.string())], names=["doc_id", "ids", "n_tokens", "decoded"])
@@ -308,7 +318,7 @@ def encode_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, v = backtracking_coder(path), vocabulary(path)
-        for batch in batches:
+        for batch in parts(batches, 1):
             n, a, b = [], [], []
             for ids in coder.encode_all(batch.column(1)):
                 n.append(len(ids))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import TextCoder, default_vocabulary, library_coder
-from .common import id_and_text
+from .common import id_and_text, parts
 
 LEAF_CHARS = 512
 #: Fixed: Unicode's White_Space characters.
@@ -102,7 +102,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = library_coder(path)
-        for batch in batches:
+        for batch in parts(batches, 1):
             starts, trees = [], []
             for text, ids in zip(batch.column(1).to_pylist(), coder.encode_all(batch.column(1))):
                 own = leaf_starts(text, leaf_chars)
@@ -124,7 +124,7 @@ def apply_edits(index: DataFrame, edits_col: str = "edits", path: str | None = N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = library_coder(path)
-        for batch in batches:
+        for batch in parts(batches, 1):
             out: list[list] = [[] for _ in range(7)]
             for text, starts, tree, edits in zip(*(batch.column(k).to_pylist() for k in range(1, 5))):
                 starts, tree = np.array(starts, np.int64), np.array(tree, np.int64)
