@@ -2,16 +2,15 @@
 
 Memtables: each task digests the rows of its partition, and flushes them as one run: a Parquet file sorted
 by digest, with a Bloom filter on the digest in the file. Texts stay behind; a run holds digests and ids.
-Compaction merges all runs into one sorted level that keeps, per digest, the smallest id and the number of
-rows; map-side combining takes the heat out of groups of any size.
+Compaction merges runs, and an older level if there is one, into a sorted level that keeps, per digest, the smallest id
+and the number of rows; map-side combining takes the heat out of groups of any size. ``append`` flushes a
+later batch as new runs and merges them into the level; ``lookup`` probes a level by digest, where sorted files
+and Bloom filters let the scan skip row groups.
 
 A digest with more than one row is a hit, and hits get byte verification: a second pass over the table
-keeps the rows whose digest may be a hit, which a bitmap filter of fixed size tells without a shuffle, and
-groups them by digest and text, so that equality is that of bytes. A digest that turns out to hold
-different texts falls apart into its texts.
-
-Later batches: ``lookup`` probes the runs and the level by digest; sorted files and Bloom filters let the
-scan skip row groups.
+keeps the rows whose digest may be a hit, which a bitmap filter tells without a shuffle, and groups them by digest and
+text, so that equality is that of bytes. A digest that turns out to hold different texts falls apart into its
+texts. The bitmap has sixteen bits per hit, up to 32 MB; beyond that many hits a join by digest takes its place.
 """
 
 from __future__ import annotations
@@ -21,10 +20,10 @@ import dataclasses
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, stored
+from .common import id_and_text, stored, unused
 
-#: Bits of the bitmap filter of hit digests: 2,048 rows of 4 KB, 8 MB at any size of the table.
-FILTER_BITS = 1 << 26
+#: Bits of the bitmap filter of hit digests, at least and at most (2^28 bits are 32 MB), and for each hit.
+LEAST_BITS, MOST_BITS, BITS_PER_HIT = 1 << 20, 1 << 28, 16
 #: A digest with at least this share of all rows is joined by broadcast; there are at most 1 / share of them.
 HEAVY_SHARE = 1 / 500
 
@@ -37,9 +36,9 @@ def _digest(text: Column, bits: int) -> Column:
     return F.substring(F.sha2(text, 256), 1, bits // 4)
 
 
-def _slot(digest: Column) -> Column:
-    """A place in the bitmap filter, from 1 as the bitmap functions count."""
-    return F.pmod(F.xxhash64(digest), F.lit(FILTER_BITS)) + 1
+def _slot(digest: Column, bits: int) -> Column:
+    """A place in a bitmap filter of so many bits, from 1 as the bitmap functions count."""
+    return F.pmod(F.xxhash64(digest), F.lit(bits)) + 1
 
 
 @dataclasses.dataclass
@@ -56,9 +55,14 @@ def flush(docs: DataFrame, digest_bits: int = 256) -> DataFrame:
     return stored(runs, "runs", **{"parquet.bloom.filter.enabled#digest": "true"})
 
 
-def compact(runs: DataFrame) -> DataFrame:
-    level = runs.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n"))
-    return stored(level.sortWithinPartitions("digest"), "level", **{"parquet.bloom.filter.enabled#digest": "true"})
+def compact(runs: DataFrame, level: DataFrame | None = None) -> DataFrame:
+    """One sorted level (digest, keep_id, n) of the runs and an older level."""
+    if level is None:
+        merged = runs.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n"))
+    else:
+        entries = level.unionByName(runs.select("digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("n")))
+        merged = entries.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n"))
+    return stored(merged.sortWithinPartitions("digest"), "level", **{"parquet.bloom.filter.enabled#digest": "true"})
 
 
 def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bits: int = 256) -> Index:
@@ -67,20 +71,31 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", diges
     return Index(runs, compact(runs), docs, digest_bits)
 
 
+def append(index: Index, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
+    """The index with a later batch: its memtables are flushed as runs and merged into the level; older runs stay as they are."""
+    docs = id_and_text(docs, id_col, text_col)
+    runs = flush(docs, index.digest_bits)
+    return Index(index.runs.unionByName(runs), compact(runs, index.level), index.docs.unionByName(docs), index.digest_bits)
+
+
 def lookup(index: Index, digests: list[str]) -> DataFrame:
-    """(digest, keep_id, n) of the given digests, at most a few thousand; filters skip row groups without them."""
+    """(digest, keep_id, n) of the given digests, at most a few thousand, from the level; filters skip row groups without them."""
     return index.level.where(F.col("digest").isin(digests))
 
 
-def _maybe_hits(index: Index) -> DataFrame:
-    """(doc_id, digest, norm) of the rows whose digest may be a hit, without a shuffle."""
-    hits = index.level.where("n > 1").select(_slot(F.col("digest")).alias("slot"))
-    bitmap = hits.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+def _maybe_hits(index: Index, most_bits: int = MOST_BITS) -> DataFrame:
+    """(doc_id, digest, norm) of the rows whose digest may be a hit; without a shuffle while a bitmap can tell them."""
+    hits = index.level.where("n > 1").select("digest")
     norm = normalised("text")
-    rows = index.docs.select("doc_id", _digest(norm, index.digest_bits).alias("digest"), norm.alias("norm")).withColumn("slot", _slot(F.col("digest")))
+    rows = index.docs.select("doc_id", _digest(norm, index.digest_bits).alias("digest"), norm.alias("norm"))
+    bits = max(LEAST_BITS, 1 << (BITS_PER_HIT * hits.count()).bit_length())
+    if bits > most_bits:
+        return rows.join(hits.hint("merge"), "digest", "left_semi")
+    slots = hits.select(_slot(F.col("digest"), bits).alias("slot"))
+    bitmap = slots.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
     at = F.bitmap_bit_position("slot")
     byte = F.conv(F.hex(F.substring("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    found = rows.join(F.broadcast(bitmap), F.bitmap_bucket_number("slot") == F.col("bucket"))
+    found = rows.withColumn("slot", _slot(F.col("digest"), bits)).join(F.broadcast(bitmap), F.bitmap_bucket_number("slot") == F.col("bucket"))
     return found.where(F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1).select("doc_id", "digest", "norm")
 
 
@@ -100,7 +115,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of null ids keeps them. Other columns are not read. ``digest_bits`` below 256 only weakens the
     digest (tests use it to force collisions); the result stays the same.
     """
-    index = build(docs, id_col, text_col, digest_bits)
+    return duplicates(build(docs, id_col, text_col, digest_bits))
+
+
+def duplicates(index: Index) -> DataFrame:
+    """What ``exact_dedup`` gives, for all rows that an index holds."""
+    digest_bits = index.digest_bits
     hits, mixed = classes(index)
     if mixed or digest_bits < 256:  # different texts may share a digest: tell rows apart by the full hash of the text
         rows = index.docs.select("doc_id", F.sha2(normalised("text"), 256).alias("key"))
@@ -118,9 +138,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``exact_dedup`` keeps, with their own columns. Dropped rows are few or many: the join is by key, not by broadcast."""
-    dropped = exact_dedup(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("__dropped_id"), F.col("text_sha256").alias("__dropped_hash")).distinct()
-    return docs.join(dropped, (docs[id_col] == F.col("__dropped_id")) & (F.sha2(normalised(F.coalesce(docs[text_col], F.lit(""))), 256) == F.col("__dropped_hash")), "left_anti")
+    """The rows of ``docs`` that ``exact_dedup`` keeps, with their own columns; a row of null id goes where a known id stays.
+
+    Dropped rows are few or many: the join is by key, not by broadcast.
+    """
+    names = [unused(docs, n) for n in ("dropped_id", "dropped_hash")]
+    dropped = exact_dedup(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias(names[0]), F.col("text_sha256").alias(names[1])).distinct()
+    own = F.sha2(normalised(F.coalesce(docs[text_col], F.lit(""))), 256)
+    return docs.join(dropped, docs[id_col].eqNullSafe(F.col(names[0])) & (own == F.col(names[1])), "left_anti")
 
 
 ORACLE = r"""
