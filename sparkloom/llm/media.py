@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import id_and_text, parts
 
 #: Fixed: element ids of the format.
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
@@ -29,6 +29,9 @@ MASTERS = {SEGMENT, INFO, TRACKS, CLUSTER, CUES, TRACK_ENTRY, AUDIO, BLOCK_GROUP
 #: An unknown-sized element ends where one of these, of its own level or above, begins.
 TOP = {EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES, 0x114D9B74, 0x1254C367, 0x1043A770, 0x1941A469}
 
+#: Masters within masters that a file can have; the format needs five.
+DEEPEST = 32
+
 SAMPLE_RATE, FRAME, LACED, BLOCKS = 8000, 2048, 4, 4
 PAYLOAD_UNIT = 64
 
@@ -92,6 +95,7 @@ class Matroska:
         self.packets: list[dict] = []
         self.tracks: list[dict] = []
         self.cues: list[dict] = []
+        self.cluster_offsets: set[int] = set()
         self.scale, self.cluster, self.cluster_at, self.segment_at, self.clusters = 1_000_000, 0, 0, 0, 0
         try:
             if data[:4] != EBML.to_bytes(4, "big"):
@@ -99,6 +103,17 @@ class Matroska:
             self.walk(0, len(data), 0)
         except (ValueError, IndexError, struct.error) as fault:
             self.error = str(fault) or type(fault).__name__
+        self.close()
+
+    def close(self) -> None:
+        """Leave out what a table cannot hold, and hold the cues against the clusters."""
+        for name, rows in (("packet", self.packets), ("track", self.tracks), ("cue", self.cues)):
+            whole = [r for r in rows if all(not isinstance(v, int) or -(1 << 63) <= v < 1 << 63 for v in r.values())]
+            if len(whole) < len(rows):
+                self.error = self.error or f"{name} with a number out of range"
+                rows[:] = whole
+        self.cues[:] = [c for c in self.cues if "offset" in c]
+        self.lost_cues = sum(c["offset"] not in self.cluster_offsets for c in self.cues)
 
     def read_vint(self, at: int, keep_marker: bool = False) -> tuple[int, int, bool]:
         """(value, place after it, whether all its bits are ones)."""
@@ -112,7 +127,7 @@ class Matroska:
         value = raw & ((1 << 7 * n) - 1)
         return (raw if keep_marker else value), at + n, value == (1 << 7 * n) - 1
 
-    def walk(self, at: int, stop: int, parent: int, open_ended: bool = False) -> int:
+    def walk(self, at: int, stop: int, parent: int, open_ended: bool = False, depth: int = 0) -> int:
         entry: dict = {}
         if parent == TRACK_ENTRY:
             self.tracks.append(entry)
@@ -132,8 +147,11 @@ class Matroska:
                 self.segment_at = body
             elif ident == CLUSTER:
                 self.cluster_at, self.cluster, self.clusters = at, 0, self.clusters + 1
+                self.cluster_offsets.add(at)
             if ident in MASTERS:
-                at = self.walk(body, end, ident, unknown)
+                if depth > DEEPEST:
+                    raise ValueError(f"elements nested too deep at {at}")
+                at = self.walk(body, end, ident, unknown, depth + 1)
                 at = at if unknown else end
                 continue
             if unknown:
@@ -214,7 +232,7 @@ def write_matroska(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = id_and_text(docs, id_col, text_col).select("doc_id", F.col("text").cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, 1):
             texts = batch.column(1).to_pylist()
             media = [write_samples(t + bytes((-len(t)) % PAYLOAD_UNIT or (0 if t else PAYLOAD_UNIT))) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
@@ -234,7 +252,7 @@ def read_matroska(files: DataFrame, media_col: str = "media", payload: bool = Fa
     rows = files.select(*(f"`{c}`" for c in kept), F.col(media_col).alias("media"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, len(kept)):
             out: list[list] = [[] for _ in made]
             for data in batch.column(len(kept)).to_pylist():
                 m = Matroska(data or b"")
@@ -253,30 +271,40 @@ def packet_table(parsed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return parsed.select(F.col(id_col).alias("doc_id"), F.posexplode("packets").alias("packet_no", "p")).select("doc_id", "packet_no", "p.*")
 
 
-def features(samples: np.ndarray, parsed_packets: int) -> str:
-    return f"packets={parsed_packets} mean={samples.mean():.4f} peak={int(samples.max())}"
+def features(samples: np.ndarray, m: Matroska) -> str:
+    """A few numbers of the decoded samples and of how they are stored; a file without samples has no mean and no peak."""
+    sound = f"mean={samples.mean():.4f} peak={int(samples.max())}" if len(samples) else "mean=- peak=-"
+    end = m.packets[-1]["time_ns"] // 1_000_000 if m.packets else 0
+    return f"packets={len(m.packets)} {sound} clusters={m.clusters} cues={len(m.cues)} lacings={len({p['lacing'] for p in m.packets})} end_ms={end}"
+
+
+FEATURE_COLUMNS = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, " + f"packets {PACKET_SQL}, tracks {TRACK_SQL}, cues {CUE_SQL}, lost_cues int, error string"
 
 
 def payload_features(files: DataFrame) -> DataFrame:
-    """Write-read check columns of ``write_matroska``'s files: what the contract of the query asks for, from the bytes read back."""
+    """What is read back from (doc_id, n_bytes, media): the payload's digests, features, and the packet, track and cue tables.
+
+    ``packets`` holds track, time and byte range of each packet, ``lost_cues`` counts cues that point at no cluster.
+    Broken media keep what was read before the fault, and ``error`` names it; null media are empty bytes with the error "null".
+    """
     import hashlib
     import zlib
 
     id_type = files.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
-            for data in batch.column(2).to_pylist():
+        for batch in parts(batches, 2):
+            out: list[list] = [[] for _ in range(11)]
+            for media in batch.column(2).to_pylist():
+                data = media or b""
                 m = Matroska(data)
                 body = b"".join([data[p["offset"] : p["offset"] + p["length"]] for p in m.packets])
-                mean_peak = features(np.frombuffer(body, np.uint8), len(m.packets))
-                laced = len({p["lacing"] for p in m.packets})
-                feature = f"{mean_peak} clusters={m.clusters} cues={len(m.cues)} lacings={laced} end_ms={(m.packets[-1]['time_ns'] if m.packets else 0) // 1_000_000}"
-                values = (len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-PAYLOAD_UNIT:]), len(data), hashlib.sha256(data).hexdigest(), feature, m.error)
+                error = "null" if media is None else m.error
+                values = (len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-PAYLOAD_UNIT:]), len(data), hashlib.sha256(data).hexdigest(), features(np.frombuffer(body, np.uint8), m), m.packets, m.tracks, m.cues, m.lost_cues, error)
                 for column, value in zip(out, values):
                     column.append(value)
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, out, kinds)], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error"])
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(PACKET), pa.list_(TRACK), pa.list_(CUE), pa.int32(), pa.string()]
+            names = [c.split()[0] for c in FEATURE_COLUMNS.split(", ")]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, out, kinds)], names=["doc_id", "n_bytes", *names])
 
-    return files.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {id_type}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string")
+    return files.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {id_type}, n_bytes long, {FEATURE_COLUMNS}")
