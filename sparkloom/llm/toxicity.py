@@ -1,11 +1,17 @@
-"""Toxicity by compression distance: zstandard dictionaries of ordinary and of toxic text, compared window by window.
-
-Both are raw-content dictionaries fitted on a bounded sample of labelled rows. The ordinary one holds
-windows of ordinary documents; the toxic one holds ordinary windows too and, nearest to the text, the word
-pieces that toxic documents hold far more often than ordinary ones. A window that compresses better with
-the toxic dictionary by some bytes holds toxic text; windows are short, so a few words in a long document
-show. The document's largest gain and the sum of its three largest go into a logistic curve that is
-calibrated on sampled rows kept out of the dictionaries and weighted to the classes' shares of all labelled rows.
+"""Toxicity by compression distance: zstandard dictionaries trained on toxic and on ordinary text, compared window by window.
+
+zstandard's trainer makes three dictionaries: one of ordinary text, a base that both sides share, and one more of each
+side, of equal size. The two sides' are trained on short windows of other rows, at first on those that the base shortens
+least, then on windows picked by compression distance in rounds:
+the windows of each class are split in halves, dictionaries are trained on one half and the windows of the other half
+are compressed with both; those that the toxic dictionary shortens more than a bar are what the next round
+trains on, the ordinary ones among them too. So the ordinary dictionary learns the look-alikes, and what only toxic
+text has remains. The bar is a share of the ordinary windows.
+
+A window of a document that compresses better with the toxic dictionary than with the ordinary one holds toxic text; windows
+are short, so a few words in a long document show. The document's largest gain, its three largest, and what
+gains sum to go into a logistic curve, calibrated on sampled rows kept out of the dictionaries and weighted to the classes'
+shares of all labelled rows. The round whose calibration loses least is the model.
 """
 
 from __future__ import annotations
@@ -14,7 +20,7 @@ import dataclasses
 import functools
 import math
 import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,26 +28,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, id_and_text
+from .common import held_out, id_and_text, parts, stored, unused
 
 
 @dataclasses.dataclass(frozen=True)
 class Settings:
-    """At most ``sample_toxic`` and ``sample_ordinary`` labelled rows, and ``sample_chars`` of each, are learned from."""
-
-    sample_toxic: int = 2000
-    sample_ordinary: int = 4000
-    sample_chars: int = 16_384
-    window_bytes: int = 128
-    ordinary_bytes: int = 8000
-    toxic_bytes: int = 4096
+    """At most ``sample_toxic`` and ``sample_ordinary`` labelled rows are learned from, by the least hash of the id, and of
+    their whole texts ``sample_windows`` training windows of the base and of each side, by the least hash of the window."""
+
+    sample_toxic: int = 4000
+    sample_ordinary: int = 8000
+    sample_windows: int = 400_000
+    window_bytes: int = 64
+    training_bytes: int = 20
+    base_bytes: int = 98_304
+    side_bytes: int = 4096
+    hard: float = 0.3
+    rounds: int = 5
+    confused: float = 0.015
     threshold: float = 0.3
 
 
-#: What every window is compressed behind; not a piece of UTF-8.
+#: What every window is compressed behind; not a piece of UTF-8. zstandard stores a short block raw unless something in it shrinks.
 LEAD = bytes(range(128, 224))
-#: Bars for telling word pieces: share of toxic documents, times the expected number, standard deviations above it.
-BARS = ((0.015, 6.0, 6.0), (0.015, 5.0, 5.0), (0.01, 4.0, 4.0), (0.01, 3.0, 3.0))
 BETWEEN_WORDS = re.compile(r"[\W\d_]+")
 
 
@@ -65,12 +74,12 @@ def windows(text: bytes, size: int) -> list[bytes]:
     return out
 
 
-@functools.lru_cache(maxsize=8)
+@functools.lru_cache(maxsize=4)
 def compressor(dictionary: bytes):
     import zstandard as z
 
     # min_match 4 and a search of all candidates: short words must be found in the dictionary
-    params = z.ZstdCompressionParameters(window_log=17, hash_log=14, chain_log=14, search_log=6, min_match=4, target_length=16, strategy=z.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False)
+    params = z.ZstdCompressionParameters(window_log=17, hash_log=15, chain_log=15, search_log=6, min_match=4, target_length=16, strategy=z.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False)
     data = z.ZstdCompressionDict(dictionary, dict_type=z.DICT_TYPE_RAWCONTENT)
     return z.ZstdCompressor(compression_params=params, dict_data=data)
 
@@ -100,70 +109,136 @@ def score(measured: tuple[float, ...], weights: tuple[float, ...]) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def different(texts: list[str]) -> list[str]:
-    """Without copies: of texts that begin or end alike the first stays, so that a group of copies counts once."""
-    heads: set[str] = set()
-    tails: set[str] = set()
-    out = []
-    for t in texts:
-        if t[:48] not in heads and t[-48:] not in tails:
-            out.append(t)
-        heads.add(t[:48]), tails.add(t[-48:])
-    return out
+def calibrate(measured: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tuple[float, ...]:
+    """Weighted logistic regression by Newton steps, with a little shrinkage of the standardised measures."""
+    mean, scale = measured.mean(0), measured.std(0) + 1e-9
+    x = np.column_stack([np.ones(len(measured)), (measured - mean) / scale])
+    w, shrink = np.zeros(x.shape[1]), np.diag([1e-6, *[1e-3] * measured.shape[1]]) * len(measured)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + shrink, x.T @ (weight * (labels - p)) - shrink @ w)
+        w = w + np.clip(step, -5, 5)
+    return (float(w[0] - (w[1:] * mean / scale).sum()), *map(float, w[1:] / scale))
+
 
+def content(windows: list[bytes], size: int) -> bytes:
+    """The content that zstandard's trainer chooses from windows; none if they are too few to train on."""
+    import zstandard as z
+
+    try:
+        return z.train_dictionary(size, windows).as_bytes()[-(size - 300) :]  # entropy tables stand before it
+    except z.ZstdError:
+        return b""
 
-def word_pieces(text: str) -> set[str]:
-    return {w[:n] for w in set(plain(text).split()) for n in (4, 5, 6, 7, len(w)) if len(w) >= 4}
 
+def lengths(windows: list[bytes], dictionary: bytes) -> np.ndarray:
+    compress = compressor(dictionary).compress
+    return np.array([len(compress(LEAD + w)) for w in windows], np.int32)
 
-def telling_pieces(toxic: Counter, ordinary: Counter, n_toxic: int, n_ordinary: int, bar: tuple[float, float, float]) -> list[str]:
-    """Word pieces that far more toxic than ordinary documents hold, the most telling last.
 
-    A piece that nearly always goes on to a longer telling piece leaves its place to that.
+def training_windows(texts: DataFrame, settings: Settings) -> DataFrame:
+    """(label, half, window), written to the shared folder: distinct windows of whole texts (label, text), at most ``sample_windows`` of each label.
+
+    Label -1 is the base and has windows of ``window_bytes``, the sides have shorter ones.
     """
-    found = {}
-    for piece, n in toxic.items():
-        expected = (ordinary[piece] + 0.5) * n_toxic / max(1, n_ordinary)
-        if n >= max(3, bar[0] * n_toxic) and n >= bar[1] * expected and (z := (n - expected) / math.sqrt(expected + 1)) >= bar[2]:
-            found[piece] = z
-    covered = {p[:k] for p in found for k in range(4, len(p)) if toxic[p] >= 0.8 * toxic[p[:k]]}
-    return sorted(found.keys() - covered, key=lambda p: (found[p], p))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches, 1):
+            labels, found = [], []
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = windows(plain(text).encode(), settings.window_bytes if label < 0 else settings.training_bytes)
+                found += own
+                labels += [label] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(found, pa.binary())], names=["label", "window"])
+
+    cut = texts.select(F.col("label").cast("int"), "text").mapInArrow(run, "label int, window binary").where("length(window) > 3").distinct()
+    cut = cut.select("label", F.xxhash64("window").alias("h"), "window")
+    first = lambda label: cut.where(F.col("label") == label).orderBy("h", "window").limit(settings.sample_windows)
+    both = first(-1).unionByName(first(0)).unionByName(first(1)).select("label", F.pmod("h", F.lit(2)).cast("int").alias("half"), "window")
+    return stored(both.repartition(16, "window"), "windows")
+
+
+def with_gains(made: DataFrame, sides: list[tuple[bytes, bytes]]) -> DataFrame:
+    """(label, half, gain, window): bytes saved by the toxic dictionary of the other half over its ordinary one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches, 2):
+            halves, found = batch.column(1).to_numpy(), batch.column(2).to_pylist()
+            gain = np.zeros(len(found), np.int32)
+            for half in (0, 1):
+                at = np.flatnonzero(halves == half)
+                own = [found[k] for k in at]
+                gain[at] = lengths(own, sides[1 - half][0]) - lengths(own, sides[1 - half][1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gain), batch.column(2)], names=["label", "half", "gain", "window"])
+
+    return made.mapInArrow(run, "label int, half int, gain int, window binary")
 
-def calibrate(measured: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tuple[float, ...]:
-    """Weighted logistic regression by Newton steps, with a little shrinkage."""
-    x = np.column_stack([np.ones(len(measured)), measured])
-    w, shrink = np.zeros(x.shape[1]), np.diag([1e-6, *[1e-3] * measured.shape[1]]) * len(measured)
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + shrink, x.T @ (weight * (labels - p)) - shrink @ w)
-        w = w + np.clip(step, -5, 5)
-    return tuple(map(float, w))
+
+def measured_rows(texts: DataFrame, model: Model) -> DataFrame:
+    """(label, m): the measures of each whole text of (label, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches, 1):
+            found = [list(measures(gains(t, model))) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64()))], names=["label", "m"])
+
+    return texts.select(F.col("label").cast("int"), "text").mapInArrow(run, "label int, m array<double>")
+
+
+def dictionaries(made: DataFrame, settings: Settings) -> Iterator[tuple[bytes, bytes]]:
+    """(ordinary, toxic) dictionaries, a pair for each round but the first."""
+    mixed = lambda r: (zlib.crc32(r[2]), r)  # noqa: E731  the trainer takes from each stretch of its samples, so alike ones must not stand together
+    rows = sorted(((r["label"], r["half"], bytes(r["window"])) for r in made.toLocalIterator()), key=mixed)
+    base = content([w for label, _, w in rows if label < 0], settings.base_bytes)
+    made, rows = made.where("label >= 0"), [r for r in rows if r[0] >= 0]
+    # what the base already shortens well tells nothing: begin with the windows that it shortens least
+    ratio = lengths([w for _, _, w in rows], base + LEAD) / np.array([len(w) + 8 for _, _, w in rows])
+    rows = [rows[k] for k in np.flatnonzero(ratio >= np.quantile(ratio, 1 - settings.hard))]
+
+    def dictionary(label: int, half: int | None = None) -> bytes:
+        own = [w for a, b, w in rows if a == label and half in (None, b)]
+        return base + content(own, settings.side_bytes) + LEAD
+
+    for turn in range(settings.rounds + 1):
+        if turn:
+            yield dictionary(0), dictionary(1)
+        if turn < settings.rounds:
+            sides = {(label, half): dictionary(label, half) for label in (0, 1) for half in (0, 1)}
+            found = stored(with_gains(made, [(sides[0, half], sides[1, half]) for half in (0, 1)]), "gains")
+            counts = {r["gain"]: r["count"] for r in found.where("label = 0").groupBy("gain").count().collect()}
+            total, seen, bar = sum(counts.values()), 0, 1
+            for gain in sorted((g for g in counts if g > 0), reverse=True):  # the least gain that at most the share of ordinary windows reaches
+                seen += counts[gain]
+                if seen > settings.confused * total:
+                    break
+                bar = gain
+            rows = sorted(((r["label"], r["half"], bytes(r["window"])) for r in found.where(F.col("gain") >= bar).toLocalIterator()), key=mixed)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", settings: Settings = Settings()) -> Model:
-    """Learn from the labelled rows that are not held out; a bounded sample, by hash of the id, reaches the driver."""
-    marked = labels.select(F.col("doc_id").alias("__id"), F.col(label_col).cast("int").alias("__label")).where(F.col("__label").isin(0, 1) & ~held_out("__id"))
-    shares = {r["__label"]: r["count"] for r in marked.groupBy("__label").count().collect()}
-    first = lambda label, n: marked.where(F.col("__label") == label).orderBy(F.xxhash64("__id"), "__id").limit(n)
+    """Learn from the labelled rows that are not held out; a bounded sample, by hash of the id.
+
+    The driver gets training windows (``sample_windows`` of 20 bytes for each class at most) and measures of the sampled rows. With
+    too few labels to calibrate nothing is called toxic.
+    """
+    marked = labels.select(F.col("doc_id").alias("__id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & ~held_out("__id"))
+    shares = {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}
+    first = lambda label, n: marked.where(F.col("label") == label).orderBy(F.xxhash64("__id"), "__id").limit(n)
     chosen = first(1, settings.sample_toxic).unionByName(first(0, settings.sample_ordinary)).distinct()
-    rows = id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("__label", F.substring("text", 1, settings.sample_chars).alias("text"), F.xxhash64("doc_id").alias("h"), "doc_id")
-    sample = sorted(rows.toLocalIterator(), key=lambda r: (r["h"], str(r["doc_id"])))
-    toxic, ordinary = (different([r["text"] for r in sample if r["__label"] == label]) for label in (1, 0))
-    learn = lambda texts: [t for k, t in enumerate(texts) if k % 5 < 3]
-    common = b"".join(b" " + w for t in learn(ordinary)[:400] for w in windows(plain(t).encode(), settings.window_bytes)[:1])[: settings.ordinary_bytes] or b"ordinary"
-    counts = [Counter(p for t in learn(texts) for p in word_pieces(t)) for texts in (toxic, ordinary)]
-    rest = [(t, label) for texts, label in ((toxic, 1), (ordinary, 0)) for k, t in enumerate(texts) if k % 5 >= 3]
-    marks = np.array([label for _, label in rest])
-    if len(set(marks)) < 2:  # too few labels to calibrate: nothing is called toxic
-        return Model(common + LEAD, common + LEAD, (-4.0, *[0.0] * 6), settings)
-    weight = np.array([shares[label] / (marks == label).sum() for label in marks], float)
-    weight *= len(marks) / weight.sum()
-    best: tuple[float, Model] | None = None
-    for bar in BARS:
-        telling = "".join(" " + p for p in telling_pieces(*counts, len(learn(toxic)), len(learn(ordinary)), bar))
-        model = Model(common + LEAD, common + telling.encode()[-settings.toxic_bytes :] + b" " + LEAD, (), settings)
-        measured = np.array([measures(gains(t, model)) for t, _ in rest])
+    rows = id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("label", "text").distinct()
+    # four rows of ten calibrate; of the ordinary ones, three make the base and three the side
+    rows = stored(rows.withColumn("part", F.pmod(F.xxhash64("text", F.lit(1)), F.lit(10))), "labelled")
+    rest, best = rows.where("part > 5"), None
+    learn = rows.where("part <= 5").select(F.when((F.col("label") == 0) & (F.col("part") < 3), -1).otherwise(F.col("label")).alias("label"), "text")
+    known = {r["label"]: r["count"] for r in rest.groupBy("label").count().collect()}
+    if len(known) < 2:
+        return Model(LEAD, LEAD, (-4.0, *[0.0] * 6), settings)
+    for ordinary, toxic in dictionaries(training_windows(learn, settings), settings):
+        model = Model(ordinary, toxic, (), settings)
+        found = sorted((r["label"], tuple(r["m"])) for r in measured_rows(rest, model).collect())
+        marks, measured = np.array([f[0] for f in found]), np.array([f[1] for f in found])
+        weight = np.array([shares[label] / known[label] for label in marks], float)
+        weight *= len(marks) / weight.sum()
         model = dataclasses.replace(model, weights=calibrate(measured, marks, weight))
         p = np.array([score(tuple(m), model.weights) for m in measured])
         loss = float(-(weight * np.log(np.where(marks == 1, p, 1 - p))).sum())
@@ -176,19 +251,27 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """(doc_id, held_out, score, predicted, max_gain) of every whole text.
 
     A null or empty text is one empty window. Repeated rows are scored each; other columns are not read,
-    unless ``keep_columns`` asks for all of ``docs`` as they are, before ``__score`` and ``__predicted``.
+    unless ``keep_columns`` asks for all of ``docs`` as they are, before the last three, whose names get underscores
+    before them where ``docs`` has such a column.
     """
     own = [F.col(f"`{c}`") for c in docs.columns] if keep_columns else [F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out")]
-    rows = docs.select(*own, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    made = [unused(docs, name) for name in ("score", "predicted", "max_gain")] if keep_columns else ["score", "predicted", "max_gain"]
+    text = unused(docs, "whole_text")
+    rows = docs.select(*own, F.coalesce(F.col(text_col), F.lit("")).alias(text))
     n = len(own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, n):
             found = [measures(gains(t, model)) for t in batch.column(n).to_pylist()]
             scores = [score(m, model.weights) for m in found]
-            made = [pa.array(scores, pa.float64()), pa.array([int(s >= model.settings.threshold) for s in scores], pa.int32()), pa.array([int(m[0]) for m in found], pa.int32())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(n)), *made], names=[*batch.schema.names[:n], "__score", "__predicted", "__gain"])
+            values = [pa.array(scores, pa.float64()), pa.array([int(s >= model.settings.threshold) for s in scores], pa.int32()), pa.array([int(m[0]) for m in found], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(n)), *values], names=[*batch.schema.names[:n], *made])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:n]]
-    made = rows.mapInArrow(run, ", ".join([*fields, "__score double", "__predicted int", "__gain int"]))
-    return made if keep_columns else made.toDF("doc_id", "held_out", "score", "predicted", "max_gain")
+    return rows.mapInArrow(run, ", ".join([*fields, f"`{made[0]}` double", f"`{made[1]}` int", f"`{made[2]}` int"]))
+
+
+def keep_ordinary(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not called toxic, with their own columns."""
+    marked = predict(docs, model, id_col, text_col, keep_columns=True)
+    return marked.where(F.col(marked.columns[-2]) == 0).select(*(f"`{c}`" for c in docs.columns))
