@@ -12,13 +12,13 @@ from sparkloom.llm.common import stored, table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier does not reject."""
     model = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return toxicity.predict(docs, model, keep_columns=True).where("__predicted = 0").select(*(f"`{c}`" for c in docs.columns))
+    return toxicity.keep_ordinary(docs, model)
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told by a sufficient margin."""
     model = langid.fit(table(spark, sf_dir, "documents"))
-    return langid.predict(docs, model, keep_columns=True).where("__accepted").select(*(f"`{c}`" for c in docs.columns))
+    return langid.keep_known(docs, model)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training sequences."""
-    return packing.pack(docs)
+    return packing.pack(docs, prompt_share=packing.PROMPT_SHARE, limits=packing.DOCUMENTS)
 
 
 STAGES = [

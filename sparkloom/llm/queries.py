@@ -14,7 +14,7 @@ def op1_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.payload_features(media.write_matroska(table(spark, sf_dir, "documents"))).drop("error")
+    return media.payload_features(media.write_matroska(table(spark, sf_dir, "documents")))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def op4_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(table(spark, sf_dir, "documents"), prompt_share=packing.PROMPT_SHARE, limits=packing.DOCUMENTS)
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
