@@ -90,7 +90,7 @@ def _maybe_hits(index: Index, most_bits: int = MOST_BITS) -> DataFrame:
     rows = index.docs.select("doc_id", _digest(norm, index.digest_bits).alias("digest"), norm.alias("norm"))
     bits = max(LEAST_BITS, 1 << (BITS_PER_HIT * hits.count()).bit_length())
     if bits > most_bits:
-        return rows.join(hits.hint("merge"), "digest", "left_semi")
+        return rows.join(hits.hint("merge"), "digest", "left_semi").select("doc_id", "digest", "norm")
     slots = hits.select(_slot(F.col("digest"), bits).alias("slot"))
     bitmap = slots.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
     at = F.bitmap_bit_position("slot")
