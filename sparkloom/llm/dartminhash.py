@@ -13,7 +13,8 @@ members of other classes; a link needs the exact Jaccard similarity of the shing
 links join are merged at once, so a bucket whose members all belong together is done after one round, however
 many they are. Where classes remain, a member can only be linked with others through shingles that another
 has too, so a member with too many of its own is ruled out, and pairs are only made within the sizes that the
-shared ones allow. Rounds take ever more leaders per bucket until every member that is not ruled out and
+shared ones allow. A pair is also left out where its bitmaps tell that it cannot be similar: every shingle flips one of 512
+bits, so two sets differ in at least as many shingles as their bitmaps in bits. Rounds take ever more leaders per bucket until every member that is not ruled out and
 outside its bucket's largest class has been a leader: then every pair in a bucket is linked, in one class
 already, or known to differ, and no pair was left out.
 """
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, stored
+from .common import parts, stored, text_or_empty, unused
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -131,21 +132,28 @@ def hash_words(words: list[str]) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """512 bits as eight integers; each hash flips one of them, so equal hashes of two sets cancel out in an exclusive or."""
+    flips = np.bincount((hashes % np.uint32(512)).astype(np.int64), minlength=512) % 2
+    return np.packbits(flips.astype(np.uint8)).view(np.int64)
+
+
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """(doc_id, words_hash, n_words, bands array<long>, shingles array<int>) of every whole text.
+    """(doc_id, text_hash, words_hash, n_words, bands array<long>, shingles array<int>, bits array<long>) of every whole text.
 
-    ``words_hash`` is equal for texts of equal words, case, punctuation and white space aside. Shingles are
-    kept as 32-bit hashes. A text without words has no bands.
+    ``words_hash`` is equal for texts of equal words, case, punctuation and white space aside; ``text_hash`` is that of the
+    text itself. Shingles are kept as 32-bit hashes. A text without words has no bands.
     """
-    rows = id_and_text(docs, id_col, text_col)
+    text = text_or_empty(text_col)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         with np.errstate(over="ignore"):
-            for batch in batches:
-                hashes, counts, bands, sets = [], [], [], []
-                for text in batch.column(1).to_pylist():
+            for batch in parts(batches, 2):
+                hashes, counts, bands, sets, bits = [], [], [], [], []
+                for text in batch.column(2).to_pylist():
                     words = WORD.findall(text.lower())
                     hashes.append(xxhash.xxh3_128_hexdigest(" ".join(words)))
                     counts.append(len(words))
@@ -158,112 +166,144 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sett
                         bands.append(key.view(np.int64))
                     else:
                         bands.append(np.empty(0, np.int64))
-                    sets.append(np.unique((distinct >> np.uint64(32)).astype(np.uint32).view(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.string()), pa.array(counts, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int32()))], names=["doc_id", "words_hash", "n_words", "bands", "shingles"])
+                    short = np.unique((distinct >> np.uint64(32)).astype(np.uint32))
+                    sets.append(short.view(np.int32))
+                    bits.append(bitmap(short))
+                made = [pa.array(hashes, pa.string()), pa.array(counts, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int32())), pa.array(bits, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["doc_id", "text_hash", "words_hash", "n_words", "bands", "shingles", "bits"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, words_hash string, n_words long, bands array<long>, shingles array<int>")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_hash long, words_hash string, n_words long, bands array<long>, shingles array<int>, bits array<long>")
 
 
 def components(links: DataFrame) -> DataFrame:
     """(id, label): the smallest id that each id of ``links`` (a, b) is connected with.
 
-    Labels travel along links and then jump to their label's label, so the rounds grow with the
-    logarithm of the longest chain. Every round is written to the shared folder.
+    In each round every id goes to its smallest neighbour, and to that one's, three times over; links between ids that went to the
+    same one are gone, and the others lead on between those. So the links left are fewer each time, whatever the
+    chains. Every round is written to the shared folder; the steps are put together at the end.
     """
-    ends = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = stored(ends.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "id"), "labels")
-    while True:
-        seen = ends.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("label").alias("near")).withColumnRenamed("a", "id")
-        step = labels.join(seen, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("id").alias("label"), F.col("label").alias("far"))
-        step = step.join(jump, "label", "left").select("id", "old", F.least("label", "far").alias("label"))
-        step = stored(step, "labels")
-        labels = step.select("id", "label")
-        if not step.where("label <> old").limit(1).count():
-            return labels
+    left = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "links")
+    steps = []
+    while not steps or left.limit(1).count():
+        ends = left.select(F.col("a").alias("id"), F.col("b").alias("to")).unionByName(left.select(F.col("b").alias("id"), F.col("a").alias("to")))
+        step = stored(ends.groupBy("id").agg(F.least(F.col("id"), F.min("to")).alias("to")), "step")
+        for _ in range(2):
+            step = stored(step.join(step.select(F.col("id").alias("to"), F.col("to").alias("far")), "to").select("id", F.col("far").alias("to")), "step")
+        steps.append(step)
+        at = step.withColumnRenamed("to", "near")
+        left = left.join(at.withColumnRenamed("id", "a"), "a").select(F.col("near").alias("a"), "b").join(at.withColumnRenamed("id", "b"), "b").select(F.least("a", "near").alias("a"), F.greatest("a", "near").alias("b"))
+        left = stored(left.where("a <> b").distinct(), "links")
+    labels = steps.pop().withColumnRenamed("to", "label")
+    while steps:
+        later = labels.select(F.col("id").alias("to"), "label")
+        labels = steps.pop().join(later, "to", "left").select("id", F.coalesce("label", "to").alias("label"))
+    return stored(labels, "labels")
+
+
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (id, label) with the classes merged that further ``links`` (a, b) connect; ids that are new come in."""
+    ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
+    known = stored(labels.join(ends, "id", "full").select("id", F.coalesce("label", "id").alias("label")), "known")
+    at = known.withColumnRenamed("label", "own")
+    between = links.join(at.withColumnRenamed("id", "a"), "a").select(F.col("own").alias("a"), "b").join(at.withColumnRenamed("id", "b"), "b").select("a", F.col("own").alias("b"))
+    merged = components(between).withColumnRenamed("id", "own")
+    return stored(at.join(merged, "own", "left").select("id", F.coalesce("label", "own").alias("label")), "labels")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """(doc_id, class_id, class_size, kept, n_links, words_hash): one row for each of ``docs``.
+    """(doc_id, class_id, class_size, kept, n_links, words_hash, class_hash, text_hash): one row for each of ``docs``.
 
     Texts of equal words, and texts whose sets of five-word shingles have a Jaccard similarity of
     ``similarity`` or more, are in one class, and so is who is linked through others; its id is its
     smallest doc_id, whose rows stay. Texts without words are one class. A text of fewer than five words is one shingle.
     ``n_links`` counts the verified links of the row's word sequence to others that the rounds needed.
-    Null texts are empty; a null id is never the smallest, a group of null ids keeps them. Repeated rows share a class and are kept alike.
+    Null texts are empty; a null id is never the smallest, texts that only null ids have keep all their rows.
+    Repeated rows share a class and are kept alike. One id may bear different texts: each is a member of its own class.
+    ``class_hash`` is the words_hash of the row that stays and tells classes of one smallest id apart; of an id's
+    different texts in one class, the one of the smallest words_hash stays.
     Candidates come from bands, which miss a pair of similarity 0.8 with probability (1 - 0.8^5)^24, 7 in
-    100,000, and nearer pairs less, however often their shingles are repeated.
+    100,000, and nearer pairs less, however often their shingles are repeated. Shingles are compared as 32-bit hashes.
     """
     part, whole = settings.ratio
     base = stored(sketch(docs, id_col, text_col, settings), "sketch")
     members = base.groupBy("words_hash").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max_by("bands", "n_words").alias("bands"))
-    members = stored(members.where(F.col("rep").isNotNull()), "members")
+    # a member's key is a number of its own, fixed when it is written; ids may bear several texts
+    members = stored(members.where(F.col("rep").isNotNull()).withColumn("key", F.monotonically_increasing_id()), "members")
     # buckets with two members or more; the bucket of a hot band is grouped by counts and minima only
-    entries = members.where("size(bands) > 0").select("rep", F.explode("bands").alias("bucket"))
+    entries = members.where("size(bands) > 0").select("key", F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     entries = stored(entries.join(shared, "bucket"), "entries")
-    sets = base.where("size(bands) > 0").select(F.col("doc_id").alias("rep"), "words_hash", "shingles").join(members.select("rep", "words_hash"), ["rep", "words_hash"], "left_semi").select("rep", "shingles").dropDuplicates(["rep"])
-    sets = stored(sets.join(entries.select("rep").distinct(), "rep", "left_semi"), "sets")
+    wanted = members.select("key", "rep", "words_hash").join(entries.select("key").distinct(), "key", "left_semi")
+    sets = base.select(F.col("doc_id").alias("rep"), "words_hash", "shingles", "bits").join(wanted, ["rep", "words_hash"]).select("key", "shingles", "bits").dropDuplicates(["key"])
+    sets = stored(sets, "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """(a, b) of the distinct pairs that are similar."""
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        with_b = pairs.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
-        both = with_b.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a")
+        with_b = pairs.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b")
+        both = with_b.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a")
         low, high = F.least(F.size("sa"), F.size("sb")), F.greatest(F.size("sa"), F.size("sb"))
         both = both.where(whole * low >= part * high)
         common = F.size(F.array_intersect("sa", "sb"))
         return both.where((part + whole) * common >= part * (low + high)).select("a", "b")
 
-    first = entries.groupBy("bucket").agg(F.min("rep").alias("a"))
-    pairs = entries.join(first, "bucket").where("rep <> a").select("a", F.col("rep").alias("b"))
+    first = entries.groupBy("bucket").agg(F.min("key").alias("a"))
+    pairs = entries.join(first, "bucket").where("key <> a").select("a", F.col("key").alias("b"))
     links = stored(verified(pairs), "star")
     labels = components(links)
-    done = first.withColumnRenamed("a", "rep")  # (bucket, rep) that were leaders
+    done = first.withColumnRenamed("a", "key")  # (bucket, key) that were leaders
 
     def open_buckets() -> DataFrame:
-        """(bucket, rep, label, largest) of the buckets whose members are in several classes."""
-        at = entries.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("label", "rep").alias("label"))
+        """(bucket, key, label, largest) of the buckets whose members are in several classes."""
+        at = entries.join(labels.withColumnRenamed("id", "key"), "key", "left").select("bucket", "key", F.coalesce("label", "key").alias("label"))
         groups = at.groupBy("bucket", "label").agg(F.count("*").alias("n"))
         spread = groups.groupBy("bucket").agg(F.count("*").alias("classes"), F.max(F.struct("n", F.col("label"))).alias("most")).where("classes > 1").select("bucket", F.col("most.label").alias("largest"))
         return at.join(spread, "bucket")
 
     # What a member could share with others at most: its shingles that another member of an open bucket has too.
     # A link needs (|a| + |b|) t / (1 + t) common ones, which bounds the partner's size, or rules out any partner.
-    own = sets.join(open_buckets().select("rep").distinct(), "rep", "left_semi")
-    once = own.select("rep", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("rep").alias("rep")).where("n = 1").groupBy("rep").agg(F.count("*").alias("alone"))
-    reach = own.select("rep", F.size("shingles").alias("size")).join(once, "rep", "left").select("rep", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"))
+    own = sets.join(open_buckets().select("key").distinct(), "key", "left_semi")
+    once = own.select("key", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("key").alias("key")).where("n = 1").groupBy("key").agg(F.count("*").alias("alone"))
+    reach = own.select("key", "bits", F.size("shingles").alias("size")).join(once, "key", "left").select("key", "bits", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"))
     reach = stored(reach.where(whole * F.col("common") >= part * F.col("size")), "reach")
     leaders = settings.leaders
     while True:
-        able = open_buckets().join(reach, "rep")
-        waiting = able.where("label <> largest").join(done, ["bucket", "rep"], "left_anti")
-        turn = Window.partitionBy("bucket").orderBy("rep")
-        now = stored(waiting.withColumn("nth", F.row_number().over(turn)).where(F.col("nth") <= leaders).select("bucket", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("size").alias("size_a"), F.col("common").alias("common_a")), "leaders")
+        able = open_buckets().join(reach, "key")
+        waiting = able.where("label <> largest").join(done, ["bucket", "key"], "left_anti")
+        turn = Window.partitionBy("bucket").orderBy("key")
+        now = stored(waiting.withColumn("nth", F.row_number().over(turn)).where(F.col("nth") <= leaders).select("bucket", F.col("key").alias("a"), F.col("label").alias("la"), F.col("size").alias("size_a"), F.col("common").alias("common_a"), F.col("bits").alias("bits_a")), "leaders")
         if not now.limit(1).count():
             break
         fits = (F.col("label") != F.col("la")) & ((part + whole) * F.least("common", "common_a") >= part * (F.col("size") + F.col("size_a")))
-        pairs = able.alias("m").join(now.alias("l"), (F.col("m.bucket") == F.col("l.bucket")) & fits).select("a", F.col("rep").alias("b"))
-        links = stored(links.unionByName(verified(pairs)).distinct(), "links")
-        labels = components(links)
-        done = stored(done.unionByName(now.select("bucket", F.col("a").alias("rep"))), "done")
+        # of all shingles of both, at most (1 - t) / (1 + t) are not common
+        unlike = sum((F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("bits_a")[k])) for k in range(8)), F.lit(0))
+        fits &= (part + whole) * unlike <= (whole - part) * (F.col("size") + F.col("size_a"))
+        pairs = able.alias("m").join(now.alias("l"), (F.col("m.bucket") == F.col("l.bucket")) & fits).select("a", F.col("key").alias("b"))
+        new = stored(verified(pairs), "new")
+        labels = joined(labels, new)
+        links = links.unionByName(new)
+        done = stored(done.unionByName(now.select("bucket", F.col("a").alias("key"))), "done")
         leaders *= 16
 
-    ends = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy("a").agg(F.count("*").alias("n_links")).withColumnRenamed("a", "rep")
-    by_words = members.select("rep", "words_hash", "copies").join(labels.withColumnRenamed("id", "rep"), "rep", "left").join(ends, "rep", "left").select("words_hash", "copies", F.coalesce("label", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    sizes = by_words.groupBy("class_id").agg(F.sum("copies").alias("class_size"), F.count("*").alias("texts"))
-    known = by_words.join(sizes, "class_id").where("class_size > 1")
+    links = links.distinct()
+    ends = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy("a").agg(F.count("*").alias("n_links")).withColumnRenamed("a", "key")
+    by_words = members.select("key", "rep", "words_hash", "copies").join(labels.withColumnRenamed("id", "key"), "key", "left").join(ends, "key", "left").select("rep", "words_hash", "copies", F.coalesce("label", "key").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    classes = by_words.groupBy("label").agg(F.sum("copies").alias("class_size"), F.min(F.struct("rep", "words_hash")).alias("stays"))
+    known = by_words.select("words_hash", "copies", "n_links", "label").join(classes, "label").where("class_size > 1").select("words_hash", "copies", "n_links", "class_size", F.col("stays.rep").alias("class_id"), F.col("stays.words_hash").alias("class_hash"))
     total = max(1, base.count())
     heavy, light = known.where(F.col("copies") >= max(2.0, total / 500)), known.where(F.col("copies") < max(2.0, total / 500))
-    rows = base.select("doc_id", "words_hash")
-    cols = ["doc_id", "class_id", "class_size", "n_links", "words_hash"]
+    rows = base.select("doc_id", "words_hash", "text_hash")
+    cols = ["doc_id", "words_hash", "text_hash", "class_id", "class_hash", "class_size", "n_links"]
     hot = rows.join(F.broadcast(heavy), "words_hash").select(cols)
     rest = rows.join(F.broadcast(heavy.select("words_hash")), "words_hash", "left_anti").join(light, "words_hash", "left")
-    rest = rest.select("doc_id", F.when(F.col("class_size").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "words_hash")
-    return hot.unionByName(rest).select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "n_links", "words_hash")
+    single = F.col("class_size").isNull()
+    rest = rest.select("doc_id", "words_hash", "text_hash", F.when(single, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(single, F.col("words_hash")).otherwise(F.col("class_hash")).alias("class_hash"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    kept = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("words_hash") == F.col("class_hash"))
+    return hot.unionByName(rest).select("doc_id", "class_id", "class_size", kept.alias("kept"), "n_links", "words_hash", "class_hash", "text_hash")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """The rows of ``docs`` that ``near_duplicates`` keeps, with their own columns; joined by key, as dropped rows may be many."""
-    dropped = near_duplicates(docs, id_col, text_col, settings).where("NOT kept").select(F.col("doc_id").alias("__dropped_id")).distinct()
-    return docs.join(dropped, docs[id_col] == F.col("__dropped_id"), "left_anti")
+    """The rows of ``docs`` that ``near_duplicates`` keeps, with their own columns; joined by id and text, as dropped rows may be many."""
+    names = [unused(docs, n) for n in ("dropped_id", "dropped_hash")]
+    dropped = near_duplicates(docs, id_col, text_col, settings).where("NOT kept").select(F.col("doc_id").alias(names[0]), F.col("text_hash").alias(names[1])).distinct()
+    return docs.join(dropped, docs[id_col].eqNullSafe(F.col(names[0])) & (F.xxhash64(text_or_empty(docs[text_col])) == F.col(names[1])), "left_anti")
