@@ -121,3 +121,9 @@ ORDER_ID = r"(?i)\b(?:JD|TB)\d{8,16}\b"
 TAX_ID = r"\b[A-Z0-9]{15,18}\b"
 
 LATENCY_BOUNDS = [0.05, 0.1, 0.25, 0.5, 1.0, 2.0, 5.0, 10.0, 30.0]
+
+#: Fixed: the frame of an answer made without a model, its query line, and what stands for no hits.
+EXTRACT_HEAD = "(LLM 服务暂不可用,以下内容为基于知识库的直接摘录。)"
+EXTRACT_QUERY = "关于「{}」,以下知识库条目可能相关:"
+EXTRACT_TAIL = "建议您稍后重试获取完整的 LLM 生成答复。"
+EXTRACT_NONE = "当前知识库内信息不足,且 LLM 服务暂不可用。"

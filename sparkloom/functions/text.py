@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import rules
 
@@ -80,23 +83,26 @@ def pii_redact(text: Column) -> Column:
 
 def low_info_score(text: Column) -> Column:
     """Near 1 for what tells nothing, 0 for prose; unrounded."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
-    solid = count(t, rules.SUBSTANTIVE)
-    words = F.filter(F.split(t, r"(?U)\s+"), lambda w: w != "")
-    unique = F.size(F.array_distinct(words)) / F.greatest(F.size(words), F.lit(1))
-    line = reduce(lambda a, b: a | b, [t.rlike("(?i)" + p) for p in rules.BOILERPLATE_LINES])
-    phrase = reduce(lambda a, b: a | b, [t.rlike("(?i)" + p) for p in rules.BOILERPLATE_PHRASES])
-    mixed = 1.0 - F.least(F.lit(1.0), (unique + solid / F.greatest(F.length(t), F.lit(1))) / 1.5)
-    return (
-        F.when(F.length(t) < 20, 1.0).when(solid < 10, 1.0).when(line, 0.95).when(phrase, 0.9)
-        .when((F.size(words) >= 8) & (unique < 0.2), 0.9).otherwise(mixed)
-    )
+    # bound once each: what branches repeat would be evaluated again in every one
+    t = F.array(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", ""))
+    counted = F.transform(t, lambda t: F.struct(t.alias("t"), (F.length(t) - F.length(F.regexp_replace(t, rules.SUBSTANTIVE, ""))).alias("solid"), F.filter(F.split(t, r"(?U)\s+"), lambda w: w != "").alias("words")))
+    ready = F.transform(counted, lambda s: F.struct(s["t"].alias("t"), s["solid"].alias("solid"), F.size(s["words"]).alias("n"), (F.size(F.array_distinct(s["words"])) / F.greatest(F.size(s["words"]), F.lit(1))).alias("unique")))
+
+    def rule(s: Column) -> Column:
+        line = reduce(lambda a, b: a | b, [s["t"].rlike("(?i)" + p) for p in rules.BOILERPLATE_LINES])
+        phrase = reduce(lambda a, b: a | b, [s["t"].rlike("(?i)" + p) for p in rules.BOILERPLATE_PHRASES])
+        mixed = 1.0 - F.least(F.lit(1.0), (s["unique"] + s["solid"] / F.greatest(F.length(s["t"]), F.lit(1))) / 1.5)
+        return (
+            F.when(F.length(s["t"]) < 20, 1.0).when(s["solid"] < 10, 1.0).when(line, 0.95).when(phrase, 0.9)
+            .when((s["n"] >= 8) & (s["unique"] < 0.2), 0.9).otherwise(mixed)
+        )
+
+    return F.element_at(F.transform(ready, rule), 1)
 
 
 def shingles(text: Column, n: int = 5, keep_spaces: bool = False) -> Column:
     """Distinct runs of ``n`` characters; a shorter text is one. White space is taken out, or only trimmed."""
-    t = F.lower(text)
-    t = F.trim(t) if keep_spaces else F.regexp_replace(t, r"(?U)\s+", "")
+    t = F.trim(text) if keep_spaces else F.regexp_replace(text, r"(?U)\s+", "")
     # bound once, as characters: a lambda evaluates what it closes over for every element
     runs = F.transform(F.array(F.split(t, "")), lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(c, i, n), "")))
     return F.when(F.length(t) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(F.element_at(runs, 1)))
@@ -119,13 +125,6 @@ def injection_rule(text: Column) -> Column:
     return out
 
 
-def injection_match(text: Column) -> Column:
-    out = F.when(text.rlike("(?i)" + rules.INJECTIONS[0]), F.regexp_extract(text, "(?i)" + rules.INJECTIONS[0], 0))
-    for p in rules.INJECTIONS[1:]:
-        out = out.when(text.rlike("(?i)" + p), F.regexp_extract(text, "(?i)" + p, 0))
-    return out
-
-
 def mask_phone(phone: Column) -> Column:
     return F.when(F.length(phone) < 7, "****").otherwise(F.concat(F.substring(phone, 1, 3), F.repeat(F.lit("*"), F.length(phone) - 7), F.right(phone, F.lit(4))))
 
@@ -150,8 +149,15 @@ def query_cjk(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"[{rules.CJK}]"), 0))
 
 
+@F.pandas_udf(StringType())
+def nfkc(texts: pd.Series) -> pd.Series:
+    """Unicode's compatibility form, for which there is no built-in."""
+    return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+
+
 def normalize_query(text: Column) -> Column:
-    return F.regexp_replace(trimmed(text), r"(?U)\s+", " ")
+    """Compatibility form, trimmed, single spaces."""
+    return F.regexp_replace(trimmed(nfkc(text)), r"(?U)\s+", " ")
 
 
 def query_language(text: Column) -> Column:

@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import rules
 from ..functions import text as T
+from ..sources.shared import stored
 
 K1, B, BLOCK = 1.2, 0.75, 512
 
@@ -27,39 +29,59 @@ def postings(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return queries.select(F.col(id_col).alias("query_id"), F.explode(T.query_tokens(F.col(text_col))).alias("term"))
+    """(query_id, term, kind): ASCII terms are prefixes, any of which may match; CJK characters are one group that must all be there."""
+    rows = queries.select(F.col(id_col).alias("query_id"), T.query_tokens(F.col(text_col)).alias("prefix"), T.query_cjk(F.col(text_col)).alias("cjk"))
+    parts = [rows.select("query_id", F.explode(kind).alias("term"), F.lit(kind).alias("kind")) for kind in ("prefix", "cjk")]
+    return parts[0].unionByName(parts[1])
 
 
 def prefix_matches(terms: DataFrame, post: DataFrame) -> DataFrame:
     """(query_id, term, chunk_id, tf): a query term stands for all index terms that begin with it.
 
-    Index terms are exploded to their prefixes, of lengths that query terms have, and joined by equality.
+    Index terms that begin with the first two letters of some query term are exploded to their prefixes and joined by equality.
     """
     wanted = terms.select("term").distinct()
-    vocabulary = post.select(F.col("term").alias("word")).distinct()
-    prefixes = vocabulary.select("word", F.explode(F.transform(F.sequence(F.lit(2), F.greatest(F.length("word"), F.lit(2))), lambda n: F.col("word").substr(F.lit(1), n))).alias("term"))
+    head = lambda c: F.substring(c, 1, 2)
+    vocabulary = post.select(F.col("term").alias("word")).where(F.length("word") > 1).distinct()
+    vocabulary = vocabulary.withColumn("head", head("word")).join(wanted.select(head("term").alias("head")).distinct(), "head", "left_semi")
+    prefixes = vocabulary.select("word", F.explode(F.transform(F.sequence(F.lit(2), F.length("word")), lambda n: F.col("word").substr(F.lit(1), n))).alias("term"))
     pairs = wanted.join(prefixes, "term")
     hits = pairs.join(post.withColumnRenamed("term", "word"), "word").groupBy("term", "chunk_id").agg(F.sum("tf").alias("tf"))
     return terms.join(hits, "term").select("query_id", "term", "chunk_id", "tf")
 
 
-def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int = 40, query_id: str = "item_id", chunk_id: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(query_id, chunk_id, score, rank) by BM25 with prefix terms; scores to six digits, ties by id."""
-    post = postings(chunks, chunk_id, text_col)
+def group_matches(terms: DataFrame, post: DataFrame) -> DataFrame:
+    """(query_id, term, chunk_id, tf) of the chunks that hold every term of a query's group."""
+    sizes = terms.groupBy("query_id").agg(F.count("*").alias("wanted"))
+    hits = terms.join(post, "term").select("query_id", "term", "chunk_id", "tf")
+    whole = hits.groupBy("query_id", "chunk_id").agg(F.count("*").alias("held")).join(sizes, "query_id").where("held = wanted").select("query_id", "chunk_id")
+    return hits.join(whole, ["query_id", "chunk_id"], "left_semi").select("query_id", "term", "chunk_id", "tf")
+
+
+def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int = 40, query_id: str = "item_id", chunk_id: str = "doc_id", text_col: str = "text", post: DataFrame | None = None) -> DataFrame:
+    """(query_id, chunk_id, score, rank) by BM25 with prefix terms and CJK groups; scores to six digits, ties by id.
+
+    ``post`` are the stored postings of ``chunks``; without it they are made and stored here, once.
+    """
+    post = stored(postings(chunks, chunk_id, text_col), "postings") if post is None else post
     lengths = post.groupBy("chunk_id").agg(F.sum("tf").alias("len"))
     corpus = chunks.agg(F.count("*").alias("n")).crossJoin(lengths.agg(F.sum("len").alias("total")))  # one row
-    hits = prefix_matches(query_terms(queries, query_id, text_col), post)
+    terms = query_terms(queries, query_id, text_col)
+    prefix, cjk = (terms.where(F.col("kind") == kind).select("query_id", "term") for kind in ("prefix", "cjk"))
+    hits = prefix_matches(prefix, post)
     df = hits.select("term", "chunk_id").distinct().groupBy("term").agg(F.count("*").alias("df"))
-    rows = hits.join(df, "term").join(lengths, "chunk_id").crossJoin(F.broadcast(corpus))
+    groups = group_matches(cjk, post)
+    held = post.join(cjk.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    rows = hits.join(df, "term").unionByName(groups.join(held, "term")).join(lengths, "chunk_id").crossJoin(F.broadcast(corpus))
     idf = F.greatest(F.lit(1e-6), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / (F.col("total") / F.col("n"))))
     scored = rows.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
     return top(scored, "query_id", k, F.desc("score"), F.col("chunk_id"))
 
 
-def overlap_topk(queries: DataFrame, chunks: DataFrame, k: int = 40, query_id: str = "item_id", chunk_id: str = "doc_id", text_col: str = "text") -> DataFrame:
+def overlap_topk(queries: DataFrame, chunks: DataFrame, k: int = 40, query_id: str = "item_id", chunk_id: str = "doc_id", text_col: str = "text", post: DataFrame | None = None) -> DataFrame:
     """A second ranking: how many distinct terms of the query the chunk holds."""
-    hits = query_terms(queries, query_id, text_col).join(postings(chunks, chunk_id, text_col), "term")
+    hits = query_terms(queries, query_id, text_col).where("kind = 'prefix'").join(postings(chunks, chunk_id, text_col) if post is None else post, "term")
     return top(hits.groupBy("query_id", "chunk_id").agg(F.count("*").cast("double").alias("score")), "query_id", k, F.desc("score"), F.col("chunk_id"))
 
 
@@ -70,12 +92,15 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, kb: str = "
     few hundred rows by hash; a pair of blocks is one matrix product, which keeps the best of each query.
     """
 
-    def blocks(df: DataFrame, ident: str, name: str) -> DataFrame:
-        n = df.groupBy(kb).agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    def blocks(df: DataFrame, ident: str, name: str) -> tuple[DataFrame, DataFrame]:
+        n = df.groupBy(kb).agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("parts"))
         rows = df.join(n, kb).withColumn("block", F.pmod(F.xxhash64(ident), "parts"))
-        return rows.groupBy(kb, "block").agg(F.collect_list(ident).alias(f"{name}_ids"), F.collect_list("vector").alias(f"{name}_vecs")).drop("block")
+        return rows.groupBy(kb, "block").agg(F.collect_list(ident).alias(f"{name}_ids"), F.collect_list("vector").alias(f"{name}_vecs")), n
 
-    pairs = blocks(queries, "query_id", "q").join(blocks(vectors, "id", "v"), kb).select("q_ids", "q_vecs", "v_ids", "v_vecs")
+    # a query block goes to each vector block of its base, so that the pairs of one base are many keys
+    (q, _), (v, parts) = blocks(queries, "query_id", "q"), blocks(vectors, "id", "v")
+    q = q.drop("block").join(parts, kb).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    pairs = q.join(v, [kb, "block"]).select("q_ids", "q_vecs", "v_ids", "v_vecs")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -142,7 +167,7 @@ def mmr_select(candidates: DataFrame, k: int = 5, weight: float = 0.7) -> DataFr
         pdf = pdf.sort_values("rank").reset_index(drop=True)
         chosen = list(range(len(pdf)))
         if len(pdf) > k:
-            grams = [{t[i : i + 5] for i in range(max(1, len(t) - 4))} if (t := (x or "").strip().lower()) else set() for x in pdf["text"]]
+            grams = [{t[i : i + 5] for i in range(max(1, len(t) - 4))} if (t := (x or "").strip()) else set() for x in pdf["text"]]
             s = pdf["score"].to_numpy(float)
             rel = (s - s.min()) / (s.max() - s.min()) if s.max() > s.min() else np.ones(len(s))
             near, chosen, left = np.zeros(len(s)), [], list(range(len(s)))
@@ -183,20 +208,54 @@ def semantic_cache(requests: DataFrame, threshold: float = 0.95, entries: int =
     rows = requests.select("kb", "seq", "vector").repartition("kb").sortWithinPartitions("kb", "seq")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        base, ids, vecs = object(), [], []
+        base, ids, ring, held = object(), np.zeros(entries, np.int64), None, 0
         for pdf in batches:
             found = []
             for kb, seq, v in zip(pdf["kb"], pdf["seq"], pdf["vector"]):
-                if kb != base:
-                    base, ids, vecs = kb, [], []
                 v = np.asarray(v, float)
-                sims = np.stack(vecs) @ v if vecs else np.empty(0)
-                best = int(np.argmax(sims)) if len(sims) else -1
+                if kb != base:
+                    base, ring, held = kb, np.zeros((entries, len(v))), 0
+                n = min(held, entries)
+                sims = ring[:n] @ v
+                best = int(np.argmax(sims)) if n else -1
                 if best >= 0 and sims[best] >= threshold:
                     found.append((kb, seq, ids[best], float(sims[best])))
                 else:
                     found.append((kb, seq, None, None))
-                    ids, vecs = (ids + [seq])[-entries:], (vecs + [v])[-entries:]
+                    ring[held % entries], ids[held % entries] = v, seq  # the oldest goes
+                    held += 1
             yield pd.DataFrame(found, columns=["kb", "seq", "hit_seq", "similarity"]).astype({"hit_seq": "Int64"})
 
     return rows.mapInPandas(run, f"kb {rows.schema['kb'].dataType.simpleString()}, seq long, hit_seq long, similarity double")
+
+
+def unit(vector: Column) -> Column:
+    """The vector at length one; null for the zero vector, which finds nothing."""
+    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return F.when(norm > 0, F.transform(vector, lambda x: x.cast("double") / norm))
+
+
+def or_zero(rows: DataFrame) -> DataFrame:
+    """``rows`` without those that have no direction: a zero vector is like nothing."""
+    return rows.where(F.col("vector").isNotNull())
+
+
+def leading_sentences(text: Column, chars: int = 240) -> Column:
+    """Whole sentences from the start while they stay within so many characters, the first in any case; else so many characters."""
+    start = F.struct(F.array().cast("array<string>").alias("s"), F.lit(0).alias("n"), F.lit(True).alias("go"))
+
+    def add(acc: Column, x: Column) -> Column:
+        go = acc["go"] & ((acc["n"] + F.length(x) <= chars) | (F.size(acc["s"]) == 0))
+        return F.struct(F.when(go, F.concat(acc["s"], F.array(x))).otherwise(acc["s"]).alias("s"), F.when(go, acc["n"] + F.length(x)).otherwise(acc["n"]).alias("n"), go.alias("go"))
+
+    lead = F.aggregate(T.sentences(text), start, add, lambda acc: F.trim(F.array_join(acc["s"], " ")))
+    return F.when(lead == "", F.substring(T.trimmed(text), 1, chars)).otherwise(lead)
+
+
+def extractive_answers(queries: DataFrame, hits: DataFrame) -> DataFrame:
+    """(query_id, answer) of every query (query_id, query): numbered titles and leading sentences of its hits (query_id, rank, title, text), three at most."""
+    head, mid = rules.EXTRACT_QUERY.split("{}")
+    part = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), "title", F.lit("\n"), leading_sentences(F.coalesce("text", F.lit(""))), F.lit("\n\n"))
+    parts = hits.where("rank <= 3").groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", part.alias("p")))), lambda x: x["p"]), "").alias("parts"))
+    asked = F.concat(F.lit(rules.EXTRACT_HEAD + "\n\n" + head), F.substring(T.trimmed(F.col("query")), 1, 80), F.lit(mid + "\n\n"), "parts", F.lit(rules.EXTRACT_TAIL))
+    return queries.join(parts, "query_id", "left").select("query_id", F.when(F.col("parts").isNull(), F.lit(rules.EXTRACT_NONE)).otherwise(asked).alias("answer"))

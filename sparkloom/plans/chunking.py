@@ -32,16 +32,15 @@ def split_sections(spark, sf):
     return rows.select("id", F.col("section").cast("long").alias("section"), F.array_join("path", "/").alias("path"), "body")
 
 
-_TOK = "len(regexp_extract_all(p, '[A-Za-z0-9_]+'))"
+#: Blank lines after every second sentence end, so that documents have paragraphs of many sizes.
+def blocks(spark, sf):
+    text = F.regexp_replace("text", r"([.!?] [^.!?]*[.!?]) ", "$1\n\n")
+    return table(spark, sf, "documents").select("doc_id", text.alias("text"))
 
 
-@register(rf"""WITH RECURSIVE l AS (SELECT item_id, p, {_TOK} AS k, row_number() OVER (PARTITION BY item_id ORDER BY n) AS n FROM (SELECT item_id, unnest(string_split(text, ' ')) AS p, generate_subscripts(string_split(text, ' '), 1) AS n FROM benchmark) WHERE p <> ''),
-f AS (SELECT item_id, 0::BIGINT AS n, 0::BIGINT AS c, 0::BIGINT AS t FROM (SELECT DISTINCT item_id FROM l) UNION ALL SELECT f.item_id, l.n, CASE WHEN f.n = 0 THEN 1 WHEN t + k <= 12 THEN c ELSE c + 1 END, CASE WHEN f.n > 0 AND t + k <= 12 THEN t + k ELSE k END FROM f JOIN l ON l.item_id = f.item_id AND l.n = f.n + 1)
-SELECT f.item_id, f.c AS part, string_agg(p, chr(10) || chr(10) ORDER BY f.n) AS chunk FROM f JOIN l ON l.item_id = f.item_id AND l.n = f.n GROUP BY 1, 2""")
+@register()
 def pack_paragraphs(spark, sf):
-    """Greedy filling, here of single words up to twelve tokens."""
-    rows = table(spark, sf, "benchmark").select("item_id", F.posexplode(chunk.pack(F.split("text", " "), 12)).alias("part", "chunk"))
-    return rows.select("item_id", (F.col("part") + 1).cast("long").alias("part"), "chunk")
+    return blocks(spark, sf).select("doc_id", F.posexplode(chunk.pack_paragraphs(F.col("text"), 450)).alias("part", "chunk"))
 
 
 @register()
@@ -49,29 +48,36 @@ def split_long(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.posexplode(chunk.split_long(F.col("text"), 450)).alias("part", "chunk"))
 
 
-@register(rf"""WITH w AS (SELECT item_id, unnest(regexp_split_to_array(text, '\s+')) AS p, generate_subscripts(regexp_split_to_array(text, '\s+'), 1) AS n FROM benchmark),
-r AS (SELECT *, sum(greatest(1, {_TOK})) OVER (PARTITION BY item_id ORDER BY n DESC) AS so_far FROM w WHERE p <> '') SELECT item_id, string_agg(p, ' ' ORDER BY n) AS tail FROM r WHERE so_far <= 10 GROUP BY 1""")
+_COUNT = "len(regexp_extract_all({x}, '[A-Za-z0-9_]+')) + len(regexp_extract_all({x}, '[一-鿿]'))"
+
+
+@register(rf"""WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\s+')) AS p, generate_subscripts(regexp_split_to_array(text, '\s+'), 1) AS n FROM documents),
+r AS (SELECT *, sum(greatest(1, {_COUNT.format(x="p")})) OVER (PARTITION BY doc_id ORDER BY n DESC) AS so_far FROM w WHERE p <> ''), t AS (SELECT doc_id, string_agg(p, ' ' ORDER BY n) AS tail FROM r WHERE so_far <= 80 GROUP BY 1)
+SELECT doc_id, CASE WHEN {_COUNT.format(x="text")} <= 80 THEN text ELSE coalesce(tail, '') END AS tail FROM documents LEFT JOIN t USING (doc_id)""")
 def tail_overlap(spark, sf):
-    return table(spark, sf, "benchmark").select("item_id", chunk.tail_overlap(F.col("text"), 10).alias("tail"))
+    """What the chunk after each document would begin with."""
+    return table(spark, sf, "documents").select("doc_id", chunk.tail_overlap(F.col("text"), 80).alias("tail"))
 
 
 @register()
 def parent_leaf_chunks(spark, sf):
-    return chunk.parent_leaf_chunks(headed(spark, sf)).withColumn("section_path", F.array_join("section_path", "/"))
-
-
-@register("SELECT source, string_agg(substr(text, 1, 50), chr(10) || chr(10) ORDER BY doc_id) AS text, count(*) AS leaves FROM documents WHERE doc_id % 10 = 0 GROUP BY source, doc_id // 500".replace("SELECT source,", "SELECT source, doc_id // 500 AS part,"))
-def parentify(spark, sf):
-    """A parent for the leaves of a source: here of every tenth document, by ranges of ids."""
-    rows = table(spark, sf, "documents").where("doc_id % 10 = 0").groupBy("source", F.floor(F.col("doc_id") / 500).alias("part"))
-    leaf = F.struct("doc_id", F.substring("text", 1, 50).alias("t"))
-    return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(leaf)), lambda x: x["t"]), "\n\n").alias("text"), F.count("*").alias("leaves"))
+    """Sections with blank lines in their bodies, so that long ones have several parents and leaves."""
+    rows = headed(spark, sf).withColumn("text", F.regexp_replace("text", r"([.!?] [^.!?]*[.!?]) ", "$1\n\n"))
+    return chunk.parent_leaf_chunks(rows).withColumn("section_path", F.array_join("section_path", "/"))
 
 
 @register()
-def parentify_whole(spark, sf):
+def parentify_whole(spark, sf, name="parents"):
     """One parent per source, of the whole texts of all its documents, as ordered pieces."""
-    return chunk.parentify(table(spark, sf, "documents").select("source", F.col("doc_id").alias("leaf_id"), "text"), scratch(spark, "parents"))
+    return chunk.parentify(table(spark, sf, "documents").select("source", F.col("doc_id").alias("leaf_id"), "text"), scratch(spark, name))
+
+
+#: Of each piece its place, and its text without the white space at both ends, by hash.
+@register(r"""SELECT coalesce(source, '') || '::parent' AS parent_id, doc_id AS leaf_id, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY doc_id) AS position, md5(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS piece FROM documents""")
+def parentify(spark, sf):
+    """Every leaf, its parent, and its piece of the parent's text."""
+    rows = parentify_whole(spark, sf, "parentify")
+    return rows.select("parent_id", "leaf_id", F.col("position").cast("long").alias("position"), F.md5(T.trimmed(F.col("text"))).alias("piece"))
 
 
 @register(r"""WITH s AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(text, '([。!?;])', E'\\1\x01', 'g'), '\.\s+', E'.\x01', 'g'), E'\x01|\n{2,}'), lambda x: regexp_replace(regexp_replace(x, '^\s+', ''), '\s+$', '')), lambda x: x <> '')) AS x FROM documents) SELECT doc_id, count(*) AS n, sum(length(x))::BIGINT AS chars FROM s GROUP BY 1""")
@@ -81,14 +87,15 @@ def split_sentences(spark, sf):
     return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("x")).alias("chars"))
 
 
-DIST = "SELECT label, vec_id, round(1 - least(1, greatest(-1, list_sum(list_transform(range(1, len(v) + 1), lambda i: v[i] * w[i])))), 6) AS distance FROM (SELECT label, vec_id, embedding::DOUBLE[] AS v, lag(embedding::DOUBLE[]) OVER (PARTITION BY label ORDER BY vec_id) AS w FROM embeddings) WHERE w IS NOT NULL"
+#: Vectors stand for sentences; sixteen that follow each other are a document.
+DIST = "SELECT vec_id // 16 AS doc, vec_id, round(1 - least(1, greatest(-1, list_sum(list_transform(range(1, len(v) + 1), lambda i: v[i] * w[i])))), 6) AS distance FROM (SELECT vec_id, embedding::DOUBLE[] AS v, lag(embedding::DOUBLE[]) OVER (PARTITION BY vec_id // 16 ORDER BY vec_id) AS w FROM embeddings) WHERE w IS NOT NULL"
 
 
 def distances(spark, sf):
-    w = Window.partitionBy("label").orderBy("vec_id")
-    rows = table(spark, sf, "embeddings").withColumn("before", F.lag("embedding").over(w)).where("before IS NOT NULL")
+    rows = table(spark, sf, "embeddings").withColumn("doc", F.floor(F.col("vec_id") / 16))
+    rows = rows.withColumn("before", F.lag("embedding").over(Window.partitionBy("doc").orderBy("vec_id"))).where("before IS NOT NULL")
     dot = T.cosine(F.col("embedding"), F.col("before"))
-    return rows.select("label", "vec_id", F.round(1 - F.least(F.lit(1.0), F.greatest(F.lit(-1.0), dot)), 6).alias("distance"))
+    return rows.select("doc", "vec_id", F.round(1 - F.least(F.lit(1.0), F.greatest(F.lit(-1.0), dot)), 6).alias("distance"))
 
 
 @register(DIST)
@@ -97,10 +104,10 @@ def adjacent_distance(spark, sf):
     return distances(spark, sf)
 
 
-@register(f"WITH d AS ({DIST}), p AS (SELECT label, quantile_cont(distance, 0.95) AS cut FROM d GROUP BY 1) SELECT d.label, vec_id, sum((distance >= cut)::INT) OVER (PARTITION BY d.label ORDER BY vec_id) AS segment FROM d JOIN p ON p.label = d.label")
+@register(f"WITH d AS ({DIST}), p AS (SELECT doc, quantile_cont(distance, 0.95) AS cut FROM d GROUP BY 1) SELECT d.doc, vec_id, sum((distance >= cut)::INT) OVER (PARTITION BY d.doc ORDER BY vec_id) AS segment FROM d JOIN p ON p.doc = d.doc")
 def semantic_split(spark, sf):
     """A new segment where the distance reaches the 95th percentile of its document."""
     d = distances(spark, sf)
-    cut = d.groupBy("label").agg(F.percentile("distance", F.lit(0.95)).alias("cut"))
-    w = Window.partitionBy("label").orderBy("vec_id")
-    return d.join(cut, "label").select("label", "vec_id", F.sum((F.col("distance") >= F.col("cut")).cast("int")).over(w).alias("segment"))
+    cut = d.groupBy("doc").agg(F.percentile("distance", F.lit(0.95)).alias("cut"))
+    w = Window.partitionBy("doc").orderBy("vec_id")
+    return d.join(cut, "doc").select("doc", "vec_id", F.sum((F.col("distance") >= F.col("cut")).cast("int")).over(w).alias("segment"))

@@ -152,32 +152,38 @@ def low_info_filter(spark, sf):
     return clean.low_info_filter(rows).select("doc_id", "chunk_role")
 
 
-@register(r"""WITH t AS (SELECT item_id, regexp_replace(lower(text), '\s+', '', 'g') AS t FROM benchmark)
-SELECT item_id, unnest(list_distinct(list_transform(range(1, greatest(len(t) - 4, 1) + 1), lambda i: substr(t, i, 5)))) AS shingle FROM t WHERE len(t) > 0""")
+@register(r"""WITH t AS (SELECT doc_id, regexp_replace(text, '\s+', '', 'g') AS t FROM documents), s AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(t) - 4, 1) + 1), lambda i: substr(t, i, 5))) AS s FROM t WHERE len(t) > 0)
+SELECT doc_id, len(s) AS n, list_min(s) AS least, list_max(s) AS largest FROM s""")
 def shingles(spark, sf):
-    return table(spark, sf, "benchmark").select("item_id", F.explode(T.shingles(F.col("text"))).alias("shingle"))
+    """Of every whole document: how many distinct runs of five characters, the first and the last."""
+    rows = table(spark, sf, "documents").select("doc_id", T.shingles(F.col("text")).alias("s")).where(F.size("s") > 0)
+    return rows.select("doc_id", F.size("s").cast("long").alias("n"), F.array_min("s").alias("least"), F.array_max("s").alias("largest"))
 
 
-@register(r"""WITH m AS (SELECT item_id * 2 AS id, text FROM benchmark UNION ALL SELECT item_id * 2 + 1, substr(text, 1, length(text) - item_id % 60) FROM benchmark), t AS (SELECT id, regexp_replace(lower(text), '\s+', '', 'g') AS t FROM m WHERE text <> ''),
-s AS (SELECT id, list_distinct(list_transform(range(1, greatest(len(t) - 4, 1) + 1), lambda i: substr(t, i, 5))) AS s FROM t WHERE len(t) > 0),
-e AS (SELECT id, len(s) AS n, unnest(s) AS g FROM s), c AS (SELECT a.id AS x, b.id AS y, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM e a JOIN e b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2)
-SELECT x, y, round(k / (na + nb - k), 6) AS jaccard FROM c WHERE k / (na + nb - k) >= 0.85""")
+@register()
 def near_dup_exact(spark, sf):
-    """Passages beside themselves with their end cut off."""
-    b = table(spark, sf, "benchmark")
-    cut = b.select((F.col("item_id") * 2 + 1).alias("id"), F.expr("substr(text, 1, length(text) - CAST(item_id % 60 AS INT))").alias("text"))
-    out = clean.near_dup_exact(b.select((F.col("item_id") * 2).alias("id"), "text").unionByName(cut), "id", "text")
-    return out.select("x", "y", F.round("jaccard", 6).alias("jaccard"))
+    """Similar pairs of different texts, by the least id of each text, and each copy with that id."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text").withColumn("h", F.md5(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)\s+", "")))
+    first = docs.groupBy("h").agg(F.min_by(F.struct("id", "text"), "id").alias("f")).select("h", "f.id", "f.text")
+    pairs = clean.near_dup_exact(first, "id", "text").select("x", "y", F.round("jaccard", 6).alias("jaccard"))
+    copies = docs.join(first.select("h", F.col("id").alias("x")), "h").where("id <> x").select("x", F.col("id").alias("y"), F.lit(1.0).alias("jaccard"))
+    return pairs.unionByName(copies)
 
 
 @register()
 def near_dup_minhash(spark, sf):
-    from .registry import checkpointed
-
-    checkpointed(spark)
     return clean.near_dup_minhash(table(spark, sf, "documents"), "doc_id", "text")
 
 
+@register()
+def clean_pipeline(spark, sf):
+    """Every page and document, cleaned, chunked, filtered and freed from near copies; the counters beside each chunk."""
+    pages = table(spark, sf, "pages").select(F.concat(F.lit("page-"), F.lpad(F.col("page_id").cast("string"), 12, "0")).alias("source_id"), F.lit(".html").alias("suffix"), F.col("html").alias("text"))
+    docs = table(spark, sf, "documents").select(F.concat(F.lit("doc-"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("source_id"), F.lit(".md").alias("suffix"), "text")
+    chunks, counters = clean.clean_pipeline(pages.unionByName(docs))
+    return chunks.select("chunk_id", "source_id", "chunk_role", "parent_id", "token_count").crossJoin(F.broadcast(counters))
+
+
 @register()
 def dedup_stats(spark, sf):
     out = near_dup_minhash(spark, sf)

@@ -6,12 +6,15 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import text as T
-from ..operators import search
+from ..operators import enrich, search
+from ..sources.shared import stored
 from .registry import register, table
 
 STOP = "'" + "','".join(rules.STOPWORDS) + "'"
 TOKENS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
 QTERMS = f"SELECT DISTINCT item_id AS query_id, term FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS term FROM benchmark) WHERE length(term) > 1 AND term NOT IN ({STOP})"
+#: Matching terms: prefixes, and the group of CJK characters.
+QKINDS = f"SELECT query_id, term, 'prefix' AS kind FROM ({QTERMS}) UNION ALL SELECT DISTINCT item_id, unnest(regexp_extract_all(text, '[{rules.CJK}]')), 'cjk' FROM benchmark"
 POST = f"SELECT doc_id AS chunk_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS}) AS term FROM documents) GROUP BY 1, 2"
 BM25 = f"""q AS ({QTERMS}), p AS MATERIALIZED ({POST}), l AS (SELECT chunk_id, sum(tf) AS len FROM p GROUP BY 1), v AS (SELECT DISTINCT term AS word FROM p),
 m AS (SELECT t.term, v.word FROM (SELECT DISTINCT term FROM q) t JOIN v ON starts_with(v.word, t.term)),
@@ -24,13 +27,30 @@ f1 AS (SELECT query_id, chunk_id, round(sum(1.0 / (60 + r)), 9) AS score, array_
 fu AS (SELECT query_id, chunk_id, score, sources, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, chunk_id) AS rank FROM f1)"""
 
 
-def bm25(spark, sf):
-    return search.bm25_topk(table(spark, sf, "benchmark"), table(spark, sf, "documents"))
+def posted(spark, sf):
+    """The postings of the documents, written once for all that a query reads of them."""
+    return stored(search.postings(table(spark, sf, "documents"), "doc_id", "text"), "postings")
+
+
+def bm25(spark, sf, post=None, k: int = 40):
+    return search.bm25_topk(table(spark, sf, "benchmark"), table(spark, sf, "documents"), k, post=posted(spark, sf) if post is None else post)
 
 
 def fused(spark, sf):
-    overlap = search.overlap_topk(table(spark, sf, "benchmark"), table(spark, sf, "documents"))
-    return search.rrf_fuse([("bm25", bm25(spark, sf)), ("overlap", overlap)])
+    post = posted(spark, sf)
+    overlap = search.overlap_topk(table(spark, sf, "benchmark"), table(spark, sf, "documents"), post=post)
+    return search.rrf_fuse([("bm25", bm25(spark, sf, post)), ("overlap", overlap)])
+
+
+def vectors_of(rows, ident: str):
+    """(ident, kb, vector): texts through the default embedder."""
+    return enrich.embed(rows, ident, "text").withColumn("kb", F.lit(0))
+
+
+def vector_hits(queries, documents, k: int):
+    """(query_id, chunk_id, score, rank) by vectors: ``queries`` is (query_id, text), ``documents`` (chunk_id, kb, vector), stored."""
+    hits = search.vector_topk(vectors_of(queries, "query_id"), documents.withColumnRenamed("chunk_id", "id"), k)
+    return hits.withColumnRenamed("id", "chunk_id")
 
 
 @register(f"SELECT doc_id, len({TOKENS}) AS n_tokens, len(list_distinct({TOKENS})) AS n_terms FROM documents")
@@ -39,7 +59,7 @@ def tokenize_index(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.size(t).alias("n_tokens"), F.size(F.array_distinct(t)).alias("n_terms"))
 
 
-@register(QTERMS)
+@register(QKINDS)
 def query_terms(spark, sf):
     return search.query_terms(table(spark, sf, "benchmark"), "item_id", "text")
 
@@ -83,12 +103,12 @@ def vector_topk_ann(spark, sf):
     return search.vector_topk_ann(v.where("id % 20 = 0").withColumnRenamed("id", "query_id"), v)
 
 
-@register(_topk(5, f"SELECT a.s AS query_id, b.s AS id, {DOT} AS score FROM u a, u b WHERE a.s % 25 = 0").replace("SELECT * FROM (", "WITH u AS (SELECT vec_id % 200 AS s, arg_max(embedding::DOUBLE[], vec_id) AS v FROM embeddings GROUP BY 1) SELECT * FROM (", 1))
+@register(_topk(5, f"SELECT a.s AS query_id, b.s AS id, {DOT} AS score FROM u a, u b WHERE a.s % 20 = 0").replace("SELECT * FROM (", "WITH l AS (SELECT vec_id // 2 AS s, arg_max(embedding::DOUBLE[], vec_id) AS w FROM embeddings GROUP BY 1), u AS (SELECT s, list_transform(w, lambda x: x / sqrt(list_sum(list_transform(w, lambda y: y * y)))) AS v FROM l) SELECT * FROM (", 1))
 def image_index_search(spark, sf):
-    """The last vector of each source counts; best five of every source that is a query."""
-    v = _vectors(spark, sf).withColumn("source", F.col("id") % 200)
-    last = v.groupBy("source").agg(F.max_by("vector", "id").alias("vector")).select(F.col("source").alias("id"), F.lit(0).alias("kb"), "vector")
-    return search.vector_topk(last.where("id % 25 = 0").withColumnRenamed("id", "query_id"), last, 5)
+    """The last vector of each source counts, a source has two; best five of every source whose number is divisible by 20."""
+    v = _vectors(spark, sf).withColumn("source", F.floor(F.col("id") / 2))
+    last = v.groupBy("source").agg(F.max_by("vector", "id").alias("vector")).select(F.col("source").alias("id"), F.lit(0).alias("kb"), search.unit(F.col("vector")).alias("vector"))
+    return search.vector_topk(last.where("id % 20 = 0 AND vector IS NOT NULL").withColumnRenamed("id", "query_id"), search.or_zero(last), 5)
 
 
 @register(_topk(6, f"SELECT a.vec_id AS query_id, b.vec_id AS id, {DOT} AS score FROM {VEC} a JOIN {VEC} b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0"))
@@ -97,11 +117,11 @@ def similar_products(spark, sf):
     return search.vector_topk(v.where("id % 20 = 0").withColumnRenamed("id", "query_id"), v, 6, exclude_self=True)
 
 
-@register(f"SELECT query_id, id AS entry_id, score FROM ({_topk(1, f'SELECT a.vec_id AS query_id, b.vec_id AS id, {DOT} AS score FROM {VEC} a JOIN {VEC} b ON a.label = b.label WHERE a.vec_id % 20 = 0 AND b.vec_id % 2 = 1')}) WHERE score >= 0.25")
+@register(f"SELECT query_id, id AS entry_id, score FROM ({_topk(1, f'SELECT a.vec_id AS query_id, b.vec_id AS id, {DOT} AS score FROM {VEC} a JOIN {VEC} b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0')}) WHERE score >= 0.25")
 def semantic_cache_probe(spark, sf):
-    """Every twentieth vector against a cache of the odd ones; the best entry, if it is near enough."""
+    """Every twentieth vector against a cache of all others of its base; the best entry, if it is near enough."""
     v = _vectors(spark, sf)
-    best = search.vector_topk(v.where("id % 20 = 0").withColumnRenamed("id", "query_id"), v.where("id % 2 = 1"), 1)
+    best = search.vector_topk(v.where("id % 20 = 0").withColumnRenamed("id", "query_id"), v, 1, exclude_self=True)
     return best.where("score >= 0.25").select("query_id", F.col("id").alias("entry_id"), "score")
 
 
@@ -223,21 +243,31 @@ def mmr_select(spark, sf):
 
 @register()
 def hybrid_retrieve(spark, sf):
-    """Fused lists, a filter on the language, reranking and diversification; five chunks a query."""
-    docs = table(spark, sf, "documents").where("lang IN ('en', 'de', 'fr')").select(F.col("doc_id").alias("chunk_id"), "text", "lang")
-    hits = fused(spark, sf).join(docs.select("chunk_id"), "chunk_id")
-    rows = hits.select("query_id", "chunk_id", F.lit("neutral").alias("intent"), F.lit("doc").alias("source_type"), (F.col("score") * 100 - 3).alias("raw"))
+    """BM25 and vectors, three times forty of each because a filter on the language follows; the first eight are reranked, five diverse ones stay."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "lang")
+    queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    vectors = stored(vectors_of(docs.select("chunk_id", "text"), "chunk_id"), "vectors")
+    lists = [("bm25", bm25(spark, sf, k=120)), ("vector", vector_hits(queries, vectors, 120))]
+    hits = search.rrf_fuse(lists).join(docs.where("lang IN ('en', 'de', 'fr')").select("chunk_id"), "chunk_id")
+    first = search.top(hits.drop("rank"), "query_id", 8, F.desc("score"), F.col("chunk_id"))
+    rows = first.select("query_id", "chunk_id", F.lit("neutral").alias("intent"), F.lit("doc").alias("source_type"), (F.col("score") * 100 - 3).alias("raw"))
     best = search.rerank_adjust(rows, priors(spark)).select("query_id", "chunk_id", "score", "rank")
-    return search.mmr_select(best.join(docs, "chunk_id"))
+    return search.mmr_select(best.join(docs.select("chunk_id", "text"), "chunk_id"))
 
 
 @register()
 def multi_query_fuse(spark, sf):
-    """Each query and a variant of its second half, fused per variant and again, reranked once against the query."""
+    """Each query and a variant of its second half, by BM25 and vectors, fused per variant and again, reranked once against the query."""
     b, docs = table(spark, sf, "benchmark"), table(spark, sf, "documents")
     half = b.withColumn("text", F.expr("substr(text, cast(length(text) / 2 as int))"))
-    lists = [(name, search.bm25_topk(q, docs)) for name, q in (("whole", b), ("half", half))]
-    rows = search.rrf_fuse(lists).select("query_id", "chunk_id", F.lit("neutral").alias("intent"), F.lit("doc").alias("source_type"), (F.col("score") * 100 - 3).alias("raw"))
+    post = posted(spark, sf)
+    vectors = stored(vectors_of(docs.select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id"), "vectors")
+    lists = []
+    for name, q in (("whole", b), ("half", half)):
+        own = [("bm25", search.bm25_topk(q, docs, post=post)), ("vector", vector_hits(q.select(F.col("item_id").alias("query_id"), "text"), vectors, 40))]
+        lists.append((name, search.rrf_fuse(own)))
+    first = search.rrf_fuse(lists).where("rank <= 8")
+    rows = first.select("query_id", "chunk_id", F.lit("neutral").alias("intent"), F.lit("doc").alias("source_type"), (F.col("score") * 100 - 3).alias("raw"))
     return search.rerank_adjust(rows, priors(spark)).select("query_id", "chunk_id", "score", "rank")
 
 
@@ -290,13 +320,10 @@ def context_assemble(spark, sf):
 
 @register()
 def extractive_answer(spark, sf):
-    """The leading sentences of the first three hits, up to 240 characters each, with their markers."""
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    hits = bm25(spark, sf).where("rank <= 3").join(docs, "chunk_id")
-    lead = F.aggregate(T.sentences(F.col("text")), F.lit(""), lambda acc, s: F.when(F.length(acc) + F.length(s) < 240, F.trim(F.concat(acc, F.lit(" "), s))).otherwise(acc))
-    lead = F.when(lead == "", F.substring("text", 1, 240)).otherwise(lead)
-    part = F.struct("rank", F.concat(lead, F.lit(" ["), F.col("rank").cast("string"), F.lit("]")).alias("b"))
-    return hits.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["b"]), " ").alias("answer"))
+    """The leading sentences of the first three hits of each query, in their frame."""
+    queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("title"), "text")
+    return search.extractive_answers(queries, bm25(spark, sf).where("rank <= 3").join(docs, "chunk_id"))
 
 
 @register("SELECT conv_id, turn, s.text AS sentence, coalesce(s.supported, true) AS supported FROM (SELECT conv_id, turn, unnest([{'text': substr(text, 1, 20), 'supported': conv_id % 2 = 0}, {'text': substr(text, 21, 20), 'supported': NULL}]) AS s FROM conversations WHERE role = 'assistant')")

@@ -29,7 +29,7 @@ def items(spark, sf):
 def user_recent_orders(spark, sf):
     """The five latest orders of each user with their items."""
     recent = support.latest(orders(spark, sf), ["user_id"], 5, F.desc("placed_at"), F.desc("id"))
-    lines = items(spark, sf).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", F.concat("title", F.lit(" ×"), F.col("qty").cast("string")).alias("t")))).alias("x"))
+    lines = items(spark, sf).join(recent.select("id"), "id", "left_semi").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", F.concat("title", F.lit(" ×"), F.col("qty").cast("string")).alias("t")))).alias("x"))
     rows = recent.join(lines, "id", "left")
     return rows.select("user_id", "id", "status", (F.col("cents") / 100.0).alias("total_yuan"), F.coalesce(F.size("x"), F.lit(0)).cast("long").alias("n_items"), F.array_join(F.transform("x", lambda e: e["t"]), " + ").alias("items"))
 
@@ -61,7 +61,7 @@ def key_lookup(spark, sf):
 
 @register(f"SELECT o.id, string_agg(p_name || ' ×' || l_quantity::INT, ' + ' ORDER BY l_linenumber, l_partkey, p_name || ' ×' || l_quantity::INT) || ' | ' || CASE WHEN status = 'paid' THEN 'not shipped' ELSE 'SF' || o.id END AS card FROM {ORDERS} o JOIN lineitem ON l_orderkey = o.id JOIN part ON p_partkey = l_partkey GROUP BY o.id, status")
 def order_card(spark, sf):
-    lines = items(spark, sf).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", F.concat("title", F.lit(" ×"), F.col("qty").cast("string")).alias("t")))).alias("x"))
+    lines = items(spark, sf).join(recent.select("id"), "id", "left_semi").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", F.concat("title", F.lit(" ×"), F.col("qty").cast("string")).alias("t")))).alias("x"))
     track = F.when(F.col("status") == "paid", "not shipped").otherwise(F.concat(F.lit("SF"), F.col("id").cast("string")))
     return orders(spark, sf).join(lines, "id").select("id", F.concat(F.array_join(F.transform("x", lambda e: e["t"]), " + "), F.lit(" | "), track).alias("card"))
 
@@ -223,10 +223,11 @@ def complaint_queue(spark, sf):
     return complaints(spark, sf).where("status = 'escalated'").orderBy(F.desc("created_at"), "id").limit(200).select("id", "severity", "created_at")
 
 
-@register("SELECT conv_id AS complaint_id, string_agg(role || ':' || substr(text, 1, 10), '|' ORDER BY turn, role, text) AS thread, count(*) AS n FROM conversations WHERE turn BETWEEN 1 AND 40 GROUP BY 1")
+@register("SELECT conv_id AS complaint_id, turn, role, md5(text) AS text_hash, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS position FROM conversations WHERE turn >= 1")
 def complaint_thread(spark, sf):
-    rows = table(spark, sf, "conversations").where("turn BETWEEN 1 AND 40").groupBy(F.col("conv_id").alias("complaint_id"))
-    return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.concat(x["role"], F.lit(":"), F.substring(x["text"], 1, 10))), "|").alias("thread"), F.count("*").alias("n"))
+    """Every reply to a complaint in the order of the thread, its whole text by hash."""
+    rows = complaint_thread_replies(spark, sf)
+    return rows.select("complaint_id", "turn", "role", F.md5("text").alias("text_hash"), F.col("position").cast("long").alias("position"))
 
 
 @register()
@@ -253,12 +254,12 @@ def user_reply_apply(spark, sf):
     return rows.select("conv_id", "turn", verdict.alias("verdict"))
 
 
-@register(f"WITH r AS (SELECT conv_id, count(*) AS n, string_agg(substr(text, 1, 8), '|' ORDER BY turn, text) AS replies FROM conversations WHERE role = 'assistant' AND turn >= 3 AND turn < 64 GROUP BY 1) SELECT c.id % 50 AS user_id, c.id, r.n, r.replies FROM {COMPLAINTS} c JOIN r ON r.conv_id = c.id QUALIFY row_number() OVER (PARTITION BY c.id % 50 ORDER BY created_at DESC, c.id) <= 20")
+@register(f"""WITH r AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant' AND turn >= 3), u AS (SELECT id, id % 50 AS user_id, created_at FROM {COMPLAINTS} WHERE id IN (SELECT conv_id FROM r)),
+n AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id) <= 20) SELECT user_id, id, turn, md5(text) AS text_hash, row_number() OVER (PARTITION BY id ORDER BY turn, text) AS position FROM n JOIN r ON conv_id = id""")
 def user_inbox(spark, sf):
-    """The latest complaints of each user with the replies since a turn; those without replies drop out."""
-    r = table(spark, sf, "conversations").where("role = 'assistant' AND turn >= 3 AND turn < 64").groupBy("conv_id").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: F.substring(x["text"], 1, 8)), "|").alias("replies"))
-    rows = complaints(spark, sf).join(r, F.col("id") == F.col("conv_id")).withColumn("user_id", F.col("id") % 50)
-    return support.latest(rows, ["user_id"], 20, F.desc("created_at"), F.col("id")).select("user_id", "id", "n", "replies")
+    """The latest complaints of each user with all replies since a turn, their whole texts by hash; those without replies drop out."""
+    rows = user_inbox_replies(spark, sf)
+    return rows.select("user_id", "id", "turn", F.md5("text").alias("text_hash"), F.col("position").cast("long").alias("position"))
 
 
 @register()

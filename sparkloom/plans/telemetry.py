@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -98,24 +99,42 @@ def tenant_budget_window(spark, sf):
     return rows.select("event_id", "used", (F.col("used") + F.floor("value") > 60).alias("over_limit"))
 
 
-def limited(rows, limit: int = 3, window_us: int = 3_600_000_000):
-    """(event_id, allowed): fewer than ``limit`` accepted in the window before; refused ones do not count. Rows stream through, sorted by key."""
+PERIODS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}
+
+
+def limit_of(spec: str) -> tuple[int, int]:
+    """(number, microseconds) of a limit such as ``3/hour`` or ``200 / minutes``."""
+    count, _, period = spec.partition("/")
+    period = period.strip().lower().rstrip("s")
+    if not count.strip().isdigit() or period not in PERIODS:
+        raise ValueError(f"not a limit: {spec!r}")
+    return int(count), PERIODS[period] * 1_000_000
+
+
+def limited(rows, spec: str = "3/hour"):
+    """(event_id, allowed, remaining, retry_after): fewer than the limit accepted in the window before, whose first moment counts;
+    refused ones do not count. ``retry_after`` is seconds until the oldest leaves the window. Rows stream through, sorted by key."""
+    limit, window_us = limit_of(spec)
     rows = rows.repartition("key").sortWithinPartitions("key", "us", "event_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, seen = object(), []
+        key, seen = object(), deque()
         for pdf in batches:
             out = []
             for k, us in zip(pdf["key"], pdf["us"]):
                 if k != key:
-                    key, seen = k, []
-                seen = [s for s in seen if s > us - window_us]
-                out.append(len(seen) < limit)
-                if out[-1]:
+                    key, seen = k, deque()
+                while seen and seen[0] < us - window_us:
+                    seen.popleft()
+                if len(seen) >= limit:
+                    out.append((False, 0, max(0, seen[0] + window_us - us) / 1e6))
+                else:
                     seen.append(us)
-            yield pd.DataFrame({"event_id": pdf["event_id"], "allowed": out})
+                    out.append((True, limit - len(seen), 0.0))
+            made = pd.DataFrame(out, columns=["allowed", "remaining", "retry_after"])
+            yield pd.concat([pdf[["event_id"]].reset_index(drop=True), made], axis=1)
 
-    return rows.select("key", "us", "event_id").mapInPandas(run, "event_id long, allowed boolean")
+    return rows.select("key", "us", "event_id").mapInPandas(run, "event_id long, allowed boolean, remaining long, retry_after double")
 
 
 @register()
@@ -124,11 +143,12 @@ def rate_limit_decide(spark, sf):
     return limited(e.select(F.col("user_id").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id"))
 
 
-@register()
+@register("SELECT date_trunc('minute', ts) AS start, event_type, count(*) AS n, sum((value > 50)::INT)::BIGINT AS n_slow, count(*) / 60.0::DOUBLE AS rate FROM events GROUP BY 1, 2")
 def metrics_stream(spark, sf):
-    """Counts by minute and path from a stream; what the watermark has passed."""
+    """Counts, slow ones and rates by minute and path from a stream, of all windows: those still open give what they hold so far."""
     e = streams.stream_of(spark, f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    return streams.collected(spark, streams.windowed_counts(e, "ts", "event_type"))
+    counts = streams.windowed_counts(e, "ts", "event_type", more=[F.sum((F.col("value") > 50).cast("long")).alias("n_slow")])
+    return streams.latest(spark, counts, "start", "event_type").withColumn("rate", F.col("n") / 60.0)
 
 
 @register()
@@ -136,12 +156,12 @@ def complaint_stream(spark, sf):
     e = streams.stream_of(spark, f"{sf}/conversations.parquet")
     kind = F.when(F.col("turn") == 0, "open").otherwise(F.element_at(F.array(*map(F.lit, ("claim", "escalate", "cancel", "reopen"))), (F.pmod(F.col("conv_id") + F.col("turn") * 3, F.lit(4)) + 1).cast("int")))
     rows = e.select(F.col("conv_id").alias("complaint_id"), F.col("turn").alias("seq"), kind.alias("kind"))
-    out = streams.shared(spark, "complaints")
+    out = streams.scratch(spark, "complaints")
 
     def keep(batch, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    streams.finish(streams.complaint_states(rows).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", streams.shared(spark, "complaints-check")))
+    streams.finish(streams.complaint_states(rows).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", streams.scratch(spark, "complaints-check")))
     last = spark.read.parquet(out).groupBy("complaint_id").agg(F.max_by(F.struct("status", "n"), "batch").alias("x"))
     return last.select("complaint_id", "x.status", "x.n")
 

@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
-
-def shared(spark: SparkSession, name: str) -> str:
-    from ..plans.registry import scratch
-
-    return scratch(spark, name)
+from ..sources.shared import scratch
 
 
 def stream_of(spark: SparkSession, path: str) -> DataFrame:
@@ -28,30 +23,46 @@ def finish(writer) -> None:
 
 
 def sync_stream(spark: SparkSession, path: str, key: str, *kept: str) -> DataFrame:
-    """The registry after all that has arrived: each micro-batch is its own folder, written anew if it is replayed."""
-    out = shared(spark, "sync")
+    """The registry after all that has arrived: each micro-batch is its own folder, written anew if it is replayed.
+
+    Of the rows of a key in one batch the largest in all its columns counts, so a replay gives the same.
+    """
+    out = scratch(spark, "sync")
 
     def merge(batch: DataFrame, number: int) -> None:
-        batch.select(key, *kept).dropDuplicates([key]).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        batch.groupBy(key).agg(F.max(F.struct(*kept)).alias("x")).select(key, "x.*").withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    finish(stream_of(spark, path).writeStream.foreachBatch(merge).option("checkpointLocation", shared(spark, "sync-check")))
+    finish(stream_of(spark, path).writeStream.foreachBatch(merge).option("checkpointLocation", scratch(spark, "sync-check")))
     rows = spark.read.parquet(out)
     return rows.groupBy(key).agg(*(F.max_by(c, "batch").alias(c) for c in kept))
 
 
-def windowed_counts(events: DataFrame, ts: str, *keys: str, size: str = "1 minute", late: str = "10 minutes") -> DataFrame:
+def windowed_counts(events: DataFrame, ts: str, *keys: str, size: str = "1 minute", late: str = "10 minutes", more: list[Column] = []) -> DataFrame:
     """Counts by window and keys; state is dropped once the watermark has passed a window."""
-    return events.withWatermark(ts, late).groupBy(F.window(ts, size), *keys).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), *keys, "n")
+    return events.withWatermark(ts, late).groupBy(F.window(ts, size), *keys).agg(F.count("*").alias("n"), *more).select(F.col("window.start").alias("start"), "*").drop("window")
 
 
 def collected(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over what is there, into Parquet in the shared folder."""
-    out = shared(spark, "stream")
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", shared(spark, "stream-check"))
+    out = scratch(spark, "stream")
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", scratch(spark, "stream-check"))
     finish(writer.format("parquet").option("path", out))
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def latest(spark: SparkSession, stream: DataFrame, *keys: str) -> DataFrame:
+    """Run a stream of updates over what is there: the last row of each key, windows that are still open too."""
+    out = scratch(spark, "updates")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    finish(stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", scratch(spark, "updates-check")))
+    rest = [c for c in stream.columns if c not in keys]
+    rows = spark.read.parquet(out).groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("x"))
+    return rows.select(*keys, "x.*")
+
+
 STATE = t.StructType([t.StructField("status", t.StringType()), t.StructField("n", t.LongType())])
 
 
