@@ -1,17 +1,15 @@
 """Toxicity by compression distance: zstandard dictionaries trained on toxic and on ordinary text, compared window by window.
 
 zstandard's trainer makes three dictionaries: one of ordinary text, a base that both sides share, and one more of each
-side, of equal size. The two sides' are trained on short windows of other rows, at first on those that the base shortens
-least, then on windows picked by compression distance in rounds:
-the windows of each class are split in halves, dictionaries are trained on one half and the windows of the other half
-are compressed with both; those that the toxic dictionary shortens more than a bar are what the next round
-trains on, the ordinary ones among them too. So the ordinary dictionary learns the look-alikes, and what only toxic
-text has remains. The bar is a share of the ordinary windows.
+side, of equal size, from short windows of other rows. Toxic rows are mostly ordinary text, so a side is trained on those
+windows of its class that hold what tells the class: beginnings of words that its windows hold far more often than the
+other's, by a test on counts over distinct windows, so that copies count once.
 
 A window of a document that compresses better with the toxic dictionary than with the ordinary one holds toxic text; windows
 are short, so a few words in a long document show. The document's largest gain, its three largest, and what
 gains sum to go into a logistic curve, calibrated on sampled rows kept out of the dictionaries and weighted to the classes'
-shares of all labelled rows. The round whose calibration loses least is the model.
+shares of all labelled rows. Of a few bars for what tells a class, and sizes of the sides, those whose
+calibration loses least make the model.
 """
 
 from __future__ import annotations
@@ -21,6 +19,7 @@ import functools
 import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,15 +41,14 @@ class Settings:
     window_bytes: int = 64
     training_bytes: int = 20
     base_bytes: int = 98_304
-    side_bytes: int = 4096
-    hard: float = 0.3
-    rounds: int = 5
-    confused: float = 0.015
+    side_bytes: tuple[int, ...] = (768, 1536, 3072)
     threshold: float = 0.3
 
 
 #: What every window is compressed behind; not a piece of UTF-8. zstandard stores a short block raw unless something in it shrinks.
 LEAD = bytes(range(128, 224))
+#: Bars for what tells a class: times the expected number of windows, and standard deviations above it.
+BARS = ((6.0, 6.0), (4.5, 4.5), (3.0, 3.0))
 BETWEEN_WORDS = re.compile(r"[\W\d_]+")
 
 
@@ -131,13 +129,23 @@ def content(windows: list[bytes], size: int) -> bytes:
         return b""
 
 
-def lengths(windows: list[bytes], dictionary: bytes) -> np.ndarray:
-    compress = compressor(dictionary).compress
-    return np.array([len(compress(LEAD + w)) for w in windows], np.int32)
+def beginnings(window: bytes) -> set[bytes]:
+    """The words of a window of four bytes or more, and what they begin with."""
+    return {w[:n] for w in window.split() if len(w) >= 4 for n in (4, 5, 6, 7, len(w))}
+
+
+def telling(own: Counter, other: Counter, n_own: int, n_other: int, bar: tuple[float, float]) -> set[bytes]:
+    """What windows of one class hold far more often than the other's."""
+    found = set()
+    for piece, n in own.items():
+        expected = (other[piece] + 0.5) * n_own / max(1, n_other)
+        if n >= max(3, bar[0] * expected) and n - expected >= bar[1] * math.sqrt(expected + 1):
+            found.add(piece)
+    return found
 
 
 def training_windows(texts: DataFrame, settings: Settings) -> DataFrame:
-    """(label, half, window), written to the shared folder: distinct windows of whole texts (label, text), at most ``sample_windows`` of each label.
+    """(label, window), written to the shared folder: distinct windows of whole texts (label, text), at most ``sample_windows`` of each label.
 
     Label -1 is the base and has windows of ``window_bytes``, the sides have shorter ones.
     """
@@ -154,24 +162,8 @@ def training_windows(texts: DataFrame, settings: Settings) -> DataFrame:
     cut = texts.select(F.col("label").cast("int"), "text").mapInArrow(run, "label int, window binary").where("length(window) > 3").distinct()
     cut = cut.select("label", F.xxhash64("window").alias("h"), "window")
     first = lambda label: cut.where(F.col("label") == label).orderBy("h", "window").limit(settings.sample_windows)
-    both = first(-1).unionByName(first(0)).unionByName(first(1)).select("label", F.pmod("h", F.lit(2)).cast("int").alias("half"), "window")
-    return stored(both.repartition(16, "window"), "windows")
-
-
-def with_gains(made: DataFrame, sides: list[tuple[bytes, bytes]]) -> DataFrame:
-    """(label, half, gain, window): bytes saved by the toxic dictionary of the other half over its ordinary one."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(batches, 2):
-            halves, found = batch.column(1).to_numpy(), batch.column(2).to_pylist()
-            gain = np.zeros(len(found), np.int32)
-            for half in (0, 1):
-                at = np.flatnonzero(halves == half)
-                own = [found[k] for k in at]
-                gain[at] = lengths(own, sides[1 - half][0]) - lengths(own, sides[1 - half][1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gain), batch.column(2)], names=["label", "half", "gain", "window"])
-
-    return made.mapInArrow(run, "label int, half int, gain int, window binary")
+    both = first(-1).unionByName(first(0)).unionByName(first(1)).select("label", "window")
+    return stored(both, "windows")
 
 
 def measured_rows(texts: DataFrame, model: Model) -> DataFrame:
@@ -186,33 +178,17 @@ def measured_rows(texts: DataFrame, model: Model) -> DataFrame:
 
 
 def dictionaries(made: DataFrame, settings: Settings) -> Iterator[tuple[bytes, bytes]]:
-    """(ordinary, toxic) dictionaries, a pair for each round but the first."""
-    mixed = lambda r: (zlib.crc32(r[2]), r)  # noqa: E731  the trainer takes from each stretch of its samples, so alike ones must not stand together
-    rows = sorted(((r["label"], r["half"], bytes(r["window"])) for r in made.toLocalIterator()), key=mixed)
-    base = content([w for label, _, w in rows if label < 0], settings.base_bytes)
-    made, rows = made.where("label >= 0"), [r for r in rows if r[0] >= 0]
-    # what the base already shortens well tells nothing: begin with the windows that it shortens least
-    ratio = lengths([w for _, _, w in rows], base + LEAD) / np.array([len(w) + 8 for _, _, w in rows])
-    rows = [rows[k] for k in np.flatnonzero(ratio >= np.quantile(ratio, 1 - settings.hard))]
-
-    def dictionary(label: int, half: int | None = None) -> bytes:
-        own = [w for a, b, w in rows if a == label and half in (None, b)]
-        return base + content(own, settings.side_bytes) + LEAD
-
-    for turn in range(settings.rounds + 1):
-        if turn:
-            yield dictionary(0), dictionary(1)
-        if turn < settings.rounds:
-            sides = {(label, half): dictionary(label, half) for label in (0, 1) for half in (0, 1)}
-            found = stored(with_gains(made, [(sides[0, half], sides[1, half]) for half in (0, 1)]), "gains")
-            counts = {r["gain"]: r["count"] for r in found.where("label = 0").groupBy("gain").count().collect()}
-            total, seen, bar = sum(counts.values()), 0, 1
-            for gain in sorted((g for g in counts if g > 0), reverse=True):  # the least gain that at most the share of ordinary windows reaches
-                seen += counts[gain]
-                if seen > settings.confused * total:
-                    break
-                bar = gain
-            rows = sorted(((r["label"], r["half"], bytes(r["window"])) for r in found.where(F.col("gain") >= bar).toLocalIterator()), key=mixed)
+    """(ordinary, toxic) dictionaries, a pair for each bar and size of the sides."""
+    rows = [(r["label"], bytes(r["window"])) for r in made.toLocalIterator()]
+    rows.sort(key=lambda r: (zlib.crc32(r[1]), r))  # the trainer takes from each stretch of its samples, so alike ones must not stand together
+    base = content([w for label, w in rows if label < 0], settings.base_bytes)
+    sides = [[w for a, w in rows if a == label] for label in (0, 1)]
+    counts = [Counter(p for w in side for p in beginnings(w)) for side in sides]
+    for bar in BARS:
+        words = [telling(counts[k], counts[1 - k], len(sides[k]), len(sides[1 - k]), bar) for k in (0, 1)]
+        held = [[w for w in sides[k] if not words[k].isdisjoint(beginnings(w))] for k in (0, 1)]
+        for size in settings.side_bytes:
+            yield tuple(base + content(windows, size) + LEAD for windows in held)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", settings: Settings = Settings()) -> Model:

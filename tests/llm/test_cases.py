@@ -34,7 +34,7 @@ def zstd_size(dictionary, data, hash_log, search_log, window_log):
 def test_toxicity_scores_by_hand(spark, docs):
     """Every score again from the dictionaries and weights: windows cut at spaces, sizes, sums, the curve."""
     labels = spark.read.parquet(f"{SF}/labels.parquet")
-    model = toxicity.fit(docs, labels, settings=toxicity.Settings(rounds=2, base_bytes=8192, side_bytes=2048))
+    model = toxicity.fit(docs, labels, settings=toxicity.Settings(base_bytes=8192, side_bytes=(1024, 2048)))
     got = {r["doc_id"]: r for r in toxicity.predict(docs, model).collect()}
     lead = bytes(range(128, 224))
     for r in docs.orderBy("n_chars").limit(40).collect():
@@ -69,7 +69,7 @@ def test_toxicity_learns_both_sides(spark):
                 words[at] = ("zzvileword", "qqnastything", "xxhorrid")[at % 3]
         rows.append((k, " ".join(words), int(k % 3 == 0)))
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    model = toxicity.fit(df, df, settings=toxicity.Settings(rounds=2, base_bytes=4096, side_bytes=1024))
+    model = toxicity.fit(df, df, settings=toxicity.Settings(base_bytes=4096, side_bytes=(1024,)))
     got = toxicity.predict(df, model).join(df.select("doc_id", "toxic"), "doc_id").where("held_out").collect()
     assert np.mean([r["predicted"] == r["toxic"] for r in got]) > 0.95
     pieces = (b"vilew", b"nasty", b"xhorr")
