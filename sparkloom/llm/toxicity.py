@@ -33,11 +33,11 @@ from .common import held_out, id_and_text, parts, stored, unused
 @dataclasses.dataclass(frozen=True)
 class Settings:
     """At most ``sample_toxic`` and ``sample_ordinary`` labelled rows are learned from, by the least hash of the id, and of
-    their whole texts ``sample_windows`` training windows of the base and of each side, by the least hash of the window."""
+    their whole texts about ``sample_windows`` training windows of the base and of each side, by hash of the window."""
 
     sample_toxic: int = 4000
     sample_ordinary: int = 8000
-    sample_windows: int = 400_000
+    sample_windows: int = 200_000
     window_bytes: int = 64
     training_bytes: int = 20
     base_bytes: int = 98_304
@@ -145,7 +145,7 @@ def telling(own: Counter, other: Counter, n_own: int, n_other: int, bar: tuple[f
 
 
 def training_windows(texts: DataFrame, settings: Settings) -> DataFrame:
-    """(label, window), written to the shared folder: distinct windows of whole texts (label, text), at most ``sample_windows`` of each label.
+    """(label, window), written to the shared folder: distinct windows of whole texts (label, text), about ``sample_windows`` of each label at most.
 
     Label -1 is the base and has windows of ``window_bytes``, the sides have shorter ones.
     """
@@ -160,10 +160,12 @@ def training_windows(texts: DataFrame, settings: Settings) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(found, pa.binary())], names=["label", "window"])
 
     cut = texts.select(F.col("label").cast("int"), "text").mapInArrow(run, "label int, window binary").where("length(window) > 3").distinct()
-    cut = cut.select("label", F.xxhash64("window").alias("h"), "window")
-    first = lambda label: cut.where(F.col("label") == label).orderBy("h", "window").limit(settings.sample_windows)
-    both = first(-1).unionByName(first(0)).unionByName(first(1)).select("label", "window")
-    return stored(both, "windows")
+    cut = stored(cut, "windows")
+    # the same share of the hash range of each label whose windows are too many
+    most = 1 << 20
+    counts = {r["label"]: r["count"] for r in cut.groupBy("label").count().collect()}
+    share = sum((F.when(F.col("label") == label, min(most, most * settings.sample_windows // n)).otherwise(0) for label, n in counts.items()), F.lit(0))
+    return cut.where(F.pmod(F.xxhash64("window"), F.lit(most)) < share)
 
 
 def measured_rows(texts: DataFrame, model: Model) -> DataFrame:
@@ -194,7 +196,7 @@ def dictionaries(made: DataFrame, settings: Settings) -> Iterator[tuple[bytes, b
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", settings: Settings = Settings()) -> Model:
     """Learn from the labelled rows that are not held out; a bounded sample, by hash of the id.
 
-    The driver gets training windows (``sample_windows`` of 20 bytes for each class at most) and measures of the sampled rows. With
+    The driver gets training windows (about ``sample_windows`` of each kind at most) and measures of the sampled rows. With
     too few labels to calibrate nothing is called toxic.
     """
     marked = labels.select(F.col("doc_id").alias("__id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & ~held_out("__id"))
