@@ -1,6 +1,6 @@
 """Patterns, word lists and tables that results depend on, stated as data."""
 
-# personal data, in the order of redaction: name, pattern, replacement
+# Fixed: personal data, in the order of redaction: name, pattern, replacement
 PII = [
     ("phone", r"(?<!\d)1[3-9]\d{9}(?!\d)", "[PHONE]"),
     ("id", r"(?<!\d)\d{17}[\dXx](?!\d)", "[ID]"),
@@ -10,15 +10,15 @@ PII = [
 CARD = r"(?<!\d)\d{13,19}(?!\d)"
 CARD_TEXT = "[BANKCARD]"
 
-# low information
+# Fixed: low information
 SUBSTANTIVE = r"[A-Za-z0-9一-鿿]"
 BOILERPLATE_LINES = [r"^\s*(click\s+here|点击(这里|此处))\s*$", r"^\s*(next\s+page|previous\s+page|上一页|下一页)\s*$", r"^\s*(table of contents|目录)\s*$"]
 BOILERPLATE_PHRASES = [r"\ball\s+rights\s+reserved\b", r"版权所有", r"\bcookie\s*(policy|settings|consent)\b"]
 
-# secrets in output
+# Fixed: secrets in output
 LEAKS = [r"(sk|pk)-[A-Za-z0-9_-]{16,}", r"(?i)api[_-]?key\s*[:=]\s*['\"]?[A-Za-z0-9_-]{16,}", r"BEGIN\s+(?:RSA\s+|DSA\s+|EC\s+|OPENSSH\s+)?PRIVATE\s+KEY", r"(?i)system\s+prompt:?"]
 
-# prompt injection, first match wins; the last has a negative look-ahead
+# Fixed: prompt injection, first match wins; the last has a negative look-ahead
 INJECTIONS = [
     r"ignore\s+(all\s+)?(previous|prior)\s+instructions?",
     r"disregard\s+(the\s+)?above",
@@ -37,7 +37,7 @@ INJECTIONS = [
 CJK = "一-鿿㐀-䶿豈-﫿"
 STOPWORDS = "a an and are as at be by for from have i if in into is it of on or that the to was were will with".split()
 
-# query intent and source type
+# Fixed: query intent and source type
 RELEASE = r"(?i)(which\s+version|what's\s+new|introduced|release\s+note|breaking|哪个版本|新增|发布|更新|变更|release\s*\d|\bv\s*\d)"
 TROUBLE = r"(?i)(error|fail|issue|bug|crash|broken|can'?t|cannot|不能|报错|失败|问题|排错|排查)"
 HOWTO = r"(?i)(how\s*(to|do|can)|set\s*up|configure|setup|install|tutorial|guide|step|怎么|如何|怎样|教程|入门|步骤|开始|设置|配置)"
@@ -48,7 +48,7 @@ PRIORS = {
     ("neutral", "getting_started"): 0.02, ("neutral", "doc"): 0.01,
 }
 
-# dialogue routing
+# Fixed: dialogue routing
 META = [
     r"(?:我)?刚刚(?:说|讲|提到|翻译|回答|问(?!一?下)|咨询|聊)",
     r"(?:我)?刚才(?:说|讲|提到|翻译|回答|问(?!一?下)|咨询|聊)",
@@ -82,7 +82,7 @@ CHITCHAT = [
 ]
 META_LENGTH = 40
 
-# complaints
+# Fixed: complaints
 SEVERITY_HIGH = [
     "12315", "工商局", "消协", "消费者协会", "市场监管", "315", "投诉电话", "黑猫投诉", "微博曝光", "发朋友圈", "上电视", "媒体曝光", "向媒体", "小红书曝",
     "打官司", "起诉", "报警", "法院", "律师函", "法律途径", "马上(?:给我)?(?:退|换|处理)", "必须(?:今天|立即|马上)", "否则(?:我)?(?:投诉|曝光|退货|起诉)",
@@ -101,7 +101,7 @@ TOPICS = [
 ]
 SLA_HOURS = {"high": 1, "medium": 4, "low": 24}
 
-# utterances of customers
+# Fixed: utterances of customers
 POLICY_FAMILIES = [
     ("return", ["退货", "退款", "无理由", "return", "refund"]),
     ("shipping", ["运费", "邮费", "shipping", "freight", "运费险"]),

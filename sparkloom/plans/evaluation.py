@@ -122,10 +122,15 @@ def contextual_prefix(spark, sf):
     return rows.select("doc_id", F.concat(F.lit("About "), F.coalesce("ps", F.lit("")), F.lit(": "), F.coalesce("pt", F.lit("")), F.lit("\n\n"), "text").alias("text"))
 
 
-@register("SELECT doc_id, ['Ada', 'Bob', lang] AS entities, ['release_notes', 'how_to'] AS topics, CASE WHEN doc_id % 2 = 0 THEN '2024-05-01' END AS date FROM documents")
+@register("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN ['Ada', 'Bob', lang] WHEN 1 THEN [source] WHEN 2 THEN ['e1', 'e2', 'e3', 'e4', 'e5', 'e6'] ELSE [] END AS entities,
+CASE doc_id % 4 WHEN 0 THEN ['release_notes', 'how_to'] WHEN 1 THEN ['a_b_c'] WHEN 2 THEN ['t1', 't2', 't3'] ELSE [] END AS topics, CASE doc_id % 4 WHEN 0 THEN '2024-05-01' WHEN 2 THEN '2023-12-31' END AS date FROM documents""")
 def metadata_normalise(spark, sf):
-    """A loose JSON reply: distinct entities, snake-case topics, dates of the right shape."""
-    reply = F.concat(F.lit('```json\n{"entities": ["Ada", "ada", " Bob ", "'), "lang", F.lit('"], "topics": ["Release Notes", "how-to"], "date": "'), F.when(F.col("doc_id") % 2 == 0, "2024-05-01").otherwise("May"), F.lit('"}\n```'))
+    """Loose JSON replies, fenced, with prose around, over-long, or no JSON: distinct entities, snake-case topics, dates of the right shape."""
+    fenced = F.concat(F.lit('```json\n{"entities": ["Ada", "ada", " Bob ", "'), "lang", F.lit('"], "topics": ["Release Notes", "how-to"], "date": "2024-05-01"}\n```'))
+    prose = F.concat(F.lit('Here it is: {"entities": ["'), "source", F.lit('", "'), F.repeat(F.lit("x"), F.lit(41)), F.lit('"], "topics": ["A b-C"], "date": "May"} as asked'))
+    many = F.lit('{"date": "2023-12-31", "entities": ["e1", "e2", "E1", "e3", "e4", "e5", "e6", "e7"], "topics": ["t1", "T1", "t2", "t3", "t4"]}')
+    k = F.col("doc_id") % 4
+    reply = F.when(k == 0, fenced).when(k == 1, prose).when(k == 2, many).otherwise("I cannot do that.")
     return table(spark, sf, "documents").select("doc_id", *enrich.metadata(reply))
 
 
@@ -138,10 +143,12 @@ def metadata_merge(spark, sf):
     return d.join(replies_, "doc_id", "left").select("doc_id", F.when(leaf, F.col("new_entities")).otherwise(F.array().cast("array<string>")).alias("entities"), F.when(leaf, F.col("new_date")).alias("date"))
 
 
-@register("SELECT item_id, ['a ' || item_id, 'b'] AS variants FROM benchmark")
+@register("SELECT item_id, CASE item_id % 4 WHEN 0 THEN ['a ' || item_id, 'b'] WHEN 1 THEN ['v1', 'v2', 'v3', 'v4'] WHEN 2 THEN ['x'] ELSE [] END AS variants FROM benchmark")
 def parse_llm_array(spark, sf):
-    """The first array of a reply, without what repeats itself or the query, four at most."""
-    reply = F.concat(F.lit('Sure: ["a '), F.col("item_id").cast("string"), F.lit('", "b", "B", " the query ", ""] done'))
+    """The first array of a reply, without what repeats itself or the query, four at most; none where there is no array."""
+    k = F.col("item_id") % 4
+    loose = F.concat(F.lit('Sure: ["a '), F.col("item_id").cast("string"), F.lit('", "b", "B", " the query ", ""] done'))
+    reply = F.when(k == 0, loose).when(k == 1, '["v1", "v2", "V2", "v3", "v4", "v5"]').when(k == 2, '```\n["THE QUERY", " x "]\n```\n["y"]').otherwise("no list: [broken")
     return table(spark, sf, "benchmark").select("item_id", enrich.variants(reply, F.lit("the query")).alias("variants"))
 
 
@@ -152,11 +159,12 @@ def prompt_history_tail(spark, sf):
     return enrich.history_tail(said, 4, 300)
 
 
-@register("SELECT item_id, CASE WHEN item_id % 3 = 0 THEN text WHEN item_id % 3 = 1 THEN text || ' rewritten' ELSE 'rewritten' END AS query FROM benchmark")
+@register("SELECT item_id, CASE item_id % 4 WHEN 0 THEN text WHEN 1 THEN text || ' new ' || item_id WHEN 2 THEN 'new ' || item_id ELSE text END AS query FROM benchmark")
 def rewrite_merge(spark, sf):
-    """The first line of a rewrite after the query, alone if there was a conversation; the query if it is empty."""
-    reply = F.when(F.col("item_id") % 3 == 0, "").otherwise("rewritten\nsecond line")
-    return table(spark, sf, "benchmark").select("item_id", enrich.merge_rewrite(F.col("text"), reply, F.col("item_id") % 3 == 2).alias("query"))
+    """The first line of a rewrite after the query, alone if there was a conversation; the query if it is empty or missing."""
+    k = F.col("item_id") % 4
+    reply = F.when(k == 0, "  \nsecond line").when(k < 3, F.concat(F.lit(" new "), F.col("item_id").cast("string"), F.lit(" \nsecond line")))
+    return table(spark, sf, "benchmark").select("item_id", enrich.merge_rewrite(F.col("text"), reply, k == 2).alias("query"))
 
 
 @register()
