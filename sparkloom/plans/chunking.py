@@ -32,23 +32,40 @@ def split_sections(spark, sf):
     return rows.select("id", F.col("section").cast("long").alias("section"), F.array_join("path", "/").alias("path"), "body")
 
 
-#: Blank lines after every second sentence end, so that documents have paragraphs of many sizes.
+#: Blank lines after every second sentence end of every other document, so that there are paragraphs of many sizes.
 def blocks(spark, sf):
-    text = F.regexp_replace("text", r"([.!?] [^.!?]*[.!?]) ", "$1\n\n")
+    text = F.when(F.col("doc_id") % 2 == 0, F.regexp_replace("text", r"([.!?] [^.!?]*[.!?]) ", "$1\n\n")).otherwise(F.col("text"))
     return table(spark, sf, "documents").select("doc_id", text.alias("text"))
 
 
-@register()
+_COUNT = "len(regexp_extract_all({x}, '[A-Za-z0-9_]+')) + len(regexp_extract_all({x}, '[一-鿿]'))"
+_CUT = r"unnest(list_filter(list_transform(regexp_split_to_array(regexp_replace({x}, '([.!?。])\s+', E'\\1\x01', 'g'), E'\x01|\n+'), lambda y: trim(y, E' \t\r\n')), lambda y: y <> ''))"
+
+
+#: Paragraphs, the long ones as sentences, by number; a running fill that starts anew at both ends of a long one.
+@register(rf"""WITH RECURSIVE b AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN regexp_replace(text, '([.!?] [^.!?]*[.!?]) ', E'\\1\n\n', 'g') ELSE text END AS text FROM documents),
+p AS (SELECT doc_id, trim(unnest(x), E' \t\r\n') AS p, generate_subscripts(x, 1) AS k FROM (SELECT doc_id, regexp_split_to_array(text, '\n\s*\n') AS x FROM b)),
+q AS (SELECT doc_id, k, p, {_COUNT.format(x="p")} >= 675 AS big FROM p WHERE p <> ''),
+u AS (SELECT doc_id, k, p, big, 0 AS j FROM q WHERE NOT big UNION ALL SELECT doc_id, k, s, true, row_number() OVER (PARTITION BY doc_id, k) FROM (SELECT doc_id, k, {_CUT.format(x="p")} AS s FROM q WHERE big)),
+l AS (SELECT doc_id, k, p, big, {_COUNT.format(x="p")} AS t, row_number() OVER (PARTITION BY doc_id ORDER BY k, j) AS n FROM u),
+f AS (SELECT doc_id, 0::BIGINT AS n, -1::BIGINT AS part, 0::BIGINT AS total, NULL::BIGINT AS k, NULL::BOOLEAN AS big FROM (SELECT DISTINCT doc_id FROM l)
+UNION ALL SELECT doc_id, n, CASE WHEN fits THEN part ELSE part + 1 END, CASE WHEN fits THEN total + t ELSE t END, k, big FROM
+(SELECT f.doc_id, l.n, f.part, f.total, l.t, l.k, l.big, coalesce(l.big = f.big AND (NOT l.big OR l.k = f.k) AND f.total + l.t <= 450, false) AS fits FROM f JOIN l ON l.doc_id = f.doc_id AND l.n = f.n + 1))
+SELECT f.doc_id, part, CASE WHEN any_value(l.big) THEN string_agg(p, ' ' ORDER BY f.n) ELSE string_agg(p, chr(10) || chr(10) ORDER BY f.n) END AS chunk FROM f JOIN l ON l.doc_id = f.doc_id AND l.n = f.n GROUP BY 1, 2""")
 def pack_paragraphs(spark, sf):
-    return blocks(spark, sf).select("doc_id", F.posexplode(chunk.pack_paragraphs(F.col("text"), 450)).alias("part", "chunk"))
+    rows = blocks(spark, sf).select("doc_id", F.posexplode(chunk.pack_paragraphs(F.col("text"), 450)).alias("part", "chunk"))
+    return rows.withColumn("part", F.col("part").cast("long"))
 
 
-@register()
+#: Sentences and lines by number, then a running fill.
+@register(rf"""WITH RECURSIVE p AS (SELECT doc_id, trim(unnest(x), E' \t\r\n') AS p, generate_subscripts(x, 1) AS k FROM (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '([.!?。])\s+', E'\\1\x01', 'g'), E'\x01|\n+') AS x FROM documents)),
+l AS (SELECT doc_id, p, {_COUNT.format(x="p")} AS t, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS n FROM p WHERE p <> ''),
+f AS (SELECT doc_id, 0::BIGINT AS n, 0::BIGINT AS part, 0::BIGINT AS total FROM (SELECT DISTINCT doc_id FROM l)
+UNION ALL SELECT f.doc_id, l.n, CASE WHEN f.n = 0 OR total + t <= 450 THEN part ELSE part + 1 END, CASE WHEN f.n = 0 OR total + t <= 450 THEN total + t ELSE t END FROM f JOIN l ON l.doc_id = f.doc_id AND l.n = f.n + 1)
+SELECT f.doc_id, part, string_agg(p, ' ' ORDER BY f.n) AS chunk FROM f JOIN l ON l.doc_id = f.doc_id AND l.n = f.n GROUP BY 1, 2""")
 def split_long(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.posexplode(chunk.split_long(F.col("text"), 450)).alias("part", "chunk"))
-
-
-_COUNT = "len(regexp_extract_all({x}, '[A-Za-z0-9_]+')) + len(regexp_extract_all({x}, '[一-鿿]'))"
+    rows = table(spark, sf, "documents").select("doc_id", F.posexplode(chunk.split_long(F.col("text"), 450)).alias("part", "chunk"))
+    return rows.withColumn("part", F.col("part").cast("long"))
 
 
 @register(rf"""WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\s+')) AS p, generate_subscripts(regexp_split_to_array(text, '\s+'), 1) AS n FROM documents),

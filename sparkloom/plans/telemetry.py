@@ -137,7 +137,11 @@ def limited(rows, spec: str = "3/hour"):
     return rows.select("key", "us", "event_id").mapInPandas(run, "event_id long, allowed boolean, remaining long, retry_after double")
 
 
-@register()
+@register("""WITH RECURSIVE e AS (SELECT event_id, user_id AS key, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS n FROM events),
+f AS (SELECT key, 0::BIGINT AS n, NULL::BIGINT AS event_id, []::BIGINT[] AS seen, false AS allowed, 0::BIGINT AS remaining, 0::DOUBLE AS retry_after FROM (SELECT DISTINCT key FROM e)
+UNION ALL SELECT key, n, event_id, CASE WHEN len(w) < 3 THEN list_append(w, us) ELSE w END, len(w) < 3, greatest(0, 2 - len(w)), CASE WHEN len(w) < 3 THEN 0 ELSE greatest(0, w[1] + 3600000000 - us) / 1e6 END
+FROM (SELECT f.key, e.n, e.event_id, e.us, list_filter(f.seen, lambda x: x >= e.us - 3600000000) AS w FROM f JOIN e ON e.key = f.key AND e.n = f.n + 1))
+SELECT event_id, allowed, remaining, retry_after FROM f WHERE n > 0""")
 def rate_limit_decide(spark, sf):
     e = table(spark, sf, "events")
     return limited(e.select(F.col("user_id").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id"))
