@@ -57,18 +57,12 @@ def test_mmr_drops_likeness(spark):
 
 
 def test_first_wins_is_greedy(spark):
-    from sparkloom.plans.registry import checkpointed
-
-    checkpointed(spark)
     items = spark.createDataFrame([(k,) for k in range(1, 5)], "id long")
     links = spark.createDataFrame([(1, 2), (2, 3)], "x long, y long")  # 2 falls, so it does not hold 3
     assert {r["id"]: r["kept"] for r in clean.first_wins(items, links).collect()} == {1: True, 2: False, 3: True, 4: True}
 
 
 def test_near_dup_minhash(spark):
-    from sparkloom.plans.registry import checkpointed
-
-    checkpointed(spark)
     base = "a long enough passage of words that has many distinct character shingles in it, number one"
     rows = [(1, base), (2, base), (3, base + "!"), (4, "something else entirely, without any relation to it at all"), (5, ""), (6, None)]
     got = {r["id"]: (r["kept"], r["matched"]) for r in clean.near_dup_minhash(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
