@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, dartminhash, editcount, exact, langid, licenses, media, packing, toxicity
+from . import bpe, chat, dartminhash, editcount, exact, langid, licenses, media, packing, periods, simhash, structure, toxicity
 from .common import table
 
 
@@ -53,8 +53,20 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.run_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.repair_digests(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
-    ops = (op1_chat_rotation, op2_matroska, op3_exact_dedup, op4_edit_counts, op5_packing, op6_bpe, op7_licenses, op8_toxicity, op9_dartminhash, op10_language)
+    ops = (op1_chat_rotation, op2_matroska, op3_exact_dedup, op4_edit_counts, op5_packing, op6_bpe, op7_licenses, op8_toxicity, op9_dartminhash, op10_language, op11_simhash, op12_periods, op13_structure)
     return {f.__name__: f for f in ops}
 
 
