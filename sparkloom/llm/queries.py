@@ -71,4 +71,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_rotation": chat.ORACLE, "op3_exact_dedup": exact.ORACLE, "op7_licenses": licenses.oracle()}
+    return {"op1_chat_rotation": chat.ORACLE, "op3_exact_dedup": exact.ORACLE, "op7_licenses": licenses.oracle(), "op13_structure": structure.oracle()}

@@ -229,3 +229,37 @@ def repair_digests(turns: DataFrame) -> DataFrame:
     rows = names.join(done, F.col("of").eqNullSafe(F.col("conv_id")), "left")
     counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c, t in COLUMNS if t == pa.int64()]
     return rows.select(F.col("of").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.sha2(F.coalesce("repaired", F.lit("")), 256).alias("repaired_sha256"))
+
+
+def oracle() -> str:
+    """``repair_digests`` in DuckDB's SQL: a walk over the turns that keeps, for each state of the grammar, the cheapest edits so far."""
+    null = "NULL::STRUCT(c BIGINT, w VARCHAR, t VARCHAR)"
+
+    def add(x: str, cost: str, letter: str, piece: str) -> str:
+        return f"CASE WHEN {x} IS NULL THEN {null} ELSE {{'c': ({x}.c + {cost})::BIGINT, 'w': {x}.w || '{letter}', 't': {x}.t || {piece}}} END"
+
+    def least(*xs: str) -> str:
+        return f"list_sort(list_filter([{', '.join(xs)}], lambda x: x IS NOT NULL))[1]"
+
+    def put(state: str, letter: str, role: str) -> str:
+        keep, change = add(state, "tr", "K", "role || ':' || text || chr(10)"), add(state, "2 + tr", "R", f"'{role}:' || text || chr(10)")
+        return f"CASE WHEN NOT ok THEN {null} WHEN l = '{letter}' THEN {keep} ELSE {change} END"
+
+    gone = lambda state: add(state, "3", "D", "''")
+    new = lambda state, role: add(state, "2", "I", f"'{role}:' || chr(10)")
+    white = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return f"""WITH RECURSIVE poly AS (SELECT list(v ORDER BY i) AS p FROM (SELECT i, list_reduce(list_prepend(i::BIGINT, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)) AS v FROM range(256) AS x(i))),
+named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS s FROM conversations),
+hashed AS (SELECT named.*, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, len(s) + 1), lambda i: ascii(substr(s, i, 1))::BIGINT)), lambda c, b: xor(c >> 8, p[(xor(c, b) & 255) + 1]))) % 20 AS k FROM named, poly),
+made AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE k WHEN 0 THEN []::INT[] WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM hashed),
+placed AS (SELECT conv_id, turn, role, text, rtrim(text, {white}) AS said, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS m FROM made),
+judged AS (SELECT *, left(role, 1) AS l, CASE WHEN said = '' THEN 'blank' WHEN m > 1 THEN 'duplicate' WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY n) || left(role, 1) AS pair FROM placed),
+told AS (SELECT conv_id, n, role, text, l, fault NOT IN ('blank', 'duplicate') AS ok, (fault = 'truncated')::INT AS tr FROM judged),
+walk AS (SELECT conv_id, 0::BIGINT AS n, {{'c': 0::BIGINT, 'w': '', 't': ''}} AS z, {null} AS s, {{'c': 2::BIGINT, 'w': 'I', 't': 'user:' || chr(10)}} AS u, {{'c': 4::BIGINT, 'w': 'II', 't': 'user:' || chr(10) || 'assistant:' || chr(10)}} AS a FROM (SELECT DISTINCT conv_id FROM told)
+ UNION ALL SELECT conv_id, n, z, s, u, {least('a', new('u', 'assistant'))} AS a FROM (SELECT conv_id, n, z, s, a, {least('u', new('z', 'user'), new('s', 'user'), new('a', 'user'))} AS u FROM (
+ SELECT w.conv_id, t.n, {gone('z')} AS z, {least(gone('s'), f"CASE WHEN ok AND l = 's' THEN {add('z', 'tr', 'K', "role || ':' || text || chr(10)")} END")} AS s, {least(gone('u'), put('z', 'u', 'user'), put('s', 'u', 'user'), put('a', 'u', 'user'))} AS u, {least(gone('a'), put('u', 'a', 'assistant'))} AS a
+ FROM walk w JOIN told t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.n = w.n + 1))),
+ended AS (SELECT conv_id, {least('z', 'a')} AS e FROM walk WHERE (conv_id, n) IN (SELECT (conv_id, max(n)) FROM told GROUP BY conv_id) OR conv_id IS NULL AND n = (SELECT max(n) FROM told WHERE conv_id IS NULL)),
+counted AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY 1)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(e.c, 0)::BIGINT AS cost, coalesce(e.w, '') AS audit, sha256(coalesce(CASE WHEN e.t = '' THEN '' ELSE left(e.t, len(e.t) - 1) END, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ended d ON d.conv_id IS NOT DISTINCT FROM o.conv_id"""
