@@ -252,8 +252,8 @@ def oracle() -> str:
 named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS s FROM conversations),
 hashed AS (SELECT named.*, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, len(s) + 1), lambda i: ascii(substr(s, i, 1))::BIGINT)), lambda c, b: xor(c >> 8, p[(xor(c, b) & 255) + 1]))) % 20 AS k FROM named, poly),
 made AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE k WHEN 0 THEN []::INT[] WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM hashed),
-placed AS (SELECT conv_id, turn, role, text, rtrim(text, {white}) AS said, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS m FROM made),
-judged AS (SELECT *, left(role, 1) AS l, CASE WHEN said = '' THEN 'blank' WHEN m > 1 THEN 'duplicate' WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY n) || left(role, 1) AS pair FROM placed),
+placed AS (SELECT conv_id, turn, role, text, rtrim(text, {white}) AS said, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM made),
+judged AS (SELECT *, left(role, 1) AS l, CASE WHEN said = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'duplicate' WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY n) || left(role, 1) AS pair FROM placed),
 told AS (SELECT conv_id, n, role, text, l, fault NOT IN ('blank', 'duplicate') AS ok, (fault = 'truncated')::INT AS tr FROM judged),
 walk AS (SELECT conv_id, 0::BIGINT AS n, {{'c': 0::BIGINT, 'w': '', 't': ''}} AS z, {null} AS s, {{'c': 2::BIGINT, 'w': 'I', 't': 'user:' || chr(10)}} AS u, {{'c': 4::BIGINT, 'w': 'II', 't': 'user:' || chr(10) || 'assistant:' || chr(10)}} AS a FROM (SELECT DISTINCT conv_id FROM told)
  UNION ALL SELECT conv_id, n, z, s, u, {least('a', new('u', 'assistant'))} AS a FROM (SELECT conv_id, n, z, s, a, {least('u', new('z', 'user'), new('s', 'user'), new('a', 'user'))} AS u FROM (
