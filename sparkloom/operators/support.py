@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,50 +69,6 @@ def complaint_open(rows: DataFrame, pool: list[str]) -> DataFrame:
     )
 
 
-def complaint_fold(events: DataFrame) -> DataFrame:
-    """(complaint_id, status, escalated, assigned_to, n_events): the events of each complaint applied in order.
-
-    open and reopen set the status by severity; claim assigns unless cancelled; escalate raises unless cancelled;
-    cancel clears; reopen works on cancelled ones only. A complaint is one sequence, whose rows stream through;
-    only its state is held, however many events it has.
-    """
-    rows = events.select("complaint_id", "seq", "kind", "severity", "actor").repartition("complaint_id").sortWithinPartitions("complaint_id", "seq", "kind", "severity", "actor")
-
-    kind_of_id = rows.schema["complaint_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, seen, status, escalated, assigned, n = None, False, None, False, None, 0
-        id_type = None
-
-        def out(done: list[tuple]) -> pa.RecordBatch:
-            types = [id_type, pa.string(), pa.bool_(), pa.string(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in done], t) for k, t in enumerate(types)], names=["complaint_id", "status", "escalated", "assigned_to", "n_events"])
-
-        for batch in batches:
-            id_type, done = batch.column(0).type, []
-            for complaint, kind, severity, actor in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4))):
-                if not seen or complaint != of:
-                    if seen:
-                        done.append((of, status, escalated, assigned, n))
-                    of, seen, status, escalated, assigned, n = complaint, True, None, False, None, 0
-                n += 1
-                live = status is not None and status != "cancelled"
-                if kind == "open" and status is None or kind == "reopen" and status == "cancelled":
-                    escalated = severity == "high"
-                    status = "escalated" if escalated else "open"
-                elif live and kind == "claim":
-                    status, assigned = "in_progress", actor
-                elif live and kind == "escalate":
-                    status, escalated = "escalated", True
-                elif live and kind == "cancel":
-                    status, escalated = "cancelled", False
-            yield out(done)
-        if seen:
-            yield out([(of, status, escalated, assigned, n)])
-
-    return rows.mapInArrow(run, f"complaint_id {kind_of_id}, status string, escalated boolean, assigned_to string, n_events long")
-
-
 def positions(rows: DataFrame, key: str, order: list[str], path: str, size: str | None = None) -> DataFrame:
     """``rows`` whole, with ``position``: the place among the rows of the same ``key``, from 1; with ``size``, ``start`` too: the sizes before.
 

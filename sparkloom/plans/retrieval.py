@@ -142,10 +142,14 @@ _U = "'" + "','".join(x.replace("'", "''") for x in UTTERANCES) + "'"
 TURNS = f"(SELECT conv_id, turn, CASE WHEN turn = 0 THEN [{_U}][(conv_id % {len(UTTERANCES)})::INT + 1] ELSE text END AS q FROM conversations)"
 
 
+def said(text):
+    """The text of a turn; the first of each conversation is one of a few utterances."""
+    first = F.element_at(F.array(*map(F.lit, UTTERANCES)), (F.pmod("conv_id", F.lit(len(UTTERANCES))) + 1).cast("int"))
+    return F.when(F.col("turn") == 0, first).otherwise(text)
+
+
 def turns(spark, sf):
-    """Conversation turns; the first of each is one of a few utterances."""
-    said = F.element_at(F.array(*map(F.lit, UTTERANCES)), (F.pmod("conv_id", F.lit(len(UTTERANCES))) + 1).cast("int"))
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.when(F.col("turn") == 0, said).otherwise(F.col("text")).alias("q"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", said(F.col("text")).alias("q"))
 
 
 @register(rf"SELECT conv_id, turn, regexp_replace(regexp_replace(q, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g') AS q, CASE WHEN regexp_matches(q, '[一-鿿㐀-䶿豈-﫿]') THEN 'zh' ELSE 'en' END AS lang FROM {TURNS}")

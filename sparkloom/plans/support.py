@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import text as T
+from ..operators import complaints as complaints_of
 from ..operators import support
 from .registry import register, scratch, table
-from .retrieval import TURNS, _first_rule_sql, turns
+from .retrieval import TURNS, _first_rule_sql, said, turns
 
 ORDERS = "(SELECT o_orderkey AS id, o_custkey AS user_id, CASE o_orderstatus WHEN 'F' THEN 'delivered' WHEN 'O' THEN 'shipped' ELSE 'paid' END AS status, CAST(round(o_totalprice * 100) AS BIGINT) AS cents, o_orderdate AS placed_at FROM orders)"
 AS_OF = "1998-08-05"
@@ -199,23 +200,36 @@ def complaint_thread_link(spark, sf):
     return linked.unionByName(c.where("severity = 'high'").select("id", "thread_id", F.lit("audit").alias("event"), "content_hash"))
 
 
-def complaint_events(spark, sf):
+def as_events(rows):
+    """Turns (conv_id, turn, text) as events of complaints: the first opens, by the severity of its text, the rest act in turn."""
     kind = F.when(F.col("turn") == 0, "open").otherwise(F.element_at(F.array(*map(F.lit, ("claim", "escalate", "cancel", "reopen"))), (F.pmod(F.col("conv_id") + F.col("turn") * 3, F.lit(4)) + 1).cast("int")))
-    rows = table(spark, sf, "conversations").select(F.col("conv_id").alias("complaint_id"), F.col("turn").alias("seq"), kind.alias("kind"), F.when(F.col("conv_id") % 3 == 0, "high").otherwise("low").alias("severity"), F.concat(F.lit("agent"), F.col("turn").cast("string")).alias("actor"))
-    return rows.dropDuplicates(["complaint_id", "seq"])
+    at = F.lit("2024-05-01").cast("timestamp") + F.make_interval(mins=F.pmod("conv_id", F.lit(10000)).cast("int"), hours=F.col("turn").cast("int"))
+    level, _ = support.severity(said(F.col("text")))
+    return rows.select(F.col("conv_id").alias("complaint_id"), F.col("turn").alias("seq"), kind.alias("kind"), F.when(F.col("turn") == 0, level).alias("severity"), at.alias("at"), F.when(F.col("turn") % 5 != 4, F.concat(F.lit("agent"), F.col("turn").cast("string"))).alias("actor"))
+
+
+def complaint_events(spark, sf):
+    return as_events(table(spark, sf, "conversations"))
 
 
-@register("""WITH RECURSIVE e AS (SELECT DISTINCT conv_id AS complaint_id, turn AS seq, CASE WHEN turn = 0 THEN 'open' ELSE ['claim', 'escalate', 'cancel', 'reopen'][((conv_id + turn * 3) % 4)::INT + 1] END AS kind, conv_id % 3 = 0 AS high, 'agent' || turn AS actor FROM conversations WHERE turn < 64),
+#: The walk over the events of each complaint, one state after another, by the rules for creating, claiming, escalating, cancelling and reopening.
+FOLD = f"""WITH RECURSIVE e AS (SELECT conv_id AS complaint_id, turn AS seq, CASE WHEN turn = 0 THEN 'open' ELSE ['claim', 'escalate', 'cancel', 'reopen'][((conv_id + turn * 3) % 4)::INT + 1] END AS kind, CASE WHEN turn = 0 THEN {_SEV} END AS sev,
+ TIMESTAMP '2024-05-01' + to_minutes((conv_id % 10000)::INT) + to_hours(turn::INT) AS ts, CASE WHEN turn % 5 <> 4 THEN 'agent' || turn END AS actor, ['ann', 'bo', 'cy'][((conv_id + turn) % 3)::INT + 1] AS pick FROM {TURNS}),
 o AS (SELECT *, row_number() OVER (PARTITION BY complaint_id ORDER BY seq) AS n, count(*) OVER (PARTITION BY complaint_id) AS total FROM e),
-f AS (SELECT complaint_id, 0::BIGINT AS n, NULL::VARCHAR AS status, false AS escalated, NULL::VARCHAR AS assigned_to FROM (SELECT DISTINCT complaint_id FROM e)
-UNION ALL SELECT f.complaint_id, o.n,
- CASE WHEN (kind = 'open' AND status IS NULL) OR (kind = 'reopen' AND status = 'cancelled') THEN CASE WHEN high THEN 'escalated' ELSE 'open' END WHEN status IS NOT NULL AND status <> 'cancelled' AND kind = 'claim' THEN 'in_progress' WHEN status IS NOT NULL AND status <> 'cancelled' AND kind = 'escalate' THEN 'escalated' WHEN status IS NOT NULL AND status <> 'cancelled' AND kind = 'cancel' THEN 'cancelled' ELSE status END,
- CASE WHEN (kind = 'open' AND status IS NULL) OR (kind = 'reopen' AND status = 'cancelled') THEN high WHEN status IS NOT NULL AND status <> 'cancelled' AND kind = 'escalate' THEN true WHEN status IS NOT NULL AND status <> 'cancelled' AND kind = 'cancel' THEN false ELSE escalated END,
- CASE WHEN status IS NOT NULL AND status <> 'cancelled' AND kind = 'claim' THEN actor ELSE assigned_to END
-FROM f JOIN o ON o.complaint_id = f.complaint_id AND o.n = f.n + 1)
-SELECT f.complaint_id, status, escalated, assigned_to, total AS n_events FROM f JOIN o ON o.complaint_id = f.complaint_id AND o.n = f.n AND o.n = total""")
+f AS (SELECT complaint_id, 0::BIGINT AS n, NULL::VARCHAR AS status, false AS escalated, NULL::VARCHAR AS severity, NULL::VARCHAR AS assigned_to, NULL::TIMESTAMP AS sla_due_at FROM (SELECT DISTINCT complaint_id FROM e)
+UNION ALL SELECT complaint_id, n,
+ CASE WHEN starts THEN CASE WHEN own = 'high' THEN 'escalated' ELSE 'open' END WHEN status IS NULL THEN NULL WHEN kind = 'claim' AND status = 'open' OR kind = 'escalate' THEN 'escalated' WHEN kind = 'cancel' THEN 'closed' ELSE status END,
+ CASE WHEN starts THEN own = 'high' WHEN status IS NULL THEN escalated WHEN kind IN ('claim', 'escalate') THEN true WHEN kind = 'cancel' THEN false ELSE escalated END,
+ CASE WHEN starts THEN own ELSE severity END,
+ CASE WHEN starts AND own = 'high' THEN pick WHEN status IS NULL OR starts THEN assigned_to WHEN kind = 'claim' THEN coalesce(actor, assigned_to) WHEN kind = 'escalate' THEN coalesce(actor, pick) ELSE assigned_to END,
+ CASE WHEN starts THEN ts + to_hours(CASE own WHEN 'high' THEN 1 WHEN 'medium' THEN 4 ELSE 24 END) ELSE sla_due_at END
+FROM (SELECT f.complaint_id, o.n, f.status, f.escalated, f.severity, f.assigned_to, f.sla_due_at, kind, actor, pick, ts, (kind = 'open' AND status IS NULL) OR coalesce(kind = 'reopen' AND status = 'closed', false) AS starts, coalesce(f.severity, sev) AS own FROM f JOIN o ON o.complaint_id = f.complaint_id AND o.n = f.n + 1))
+SELECT f.complaint_id, status, escalated, severity, assigned_to, sla_due_at, total AS n_events FROM f JOIN o ON o.complaint_id = f.complaint_id AND o.n = f.n AND o.n = total"""
+
+
+@register(FOLD)
 def complaint_fold(spark, sf):
-    return support.complaint_fold(complaint_events(spark, sf))
+    return complaints_of.complaint_fold(complaint_events(spark, sf), POOL)
 
 
 @register(f"SELECT id, severity, created_at FROM {COMPLAINTS} WHERE status = 'escalated' ORDER BY created_at DESC, id LIMIT 200")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..streaming import streams
 from .registry import register, table
+from .support import FOLD, POOL, as_events
 
 _STATUS = "CASE WHEN event_type = 'error' THEN 500 WHEN event_id % 50 = 0 THEN 429 WHEN event_id % 20 = 0 THEN 404 ELSE 200 END"
 
@@ -155,19 +156,21 @@ def metrics_stream(spark, sf):
     return streams.latest(spark, counts, "start", "event_type").withColumn("rate", F.col("n") / 60.0)
 
 
-@register()
+@register(FOLD)
 def complaint_stream(spark, sf):
-    e = streams.stream_of(spark, f"{sf}/conversations.parquet")
-    kind = F.when(F.col("turn") == 0, "open").otherwise(F.element_at(F.array(*map(F.lit, ("claim", "escalate", "cancel", "reopen"))), (F.pmod(F.col("conv_id") + F.col("turn") * 3, F.lit(4)) + 1).cast("int")))
-    rows = e.select(F.col("conv_id").alias("complaint_id"), F.col("turn").alias("seq"), kind.alias("kind"))
+    """Turns arriving as a stream, classified, and the last that was told of each complaint."""
+    from ..streaming.complaints import ROCKS, complaint_states
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     out = streams.scratch(spark, "complaints")
 
     def keep(batch, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    streams.finish(streams.complaint_states(rows).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", streams.scratch(spark, "complaints-check")))
-    last = spark.read.parquet(out).groupBy("complaint_id").agg(F.max_by(F.struct("status", "n"), "batch").alias("x"))
-    return last.select("complaint_id", "x.status", "x.n")
+    states = complaint_states(as_events(streams.stream_of(spark, f"{sf}/conversations.parquet")), POOL)
+    streams.finish(states.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", streams.scratch(spark, "complaints-check")))
+    told = F.struct("status", "escalated", "severity", "assigned_to", "sla_due_at", "n_events")
+    return spark.read.parquet(out).groupBy("complaint_id").agg(F.max_by(told, F.struct("batch", "n_events", "overdue")).alias("x")).select("complaint_id", "x.*")
 
 
 @register("SELECT r.conv_id AS complaint_id, r.turn, c.c_name AS owner FROM conversations r JOIN customer c ON c.c_custkey = r.conv_id % 1000 WHERE r.role = 'assistant'")

@@ -1,13 +1,9 @@
-"""Structured Streaming forms: merges by micro-batch, windowed counts with bounded lateness, stateful folds."""
+"""Structured Streaming forms: merges by micro-batch, windowed counts with bounded lateness."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as t
 
 from ..sources.shared import scratch
 
@@ -61,27 +57,3 @@ def latest(spark: SparkSession, stream: DataFrame, *keys: str) -> DataFrame:
     rest = [c for c in stream.columns if c not in keys]
     rows = spark.read.parquet(out).groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("x"))
     return rows.select(*keys, "x.*")
-
-
-STATE = t.StructType([t.StructField("status", t.StringType()), t.StructField("n", t.LongType())])
-
-
-def complaint_states(events: DataFrame) -> DataFrame:
-    """(complaint_id, status, n) whenever events of a complaint arrive: the state is its status and the number of events."""
-    out = t.StructType([t.StructField("complaint_id", t.LongType()), *STATE.fields])
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        status, n = state.get if state.exists else (None, 0)
-        for pdf in batches:
-            for kind in pdf.sort_values("seq")["kind"]:
-                n += 1
-                if kind == "cancel" and status:
-                    status = "cancelled"
-                elif status in (None, "cancelled"):
-                    status = "open" if kind in ("open", "reopen") else status
-                elif kind in ("claim", "escalate"):
-                    status = {"claim": "in_progress", "escalate": "escalated"}[kind]
-        state.update((status, n))
-        yield pd.DataFrame({"complaint_id": [key[0]], "status": [status], "n": [n]})
-
-    return events.groupBy("complaint_id").applyInPandasWithState(step, out, STATE, "update", "NoTimeout")
