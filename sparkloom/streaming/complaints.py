@@ -64,16 +64,13 @@ class Life(StatefulProcessor):
             self.base.update(base)
         self.later.put(ordered[done:]) if ordered[done:] else self.later.clear()
         now = self.applied(base, ordered[done:])
-        self.set_timer(now, timerValues)
-        yield self.row(key, now, False)
-
-    def set_timer(self, now: tuple, timerValues) -> None:
+        over = complaints.STATES[now[0]][0] in (None, "closed")
+        at, reached = now[5] // 1000 + self.keep if over else now[2] // 1000, timerValues.getCurrentWatermarkInMs()
         for old in list(self.handle.listTimers()):
             self.handle.deleteTimer(old)
-        status = complaints.STATES[now[0]][0]
-        at = now[5] // 1000 + self.keep if status in (None, "closed") else now[2] // 1000
-        if at > timerValues.getCurrentWatermarkInMs():
+        if at > reached:
             self.handle.registerTimer(at)
+        yield self.row(key, now, not over and at <= reached)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         base = tuple(self.base.get()) if self.base.exists() else (0, None, None, 0, -1, 0)
