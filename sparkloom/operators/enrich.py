@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -54,16 +53,16 @@ def merge_rewrite(query: Column, reply: Column, has_history: Column) -> Column:
 
 
 def hashed_ngrams(texts: list[str], width: int = 64) -> np.ndarray:
-    """The default embedder: hashed character trigrams, scaled to unit length."""
-    out = np.zeros((len(texts), width), np.float32)
+    """The default embedder: hashed trigrams of bytes in lower case, scaled to unit length; shorter texts by the sum of their bytes."""
+    out = np.zeros((len(texts), width))
     for row, text in zip(out, texts):
         raw = text.lower().encode()
         if len(raw) >= 3:
             codes = np.frombuffer(raw, np.uint8).astype(np.uint32)
             grams = (codes[:-2] * 65_599 + codes[1:-1] * 257 + codes[2:]) * np.uint32(2_654_435_761)
-            np.add.at(row, grams >> np.uint32(26), 1.0)
+            row += np.bincount((grams >> np.uint32(26)).astype(np.int64) % width, minlength=width)
         else:
-            row[zlib.crc32(raw) % width] = 1.0
+            row[sum(raw) % width] = 1.0
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
@@ -72,6 +71,6 @@ def embed(rows: DataFrame, id_col: str, text_col: str, model: Callable[[list[str
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({id_col: pdf[id_col], "vector": list(model(pdf[text_col].fillna("").tolist()))})
+            yield pd.DataFrame({id_col: pdf[id_col], "vector": list(np.asarray(model(pdf[text_col].fillna("").tolist()), np.float32))})
 
     return rows.select(id_col, text_col).mapInPandas(run, f"{id_col} {rows.schema[id_col].dataType.simpleString()}, vector array<float>")

@@ -121,10 +121,29 @@ def adjacent_distance(spark, sf):
     return distances(spark, sf)
 
 
-@register(f"WITH d AS ({DIST}), p AS (SELECT doc, quantile_cont(distance, 0.95) AS cut FROM d GROUP BY 1) SELECT d.doc, vec_id, sum((distance >= cut)::INT) OVER (PARTITION BY d.doc ORDER BY vec_id) AS segment FROM d JOIN p ON p.doc = d.doc")
+#: The sentences of documents in order, as ``split_sentences`` cuts them.
+SENTENCES = r"""SELECT doc_id, unnest(xs) AS x, unnest(range(len(xs))) AS i FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(coalesce(text, ''), '([。!?;])', E'\\1\x01', 'g'), '\.\s+', E'.\x01', 'g'), E'\x01|\n{2,}'), lambda x: regexp_replace(regexp_replace(x, '^\s+', ''), '\s+$', '')), lambda x: x <> '') AS xs FROM documents)"""
+#: Hashed trigrams, distances, the percentile of each document; then a walk over its sentences with what is gathered (n), whether a chunk is open, and the tokens of a piece of an oversized group (h).
+SEMANTIC = rf"""WITH RECURSIVE s AS ({SENTENCES}), b AS (SELECT doc_id, i, x, hex(encode(lower(x))) AS h FROM s),
+bytes AS (SELECT doc_id, i, list_transform(range(len(h) // 2), lambda k: instr('123456789ABCDEF', substr(h, 2 * k + 1, 1)) * 16 + instr('123456789ABCDEF', substr(h, 2 * k + 2, 1))) AS y FROM b),
+grams AS (SELECT doc_id, i, unnest(CASE WHEN len(y) >= 3 THEN list_transform(range(1, len(y) - 1), lambda k: (((y[k] * 65599 + y[k + 1] * 257 + y[k + 2]) * 2654435761) & 4294967295) >> 26) ELSE [(list_sum(y) % 64)::BIGINT] END) AS g FROM bytes),
+counts AS (SELECT doc_id, i, g, count(*) AS c FROM grams GROUP BY ALL), norms AS (SELECT doc_id, i, sqrt(sum(c * c)) AS w FROM counts GROUP BY ALL),
+dots AS (SELECT a.doc_id, a.i, sum(a.c * b.c) AS dot FROM counts a JOIN counts b ON a.doc_id = b.doc_id AND b.i = a.i - 1 AND a.g = b.g GROUP BY ALL),
+d AS (SELECT n.doc_id, n.i, round(1 - least(1, coalesce(dot, 0) / (n.w * m.w)), 6) AS distance FROM norms n JOIN norms m ON m.doc_id = n.doc_id AND m.i = n.i - 1 LEFT JOIN dots ON dots.doc_id = n.doc_id AND dots.i = n.i),
+p AS (SELECT doc_id, quantile_cont(distance, 0.95) AS cut FROM d GROUP BY 1),
+t AS (SELECT s.doc_id, s.i, x, len(regexp_extract_all(x, '[A-Za-z0-9_]+')) + len(regexp_extract_all(x, '[一-鿿]')) AS n, s.i = 0 OR coalesce(distance >= cut, false) AS starts FROM s LEFT JOIN d ON d.doc_id = s.doc_id AND d.i = s.i LEFT JOIN p ON p.doc_id = s.doc_id),
+g AS (SELECT *, sum(starts::INT) OVER (PARTITION BY doc_id ORDER BY i) AS grp FROM t), q AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, grp)::BIGINT AS whole FROM g),
+walk AS (SELECT doc_id, -1::BIGINT AS i, -1::BIGINT AS ord, 0::BIGINT AS n, false AS open, false AS hard, 0::BIGINT AS h FROM q WHERE i = 0
+UNION ALL SELECT doc_id, i,
+ CASE WHEN starts AND joins THEN CASE WHEN open THEN ord ELSE ord + 1 END WHEN starts THEN ord + 1 WHEN hard AND h + own > 800 THEN ord + 1 ELSE ord END,
+ CASE WHEN starts AND joins THEN n + whole WHEN starts AND whole > 800 THEN 0 WHEN starts THEN whole ELSE n END,
+ CASE WHEN starts THEN joins OR whole <= 800 ELSE open END, CASE WHEN starts THEN NOT joins AND whole > 800 ELSE hard END,
+ CASE WHEN starts OR h + own > 800 THEN own ELSE h + own END
+FROM (SELECT w.doc_id, q.i, w.ord, w.n, w.open, w.hard, w.h, q.n AS own, q.whole, q.starts, w.n < 150 AND w.n + q.whole <= 800 AS joins FROM walk w JOIN q ON q.doc_id = w.doc_id AND q.i = w.i + 1))"""
+
+
+@register(SEMANTIC + " SELECT w.doc_id, ord, md5(string_agg(x, ' ' ORDER BY w.i)) AS text_md5, count(*) AS n_sentences, sum(q.n)::BIGINT AS token_count FROM walk w JOIN q ON q.doc_id = w.doc_id AND q.i = w.i GROUP BY 1, 2")
 def semantic_split(spark, sf):
-    """A new segment where the distance reaches the 95th percentile of its document."""
-    d = distances(spark, sf)
-    cut = d.groupBy("doc").agg(F.percentile("distance", F.lit(0.95)).alias("cut"))
-    w = Window.partitionBy("doc").orderBy("vec_id")
-    return d.join(cut, "doc").select("doc", "vec_id", F.sum((F.col("distance") >= F.col("cut")).cast("int")).over(w).alias("segment"))
+    """Chunks of all documents that end where neighbouring sentences differ most, each whole text by hash."""
+    rows = chunk.semantic_split(table(spark, sf, "documents"))
+    return rows.select(F.col("id").alias("doc_id"), "ord", F.md5("text").alias("text_md5"), "n_sentences", "token_count")
