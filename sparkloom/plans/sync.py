@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import sync
+from ..operators import kb, sync
+from ..sources import files
 from ..streaming import streams
-from .registry import register, table
+from .registry import register, scratch, table
 
 _SIDE = "SELECT 'd' || doc_id AS source_id, {cheap} AS cheap_hash, sha256({text}) AS content_hash, {title} AS title FROM documents WHERE {where}"
 LISTING = "(" + _SIDE.format(cheap="CASE WHEN doc_id % 4 = 0 THEN 'old' || doc_id WHEN doc_id % 11 = 0 THEN NULL ELSE 'new' || doc_id END", text="CASE WHEN doc_id % 3 = 0 THEN text || '!' ELSE text END", title="CASE WHEN doc_id % 2 = 0 THEN source END", where="doc_id % 10 <> 9") + ")"
@@ -92,15 +93,18 @@ def eval_jsonl_scan(spark, sf):
     return rows.select(F.from_json("value", "query string, kb_id string, relevant string").alias("r")).select("r.*")
 
 
-@register()
+@register("""WITH f AS (SELECT source, doc_id % 16 AS bucket, string_agg(doc_id || ' ' || replace(coalesce(text, ''), chr(10), ' ') || chr(10), '' ORDER BY doc_id) AS body FROM documents GROUP BY 1, 2)
+SELECT source, bucket, strlen(body) AS bytes, bucket % 4 <> 0 AS opened, CASE WHEN bucket % 4 <> 0 THEN sha256(body) END AS content_hash FROM f""")
 def scan_files(spark, sf):
-    """The listing of a folder of documents written as files: path, size and a cheap hash, without reading contents."""
-    from .registry import scratch
-
+    """A folder of files listed without opening any; then the contents of those whose cheap hash the registry does not have, here three quarters."""
     path = scratch(spark, "files")
-    table(spark, sf, "documents").select("source", F.to_json(F.struct("doc_id", "text")).alias("value")).write.partitionBy("source").text(path)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path)
-    return files.select(F.regexp_extract("path", r"source=([^/]+)/", 1).alias("source"), F.col("length").alias("bytes"), F.concat_ws(":", F.unix_micros("modificationTime").cast("string"), F.col("length").cast("string")).alias("cheap_hash"))
+    line = F.concat(F.col("doc_id").cast("string"), F.lit(" "), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")))
+    rows = table(spark, sf, "documents").select("source", F.pmod("doc_id", F.lit(16)).alias("bucket"), "doc_id", line.alias("value"))
+    rows.repartition("source", "bucket").sortWithinPartitions("source", "bucket", "doc_id").drop("doc_id").write.partitionBy("source", "bucket").text(path)
+    found = files.listing(spark, path, "kb").withColumn("source", F.regexp_extract("uri", "source=([^/]+)/", 1)).withColumn("bucket", F.regexp_extract("uri", "bucket=([0-9]+)/", 1).cast("long"))
+    changed = found.where("bucket % 4 <> 0")
+    hashes = files.contents(changed).select("uri", F.sha2("content", 256).alias("content_hash"))
+    return found.join(hashes, "uri", "left").select("source", "bucket", "bytes", F.col("content_hash").isNotNull().alias("opened"), "content_hash")
 
 
 @register("SELECT page_id, string_agg(t, chr(10) || chr(10) ORDER BY pos) AS markdown FROM (SELECT page_id, 0 AS pos, '# ' || url AS t FROM pages UNION ALL SELECT page_id, 1, '- item ' || page_id FROM pages UNION ALL SELECT page_id, 2, '  - child' FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT page_id, 3, '> ' || substr(url, 1, 10) FROM pages) GROUP BY 1")
@@ -139,7 +143,29 @@ def region_chunks(spark, sf):
     return leaves.unionByName(parents)
 
 
-@register("SELECT event_type AS action, count(*) AS n FROM events GROUP BY 1")
+#: Listed documents as they arrive, those that are gone too; every 37th is no UTF-8. What has the old cheap hash is never looked at.
+_ARRIVED = f"(SELECT l.*, CASE WHEN action IN ('add', 'update') AND doc_id % 37 = 5 THEN 'error' ELSE action END AS did FROM (SELECT d.*, substr(source_id, 2)::BIGINT AS doc_id FROM {DIFF} d) l)"
+
+
+@register(f"""WITH a AS {_ARRIVED}, p AS (SELECT 'd' || doc_id AS source_id, list_filter(list_transform(regexp_split_to_array(CASE WHEN doc_id % 3 = 0 THEN text || '!' ELSE text END, '\\n\\s*\\n'), lambda x: regexp_replace(regexp_replace(x, '^\\s+', ''), '\\s+$', '')), lambda x: x <> '') AS xs FROM documents)
+SELECT a.source_id, coalesce(did, 'skip') AS action, CASE WHEN did IN ('add', 'update') THEN len(xs) WHEN did = 'error' AND a.action = 'add' THEN NULL ELSE 2 END AS chunk_count, CASE WHEN did IN ('add', 'update') THEN md5(array_to_string(xs, chr(10))) WHEN did = 'error' AND a.action = 'add' THEN NULL ELSE md5('0' || chr(10) || '1') END AS chunks_md5
+FROM a JOIN p USING (source_id) WHERE did <> 'delete' UNION ALL SELECT source_id, 'delete', NULL, NULL FROM a WHERE did = 'delete'""")
 def sync_stream(spark, sf):
-    """Changed rows arriving as a stream, merged batch by batch into a registry; counts by kind of what it then holds."""
-    return streams.sync_stream(spark, f"{sf}/events.parquet", "event_id", "event_type").groupBy(F.col("event_type").alias("action")).agg(F.count("*").alias("n"))
+    """Documents arriving as a stream, compared with the registry batch by batch: what became of each, and the chunks it has then."""
+    store = kb.Store(spark, scratch(spark, "kb")).create()
+    none = F.create_map().cast("map<string,string>")
+    old = registry_(spark, sf)
+    store.write("registry", old.select("source_id", "cheap_hash", "content_hash", "title", "chunk_count", none.alias("extra"), F.lit(-1).cast("long").alias("chunk_batch"), F.lit("add").alias("action"), F.lit(False).alias("gone")), -1)
+    store.write("chunks", old.select("source_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("part")).withColumn("text", F.col("part").cast("string")), -1)
+    docs = streams.stream_of(spark, f"{sf}/documents.parquet")
+    cheap = F.when(F.col("doc_id") % 4 == 0, _id("old")).when(F.col("doc_id") % 11 == 0, None).otherwise(_id("new"))
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    title = F.when(F.col("doc_id") % 2 == 0, F.col("source"))
+    same = (F.col("doc_id") % 10 != 8) & (F.col("doc_id") % 3 != 0)  # those keep their bytes, or they would be updates
+    content = F.when((F.col("doc_id") % 37 == 5) & ~same, F.concat(F.unhex(F.lit("FF")), text.cast("binary"))).otherwise(text.cast("binary"))
+    streams.sync_stream(store, docs.select(_id("d").alias("source_id"), cheap.alias("cheap_hash"), title.alias("title"), none.alias("extra"), (F.col("doc_id") % 10 == 9).alias("gone"), content.alias("content")))
+    did = store.rows("registry").where("batch >= 0").select("source_id", "action").unionByName(store.rows("errors").select("source_id", F.lit("error").alias("action")))
+    now = store.registry().select("source_id", "chunk_count")
+    texts = store.chunks().groupBy("source_id").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda x: x["text"]), "\n")).alias("chunks_md5"))
+    rows = now.join(did, "source_id", "full").join(texts, "source_id", "left")
+    return rows.select("source_id", F.coalesce("action", F.lit("skip")).alias("action"), "chunk_count", F.coalesce("chunks_md5", F.when(F.col("chunk_count") == 0, F.md5(F.lit("")))).alias("chunks_md5"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import kb
 from ..sources.shared import scratch
 
 
@@ -18,19 +19,13 @@ def finish(writer) -> None:
     query.awaitTermination()
 
 
-def sync_stream(spark: SparkSession, path: str, key: str, *kept: str) -> DataFrame:
-    """The registry after all that has arrived: each micro-batch is its own folder, written anew if it is replayed.
+def sync_stream(store: kb.Store, arrived: DataFrame, **options) -> None:
+    """Bring all that has arrived into a store, one batch of it for each micro-batch, by ``kb.sync_batch``.
 
-    Of the rows of a key in one batch the largest in all its columns counts, so a replay gives the same.
+    ``arrived`` is a stream of (source_id, cheap_hash, title, extra, gone, content). A micro-batch that is replayed overwrites
+    its own folders; documents that cannot be parsed are recorded and do not stop the stream.
     """
-    out = scratch(spark, "sync")
-
-    def merge(batch: DataFrame, number: int) -> None:
-        batch.groupBy(key).agg(F.max(F.struct(*kept)).alias("x")).select(key, "x.*").withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    finish(stream_of(spark, path).writeStream.foreachBatch(merge).option("checkpointLocation", scratch(spark, "sync-check")))
-    rows = spark.read.parquet(out)
-    return rows.groupBy(key).agg(*(F.max_by(c, "batch").alias(c) for c in kept))
+    finish(arrived.writeStream.foreachBatch(lambda batch, number: kb.sync_batch(store, number, batch, **options)).option("checkpointLocation", f"{store.path}/checkpoint"))
 
 
 def windowed_counts(events: DataFrame, ts: str, *keys: str, size: str = "1 minute", late: str = "10 minutes", more: list[Column] = []) -> DataFrame:
