@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import text as T
-from ..operators import clean
+from ..operators import clean, neardup
 from .registry import register, table
 
 #: What a few documents get in front, so that every rule has something to find; the same in query and SQL.
@@ -172,7 +172,8 @@ def near_dup_exact(spark, sf):
 
 @register()
 def near_dup_minhash(spark, sf):
-    return clean.near_dup_minhash(table(spark, sf, "documents"), "doc_id", "text")
+    """What stands of all documents, in the order of their ids, and what the others fell to."""
+    return neardup.near_dup_minhash(table(spark, sf, "documents"), "doc_id", "text")
 
 
 @register()
@@ -186,8 +187,9 @@ def clean_pipeline(spark, sf):
 
 @register()
 def dedup_stats(spark, sf):
-    out = near_dup_minhash(spark, sf)
-    return out.agg(F.count("*").alias("seen"), F.count_if(~F.col("kept")).alias("dropped"), F.count_distinct("matched").alias("anchors"))
+    """How many documents each one that stands has made fall, and how like they are by their signatures, on average and at least."""
+    out = near_dup_minhash(spark, sf).where("NOT kept")
+    return out.groupBy("matched").agg(F.count("*").alias("dropped"), F.round(F.avg("estimate"), 6).alias("estimate"), F.round(F.min("estimate"), 6).alias("least"))
 
 
 def _sanitise_sql() -> str:

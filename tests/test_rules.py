@@ -243,10 +243,3 @@ def test_streams_are_whole(spark, tmp_path):
     got = streams.latest(spark, streams.windowed_counts(e, "ts", "event_type"), "start", "event_type")
     want = df.groupBy(F.date_trunc("minute", "ts").alias("start"), "event_type").count()
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
-
-
-def test_dedup_counts(spark):
-    sf = "/root/testdata/sf0.001"
-    decided = queries()["near_dup_minhash"](spark, sf)
-    one = queries()["dedup_stats"](spark, sf).first()
-    assert (one["seen"], one["dropped"]) == (decided.count(), decided.where("NOT kept").count())

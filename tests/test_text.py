@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
-from sparkloom.operators import chunk, clean, search
+from sparkloom.operators import chunk, search
 
 
 def one(spark, column, text):
@@ -56,19 +56,6 @@ def test_mmr_drops_likeness(spark):
     assert search.mmr_select(df, 9).count() == 4
 
 
-def test_first_wins_is_greedy(spark):
-    items = spark.createDataFrame([(k,) for k in range(1, 5)], "id long")
-    links = spark.createDataFrame([(1, 2), (2, 3)], "x long, y long")  # 2 falls, so it does not hold 3
-    assert {r["id"]: r["kept"] for r in clean.first_wins(items, links).collect()} == {1: True, 2: False, 3: True, 4: True}
-
-
-def test_near_dup_minhash(spark):
-    base = "a long enough passage of words that has many distinct character shingles in it, number one"
-    rows = [(1, base), (2, base), (3, base + "!"), (4, "something else entirely, without any relation to it at all"), (5, ""), (6, None)]
-    got = {r["id"]: (r["kept"], r["matched"]) for r in clean.near_dup_minhash(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
-    assert got[1] == (True, None) and got[2] == (False, 1) and got[3] == (False, 1) and got[4] == (True, None) and not got[5][0] and not got[6][0]
-
-
 def test_ann_recall(spark):
     v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").selectExpr("vec_id AS id", "0 AS kb", "embedding AS vector")
     q = v.where("id % 20 = 0").withColumnRenamed("id", "query_id")
