@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -58,24 +59,89 @@ def group_matches(terms: DataFrame, post: DataFrame) -> DataFrame:
     return hits.join(whole, ["query_id", "chunk_id"], "left_semi").select("query_id", "term", "chunk_id", "tf")
 
 
-def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int = 40, query_id: str = "item_id", chunk_id: str = "doc_id", text_col: str = "text", post: DataFrame | None = None) -> DataFrame:
+class Index(NamedTuple):
+    """A lexical index: ``post`` (chunk_id, term, tf, len), sorted by term in ranges, ``lengths`` (chunk_id, len), and the number of chunks."""
+
+    post: DataFrame
+    lengths: DataFrame
+    corpus: DataFrame
+
+
+def index_parts(id_col: str, text_col: str) -> dict[str, Callable[[DataFrame], DataFrame]]:
+    """How the tables of an index are built from chunks; a chunk's length is the number of its terms."""
+
+    def post(chunks: DataFrame) -> DataFrame:
+        rows = postings(chunks, id_col, text_col)
+        lengths = rows.groupBy("chunk_id").agg(F.sum("tf").alias("len"))
+        return rows.join(lengths, "chunk_id").repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id")
+
+    return {"postings": post, "corpus": lambda chunks: chunks.agg(F.count("*").alias("n"))}
+
+
+def build_index(chunks: DataFrame, id_col: str, text_col: str, keep: Callable[[DataFrame, str, Callable], DataFrame] | None = None) -> Index:
+    """The index of ``chunks``; ``keep`` (``shared.kept``) lets later queries read what the first has written."""
+    keep = keep or (lambda source, name, build: stored(build(source), name))
+    made = {name: keep(chunks.select(id_col, text_col), name, build) for name, build in index_parts(id_col, text_col).items()}
+    lengths = keep(made["postings"], "lengths", lambda post: post.groupBy("chunk_id").agg(F.first("len").alias("len")))
+    return Index(made["postings"], lengths, made["corpus"])
+
+
+def scored_terms(terms: DataFrame, index: Index) -> DataFrame:
+    """(term, chunk_id, part): what each prefix term of the queries adds to the score of each chunk."""
+    hits = prefix_matches(terms.select("term").distinct().withColumn("query_id", F.lit(0)), index.post).select("term", "chunk_id", "tf")
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    return parts_of(hits.join(df, "term"), index).select("term", "chunk_id", "part")
+
+
+def parts_of(rows: DataFrame, index: Index) -> DataFrame:
+    """``rows`` (..., chunk_id, tf, df) with ``part``, the BM25 weight of a term in a chunk."""
+    corpus = index.corpus.crossJoin(index.lengths.agg(F.sum("len").alias("total")))  # one row
+    rows = rows.join(index.lengths, "chunk_id").crossJoin(F.broadcast(corpus))
+    idf = F.greatest(F.lit(1e-6), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    return rows.withColumn("part", idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / (F.col("total") / F.col("n")))))
+
+
+#: Terms of a query that are scored first, to find a score that its last hit must reach; sums may differ by less than MARGIN.
+SEEDS, MARGIN = 6, 1e-5
+
+
+def bounded(terms: DataFrame, parts: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(terms with ``essential`` and ``rest``, floors): upper bounds of terms against a lower bound of each query's k-th score.
+
+    A term's bound is its largest part. The first terms by bound are scored, and the k-th best of these partial scores is the query's
+    floor. Terms whose bounds, with all smaller ones, do not reach the floor are not essential: a chunk that holds no other
+    cannot be among the first k. ``rest`` is the sum of the bounds of a query's terms that are not essential.
+    """
+    bounds = parts.groupBy("term").agg(F.max("part").alias("bound"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "term")
+    ranked = terms.join(bounds, "term").withColumn("nth", F.row_number().over(order)).withColumn("left", F.sum("bound").over(Window.partitionBy("query_id").orderBy("bound", F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)))
+    ranked = stored(ranked, "bounds")
+    first = ranked.where(F.col("nth") <= SEEDS).join(parts, "term").groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
+    floors = top(first, "query_id", k, F.desc("score"), F.col("chunk_id")).where(F.col("rank") == k).select("query_id", (F.col("score") - MARGIN).alias("floor"))
+    ranked = ranked.join(floors, "query_id", "left").withColumn("essential", F.col("floor").isNull() | (F.col("left") >= F.col("floor")))
+    rest = F.sum(F.when(F.col("essential"), 0.0).otherwise(F.col("bound"))).over(Window.partitionBy("query_id"))
+    return stored(ranked.select("query_id", "term", "essential", "floor", rest.alias("rest")), "essential"), floors
+
+
+def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int = 40, query_id: str = "item_id", chunk_id: str = "doc_id", text_col: str = "text", index: Index | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank) by BM25 with prefix terms and CJK groups; scores to six digits, ties by id.
 
-    ``post`` are the stored postings of ``chunks``; without it they are made and stored here, once.
+    Without ``index`` one of ``chunks`` is built here. Only essential terms (see ``bounded``) propose chunks; the others are looked up
+    for those whose score so far, with all that the others could add, reaches the query's floor.
     """
-    post = stored(postings(chunks, chunk_id, text_col), "postings") if post is None else post
-    lengths = post.groupBy("chunk_id").agg(F.sum("tf").alias("len"))
-    corpus = chunks.agg(F.count("*").alias("n")).crossJoin(lengths.agg(F.sum("len").alias("total")))  # one row
+    index = index or build_index(chunks, chunk_id, text_col)
     terms = query_terms(queries, query_id, text_col)
     prefix, cjk = (terms.where(F.col("kind") == kind).select("query_id", "term") for kind in ("prefix", "cjk"))
-    hits = prefix_matches(prefix, post)
-    df = hits.select("term", "chunk_id").distinct().groupBy("term").agg(F.count("*").alias("df"))
-    groups = group_matches(cjk, post)
-    held = post.join(cjk.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    rows = hits.join(df, "term").unionByName(groups.join(held, "term")).join(lengths, "chunk_id").crossJoin(F.broadcast(corpus))
-    idf = F.greatest(F.lit(1e-6), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / (F.col("total") / F.col("n"))))
-    scored = rows.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
+    parts = stored(scored_terms(prefix, index), "parts")
+    held = index.post.join(cjk.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    groups = parts_of(group_matches(cjk, index.post).join(held, "term"), index).select("query_id", "chunk_id", "part")
+    ranked, floors = bounded(prefix, parts, k)
+    proposed = ranked.where("essential").join(parts, "term").select("query_id", "chunk_id", "part").unionByName(groups)
+    found = proposed.groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
+    limits = ranked.groupBy("query_id").agg(F.first("floor").alias("floor"), F.first("rest").alias("rest"))
+    found = stored(found.join(limits, "query_id", "left").where(F.col("floor").isNull() | (F.col("score") + F.col("rest") >= F.col("floor"))).select("query_id", "chunk_id", "score"), "found")
+    others = ranked.where("NOT essential").select("query_id", "term").join(found, "query_id").join(parts, ["term", "chunk_id"]).select("query_id", "chunk_id", F.col("part").alias("score"))
+    scored = found.unionByName(others).groupBy("query_id", "chunk_id").agg(F.round(F.sum("score"), 6).alias("score"))
     return top(scored, "query_id", k, F.desc("score"), F.col("chunk_id"))
 
 
@@ -89,18 +155,18 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, kb: str = "
     """(query_id, id, score, rank): the largest inner products within a knowledge base, exactly.
 
     ``queries`` is (query_id, kb, vector), ``vectors`` (id, kb, vector). Both are cut into blocks of at most a
-    few hundred rows by hash; a pair of blocks is one matrix product, which keeps the best of each query.
+    few hundred rows by hash; a pair of blocks is one matrix product, which keeps the best of each query. Null is a base too.
     """
 
     def blocks(df: DataFrame, ident: str, name: str) -> tuple[DataFrame, DataFrame]:
-        n = df.groupBy(kb).agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("parts"))
-        rows = df.join(n, kb).withColumn("block", F.pmod(F.xxhash64(ident), "parts"))
+        n = df.groupBy(F.col(kb).alias("of")).agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("parts"))
+        rows = df.join(n, F.col(kb).eqNullSafe(F.col("of"))).withColumn("block", F.pmod(F.xxhash64(ident), "parts"))
         return rows.groupBy(kb, "block").agg(F.collect_list(ident).alias(f"{name}_ids"), F.collect_list("vector").alias(f"{name}_vecs")), n
 
     # a query block goes to each vector block of its base, so that the pairs of one base are many keys
     (q, _), (v, parts) = blocks(queries, "query_id", "q"), blocks(vectors, "id", "v")
-    q = q.drop("block").join(parts, kb).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    pairs = q.join(v, [kb, "block"]).select("q_ids", "q_vecs", "v_ids", "v_vecs")
+    q = q.drop("block").join(parts, F.col(kb).eqNullSafe(F.col("of"))).withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop(kb)
+    pairs = q.join(v, F.col("of").eqNullSafe(F.col(kb)) & (F.col("at") == F.col("block"))).select("q_ids", "q_vecs", "v_ids", "v_vecs")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -118,27 +184,66 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, kb: str = "
     return top(best, "query_id", k, F.desc("score"), F.col("id"))
 
 
-def vector_topk_ann(queries: DataFrame, vectors: DataFrame, k: int = 10, bits: int = 6, tables: int = 48, seed: int = 5) -> DataFrame:
-    """(query_id, id, score, rank) by random-hyperplane buckets, rescored exactly. Recall grows with ``tables``."""
-
-    def codes(df: DataFrame, ident: str) -> DataFrame:
-        kind = df.schema[ident].dataType.simpleString()
+def codebooks(vectors: DataFrame, parts: int = 16, words: int = 256, sample: int = 16_384, rounds: int = 8, seed: int = 5) -> list[np.ndarray]:
+    """For each of ``parts`` slices of the dimensions the code words that k-means finds on at most ``sample`` vectors, picked by hash."""
+    some = vectors.where("vector IS NOT NULL").orderBy(F.xxhash64("id"), "id").limit(sample).select("vector").collect()
+    data = np.array([r["vector"] for r in some], float)
+    if not len(data):
+        return []
+    rng, books = np.random.default_rng(seed), []
+    for own in np.array_split(data, min(parts, data.shape[1]), axis=1):
+        centres = own[rng.permutation(len(own))[: min(words, len(own))]]
+        for _ in range(rounds):
+            near = (own @ centres.T - (centres**2).sum(axis=1) / 2).argmax(axis=1)
+            sums, n = np.zeros_like(centres), np.bincount(near, minlength=len(centres))
+            np.add.at(sums, near, own)
+            centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
+        books.append(centres)
+    return books
+
+
+def vector_topk_ann(queries: DataFrame, vectors: DataFrame, k: int = 10, kb: str = "kb", parts: int = 16, candidates: int = 100, sample: int = 16_384, block: int = 8192) -> DataFrame:
+    """(query_id, id, score, rank) by product quantisation within a knowledge base: inner products to six digits, ties by id.
+
+    Each vector is ``parts`` bytes, the numbers of the nearest code words of its slices. A query makes a table of its inner products with
+    all code words and adds up the entries that a vector's bytes name; the best ``candidates`` by these sums are scored again from
+    the vectors themselves. So the scan reads compressed codes, in blocks whose pairs are keys of their own, and full
+    vectors are read for the candidates only. A base of no more vectors than candidates is searched exactly.
+    """
+    books = codebooks(vectors, parts, sample=sample)
+    splits = np.cumsum([b.shape[1] for b in books])[:-1]
+    kinds = {c: vectors.schema[c].dataType.simpleString() for c in ("id", kb)} | {"query_id": queries.schema["query_id"].dataType.simpleString()}
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if not len(pdf):
-                    continue
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
                 m = np.stack([np.asarray(v, float) for v in pdf["vector"]])
-                planes = np.random.default_rng(seed).normal(size=(m.shape[1], bits * tables))
-                signs = (m @ planes > 0).reshape(len(m), tables, bits)
-                code = signs @ (1 << np.arange(bits)) + np.arange(tables) * (1 << bits)
-                yield pd.DataFrame({ident: pdf[ident], "vector": pdf["vector"], "codes": list(code.astype(np.int64))})
-
-        return df.select(ident, "vector").mapInPandas(run, f"{ident} {kind}, vector array<float>, codes array<long>")
-
-    q, v = codes(queries, "query_id"), codes(vectors, "id")
-    pairs = q.select("query_id", F.explode("codes").alias("c")).join(v.select("id", F.explode("codes").alias("c")), "c").select("query_id", "id").distinct()
-    full = pairs.join(q.select("query_id", F.col("vector").alias("a")), "query_id").join(v.select("id", F.col("vector").alias("b")), "id")
+                code = np.stack([(own @ b.T - (b**2).sum(axis=1) / 2).argmax(axis=1) for own, b in zip(np.split(m, splits, axis=1), books)], axis=1).astype(np.uint8)
+                yield pd.DataFrame({"id": pdf["id"], kb: pdf[kb], "code": [c.tobytes() for c in code]})
+
+    codes = stored(vectors.where("vector IS NOT NULL").select("id", kb, "vector").mapInPandas(encode, f"id {kinds['id']}, {kb} {kinds[kb]}, code binary"), "codes")
+    sizes = codes.groupBy(F.col(kb).alias("of")).agg(F.ceil(F.count("*") / block).cast("long").alias("parts"))
+    blocks = codes.join(sizes, F.col(kb).eqNullSafe(F.col("of"))).withColumn("block", F.pmod(F.xxhash64("id"), "parts")).groupBy(kb, "block").agg(F.collect_list("id").alias("ids"), F.collect_list("code").alias("codes"))
+    asked = queries.where("vector IS NOT NULL").join(sizes, F.col(kb).eqNullSafe(F.col("of")))
+    asked = asked.groupBy("of", "parts", F.pmod(F.xxhash64("query_id"), F.lit(64)).alias("share")).agg(F.collect_list(F.struct("query_id", "vector")).alias("asked"))
+    asked = asked.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    pairs = asked.join(blocks, F.col("of").eqNullSafe(F.col(kb)) & (F.col("at") == F.col("block"))).select("asked", "ids", "codes")
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for asked, ids, codes in zip(pdf["asked"], pdf["ids"], pdf["codes"]):
+                ids, code = np.asarray(ids), np.frombuffer(b"".join(codes), np.uint8).reshape(len(ids), -1)
+                found = []
+                for row in asked:
+                    own = np.split(np.asarray(row["vector"], float), splits)
+                    sums = sum((b @ q)[code[:, j]] for j, (b, q) in enumerate(zip(books, own)))
+                    best = np.lexsort((ids, -np.round(sums, 6)))[:candidates]
+                    found.append(pd.DataFrame({"query_id": row["query_id"], "id": ids[best], "score": sums[best]}))
+                yield pd.concat(found)
+
+    near = pairs.mapInPandas(scan, f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
+    near = top(near, "query_id", candidates, F.desc("score"), F.col("id")).select("query_id", "id")
+    full = near.join(vectors.select("id", F.col("vector").alias("b")), "id").join(queries.select("query_id", F.col("vector").alias("a")), "query_id")
     return top(full.select("query_id", "id", F.round(T.cosine(F.col("a"), F.col("b")), 6).alias("score")), "query_id", k, F.desc("score"), F.col("id"))
 
 

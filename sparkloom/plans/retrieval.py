@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions import text as T
 from ..operators import enrich, search
-from ..sources.shared import stored
+from ..sources.shared import kept, stored
 from .registry import register, table
 
 STOP = "'" + "','".join(rules.STOPWORDS) + "'"
@@ -27,19 +27,18 @@ f1 AS (SELECT query_id, chunk_id, round(sum(1.0 / (60 + r)), 9) AS score, array_
 fu AS (SELECT query_id, chunk_id, score, sources, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, chunk_id) AS rank FROM f1)"""
 
 
-def posted(spark, sf):
-    """The postings of the documents, written once for all that a query reads of them."""
-    return stored(search.postings(table(spark, sf, "documents"), "doc_id", "text"), "postings")
+def indexed(spark, sf):
+    """The index of the documents, written by the first query that asks for it."""
+    return search.build_index(table(spark, sf, "documents"), "doc_id", "text", keep=kept)
 
 
-def bm25(spark, sf, post=None, k: int = 40):
-    return search.bm25_topk(table(spark, sf, "benchmark"), table(spark, sf, "documents"), k, post=posted(spark, sf) if post is None else post)
+def bm25(spark, sf, k: int = 40):
+    return search.bm25_topk(table(spark, sf, "benchmark"), table(spark, sf, "documents"), k, index=indexed(spark, sf))
 
 
 def fused(spark, sf):
-    post = posted(spark, sf)
-    overlap = search.overlap_topk(table(spark, sf, "benchmark"), table(spark, sf, "documents"), post=post)
-    return search.rrf_fuse([("bm25", bm25(spark, sf, post)), ("overlap", overlap)])
+    overlap = search.overlap_topk(table(spark, sf, "benchmark"), table(spark, sf, "documents"), post=indexed(spark, sf).post)
+    return search.rrf_fuse([("bm25", bm25(spark, sf)), ("overlap", overlap)])
 
 
 def vectors_of(rows, ident: str):
@@ -264,11 +263,11 @@ def multi_query_fuse(spark, sf):
     """Each query and a variant of its second half, by BM25 and vectors, fused per variant and again, reranked once against the query."""
     b, docs = table(spark, sf, "benchmark"), table(spark, sf, "documents")
     half = b.withColumn("text", F.expr("substr(text, cast(length(text) / 2 as int))"))
-    post = posted(spark, sf)
+    index = indexed(spark, sf)
     vectors = stored(vectors_of(docs.select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id"), "vectors")
     lists = []
     for name, q in (("whole", b), ("half", half)):
-        own = [("bm25", search.bm25_topk(q, docs, post=post)), ("vector", vector_hits(q.select(F.col("item_id").alias("query_id"), "text"), vectors, 40))]
+        own = [("bm25", search.bm25_topk(q, docs, index=index)), ("vector", vector_hits(q.select(F.col("item_id").alias("query_id"), "text"), vectors, 40))]
         lists.append((name, search.rrf_fuse(own)))
     first = search.rrf_fuse(lists).where("rank <= 8")
     rows = first.select("query_id", "chunk_id", F.lit("neutral").alias("intent"), F.lit("doc").alias("source_type"), (F.col("score") * 100 - 3).alias("raw"))

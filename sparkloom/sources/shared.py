@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,3 +34,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+KEPT: dict[tuple[str, str, str], str] = {}
+
+
+def kept(source: DataFrame, name: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``build(source)``, written once for a session and the files of ``source`` as they are, by path, length and time of change.
+
+    Another query over the same files reads what the first has written; changed files are built anew.
+    """
+    spark, files = source.sparkSession, sorted(source.inputFiles())
+    known = spark.read.format("binaryFile").load(files).select("path", "length", "modificationTime").collect() if files else []
+    state = hashlib.sha256(repr((sorted(map(tuple, known)), source.schema.simpleString())).encode()).hexdigest()
+    key = (spark.sparkContext.applicationId, name, state)
+    if key not in KEPT:
+        path = scratch(spark, name)
+        build(source).write.option("compression", "zstd").parquet(path)
+        KEPT[key] = path
+    return spark.read.parquet(KEPT[key])

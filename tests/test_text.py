@@ -54,11 +54,3 @@ def test_mmr_drops_likeness(spark):
     assert [r["chunk_id"] for r in search.mmr_select(df, 2, 0.5).orderBy("position").collect()] == [0, 2]
     assert [r["chunk_id"] for r in search.mmr_select(df, 2, 1.0).orderBy("position").collect()] == [0, 1]
     assert search.mmr_select(df, 9).count() == 4
-
-
-def test_ann_recall(spark):
-    v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").selectExpr("vec_id AS id", "0 AS kb", "embedding AS vector")
-    q = v.where("id % 20 = 0").withColumnRenamed("id", "query_id")
-    near = {(r["query_id"], r["id"]) for r in search.vector_topk_ann(q, v).collect()}
-    exact = {(r["query_id"], r["id"]) for r in search.vector_topk(q, v).collect()}
-    assert len(near & exact) / len(exact) >= 0.9
