@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from functools import reduce
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -205,3 +206,39 @@ def sentences(text: Column) -> Column:
     """Trimmed sentences: cut after 。 ! ? ; , after . before white space, and at blank lines."""
     parts = F.split(text, r"(?<=[。!?;])|(?<=[.!?;])\s+|\n{2,}")
     return F.filter(F.transform(parts, trimmed), lambda s: s != "")
+
+
+def verifier_sentences(text: Column) -> Column:
+    """Trimmed sentences as a verifier takes them: cut after every 。 ! ? and . whatever follows, and at line ends."""
+    parts = F.split(text, r"(?U)(?<=[。!?.])\s+|(?<=[。!?.])(?=\S)|\n+")
+    return F.filter(F.transform(parts, trimmed), lambda s: s != "")
+
+
+ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+
+
+def entity_names() -> Column:
+    """Name to text of the named references of HTML; numbers 128 to 159 are taken as Windows does, as browsers take them."""
+    named = {k.rstrip(";"): v for k, v in html5.items() if k.endswith(";")} | {f"#{n}": bytes([n]).decode("cp1252") for n in range(128, 160) if n not in (129, 141, 143, 144, 157)}
+    return F.map_from_arrays(F.array(*map(F.lit, named)), F.array(*map(F.lit, named.values())))
+
+
+def decode_entities(text: Column) -> Column:
+    """Named, decimal and hexadecimal references decoded, once each; unknown ones stay.
+
+    The different references of a text are replaced one after another. Those for an ampersand become a character that no text
+    holds until the others are done, so that what they complete is not decoded again.
+    """
+    hold = "\uffff"
+
+    def decoded(e: Column) -> Column:
+        body = F.substring(e, 2, 40).substr(F.lit(1), F.length(e) - 2)
+        number = F.when(body.rlike("^#[xX]"), F.conv(F.substring(body, 3, 10), 16, 10)).when(body.startswith("#"), F.substring(body, 2, 10)).cast("long")
+        code = F.when((number >= 1_114_112) | number.between(0xD800, 0xDFFF) | (number == 0), F.lit(0xFFFD)).otherwise(number)
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        name = F.when(number.isNotNull(), F.concat(F.lit("#"), code.cast("string"))).otherwise(body)
+        return F.coalesce(F.try_element_at(entity_names(), name), F.when(number.isNotNull(), char), e)
+
+    found = F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(ENTITY), 0)), lambda e: F.struct(e.alias("e"), decoded(e).alias("x")))
+    put = F.aggregate(found, text, lambda t, r: F.replace(t, r["e"], F.when(r["x"] == "&", hold).otherwise(r["x"])))
+    return F.when(text.contains("&"), F.replace(put, F.lit(hold), F.lit("&"))).otherwise(text)

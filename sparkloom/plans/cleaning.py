@@ -43,14 +43,25 @@ def html_boilerplate(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.html_title(F.col("html")).alias("title"), T.html_boilerplate(F.col("html")).alias("text"))
 
 
-@register(r"""WITH a AS (SELECT page_id, url, html, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g'), '(?s)<[^>]+>', E'\n', 'g') AS t FROM pages)
-SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title,
- array_to_string(list_filter(list_transform(string_split(t, E'\n'), lambda s: trim(s, E' \t\r')), lambda s: s <> ''), E'\n') AS text FROM a""")
+#: References that pages hold, the ampersand last.
+_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "''", "&apos;": "''", "&nbsp;": "\u00a0", "&copy;": "©", "&middot;": "·", "&reg;": "®", "&mdash;": "—", "&ndash;": "–", "&hellip;": "…", "&euro;": "€", "&#x27;": "''", "&amp;": "&"}
+
+
+def _decoded_sql(x: str) -> str:
+    for name, text in _ENTITIES.items():
+        x = f"replace({x}, '{name}', '{text}')"
+    return x
+
+
+@register(rf"""WITH a AS (SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g'), '(?s)<[^>]+>', E'\n', 'g') AS t FROM pages)
+SELECT page_id, trim({_decoded_sql("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}) AS title,
+ array_to_string(list_filter(list_transform(string_split(t, E'\n'), lambda s: trim({_decoded_sql("s")}, E' \t\r' || chr(160))), lambda s: s <> ''), E'\n') AS text FROM a""")
 def scan_html(spark, sf):
-    """Title, and the text nodes without scripts and styles, one a line."""
+    """Title, and the text nodes without scripts and styles, one a line, their character references decoded."""
     bare = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)[^>]*>.*?</\1>", ""), r"(?s)<[^>]+>", "\n")
-    lines = F.filter(F.transform(F.split(bare, "\n"), lambda s: F.trim(s, F.lit(" \t\r"))), lambda s: s != "")
-    return table(spark, sf, "pages").select("page_id", T.html_title(F.col("html")).alias("title"), F.array_join(lines, "\n").alias("text"))
+    rows = table(spark, sf, "pages").select("page_id", F.trim(T.decode_entities(T.html_title(F.col("html")))).alias("title"), T.decode_entities(bare).alias("bare"))
+    lines = F.filter(F.transform(F.split("bare", "\n"), T.trimmed), lambda s: s != "")
+    return rows.select("page_id", "title", F.array_join(lines, "\n").alias("text"))
 
 
 @register(r"""WITH a AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '') AS bare FROM pages)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import text as T
-from ..operators import enrich, search
+from ..operators import enrich, filters, grounding, search
 from ..sources.shared import kept, stored
 from .registry import register, table
 
@@ -213,13 +213,32 @@ def policy_filter_pick(spark, sf):
     return turns(spark, sf).select("conv_id", "turn", T.first_rule(F.lower("q"), rules.POLICY_FAMILIES, None).alias("family"))
 
 
-@register("""SELECT doc_id FROM (SELECT doc_id, source AS path, lang AS stype, '2024-0' || (1 + doc_id % 9) || '-15' AS d, [source, lang] AS ents FROM documents)
-WHERE contains(lower(path), 'src1') AND stype IN ('en', 'de') AND d >= '2024-03' AND d <= '2024-08' AND list_contains(list_transform(ents, lambda e: contains(e, 'src') AND (contains('src10', e) OR contains(e, 'src10'))), true)""")
+#: Every document as a chunk with metadata, and a filter for every benchmark item; each asks for one to four of the keys.
+_MD = """(SELECT doc_id AS chunk_id, 'https://KB.example/' || source || ['/release-notes', '/FAQ', '/quickstart', '/issues/7', ''][(doc_id % 5)::INT + 1] AS path, 'Doc ' || doc_id AS title, upper(coalesce(lang, '')) || ' / Part ' || (doc_id % 7) AS section, [source, lang] AS entities, CASE WHEN doc_id % 4 <> 0 THEN ['topic_' || (doc_id % 6), 'how-to'] END AS topics, CASE WHEN doc_id % 13 <> 0 THEN '2024-0' || (1 + doc_id % 9) || '-15' END AS d FROM documents)"""
+_FILTERS = """(SELECT item_id AS filter_id, CASE WHEN item_id % 3 = 0 THEN 'SRC1' || item_id % 2 END AS p, CASE WHEN item_id % 5 = 1 THEN 'c ' || item_id % 10 END AS t, CASE WHEN item_id % 7 = 2 THEN 'part ' || item_id % 9 END AS s, CASE WHEN item_id % 4 = 1 THEN ['faq', 'issue'] END AS y,
+ CASE WHEN item_id % 5 = 3 THEN ['src' || item_id % 20 || 'x', 'zz'] END AS e, CASE WHEN item_id % 6 = 4 THEN ['pic_' || item_id % 6, 'none'] END AS o, CASE WHEN item_id % 4 = 2 THEN '2024-03' END AS a, CASE WHEN item_id % 8 < 6 THEN '2024-08-15' END AS b FROM benchmark)"""
+_EITHER = "len(list_filter(coalesce({have}, []), lambda h: len(list_filter({want}, lambda w: contains(h, w) OR contains(w, h))) > 0)) > 0"
+
+
+@register(f"""SELECT filter_id, chunk_id FROM (SELECT *, {STYPE} AS stype FROM {_MD}) c, {_FILTERS} f WHERE (p IS NULL OR contains(lower(path), lower(p))) AND (t IS NULL OR contains(lower(title), t)) AND (s IS NULL OR contains(lower(section), s)) AND (y IS NULL OR list_contains(y, stype))
+AND (e IS NULL OR {_EITHER.format(have='entities', want='e')}) AND (o IS NULL OR {_EITHER.format(have='topics', want='o')}) AND (a IS NULL OR coalesce(d >= a, false)) AND (b IS NULL OR coalesce(d <= b, false))""")
 def metadata_filter(spark, sf):
-    """Substring, one-of, overlap in either direction, date range; all at once."""
-    d = table(spark, sf, "documents").withColumn("date", F.concat(F.lit("2024-0"), (1 + F.col("doc_id") % 9).cast("string"), F.lit("-15"))).withColumn("entities", F.array("source", "lang"))
-    either = F.exists("entities", lambda e: e.contains("src") & (F.lit("src10").contains(e) | e.contains("src10")))
-    return d.where(F.lower("source").contains("src1") & F.col("lang").isin("en", "de") & (F.col("date") >= "2024-03") & (F.col("date") <= "2024-08") & either).select("doc_id")
+    """Every filter over all documents: substrings of path, title and section, source types, overlaps, date ranges; all of a filter's keys at once."""
+    k = lambda n: F.pmod("doc_id", F.lit(n)).cast("int")
+    text = lambda *xs: F.concat(*(x if not isinstance(x, str) else F.lit(x) for x in xs))
+    tail = F.element_at(F.array(*map(F.lit, ("/release-notes", "/FAQ", "/quickstart", "/issues/7", ""))), k(5) + 1)
+    chunks = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("chunk_id"), text("https://KB.example/", F.col("source"), tail).alias("source_path"), text("Doc ", F.col("doc_id").cast("string")).alias("title"), F.array(F.upper(F.coalesce("lang", F.lit(""))), text("Part ", k(7).cast("string"))).alias("section_path"),
+        F.array("source", "lang").alias("entities"), F.when(k(4) != 0, F.array(text("topic_", k(6).cast("string")), F.lit("how-to"))).alias("topics"), F.when(k(13) != 0, text("2024-0", (1 + k(9)).cast("string"), "-15")).alias("date"),
+    )
+    i = lambda n: F.pmod("item_id", F.lit(n))
+    number = lambda n: i(n).cast("string")
+    asked = table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("filter_id"), F.when(i(3) == 0, text("SRC1", number(2))).alias("source_path_contains"), F.when(i(5) == 1, text("c ", number(10))).alias("title_contains"), F.when(i(7) == 2, text("part ", number(9))).alias("section_contains"),
+        F.when(i(4) == 1, F.array(F.lit("faq"), F.lit("issue"))).alias("source_type"), F.when(i(5) == 3, F.array(text("src", number(20), "x"), F.lit("zz"))).alias("entities_contains"), F.when(i(6) == 4, F.array(text("pic_", number(6)), F.lit("none"))).alias("topics_contains"),
+        F.when(i(4) == 2, "2024-03").alias("date_after"), F.when(i(8) < 6, "2024-08-15").alias("date_before"),
+    )
+    return filters.filter_chunks(chunks, asked)
 
 
 RERANK = f"""rr AS (SELECT fu.query_id, fu.chunk_id, CASE WHEN fu.query_id % 2 = 0 THEN 'howto' ELSE 'neutral' END AS intent, CASE fu.chunk_id % 3 WHEN 0 THEN 'doc' WHEN 1 THEN 'getting_started' ELSE 'release' END AS source_type, fu.score * 100 - 3 AS raw FROM fu),
@@ -329,12 +348,22 @@ def extractive_answer(spark, sf):
     return search.extractive_answers(queries, bm25(spark, sf).where("rank <= 3").join(docs, "chunk_id"))
 
 
-@register("SELECT conv_id, turn, s.text AS sentence, coalesce(s.supported, true) AS supported FROM (SELECT conv_id, turn, unnest([{'text': substr(text, 1, 20), 'supported': conv_id % 2 = 0}, {'text': substr(text, 21, 20), 'supported': NULL}]) AS s FROM conversations WHERE role = 'assistant')")
+#: A verifier's reply to each answer: some sentences are not supported, some replies are cut short or hold no JSON, some numbers are of no sentence.
+@register(rf"""WITH s AS (SELECT conv_id, turn, text, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([。!?.])', E'\\1\x01', 'g'), E'\x01|\n+'), lambda x: regexp_replace(regexp_replace(x, '^\s+', ''), '\s+$', '')), lambda x: x <> '') AS xs FROM (SELECT conv_id, turn, text || ' See [2] and [10].' AS text FROM conversations WHERE role = 'assistant')),
+v AS (SELECT *, conv_id % 11 <> 0 AND conv_id % 7 <> 0 AS told, list_transform(range(1, len(xs) + 1), lambda k: conv_id % 11 = 0 OR conv_id % 7 = 0 OR ((conv_id + turn + k) % 3 <> 0 AND (conv_id + turn + k) % 5 <> 0)) AS ok FROM s),
+r AS (SELECT conv_id, turn, told, text, xs, ok, len(list_filter(ok, lambda b: NOT b)) AS unsupported, CASE WHEN told THEN array_to_string(list_transform(range(1, len(xs) + 1), lambda k: CASE WHEN ok[k] THEN xs[k] ELSE '⚠ ' || xs[k] END), ' ') ELSE text END AS flagged FROM v)
+SELECT conv_id, turn, unnest(range(1, len(xs) + 1)) AS i, unnest(xs) AS sentence, unnest(ok) AS supported, unnest(list_transform(xs, lambda x: array_to_string(regexp_extract_all(x, '\[(\d+)\]', 1), ','))) AS cited, unsupported, md5(flagged) AS flagged_md5 FROM r""")
 def grounding_report(spark, sf):
-    """A verifier's JSON reply, one row per sentence; a missing verdict counts as supported."""
-    reply = F.to_json(F.struct(F.array(F.struct(F.substring("text", 1, 20).alias("text"), (F.col("conv_id") % 2 == 0).alias("supported")), F.struct(F.substring("text", 21, 20).alias("text"), F.lit(None).cast("boolean").alias("supported"))).alias("sentences")))
-    rows = table(spark, sf, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.explode(F.from_json(reply, "sentences array<struct<text:string,supported:boolean>>")["sentences"]).alias("s"))
-    return rows.select("conv_id", "turn", F.col("s.text").alias("sentence"), F.coalesce("s.supported", F.lit(True)).alias("supported"))
+    """Every sentence of every answer with its verdict and citations, and with its answer's number of unsupported ones and flagged text."""
+    answers = table(spark, sf, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.concat("text", F.lit(" See [2] and [10].")).alias("text"))
+    some = answers.withColumn("n", F.size(T.verifier_sentences(F.col("text"))))
+    at = lambda k: F.col("conv_id") + F.col("turn") + k
+    one = lambda k: F.concat(F.lit('{"i": '), k.cast("string"), F.when(at(k) % 3 == 0, ', "supported": false, "reasoning": " not said "}').when(at(k) % 5 == 0, ', "supported": null}').when(k % 4 == 1, "}").otherwise(', "supported": true}'))
+    whole = F.concat(F.lit("Verdict: ["), F.array_join(F.transform(F.sequence(F.lit(0), F.col("n") + 1), one), ", "), F.lit("] done"))
+    reply = F.when(F.col("conv_id") % 11 == 0, "all fine").when(F.col("conv_id") % 7 == 0, '[{"i": 1, "supported": false}, {"i": 2, "supp]').otherwise(whole)
+    told = grounding.ground(some.withColumn("reply", reply))
+    rows = told.select("conv_id", "turn", "unsupported", F.md5("flagged").alias("flagged_md5"), F.explode("sentences").alias("s"))
+    return rows.select("conv_id", "turn", F.col("s.i").alias("i"), F.col("s.text").alias("sentence"), F.col("s.supported").alias("supported"), F.array_join(F.transform("s.cited", lambda n: n.cast("string")), ",").alias("cited"), "unsupported", "flagged_md5")
 
 
 @register("SELECT query_id, step, pos, row_number() OVER (PARTITION BY query_id ORDER BY step, pos) AS n FROM (SELECT conv_id AS query_id, turn // 2 AS step, turn % 2 AS pos FROM conversations GROUP BY ALL)")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import kb, sync
+from ..operators import blocks, kb, sync
 from ..sources import files
 from ..streaming import streams
 from .registry import register, scratch, table
@@ -107,16 +107,39 @@ def scan_files(spark, sf):
     return found.join(hashes, "uri", "left").select("source", "bucket", "bytes", F.col("content_hash").isNotNull().alias("opened"), "content_hash")
 
 
-@register("SELECT page_id, string_agg(t, chr(10) || chr(10) ORDER BY pos) AS markdown FROM (SELECT page_id, 0 AS pos, '# ' || url AS t FROM pages UNION ALL SELECT page_id, 1, '- item ' || page_id FROM pages UNION ALL SELECT page_id, 2, '  - child' FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT page_id, 3, '> ' || substr(url, 1, 10) FROM pages) GROUP BY 1")
+KINDS = ["heading_1", "paragraph", "bulleted_list_item", "numbered_list_item", "to_do", "quote", "callout", "code", "divider", "toggle", "image", "bookmark", "child_page", "heading_2", "heading_3", "table"]
+
+
+def as_blocks(docs):
+    """The lines of documents as flat blocks of all types, nested five deep: of every six lines the second to fifth stand below each other, the sixth beside the fourth."""
+    rows = docs.select(F.col("doc_id").alias("page_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n", "t"))
+    k, n = F.col("n") % 6, F.col("n")
+    up = F.when(k.between(1, 4), n - 1).when(k == 5, n - 3)
+    mark = lambda m, r: ((F.col("page_id") + n) % m == r)
+    run = F.struct(F.col("t").alias("plain_text"), mark(7, 0).alias("code"), mark(5, 1).alias("bold"), mark(5, 2).alias("italic"), mark(9, 3).alias("strikethrough"), F.when(mark(8, 4), "https://l.example").alias("link"))
+    tail = F.struct(F.lit(" end").alias("plain_text"), *(F.lit(None).cast("boolean").alias(c) for c in ("code", "bold", "italic", "strikethrough")), F.lit(None).cast("string").alias("link"))
+    return rows.select("page_id", n.cast("long").alias("block_id"), up.cast("long").alias("parent_id"), n.alias("pos"), F.element_at(F.array(*map(F.lit, KINDS)), ((F.col("page_id") + n) % len(KINDS) + 1).cast("int")).alias("type"), F.when(mark(10, 9), F.array().cast(blocks.RICH)).otherwise(F.array(run, tail)).alias("rich_text"),
+                       F.when(mark(3, 0), F.array(run)).alias("caption"), mark(2, 0).alias("checked"), F.when(mark(4, 1), "py").alias("language"), F.when(mark(3, 1), "https://u.example/x").alias("url"), F.when(mark(3, 2), F.col("t")).alias("title"))
+
+
+def _run_sql() -> str:
+    x = "t"
+    for m, r, mark in ((7, 0, "`"), (5, 1, "**"), (5, 2, "*"), (9, 3, "~~")):
+        x = f"CASE WHEN (page_id + n) % {m} = {r} THEN '{mark}' || {x} || '{mark}' ELSE {x} END"
+    return f"CASE WHEN t = '' THEN '' WHEN (page_id + n) % 8 = 4 THEN '[' || {x} || '](https://l.example)' ELSE {x} END"
+
+
+@register(rf"""WITH RECURSIVE l AS (SELECT doc_id AS page_id, unnest(string_split(coalesce(text, ''), chr(10))) AS t, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS n FROM documents),
+b AS (SELECT *, CASE WHEN n % 6 BETWEEN 1 AND 4 THEN n - 1 WHEN n % 6 = 5 THEN n - 3 END AS up, {KINDS}[((page_id + n) % {len(KINDS)})::INT + 1] AS kind, CASE WHEN (page_id + n) % 10 = 9 THEN '' ELSE ({_run_sql()}) || ' end' END AS x, CASE WHEN (page_id + n) % 3 = 0 THEN {_run_sql()} ELSE '' END AS c, CASE WHEN (page_id + n) % 3 = 1 THEN 'https://u.example/x' ELSE '' END AS u FROM l),
+w AS (SELECT page_id, n, 0 AS depth, [n] AS path FROM b WHERE up IS NULL UNION ALL SELECT b.page_id, b.n, depth + 1, list_append(path, b.n) FROM w JOIN b ON b.page_id = w.page_id AND b.up = w.n WHERE depth < 3),
+m AS (SELECT page_id, n, depth, path, CASE kind WHEN 'heading_1' THEN '# ' || x WHEN 'heading_2' THEN '## ' || x WHEN 'heading_3' THEN '### ' || x WHEN 'paragraph' THEN x WHEN 'toggle' THEN x WHEN 'bulleted_list_item' THEN repeat('  ', depth) || '- ' || x WHEN 'numbered_list_item' THEN repeat('  ', depth) || '1. ' || x
+ WHEN 'to_do' THEN repeat('  ', depth) || CASE WHEN (page_id + n) % 2 = 0 THEN '- [x] ' ELSE '- [ ] ' END || x WHEN 'quote' THEN '> ' || x WHEN 'callout' THEN '> ' || x WHEN 'code' THEN '```' || CASE WHEN (page_id + n) % 4 = 1 THEN 'py' ELSE '' END || chr(10) || x || chr(10) || '```' WHEN 'divider' THEN '---'
+ WHEN 'image' THEN CASE WHEN u <> '' THEN '![' || c || '](' || u || ')' ELSE '*[Image]* ' || c END WHEN 'bookmark' THEN '[' || CASE WHEN c <> '' THEN c ELSE u END || '](' || u || ')' WHEN 'child_page' THEN '### ' || CASE WHEN (page_id + n) % 3 = 2 AND t <> '' THEN t ELSE 'Untitled page' END ELSE '<!-- unsupported block: ' || kind || ' -->' END AS text FROM w JOIN b USING (page_id, n))
+SELECT page_id, n AS block_id, depth, row_number() OVER (PARTITION BY page_id ORDER BY path) AS position, text FROM m WHERE text <> ''""")
 def block_tree_render(spark, sf):
-    """Exported blocks (type, depth, text, place) to one markdown text per page."""
-    p = table(spark, sf, "pages")
-    block = lambda k, kind, depth, text: F.struct(F.lit(k).alias("pos"), F.lit(kind).alias("kind"), F.lit(depth).alias("depth"), text.alias("text"))
-    four = F.array(block(0, "heading_1", 0, F.col("url")), block(1, "bulleted_list_item", 0, F.concat(F.lit("item "), F.col("page_id").cast("string"))), block(2, "bulleted_list_item", 1, F.lit("child")), block(3, "quote", 0, F.substring("url", 1, 10)))
-    rows = p.select("page_id", F.explode(four).alias("b")).select("page_id", "b.*").where((F.col("pos") != 2) | (F.col("page_id") % 2 == 0))
-    mark = F.when(F.col("kind") == "heading_1", "# ").when(F.col("kind") == "bulleted_list_item", "- ").when(F.col("kind") == "quote", "> ").otherwise("")
-    line = F.concat(F.repeat(F.lit("  "), F.col("depth")), mark, "text")
-    return rows.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("t")))), lambda x: x["t"]), "\n\n").alias("markdown"))
+    """Blocks in a flat table, here the lines of all documents, as the pieces of their pages' Markdown in order."""
+    rows = blocks.render(as_blocks(table(spark, sf, "documents")), scratch(spark, "blocks"))
+    return rows.select("page_id", "block_id", "depth", F.col("position").cast("long").alias("position"), "text")
 
 
 @register("SELECT doc_id, coalesce(CASE WHEN doc_id % 3 <> 0 THEN source END, 'legacy') AS source_id, CASE WHEN lang = 'en' THEN lang ELSE 'Parent/' || lang END AS section, row_number() OVER (PARTITION BY coalesce(CASE WHEN doc_id % 3 <> 0 THEN source END, 'legacy'), doc_id // 1000 ORDER BY doc_id) - 1 AS ord FROM documents")
