@@ -127,3 +127,21 @@ EXTRACT_HEAD = "(LLM 服务暂不可用,以下内容为基于知识库的直接
 EXTRACT_QUERY = "关于「{}」,以下知识库条目可能相关:"
 EXTRACT_TAIL = "建议您稍后重试获取完整的 LLM 生成答复。"
 EXTRACT_NONE = "当前知识库内信息不足,且 LLM 服务暂不可用。"
+
+# The request for a chunk's context.
+CONTEXT_TOP, CONTEXT_PARENT = "(top level)", 1500
+CONTEXT_HEADS = ["Document title: ", "\nSection: ", "\nParent section text:\n", "\nChunk to situate:\n", "\n\nWrite the 1-2 sentence contextual summary."]
+
+# How preferences are told to a planner.
+PREFERENCE_ITEMS = 6
+PREFERENCE_HEAD, PREFERENCE_LINE, PREFERENCE_MORE = "用户长期偏好(跨会话持久化的):", "  - {key}: {value} (来源: {source})", "  - ... 另有 {n} 项偏好"
+
+# A company's name on an invoice, and what stands without one.
+INVOICE_TITLE, INVOICE_PERSONAL = r"([一-龥A-Za-z0-9（）() ]{2,40}(?:公司|集团|研究院|中心))", "个人"
+
+# How long rows are kept, and the states of a return that is over.
+RETENTION_DAYS = {"audit_logs": 180, "feedback": 365, "return_requests": 365}
+RETURN_OVER = ["completed", "rejected", "cancelled"]
+
+# Why there is no answer.
+ABSTAIN_NONE, ABSTAIN_LOW = "no_retrieval_hits", "top_score_below_threshold (%.3f)"

@@ -83,7 +83,7 @@ def pii_redact(text: Column) -> Column:
 
 
 def low_info_score(text: Column) -> Column:
-    """Near 1 for what tells nothing, 0 for prose; unrounded."""
+    """Near 1 for what tells nothing, 0 for prose; to three digits, which is how it is compared."""
     # bound once each: what branches repeat would be evaluated again in every one
     t = F.array(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", ""))
     counted = F.transform(t, lambda t: F.struct(t.alias("t"), (F.length(t) - F.length(F.regexp_replace(t, rules.SUBSTANTIVE, ""))).alias("solid"), F.filter(F.split(t, r"(?U)\s+"), lambda w: w != "").alias("words")))
@@ -92,7 +92,7 @@ def low_info_score(text: Column) -> Column:
     def rule(s: Column) -> Column:
         line = reduce(lambda a, b: a | b, [s["t"].rlike("(?i)" + p) for p in rules.BOILERPLATE_LINES])
         phrase = reduce(lambda a, b: a | b, [s["t"].rlike("(?i)" + p) for p in rules.BOILERPLATE_PHRASES])
-        mixed = 1.0 - F.least(F.lit(1.0), (s["unique"] + s["solid"] / F.greatest(F.length(s["t"]), F.lit(1))) / 1.5)
+        mixed = F.round(1.0 - F.least(F.lit(1.0), (s["unique"] + s["solid"] / F.greatest(F.length(s["t"]), F.lit(1))) / 1.5), 3)
         return (
             F.when(F.length(s["t"]) < 20, 1.0).when(s["solid"] < 10, 1.0).when(line, 0.95).when(phrase, 0.9)
             .when((s["n"] >= 8) & (s["unique"] < 0.2), 0.9).otherwise(mixed)

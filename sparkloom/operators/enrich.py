@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import rules
+from ..functions import text as T
+
 
 def cache_misses(rows: DataFrame, cache: DataFrame, *keys: str) -> DataFrame:
     return rows.join(cache.select(*keys).distinct(), list(keys), "left_anti")
@@ -26,12 +29,31 @@ def _distinct_in_order(items: Column) -> Column:
 
 
 def metadata(reply: Column) -> list[Column]:
-    """entities (six at most, forty characters), topics (three, snake case), date (ISO shape or null)."""
+    """entities (six at most, forty characters), topics (of the first three, white space to underscores, forty characters), date (ISO shape or null).
+
+    Entities that differ in case only are one; topics repeat as they come. What is no text in the lists is left out.
+    """
     got = F.from_json(F.regexp_extract(reply, r"(?s)\{.*\}", 0), "entities array<string>, topics array<string>, date string")
-    clean = lambda xs: F.filter(F.transform(F.coalesce(xs, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
-    entities = F.slice(_distinct_in_order(F.filter(clean(got["entities"]), lambda x: F.length(x) <= 40)), 1, 6)
-    topics = F.slice(F.array_distinct(F.transform(clean(got["topics"]), lambda x: F.regexp_replace(F.lower(x), r"[\s-]+", "_"))), 1, 3)
-    return [entities.alias("entities"), topics.alias("topics"), F.when(got["date"].rlike(r"^\d{4}-\d{2}-\d{2}$"), got["date"]).alias("date")]
+    items = lambda name: F.coalesce(got[name], F.array().cast("array<string>"))
+    entities = F.filter(F.transform(items("entities"), T.trimmed), lambda x: (x != "") & (F.length(x) <= 40))
+    topics = F.transform(F.slice(items("topics"), 1, 3), lambda x: F.regexp_replace(F.lower(T.trimmed(x)), r"(?U)\s+", "_"))
+    return [F.slice(_distinct_in_order(entities), 1, 6).alias("entities"), F.filter(topics, lambda x: (x != "") & (F.length(x) <= 40)).alias("topics"), F.when(got["date"].rlike(r"^\d{4}-\d{2}-\d{2}$"), got["date"]).alias("date")]
+
+
+def context_prompt(title: Column, section_path: Column, text: Column, parent: Column) -> Column:
+    """What a model is asked for a chunk's context: title, breadcrumb, the parent's text if it is another, cut to 1,500 characters, and the chunk."""
+    section = F.when(F.coalesce(F.size(section_path), F.lit(0)) > 0, F.array_join(section_path, " / ")).otherwise(rules.CONTEXT_TOP)
+    cut = F.when(F.length(parent) <= rules.CONTEXT_PARENT, parent).otherwise(F.concat(F.substring(parent, 1, rules.CONTEXT_PARENT), F.lit(" ...")))
+    around = F.when(F.coalesce(parent, F.lit("")).isin("") | (T.trimmed(parent) == T.trimmed(text)), "").otherwise(F.concat(F.lit(rules.CONTEXT_HEADS[2]), cut, F.lit("\n")))
+    heads = rules.CONTEXT_HEADS
+    return F.concat(F.lit(heads[0]), title, F.lit(heads[1]), section, F.lit("\n"), around, F.lit(heads[3]), text, F.lit(heads[4]))
+
+
+def with_context(text: Column, tokens: Column, reply: Column) -> list[Column]:
+    """text, token_count, contextual_prefix and original_text of a chunk given the model's reply, of which the first line counts."""
+    prefix = T.trimmed(F.substring_index(T.trimmed(F.coalesce(reply, F.lit(""))), "\n", 1))
+    words = F.size(F.filter(F.split(prefix, r"(?U)\s+"), lambda w: w != ""))
+    return [F.when(prefix == "", text).otherwise(F.concat(prefix, F.lit("\n\n"), text)).alias("text"), (tokens + words).alias("token_count"), prefix.alias("contextual_prefix"), text.alias("original_text")]
 
 
 def variants(reply: Column, query: Column, most: int = 4) -> Column:

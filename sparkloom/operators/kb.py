@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..sources import files
 from . import chunk
+from .sync import merged
 
 REGISTRY = "source_id string, cheap_hash string, content_hash string, title string, chunk_count long, extra map<string,string>, chunk_batch long, action string, gone boolean"
 TABLES = {"registry": REGISTRY, "chunks": "source_id string, part int, text string", "errors": "source_id string, content_hash string, error string"}
@@ -87,13 +88,6 @@ def parsed(rows: DataFrame, parse: Callable[[bytes, str], str]) -> DataFrame:
     return rows.mapInPandas(run, "source_id string, text string, error string")
 
 
-def merged(old: Column, new: Column) -> Column:
-    """Both maps; of a key that both have, the new value."""
-    none = F.create_map().cast("map<string,string>")
-    old, new = F.coalesce(old, none), F.coalesce(new, none)
-    return F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k)), new)
-
-
 def sync_batch(store: Store, batch: int, arrived: DataFrame, parse: Callable[[bytes, str], str] = decoded, pieces: Callable[[Column], Column] = chunk.paragraphs) -> None:
     """Bring documents into the store: (source_id, cheap_hash, title, extra, gone, content), one row each.
 

@@ -87,12 +87,78 @@ def positions(rows: DataFrame, key: str, order: list[str], path: str, size: str
     return placed.select(*rows.columns, *((F.col(f"within_{name}") + F.col(f"before_{name}") + int(name == "position")).alias(name) for name in amounts))
 
 
+def nested(rows: DataFrame, key: str, columns: list[str], order: Column) -> DataFrame:
+    """(key, rows array<struct>): the rows of each key in one array, in an order. For keys with few rows by their nature, as an order has requests."""
+    listed = F.array_sort(F.collect_list(F.struct(order.alias("_o"), F.struct(*columns).alias("r"))))
+    return rows.groupBy(key).agg(F.transform(listed, lambda x: x["r"]).alias("rows"))
+
+
+def order_resolve(asked: DataFrame, orders: DataFrame, goods: DataFrame, keywords: list[str], recent: int = 50) -> DataFrame:
+    """``asked`` (user_id, remembered, q, ...) with ``order_no`` and ``mode``: the order that an utterance means.
+
+    In this order: one that is remembered, one whose number the text holds, the user's latest, of the ``recent`` ones, with goods that the first
+    keyword of the text that has any names, and the user's latest. ``orders`` is (id, no, user_id, placed_at), ``goods`` (id, title).
+    A number that no order has is passed over. Repeated utterances keep their own rows.
+    """
+    spark = asked.sparkSession
+    rows = asked.withColumn("_row", F.monotonically_increasing_id()).withColumn("_named", F.upper(F.regexp_extract("q", rules.ORDER_ID, 0)))
+    words = F.broadcast(spark.createDataFrame(list(enumerate(keywords)), "_place int, _word string"))  # a fixed list
+    own = latest(orders, ["user_id"], recent, F.desc("placed_at"), F.desc("id")).select("id", "no", "user_id", "placed_at")
+    held = own.join(goods.select("id", F.lower("title").alias("_title")), "id").join(words, F.col("_title").contains(F.lower("_word")))
+    held = held.groupBy("user_id", "_place").agg(F.max_by("no", F.struct("placed_at", "id")).alias("_no"))
+    said = rows.select("_row", "user_id", F.lower("q").alias("_q")).join(words, F.col("_q").contains(F.lower("_word"))).join(held, ["user_id", "_place"])
+    found = said.groupBy("_row").agg(F.min_by("_no", "_place").alias("_found"))
+    newest = own.groupBy("user_id").agg(F.max_by("no", F.struct("placed_at", "id")).alias("_latest"))
+    numbers = lambda name: orders.select(F.col("no").alias(name)).distinct()
+    rows = rows.join(numbers("_r"), F.col("_r") == F.col("remembered"), "left").join(numbers("_n"), F.col("_n") == F.col("_named"), "left").join(found, "_row", "left").join(newest, "user_id", "left")
+    mode = F.when(F.col("_r").isNotNull(), "remembered").when(F.col("_n").isNotNull(), "named").when(F.col("_found").isNotNull(), "keyword").when(F.col("_latest").isNotNull(), "latest").otherwise("none")
+    return rows.select(*asked.columns, F.coalesce("_r", "_n", "_found", "_latest").alias("order_no"), mode.alias("mode"))
+
+
+def invoice_title(text: Column) -> tuple[Column, Column]:
+    """(who an invoice is made out to, the tax id): a company named in the text, or personal and without an id."""
+    company, tax = F.trim(F.regexp_extract(text, rules.INVOICE_TITLE, 1)), F.regexp_extract(text, rules.TAX_ID, 0)
+    return F.when(company != "", company).otherwise(rules.INVOICE_PERSONAL), F.when((company != "") & (tax != ""), tax)
+
+
+def preference_summary(preferences: DataFrame) -> DataFrame:
+    """(user_id, summary): the first six preferences (user_id, key, value, source) of each user by key, by lines, and how many more."""
+    rows = latest(preferences, ["user_id"], rules.PREFERENCE_ITEMS, F.col("key"))
+    pieces = rules.PREFERENCE_LINE.replace("{key}", "\0key\0").replace("{value}", "\0value\0").replace("{source}", "\0source\0").split("\0")
+    text = F.concat(*(F.col(x) if k % 2 else F.lit(x) for k, x in enumerate(pieces)))
+    lines = rows.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", text.alias("t")))), lambda x: x["t"]), "\n").alias("lines"))
+    total = preferences.groupBy("user_id").agg((F.count("*") - rules.PREFERENCE_ITEMS).alias("more"))
+    before, behind = rules.PREFERENCE_MORE.split("{n}")
+    more = F.when(F.col("more") > 0, F.concat(F.lit("\n" + before), F.col("more").cast("string"), F.lit(behind))).otherwise("")
+    return lines.join(total, "user_id").select("user_id", F.concat(F.lit(rules.PREFERENCE_HEAD + "\n"), "lines", more).alias("summary"))
+
+
 def erase(tables: dict[str, tuple[DataFrame, str]], users: DataFrame, key: str) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """((table, n_deleted) for a set of users, what survives of each table)."""
-    counts, left = None, {}
+    """(an audit row for each of a set of users, what survives of each table).
+
+    An audit row is (event_type, user_hash, and how many rows of each table go); the hash is all that is left of the user.
+    """
+    gone = users.select(F.col(key).alias("_u")).distinct()
+    audit, left = gone, {}
     for name, (df, column) in tables.items():
-        hit = df.join(users.select(F.col(key).alias(column)), column, "left_semi")
-        row = hit.agg(F.count("*").alias("n_deleted")).select(F.lit(name).alias("table_name"), "n_deleted")
+        counts = df.join(gone, F.col(column) == F.col("_u"), "left_semi").groupBy(F.col(column).alias("_of")).agg(F.count("*").alias(name))
+        audit = audit.join(counts, F.col("_u") == F.col("_of"), "left").drop("_of")
+        left[name] = df.join(gone, F.col(column) == F.col("_u"), "left_anti")
+    digest = F.substring(F.sha2(F.col("_u").cast("string"), 256), 1, 16)
+    return audit.select(F.lit("gdpr_delete").alias("event_type"), digest.alias("user_hash"), *(F.coalesce(name, F.lit(0)).alias(name) for name in tables)), left
+
+
+def retention(tables: dict[str, DataFrame], as_of: Column) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """((table_name, expired, kept), what survives of each table): rows older than their table's days go; of returns only those that are over.
+
+    Each table has ``created_at``, ``return_requests`` a ``status`` too. A row without a time stays.
+    """
+    counts, left = None, {}
+    for name, df in tables.items():
+        old = F.coalesce(F.col("created_at") < as_of - F.make_interval(days=F.lit(rules.RETENTION_DAYS[name])), F.lit(False))
+        if name == "return_requests":
+            old &= F.coalesce(F.col("status").isin(rules.RETURN_OVER), F.lit(False))
+        row = df.agg(F.count_if(old).alias("expired"), F.count_if(~old).alias("kept")).select(F.lit(name).alias("table_name"), "expired", "kept")
         counts = row if counts is None else counts.unionByName(row)
-        left[name] = df.join(users.select(F.col(key).alias(column)), column, "left_anti")
+        left[name] = df.where(~old)
     return counts, left

@@ -147,13 +147,13 @@ _LOW = rf"""WITH p AS {PLANTED}, a AS (SELECT doc_id, {_T} AS t FROM p), b AS (S
 c AS (SELECT *, len(list_distinct(w)) / greatest(len(w), 1) AS u FROM b),
 s AS (SELECT doc_id, CASE WHEN len(t) < 20 OR solid < 10 THEN 1.0 WHEN regexp_matches(t, '(?i)^\s*(click\s+here|点击(这里|此处))\s*$') OR regexp_matches(t, '(?i)^\s*(next\s+page|previous\s+page|上一页|下一页)\s*$') OR regexp_matches(t, '(?i)^\s*(table of contents|目录)\s*$') THEN 0.95
  WHEN regexp_matches(t, '(?i)\ball\s+rights\s+reserved\b') OR regexp_matches(t, '版权所有') OR regexp_matches(t, '(?i)\bcookie\s*(policy|settings|consent)\b') THEN 0.9
- WHEN len(w) >= 8 AND u < 0.2 THEN 0.9 ELSE 1.0 - least(1.0, (u + solid / greatest(len(t), 1)) / 1.5) END AS score FROM c)"""
+ WHEN len(w) >= 8 AND u < 0.2 THEN 0.9 ELSE round(1.0 - least(1.0, (u + solid / greatest(len(t), 1)) / 1.5), 3) END AS score FROM c)"""
 
 
-@register(_LOW + " SELECT doc_id, round(score, 6) AS score FROM s")
+@register(_LOW + " SELECT doc_id, score FROM s")
 def low_info_score(spark, sf):
     docs = table(spark, sf, "documents")
-    return docs.select("doc_id", F.round(T.low_info_score(planted(docs)), 6).alias("score"))
+    return docs.select("doc_id", T.low_info_score(planted(docs)).alias("score"))
 
 
 @register(_LOW + " SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'parent' ELSE 'leaf' END AS chunk_role FROM s WHERE doc_id % 5 = 0 OR score < 0.7")
@@ -190,8 +190,8 @@ def near_dup_minhash(spark, sf):
 @register()
 def clean_pipeline(spark, sf):
     """Every page and document, cleaned, chunked, filtered and freed from near copies; the counters beside each chunk."""
-    pages = table(spark, sf, "pages").select(F.concat(F.lit("page-"), F.lpad(F.col("page_id").cast("string"), 12, "0")).alias("source_id"), F.lit(".html").alias("suffix"), F.col("html").alias("text"))
-    docs = table(spark, sf, "documents").select(F.concat(F.lit("doc-"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("source_id"), F.lit(".md").alias("suffix"), "text")
+    pages = table(spark, sf, "pages").select(F.format_string("page-%012d", "page_id").alias("source_id"), F.lit(".html").alias("suffix"), F.col("html").alias("text"))
+    docs = table(spark, sf, "documents").select(F.format_string("doc-%012d", "doc_id").alias("source_id"), F.lit(".md").alias("suffix"), "text")
     chunks, counters = clean.clean_pipeline(pages.unionByName(docs))
     return chunks.select("chunk_id", "source_id", "chunk_role", "parent_id", "token_count").crossJoin(F.broadcast(counters))
 

@@ -113,22 +113,31 @@ def vision_cache_plan(spark, sf):
     return enrich.cache_misses(p, p.where("page_id % 4 = 0"), "pixel_hash", "task").select("pixel_hash", "task").distinct()
 
 
-@register("SELECT d.doc_id, 'About ' || coalesce(p.source, '') || ': ' || substr(coalesce(p.text, ''), 1, 40) || chr(10) || chr(10) || d.text AS text FROM documents d LEFT JOIN documents p ON p.doc_id = d.doc_id // 10 * 10")
+_CONTEXT = "CASE doc_id % 3 WHEN 0 THEN NULL WHEN 1 THEN '  About ' || source || '. ' || chr(10) || 'more' ELSE ' ' || chr(10) END"
+
+
+@register(f"""WITH l AS (SELECT d.doc_id, d.source AS title, CASE WHEN d.doc_id % 7 <> 0 THEN d.lang || ' / part ' || d.doc_id % 5 ELSE '(top level)' END AS section, d.text, p.text AS parent, {_CONTEXT.replace('doc_id', 'd.doc_id').replace('source', 'd.source')} AS reply FROM documents d LEFT JOIN documents p ON p.doc_id = d.doc_id // 10 * 10 AND d.doc_id % 4 <> 0)
+SELECT doc_id, md5('Document title: ' || title || chr(10) || 'Section: ' || section || chr(10) || CASE WHEN coalesce(parent, '') = '' OR trim(parent, E' \\t\\n\\r') = trim(text, E' \\t\\n\\r') THEN '' ELSE chr(10) || 'Parent section text:' || chr(10) || CASE WHEN length(parent) <= 1500 THEN parent ELSE substr(parent, 1, 1500) || ' ...' END || chr(10) END || chr(10) || 'Chunk to situate:' || chr(10) || text || chr(10) || chr(10) || 'Write the 1-2 sentence contextual summary.') AS prompt_md5,
+ CASE WHEN doc_id % 3 = 1 THEN 'About ' || title || '.' || chr(10) || chr(10) || text ELSE text END AS text, length(text) + CASE WHEN doc_id % 3 = 1 THEN 2 ELSE 0 END AS token_count, CASE WHEN doc_id % 3 = 1 THEN 'About ' || title || '.' ELSE '' END AS contextual_prefix FROM l""")
 def contextual_prefix(spark, sf):
-    """A leaf's text behind a line made from its parent, cut; here every tenth document is a parent."""
+    """The request for each leaf's context, its parent's text in it, and the leaf behind the first line of the reply; every tenth document is a parent."""
     d = table(spark, sf, "documents")
-    parents = d.where("doc_id % 10 = 0").select(F.col("doc_id").alias("pid"), F.col("source").alias("ps"), F.substring("text", 1, 40).alias("pt"))
-    rows = d.join(parents, F.floor(F.col("doc_id") / 10) * 10 == F.col("pid"), "left")
-    return rows.select("doc_id", F.concat(F.lit("About "), F.coalesce("ps", F.lit("")), F.lit(": "), F.coalesce("pt", F.lit("")), F.lit("\n\n"), "text").alias("text"))
+    parents = d.where("doc_id % 10 = 0").select(F.col("doc_id").alias("pid"), F.col("text").alias("parent"))
+    rows = d.join(parents, (F.floor(F.col("doc_id") / 10) * 10 == F.col("pid")) & (F.col("doc_id") % 4 != 0), "left")
+    section = F.when(F.col("doc_id") % 7 != 0, F.array("lang", F.concat(F.lit("part "), (F.col("doc_id") % 5).cast("string"))))
+    reply = F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("  About "), "source", F.lit(". \nmore"))).when(F.col("doc_id") % 3 == 2, " \n")
+    prompt = enrich.context_prompt(F.col("source"), section, F.col("text"), F.col("parent"))
+    told = enrich.with_context(F.col("text"), F.length("text"), reply)
+    return rows.select("doc_id", F.md5(prompt).alias("prompt_md5"), *told[:3])
 
 
 @register("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN ['Ada', 'Bob', lang] WHEN 1 THEN [source] WHEN 2 THEN ['e1', 'e2', 'e3', 'e4', 'e5', 'e6'] ELSE [] END AS entities,
-CASE doc_id % 4 WHEN 0 THEN ['release_notes', 'how_to'] WHEN 1 THEN ['a_b_c'] WHEN 2 THEN ['t1', 't2', 't3'] ELSE [] END AS topics, CASE doc_id % 4 WHEN 0 THEN '2024-05-01' WHEN 2 THEN '2023-12-31' END AS date FROM documents""")
+CASE doc_id % 4 WHEN 0 THEN ['release_notes', 'how-to'] WHEN 1 THEN ['a_b-c'] WHEN 2 THEN ['t1', 't1'] ELSE [] END AS topics, CASE doc_id % 4 WHEN 0 THEN '2024-05-01' WHEN 2 THEN '2023-12-31' END AS date FROM documents""")
 def metadata_normalise(spark, sf):
-    """Loose JSON replies, fenced, with prose around, over-long, or no JSON: distinct entities, snake-case topics, dates of the right shape."""
-    fenced = F.concat(F.lit('```json\n{"entities": ["Ada", "ada", " Bob ", "'), "lang", F.lit('"], "topics": ["Release Notes", "how-to"], "date": "2024-05-01"}\n```'))
-    prose = F.concat(F.lit('Here it is: {"entities": ["'), "source", F.lit('", "'), F.repeat(F.lit("x"), F.lit(41)), F.lit('"], "topics": ["A b-C"], "date": "May"} as asked'))
-    many = F.lit('{"date": "2023-12-31", "entities": ["e1", "e2", "E1", "e3", "e4", "e5", "e6", "e7"], "topics": ["t1", "T1", "t2", "t3", "t4"]}')
+    """Loose JSON replies, fenced, with prose around, over-long, or no JSON: distinct entities, the first three topics in lower case, dates of the right shape."""
+    fenced = F.concat(F.lit('```json\n{"entities": ["Ada", "ada", " Bob ", "'), "lang", F.lit('"], "topics": ["Release  Notes", "how-to"], "date": "2024-05-01"}\n```'))
+    prose = F.concat(F.lit('Here it is: {"entities": ["'), "source", F.lit('", "'), F.repeat(F.lit("x"), F.lit(41)), F.lit('"], "topics": ["A b-C", "'), F.repeat(F.lit("y"), F.lit(41)), F.lit('"], "date": "May"} as asked'))
+    many = F.lit('{"date": "2023-12-31", "entities": ["e1", "e2", "E1", "e3", "e4", "e5", "e6", "e7"], "topics": ["t1", "T1", " ", "t3", "t4"]}')
     k = F.col("doc_id") % 4
     reply = F.when(k == 0, fenced).when(k == 1, prose).when(k == 2, many).otherwise("I cannot do that.")
     return table(spark, sf, "documents").select("doc_id", *enrich.metadata(reply))

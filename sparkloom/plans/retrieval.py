@@ -299,13 +299,13 @@ def parent_expand(spark, sf):
     return search.parent_expand(bm25(spark, sf), parents)
 
 
-@register(f"WITH {BM25}, {OVERLAP}, {FUSED}, {RERANK}, t AS (SELECT query_id, max(score) AS top FROM rk GROUP BY 1) SELECT item_id AS query_id, coalesce(top, 0) < 0.15 AS abstain, CASE WHEN top IS NULL THEN 'no hits' WHEN top < 0.15 THEN 'top score ' || top || ' below 0.15' ELSE NULL END IS NOT NULL AS has_reason FROM benchmark LEFT JOIN t ON query_id = item_id")
+@register(f"WITH {BM25}, {OVERLAP}, {FUSED}, {RERANK}, t AS (SELECT query_id, max(score) AS top FROM rk GROUP BY 1) SELECT item_id AS query_id, coalesce(top, 0) < 0.15 AS abstain, CASE WHEN top IS NULL THEN 'no_retrieval_hits' WHEN top < 0.15 THEN printf('top_score_below_threshold (%.3f)', top::DOUBLE) ELSE '' END AS reason FROM benchmark LEFT JOIN t ON query_id = item_id")
 def abstain_decide(spark, sf):
-    """Without hits, or with a best score below 0.15, a query gets no answer."""
+    """Without hits, or with a best score below 0.15, a query gets no answer, for a reason that is told."""
     best = reranked(spark, sf).groupBy("query_id").agg(F.max("score").alias("top"))
     rows = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id")).join(best, "query_id", "left")
-    reason = F.when(F.col("top").isNull(), F.lit("no hits")).when(F.col("top") < 0.15, F.format_string("top score %.3f below 0.15", "top"))
-    return rows.select("query_id", (F.coalesce("top", F.lit(0.0)) < 0.15).alias("abstain"), reason.isNotNull().alias("has_reason"))
+    reason = F.when(F.col("top").isNull(), F.lit(rules.ABSTAIN_NONE)).when(F.col("top") < 0.15, F.format_string(rules.ABSTAIN_LOW, "top")).otherwise("")
+    return rows.select("query_id", (reason != "").alias("abstain"), reason.alias("reason"))
 
 
 @register("SELECT conv_id, turn, starts_with(x, 'I cannot answer that') OR starts_with(x, 'I do not know the answer') AS abstained FROM (SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN 'I cannot answer that. ' ELSE '' END || text AS x FROM conversations WHERE role = 'assistant')")

@@ -43,15 +43,26 @@ def order_keyword_latest(spark, sf):
     return support.latest(recent.join(hits, "id", "left_semi"), ["user_id"], 1, F.desc("placed_at"), F.desc("id")).select("user_id", "id")
 
 
-@register(f"WITH o AS {ORDERS}, l AS (SELECT user_id, max_by(id, (placed_at, id)) AS latest FROM o GROUP BY 1), u AS (SELECT conv_id, turn, conv_id % 1500 AS user_id, CASE WHEN conv_id % 4 = 0 THEN conv_id * 4 END AS remembered, CASE WHEN conv_id % 4 = 1 THEN conv_id * 4 END AS named FROM conversations WHERE turn = 0) SELECT conv_id, turn, coalesce(r.id, n.id, latest) AS order_id, CASE WHEN r.id IS NOT NULL THEN 'remembered' WHEN n.id IS NOT NULL THEN 'named' WHEN latest IS NOT NULL THEN 'latest' ELSE 'none' END AS mode FROM u LEFT JOIN o r ON r.id = remembered LEFT JOIN o n ON n.id = named LEFT JOIN l ON l.user_id = u.user_id")
+#: Words for goods, in the order they are looked for.
+KEYWORDS = ["Widget", "Gizmo", "ring", "Bolt", "gear"]
+#: First turns as they are said: some name an order by its number, some a kind of goods; every fifth conversation remembers an order.
+_ASKED = f"(SELECT conv_id, conv_id % 1500 AS user_id, CASE WHEN conv_id % 5 = 0 THEN 'JD' || lpad((conv_id * 4)::VARCHAR, 10, '0') END AS remembered, q || CASE conv_id % 4 WHEN 1 THEN ' order jd' || lpad((conv_id * 4)::VARCHAR, 10, '0') || '?' WHEN 2 THEN ' where is my ' || {KEYWORDS}[(conv_id % 5)::INT + 1] || ' or the GEAR' ELSE '' END AS q FROM {TURNS} WHERE turn = 0)"
+
+
+@register(f"""WITH o AS (SELECT *, 'JD' || lpad(id::VARCHAR, 10, '0') AS no FROM {ORDERS}), u AS {_ASKED}, l AS (SELECT user_id, max_by(no, (placed_at, id)) AS latest FROM o GROUP BY 1),
+n AS (SELECT u.*, upper(nullif(regexp_extract(q, '(?i){rules.ORDER_ID.replace("(?i)", "")}'), '')) AS named FROM u), recent AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY placed_at DESC, id DESC) <= 50),
+k AS (SELECT unnest({KEYWORDS}) AS word, unnest(range({len(KEYWORDS)})) AS place), g AS (SELECT user_id, place, max_by(no, (placed_at, id)) AS found FROM recent JOIN lineitem ON l_orderkey = id JOIN part ON p_partkey = l_partkey, k WHERE contains(lower(p_name), lower(word)) GROUP BY 1, 2),
+w AS (SELECT conv_id, min_by(found, g.place) AS found FROM u JOIN k ON contains(lower(q), lower(word)) JOIN g ON g.user_id = u.user_id AND g.place = k.place GROUP BY 1)
+SELECT n.conv_id, coalesce(r.no, e.no, found, latest) AS order_no, CASE WHEN r.no IS NOT NULL THEN 'remembered' WHEN e.no IS NOT NULL THEN 'named' WHEN found IS NOT NULL THEN 'keyword' WHEN latest IS NOT NULL THEN 'latest' ELSE 'none' END AS mode FROM n LEFT JOIN o r ON r.no = remembered LEFT JOIN o e ON e.no = named LEFT JOIN w ON w.conv_id = n.conv_id LEFT JOIN l ON l.user_id = n.user_id""")
 def order_resolve(spark, sf):
-    """The order that an utterance means: one remembered, one named, or the latest; and which of these."""
-    o, c = orders(spark, sf), F.col("conv_id")
-    latest = o.groupBy("user_id").agg(F.max_by("id", F.struct("placed_at", "id")).alias("latest"))
-    u = table(spark, sf, "conversations").where("turn = 0").select("conv_id", "turn", (c % 1500).alias("user_id"), F.when(c % 4 == 0, c * 4).alias("remembered"), F.when(c % 4 == 1, c * 4).alias("named"))
-    rows = u.join(o.select(F.col("id").alias("rid")), F.col("rid") == F.col("remembered"), "left").join(o.select(F.col("id").alias("nid")), F.col("nid") == F.col("named"), "left").join(latest, "user_id", "left")
-    mode = F.when(F.col("rid").isNotNull(), "remembered").when(F.col("nid").isNotNull(), "named").when(F.col("latest").isNotNull(), "latest").otherwise("none")
-    return rows.select("conv_id", "turn", F.coalesce("rid", "nid", "latest").alias("order_id"), mode.alias("mode"))
+    """The order that an utterance means: one remembered, one named in it, the latest with goods it names, or the latest; and which of these."""
+    c = F.col("conv_id")
+    number = lambda x: F.format_string("JD%010d", x)
+    o = orders(spark, sf).withColumn("no", number(F.col("id")))
+    more = F.when(c % 4 == 1, F.concat(F.lit(" order jd"), F.lpad((c * 4).cast("string"), 10, "0"), F.lit("?"))).when(c % 4 == 2, F.concat(F.lit(" where is my "), F.element_at(F.array(*map(F.lit, KEYWORDS)), (c % 5 + 1).cast("int")), F.lit(" or the GEAR"))).otherwise("")
+    u = turns(spark, sf).where("turn = 0").select("conv_id", (c % 1500).alias("user_id"), F.when(c % 5 == 0, number(c * 4)).alias("remembered"), F.concat("q", more).alias("q"))
+    goods = items(spark, sf).select("id", "title")
+    return support.order_resolve(u, o, goods, KEYWORDS).select("conv_id", "order_no", "mode")
 
 
 @register("SELECT k AS key, o_orderstatus AS status FROM (SELECT c_custkey * 3 AS k FROM customer) LEFT JOIN orders ON o_orderkey = k")
@@ -106,10 +117,13 @@ def return_request_apply(spark, sf):
     return applied(spark, sf)
 
 
-@register(f"SELECT order_id // 30 AS order_group, count(*) AS n, string_agg(kind, ',' ORDER BY request_id) AS kinds FROM {_APPLIED} WHERE state = 'pending' GROUP BY 1")
+@register(f"SELECT request_id // 4 * 12 AS order_id, count(*) AS n, count(*) FILTER (state = 'pending') AS n_pending, string_agg(request_id || ':' || kind || ':' || state || ':' || coalesce(refund_cents::VARCHAR, '-'), ';' ORDER BY request_id DESC) AS requests FROM {_APPLIED} GROUP BY 1")
 def return_requests_by_order(spark, sf):
-    rows = applied(spark, sf).where("state = 'pending'").groupBy(F.floor(F.col("order_id") / 30).alias("order_group"))
-    return rows.agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("request_id", "kind"))), lambda x: x["kind"]), ",").alias("kinds"))
+    """All requests of each order, here four in a row, nested, the newest first."""
+    rows = applied(spark, sf).withColumn("order_id", (F.floor(F.col("request_id") / 4) * 12).cast("long"))
+    nested = support.nested(rows, "order_id", ["request_id", "kind", "state", "refund_cents"], F.col("request_id").cast("long") * -1)
+    line = lambda r: F.concat_ws(":", r["request_id"].cast("string"), r["kind"], r["state"], F.coalesce(r["refund_cents"].cast("string"), F.lit("-")))
+    return nested.select("order_id", F.size("rows").cast("long").alias("n"), F.size(F.filter("rows", lambda r: r["state"] == "pending")).cast("long").alias("n_pending"), F.array_join(F.transform("rows", line), ";").alias("requests"))
 
 
 @register(f"SELECT request_id, CASE WHEN request_id % 2 = 0 THEN CASE WHEN s IN ('cancelled', 'completed', 'rejected') THEN s ELSE 'cancelled' END ELSE CASE WHEN s = 'cancelled' THEN 'pending' ELSE s END END AS status FROM (SELECT request_id, CASE request_id % 7 WHEN 0 THEN 'cancelled' WHEN 1 THEN 'completed' WHEN 2 THEN 'rejected' ELSE 'pending' END AS s FROM {REQUESTS})")
@@ -143,10 +157,18 @@ def invoice_request_apply(spark, sf):
     return rows.select("request_id", "order_id", verdict.alias("verdict"), F.col("cents").alias("amount_cents"))
 
 
-@register(f"SELECT order_id // 100 AS order_group, max_by(order_id, (requested_at, order_id)) AS latest, CASE WHEN max_by(state, (requested_at, order_id)) = 'issued' THEN '/invoices/' || max_by(order_id, (requested_at, order_id)) || '.pdf' END AS url FROM {INVOICES} GROUP BY 1")
+#: An order whose invoice was cancelled, and every eighth, asked for another later.
+_REISSUED = f"(SELECT order_id * 2 AS invoice_id, order_id, state, requested_at FROM {INVOICES} UNION ALL SELECT order_id * 2 + 1, order_id, CASE WHEN order_id % 5 = 0 THEN 'requested' ELSE 'issued' END, requested_at + to_days((order_id % 3)::INT) FROM {INVOICES} WHERE state = 'cancelled' OR order_id % 8 = 0)"
+
+
+@register(f"SELECT order_id, max_by(invoice_id, (requested_at, invoice_id)) AS invoice_id, max_by(state, (requested_at, invoice_id)) AS state, CASE WHEN max_by(state, (requested_at, invoice_id)) = 'issued' THEN '/invoices/' || max_by(invoice_id, (requested_at, invoice_id)) || '.pdf' END AS url FROM {_REISSUED} GROUP BY 1")
 def invoice_latest(spark, sf):
-    rows = invoices(spark, sf).groupBy(F.floor(F.col("order_id") / 100).alias("order_group")).agg(F.max_by(F.struct("order_id", "state"), F.struct("requested_at", "order_id")).alias("x"))
-    return rows.select("order_group", F.col("x.order_id").alias("latest"), F.when(F.col("x.state") == "issued", F.concat(F.lit("/invoices/"), F.col("x.order_id").cast("string"), F.lit(".pdf"))).alias("url"))
+    """The latest invoice of each order that has any, with the address to fetch it from once it is issued."""
+    first = invoices(spark, sf)
+    later = first.where("state = 'cancelled' OR order_id % 8 = 0").select((F.col("order_id") * 2 + 1).alias("invoice_id"), "order_id", F.when(F.col("order_id") % 5 == 0, "requested").otherwise("issued").alias("state"), (F.col("requested_at") + F.make_interval(days=(F.col("order_id") % 3).cast("int"))).alias("requested_at"))
+    rows = first.select((F.col("order_id") * 2).alias("invoice_id"), "order_id", "state", "requested_at").unionByName(later)
+    rows = rows.groupBy("order_id").agg(F.max_by(F.struct("invoice_id", "state"), F.struct("requested_at", "invoice_id")).alias("x"))
+    return rows.select("order_id", "x.invoice_id", "x.state", F.when(F.col("x.state") == "issued", F.concat(F.lit("/invoices/"), F.col("x.invoice_id").cast("string"), F.lit(".pdf"))).alias("url"))
 
 
 @register(f"SELECT user_id, order_id, state FROM {INVOICES} QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY requested_at DESC, order_id) <= 10")
@@ -157,12 +179,20 @@ def invoices_by_user(spark, sf):
 _OID = rules.ORDER_ID.replace("(?i)", "")
 
 
-@register(f"SELECT conv_id, turn, nullif(regexp_extract(q, '(?i){_OID}'), '') AS order_id, coalesce({_first_rule_sql('lower(q)', rules.RETURN_KINDS)}, 'return') AS kind, nullif(regexp_extract(q, '{rules.TAX_ID}'), '') AS tax_id, coalesce({_first_rule_sql('lower(q)', rules.ACCOUNT_INTENTS)}, 'profile') AS account FROM {TURNS}")
+#: What is said, in every third conversation with a company to bill and its tax id.
+_SAID = f"(SELECT conv_id, turn, q || CASE WHEN conv_id % 3 = 1 THEN '，抬头 上海' || conv_id || ' (East) 科技集团 91310000MA1K3' || lpad((conv_id % 1000)::VARCHAR, 3, '0') || 'XY' ELSE '' END AS q FROM {TURNS})"
+
+
+@register(f"SELECT conv_id, turn, nullif(regexp_extract(q, '(?i){_OID}'), '') AS order_id, coalesce({_first_rule_sql('lower(q)', rules.RETURN_KINDS)}, 'return') AS kind, coalesce(nullif(trim(regexp_extract(q, '{rules.INVOICE_TITLE}', 1)), ''), '{rules.INVOICE_PERSONAL}') AS invoice_title, CASE WHEN regexp_matches(q, '{rules.INVOICE_TITLE}') THEN nullif(regexp_extract(q, '{rules.TAX_ID}'), '') END AS tax_id, coalesce({_first_rule_sql('lower(q)', rules.ACCOUNT_INTENTS)}, 'profile') AS account FROM {_SAID}")
 def utterance_extract(spark, sf):
-    """Order id, kind of return, tax id and account intent of each utterance."""
+    """Order id, kind of return, invoice title, tax id and account intent of each utterance; without a company an invoice is personal and has no tax id."""
+    c = F.col("conv_id")
+    company = F.concat(F.lit("，抬头 上海"), c.cast("string"), F.lit(" (East) 科技集团 91310000MA1K3"), F.lpad((c % 1000).cast("string"), 3, "0"), F.lit("XY"))
+    rows = turns(spark, sf).select("conv_id", "turn", F.concat("q", F.when(c % 3 == 1, company).otherwise("")).alias("q"))
     q, low = F.col("q"), F.lower("q")
     none = lambda c: F.when(c != "", c)
-    return turns(spark, sf).select("conv_id", "turn", none(F.regexp_extract(q, rules.ORDER_ID, 0)).alias("order_id"), T.first_rule(low, rules.RETURN_KINDS, "return").alias("kind"), none(F.regexp_extract(q, rules.TAX_ID, 0)).alias("tax_id"), T.first_rule(low, rules.ACCOUNT_INTENTS, "profile").alias("account"))
+    title, tax = support.invoice_title(q)
+    return rows.select("conv_id", "turn", none(F.regexp_extract(q, rules.ORDER_ID, 0)).alias("order_id"), T.first_rule(low, rules.RETURN_KINDS, "return").alias("kind"), title.alias("invoice_title"), tax.alias("tax_id"), T.first_rule(low, rules.ACCOUNT_INTENTS, "profile").alias("account"))
 
 
 _HI, _ME = ("(?i)" + "|".join(p) for p in (rules.SEVERITY_HIGH, rules.SEVERITY_MEDIUM))
@@ -319,11 +349,16 @@ def preference_upsert(spark, sf):
     return preferences(spark, sf)
 
 
-@register(f"WITH p AS (SELECT user_id, key, 'v' || last AS value, row_number() OVER (PARTITION BY user_id ORDER BY key) AS n, count(*) OVER (PARTITION BY user_id) AS total FROM {PREFS} WHERE NOT gone) SELECT user_id, string_agg(key || '=' || value, '; ' ORDER BY key) || CASE WHEN any_value(total) > 3 THEN ' (' || (any_value(total) - 3) || ' more)' ELSE '' END AS summary FROM p WHERE n <= 3 GROUP BY 1")
+_PREF_SQL = rules.PREFERENCE_LINE.replace("{key}", "' || key || '").replace("{value}", "' || value || '").replace("{source}", "' || source || '")
+_MORE_SQL = rules.PREFERENCE_MORE.replace("{n}", "' || (any_value(total) - 6) || '")
+
+
+@register(f"WITH e AS (SELECT user_id, event_type || '-' || event_id % 4 AS key, max(event_id) AS last FROM events GROUP BY 1, 2), p AS (SELECT user_id, key, 'v' || last AS value, CASE WHEN last % 2 = 0 THEN 'agent' ELSE 'user' END AS source, row_number() OVER (PARTITION BY user_id ORDER BY key) AS n, count(*) OVER (PARTITION BY user_id) AS total FROM e) SELECT user_id, '{rules.PREFERENCE_HEAD}' || chr(10) || string_agg('{_PREF_SQL}', chr(10) ORDER BY key) || CASE WHEN any_value(total) > 6 THEN chr(10) || '{_MORE_SQL}' ELSE '' END AS summary FROM p WHERE n <= 6 GROUP BY 1")
 def preference_summary(spark, sf):
-    p = preferences(spark, sf).withColumn("total", F.count("*").over(Window.partitionBy("user_id")))
-    first = support.latest(p, ["user_id"], 3, F.col("key")).groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat("key", F.lit("="), "value"))), "; ").alias("s"), F.max("total").alias("total"))
-    return first.select("user_id", F.concat("s", F.when(F.col("total") > 3, F.concat(F.lit(" ("), (F.col("total") - 3).cast("string"), F.lit(" more)"))).otherwise("")).alias("summary"))
+    """The first six preferences of each user by key, as a planner is told them, and how many more there are."""
+    e = table(spark, sf, "events").groupBy("user_id", F.concat("event_type", F.lit("-"), (F.col("event_id") % 4).cast("string")).alias("key")).agg(F.max("event_id").alias("last"))
+    rows = e.select("user_id", "key", F.concat(F.lit("v"), F.col("last").cast("string")).alias("value"), F.when(F.col("last") % 2 == 0, "agent").otherwise("user").alias("source"))
+    return support.preference_summary(rows)
 
 
 @register("SELECT user_id, id, n = 1 AS is_default FROM (SELECT o_custkey AS user_id, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY (o_orderpriority LIKE '1%') DESC, o_orderdate DESC, o_orderkey) AS n FROM orders)")
@@ -353,18 +388,46 @@ def audit_search(spark, sf):
     return table(spark, sf, "events").where("event_type = 'error' AND user_id BETWEEN 10 AND 90 AND value > 5").orderBy(F.desc("ts"), "event_id").limit(500).select("event_id", "ts")
 
 
-@register("WITH u AS (SELECT c_custkey FROM customer WHERE c_custkey % 50 = 7) SELECT 'orders' AS table_name, count(*) AS n_deleted FROM orders WHERE o_custkey IN (FROM u) UNION ALL SELECT 'items', count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey IN (FROM u)) UNION ALL SELECT 'events', count(*) FROM events WHERE user_id IN (FROM u) UNION ALL SELECT 'users', count(*) FROM u")
+#: Requests to return goods, by whoever ordered them; feedback and audit rows are events of a user.
+_RETURNS = "(SELECT o_orderkey * 2 + n AS id, o_orderkey AS order_id, ['completed', 'rejected', 'pending', 'cancelled', 'approved'][(o_orderkey % 5)::INT + 1] AS status, o_orderdate + to_days(n::INT * 3) AS created_at FROM (SELECT *, unnest(range(1 + (o_orderkey % 2)::INT)) AS n FROM orders WHERE o_orderkey % 3 = 0))"
+
+
+def returns(spark, sf):
+    k = F.col("o_orderkey")
+    rows = table(spark, sf, "orders").where(k % 3 == 0).select(k, "o_orderdate", F.explode(F.sequence(F.lit(0), (k % 2).cast("int"))).alias("n"))
+    status = F.element_at(F.array(*map(F.lit, ("completed", "rejected", "pending", "cancelled", "approved"))), (k % 5 + 1).cast("int"))
+    return rows.select((k * 2 + F.col("n")).alias("id"), k.alias("order_id"), status.alias("status"), (F.col("o_orderdate") + F.make_interval(days=F.col("n") * 3)).alias("created_at"))
+
+
+_ERASED = f"""WITH u AS (SELECT c_custkey FROM customer WHERE c_custkey % 50 = 7), o AS (SELECT o_custkey AS u, count(*) AS n FROM orders WHERE o_custkey IN (FROM u) GROUP BY 1), i AS (SELECT o_custkey AS u, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_custkey IN (FROM u) GROUP BY 1),
+r AS (SELECT o_custkey AS u, count(*) AS n FROM {_RETURNS} JOIN orders ON o_orderkey = order_id WHERE o_custkey IN (FROM u) GROUP BY 1), f AS (SELECT user_id AS u, count(*) FILTER (event_type = 'click') AS n, count(*) FILTER (event_type = 'error') AS m FROM events WHERE user_id IN (FROM u) GROUP BY 1),
+c AS (SELECT substr(sha256(c_custkey::VARCHAR), 1, 16) AS user_hash, coalesce(o.n, 0) AS orders, coalesce(i.n, 0) AS items, coalesce(r.n, 0) AS returns, coalesce(f.n, 0) AS feedback, coalesce(f.m, 0) AS audit_logs FROM u LEFT JOIN o ON o.u = c_custkey LEFT JOIN i ON i.u = c_custkey LEFT JOIN r ON r.u = c_custkey LEFT JOIN f ON f.u = c_custkey)
+SELECT 'gdpr_delete' AS event_type, user_hash, orders, items, returns, feedback, audit_logs, 1::BIGINT AS users, NULL::BIGINT AS n_left FROM c UNION ALL SELECT 'left', NULL, NULL, NULL, NULL, NULL, NULL, NULL, count(*) FROM {_RETURNS} JOIN orders ON o_orderkey = order_id WHERE o_custkey NOT IN (FROM u)"""
+
+
+@register(_ERASED)
 def erase_user(spark, sf):
-    """Dry run of erasing a set of users: rows by table."""
-    c, o = table(spark, sf, "customer"), table(spark, sf, "orders")
-    users = c.where("c_custkey % 50 = 7").select("c_custkey")
-    owned = table(spark, sf, "lineitem").join(o.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
-    counts, _ = support.erase({"orders": (o, "o_custkey"), "items": (owned, "o_custkey"), "events": (table(spark, sf, "events"), "user_id"), "users": (c, "c_custkey")}, users, "c_custkey")
-    return counts
+    """A set of users erased, with what hangs on their orders: an audit row for each that holds only a hash of the user, and the returns that are left."""
+    c, o, e = table(spark, sf, "customer"), table(spark, sf, "orders"), table(spark, sf, "events")
+    of = lambda rows, key: rows.join(o.select(F.col("o_orderkey").alias(key), "o_custkey"), key)
+    tables = {"orders": (o, "o_custkey"), "items": (of(table(spark, sf, "lineitem"), "l_orderkey"), "o_custkey"), "returns": (of(returns(spark, sf), "order_id"), "o_custkey"), "feedback": (e.where("event_type = 'click'"), "user_id"), "audit_logs": (e.where("event_type = 'error'"), "user_id"), "users": (c, "c_custkey")}
+    audit, left = support.erase(tables, c.where("c_custkey % 50 = 7").select("c_custkey"), "c_custkey")
+    return audit.withColumn("n_left", F.lit(None).cast("long")).unionByName(left["returns"].agg(F.count("*").alias("n_left")).withColumn("event_type", F.lit("left")), allowMissingColumns=True)
+
 
+#: The moment of the sweep; audit rows are the events, moved before it, feedback the shipped goods.
+SWEPT = "1998-08-05"
+_SWEPT = f"""WITH m AS (SELECT max(ts) AS m FROM events), a AS (SELECT 'audit_logs' AS table_name, TIMESTAMP '{SWEPT}' - (m.m - ts) * 9 AS created_at, NULL AS status, 180 AS days FROM events, m),
+x AS (SELECT * FROM a UNION ALL SELECT 'feedback', o_orderdate, NULL, 365 FROM orders UNION ALL SELECT 'return_requests', created_at, status, 365 FROM {_RETURNS})
+SELECT table_name, count(*) FILTER (gone) AS expired, count(*) FILTER (NOT gone) AS kept FROM (SELECT table_name, created_at < TIMESTAMP '{SWEPT}' - to_days(days) AND (table_name <> 'return_requests' OR status IN ('completed', 'rejected', 'cancelled')) AS gone FROM x) GROUP BY 1"""
 
-@register("WITH m AS (SELECT max(ts) AS m FROM events) SELECT event_type, count(*) FILTER (ts < m - INTERVAL 10 DAY) AS expired, count(*) FILTER (ts >= m - INTERVAL 10 DAY) AS kept FROM events, m GROUP BY 1")
+
+@register(_SWEPT)
 def retention_sweep(spark, sf):
-    e = table(spark, sf, "events")
-    as_of = e.agg((F.max("ts") - F.expr("INTERVAL 10 DAYS")).alias("limit"))
-    return e.crossJoin(F.broadcast(as_of)).groupBy("event_type").agg(F.count_if(F.col("ts") < F.col("limit")).alias("expired"), F.count_if(F.col("ts") >= F.col("limit")).alias("kept"))
+    """What a sweep takes out of three tables: old audit rows, old feedback, and old returns that are over."""
+    e, at = table(spark, sf, "events"), F.lit(SWEPT).cast("timestamp_ntz")
+    last = e.agg(F.max("ts").alias("last"))  # one row
+    audit = e.crossJoin(F.broadcast(last)).select((at - (F.col("last") - F.col("ts")) * 9).alias("created_at"))
+    tables = {"audit_logs": audit, "feedback": table(spark, sf, "orders").select(F.col("o_orderdate").alias("created_at")), "return_requests": returns(spark, sf)}
+    counts, _ = support.retention(tables, at)
+    return counts

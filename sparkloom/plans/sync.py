@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import blocks, kb, sync
+from ..operators import blocks, kb, support, sync
 from ..sources import files
 from ..streaming import streams
 from .registry import register, scratch, table
@@ -40,9 +40,16 @@ def sync_diff(spark, sf):
     return changes(spark, sf)
 
 
-@register(f"SELECT action, count(*) AS n, count(*) FILTER (refresh) AS refreshed FROM {DIFF} GROUP BY 1")
+#: What cleaning counted for each document that was read, and the documents that could not be.
+_CLEANED = "(SELECT 'd' || doc_id AS source_id, doc_id % 37 = 5 AS failed, length(text) % 4 AS pii_redactions, length(text) % 3 AS low_info_dropped, doc_id % 2 AS dedup_dropped FROM documents)"
+
+
+@register(f"WITH d AS (SELECT d.*, failed AND action IN ('add', 'update') AS bad, action IN ('add', 'update') AND NOT failed AS done, pii_redactions, low_info_dropped, dedup_dropped FROM {DIFF} d JOIN {_CLEANED} USING (source_id)) SELECT count(*) FILTER (action = 'add' AND NOT bad) AS added, count(*) FILTER (action = 'update' AND NOT bad) AS updated, count(*) FILTER (action = 'skip') AS skipped, count(*) FILTER (action = 'delete') AS deleted, count(*) FILTER (bad) AS errors, sum(pii_redactions) FILTER (done)::BIGINT AS pii_redactions, sum(low_info_dropped) FILTER (done)::BIGINT AS low_info_dropped, sum(dedup_dropped) FILTER (done)::BIGINT AS dedup_dropped FROM d")
 def sync_summary(spark, sf):
-    return changes(spark, sf).groupBy("action").agg(F.count("*").alias("n"), F.count_if("refresh").alias("refreshed"))
+    """One row for a sync: what became of the documents, how many failed, and what cleaning took out of those that were read."""
+    n = F.length("text")
+    cleaned = table(spark, sf, "documents").select(_id("d").alias("source_id"), F.when(F.col("doc_id") % 37 == 5, "unreadable").alias("error"), (n % 4).alias("pii_redactions"), (n % 3).alias("low_info_dropped"), (F.col("doc_id") % 2).alias("dedup_dropped"))
+    return sync.summary(changes(spark, sf), cleaned)
 
 
 @register(f"SELECT source_id, part, false AS fresh FROM (SELECT source_id, unnest([0, 1]) AS part FROM {REGISTRY}) WHERE source_id NOT IN (SELECT source_id FROM {DIFF} WHERE action IN ('update', 'delete')) UNION ALL SELECT source_id, part, true FROM (SELECT source_id, unnest([0, 1, 2]) AS part FROM {DIFF} WHERE action IN ('add', 'update'))")
@@ -53,11 +60,20 @@ def sync_apply_chunks(spark, sf):
     return sync.apply_chunks(old, change, new)
 
 
-@register(f"SELECT d.source_id, l.cheap_hash, l.content_hash, coalesce(l.title, r.title) AS title, CASE WHEN action IN ('add', 'update') THEN 3 ELSE coalesce(r.chunk_count, 0) END AS chunk_count FROM {DIFF} d JOIN {LISTING} l ON l.source_id = d.source_id LEFT JOIN {REGISTRY} r ON r.source_id = d.source_id WHERE action <> 'delete'")
+#: Old rows keep a note; listed ones bring their suffix, and every fifth a note of its own.
+_EXTRA_SQL = "CASE WHEN r.source_id IS NULL THEN CASE WHEN substr(d.source_id, 2)::BIGINT % 5 = 0 THEN 'note=new,suffix=md' ELSE 'suffix=md' END WHEN action = 'skip' AND NOT coalesce(refresh, false) THEN 'note=old' WHEN substr(d.source_id, 2)::BIGINT % 5 = 0 THEN 'note=new,suffix=md' ELSE 'note=old,suffix=md' END"
+
+
+@register(f"SELECT d.source_id, l.cheap_hash, l.content_hash, coalesce(l.title, r.title) AS title, CASE WHEN action IN ('add', 'update') THEN 3 ELSE coalesce(r.chunk_count, 0) END AS chunk_count, {_EXTRA_SQL} AS extra FROM {DIFF} d JOIN {LISTING} l ON l.source_id = d.source_id LEFT JOIN {REGISTRY} r ON r.source_id = d.source_id WHERE action <> 'delete'")
 def registry_upsert(spark, sf):
     change = changes(spark, sf)
     counts = change.where("action IN ('add', 'update')").select("source_id", F.lit(3).cast("long").alias("chunk_count"))
-    return sync.upsert_registry(registry_(spark, sf), listing(spark, sf), change, counts)
+    note = F.expr("substr(source_id, 2)").cast("long") % 5 == 0
+    listed = listing(spark, sf).withColumn("extra", F.when(note, F.create_map(F.lit("suffix"), F.lit("md"), F.lit("note"), F.lit("new"))).otherwise(F.create_map(F.lit("suffix"), F.lit("md"))))
+    held = registry_(spark, sf).withColumn("extra", F.create_map(F.lit("note"), F.lit("old")))
+    rows = sync.upsert_registry(held, listed, change, counts)
+    pairs = F.array_sort(F.transform(F.map_entries("extra"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return rows.withColumn("extra", F.array_join(pairs, ","))
 
 
 @register("SELECT source AS kb_id, count(*) AS chunk_count, count(*) FILTER (doc_id % 5 <> 0) AS leaves FROM documents GROUP BY 1")
@@ -65,9 +81,16 @@ def kb_manifest(spark, sf):
     return table(spark, sf, "documents").groupBy(F.col("source").alias("kb_id")).agg(F.count("*").alias("chunk_count"), F.count_if(F.col("doc_id") % 5 != 0).alias("leaves"))
 
 
-@register("SELECT source, min_by(substr(text, 1, 20), doc_id) AS title, count(*) AS section_count, sum(length(text))::BIGINT AS char_count FROM documents GROUP BY 1")
+_KB_CHUNKS = "(SELECT 'kb::' || source AS source_id, doc_id AS ord, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'https://kb.example/' || source || '/' || lang || '/page-' || doc_id || '.md' END AS source_path, source || ' in ' || lang AS title, coalesce(text, '') AS text FROM documents)"
+
+
+@register(f"SELECT source_id, min_by(title, ord) AS title, min_by(CASE WHEN source_path = '' THEN source_id ELSE string_split(source_path, '/')[-1] END, ord) AS file_name, count(*) AS section_count, sum(length(text))::BIGINT AS char_count FROM {_KB_CHUNKS} GROUP BY 1")
 def kb_documents_listing(spark, sf):
-    return table(spark, sf, "documents").groupBy("source").agg(F.min_by(F.substring("text", 1, 20), "doc_id").alias("title"), F.count("*").alias("section_count"), F.sum(F.length("text")).alias("char_count"))
+    """The sources of a knowledge base: title and file name of the first chunk, the number of chunks and of characters."""
+    d = table(spark, sf, "documents")
+    path = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit("https://kb.example/"), "source", F.lit("/"), "lang", F.lit("/page-"), F.col("doc_id").cast("string"), F.lit(".md")))
+    chunks = d.select(F.concat(F.lit("kb::"), "source").alias("source_id"), F.col("doc_id").alias("ord"), path.alias("source_path"), F.concat("source", F.lit(" in "), "lang").alias("title"), F.coalesce("text", F.lit("")).alias("text"))
+    return sync.documents_listing(chunks)
 
 
 @register("SELECT doc_id AS chunk_id, source AS source_id, text FROM documents")
@@ -142,28 +165,34 @@ def block_tree_render(spark, sf):
     return rows.select("page_id", "block_id", "depth", F.col("position").cast("long").alias("position"), "text")
 
 
-@register("SELECT doc_id, coalesce(CASE WHEN doc_id % 3 <> 0 THEN source END, 'legacy') AS source_id, CASE WHEN lang = 'en' THEN lang ELSE 'Parent/' || lang END AS section, row_number() OVER (PARTITION BY coalesce(CASE WHEN doc_id % 3 <> 0 THEN source END, 'legacy'), doc_id // 1000 ORDER BY doc_id) - 1 AS ord FROM documents")
+@register("SELECT doc_id, coalesce(CASE WHEN doc_id % 3 <> 0 THEN source END, 'legacy') AS source_id, CASE WHEN lang = 'en' THEN lang ELSE 'Parent/' || lang END AS section, row_number() OVER (PARTITION BY coalesce(CASE WHEN doc_id % 3 <> 0 THEN source END, 'legacy') ORDER BY doc_id) - 1 AS ord FROM documents")
 def legacy_chunk_migrate(spark, sf):
-    """Old chunks: a missing source id is filled in, equal section titles collapse, an order number is given."""
-    from pyspark.sql import Window
+    """Old chunks: a missing source id is filled in, equal section titles collapse, and each gets its place among all of its source.
 
+    A source is numbered over ranges, so that one may hold any share of the chunks.
+    """
     d = table(spark, sf, "documents")
     source = F.coalesce(F.when(F.col("doc_id") % 3 != 0, F.col("source")), F.lit("legacy"))
     parent = F.when(F.col("lang") == "en", F.col("lang")).otherwise("Parent")
     section = F.array_join(F.array_distinct(F.array(parent, "lang")), "/")
-    n = F.row_number().over(Window.partitionBy("source_id", F.floor(F.col("doc_id") / 1000)).orderBy("doc_id")) - 1
-    return d.select("doc_id", source.alias("source_id"), section.alias("section")).withColumn("ord", n)
+    rows = support.positions(d.select("doc_id", source.alias("source_id"), section.alias("section")), "source_id", ["doc_id"], scratch(spark, "legacy"))
+    return rows.select("doc_id", "source_id", "section", (F.col("position") - 1).cast("long").alias("ord"))
+
+
+#: Regions of each page, as a layout model replies: a title, tables, figures, code, text, empty ones, and as many of them as the page's number tells.
+_REGION_TYPES = ["title", "table", "figure", "code", "text", "Figure", "table", None]
 
 
-@register("SELECT page_id, r.role, r.body, r.ord FROM (SELECT page_id, unnest([{'role': 'title', 'body': url, 'ord': 0}, {'role': 'table', 'body': '| a | ' || page_id || ' |', 'ord': 1}, {'role': 'code', 'body': '```py' || chr(10) || 'x' || chr(10) || '```', 'ord': 2}, {'role': 'parent', 'body': url || chr(10) || chr(10) || '| a | ' || page_id || ' |' || chr(10) || chr(10) || '```py' || chr(10) || 'x' || chr(10) || '```', 'ord': -1}]) AS r FROM pages)")
+@register(rf"""WITH r AS (SELECT page_id, url, unnest(range(3 + page_id % 9)) AS i FROM pages), t AS (SELECT *, coalesce(lower({_REGION_TYPES}[((page_id + i) % 8)::INT + 1]), 'text') AS kind, CASE WHEN (page_id + i) % 5 <> 4 THEN url || ' #' || i END AS x FROM r),
+b AS (SELECT page_id, i, kind, trim(CASE kind WHEN 'table' THEN CASE WHEN (page_id + i) % 16 < 8 THEN '| a | ' || page_id || ' |' ELSE coalesce(x, '') END WHEN 'figure' THEN '[Figure] ' || coalesce(x, '') WHEN 'code' THEN '[Code:' || CASE WHEN i % 2 = 0 THEN 'py' ELSE '' END || ']' || chr(10) || coalesce(x, '') WHEN 'title' THEN '# ' || coalesce(x, '') ELSE coalesce(x, '') END, ' ' || chr(10)) AS body FROM t),
+k AS (SELECT * FROM b WHERE body <> '') SELECT page_id, kind AS region_type, body, i AS ord FROM k UNION ALL SELECT page_id, 'image_page', string_agg(body, chr(10) || chr(10) ORDER BY i), -1 FROM k GROUP BY 1""".replace("None", "NULL"))
 def region_chunks(spark, sf):
-    """Layout regions as JSON to typed leaves, and one parent of them all."""
-    js = F.to_json(F.struct(F.array(F.struct(F.lit("title").alias("type"), F.col("url").alias("text"), F.lit(None).cast("string").alias("markdown"), F.lit(None).cast("string").alias("language")), F.struct(F.lit("table").alias("type"), F.lit("").alias("text"), F.concat(F.lit("| a | "), F.col("page_id").cast("string"), F.lit(" |")).alias("markdown"), F.lit(None).cast("string").alias("language")), F.struct(F.lit("code").alias("type"), F.lit("x").alias("text"), F.lit(None).cast("string").alias("markdown"), F.lit("py").alias("language"))).alias("regions")))
-    regions = table(spark, sf, "pages").select("page_id", F.posexplode(F.from_json(js, "regions array<struct<type:string,text:string,markdown:string,language:string>>")["regions"]).alias("ord", "r"))
-    body = F.when(F.col("r.type") == "code", F.concat(F.lit("```"), F.coalesce("r.language", F.lit("")), F.lit("\n"), "r.text", F.lit("\n```"))).otherwise(F.coalesce("r.markdown", "r.text"))
-    leaves = regions.select("page_id", F.col("r.type").alias("role"), body.alias("body"), "ord")
-    parents = leaves.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "body"))), lambda x: x["body"]), "\n\n").alias("body")).select("page_id", F.lit("parent").alias("role"), "body", F.lit(-1).alias("ord"))
-    return leaves.unionByName(parents)
+    """Layout regions as JSON to typed chunks, each by the rule of its type, those without a body left out, and one parent of them all."""
+    k = F.col("page_id") + F.col("i")
+    some = table(spark, sf, "pages").select("page_id", "url", F.explode(F.sequence(F.lit(0), (2 + F.col("page_id") % 9).cast("int"))).alias("i"))
+    region = F.struct(F.element_at(F.array(*map(F.lit, _REGION_TYPES)), (k % 8 + 1).cast("int")).alias("type"), F.when(k % 5 != 4, F.concat("url", F.lit(" #"), F.col("i").cast("string"))).alias("text"), F.when(k % 16 < 8, F.concat(F.lit("| a | "), F.col("page_id").cast("string"), F.lit(" |"))).alias("markdown"), F.when(F.col("i") % 2 == 0, "py").alias("language"))
+    replies = some.groupBy("page_id").agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("i", region.alias("r")))), lambda x: x["r"]).alias("regions"))).alias("reply"))
+    return sync.region_chunks(replies, "page_id", "reply")
 
 
 #: Listed documents as they arrive, those that are gone too; every 37th is no UTF-8. What has the old cheap hash is never looked at.

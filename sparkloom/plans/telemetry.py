@@ -148,12 +148,12 @@ def rate_limit_decide(spark, sf):
     return limited(e.select(F.col("user_id").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id"))
 
 
-@register("SELECT date_trunc('minute', ts) AS start, event_type, count(*) AS n, sum((value > 50)::INT)::BIGINT AS n_slow, count(*) / 60.0::DOUBLE AS rate FROM events GROUP BY 1, 2")
+@register("SELECT date_trunc('minute', ts) AS start, event_type, count(*) AS n, sum((value > 50)::INT)::BIGINT AS n_slow, count(*) / 60.0::DOUBLE AS rate, " + "list_value(" + ", ".join(f"count(*) FILTER (value / 10 <= {b})" for b in rules.LATENCY_BOUNDS) + ", count(*)) AS buckets, round(sum(value / 10), 6) AS seconds FROM events GROUP BY 1, 2")
 def metrics_stream(spark, sf):
-    """Counts, slow ones and rates by minute and path from a stream, of all windows: those still open give what they hold so far."""
+    """Counts, slow ones, rates and a latency histogram by minute and path from a stream, of all windows: those still open give what they hold so far."""
     e = streams.stream_of(spark, f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    counts = streams.windowed_counts(e, "ts", "event_type", more=[F.sum((F.col("value") > 50).cast("long")).alias("n_slow")])
-    return streams.latest(spark, counts, "start", "event_type").withColumn("rate", F.col("n") / 60.0)
+    counts = streams.windowed_counts(e, "ts", "event_type", more=[F.sum((F.col("value") > 50).cast("long")).alias("n_slow"), *streams.histogram(F.col("value") / 10, rules.LATENCY_BOUNDS)])
+    return streams.latest(spark, counts, "start", "event_type").withColumn("rate", F.col("n") / 60.0).withColumn("seconds", F.round("seconds", 6))
 
 
 @register(FOLD)

@@ -33,6 +33,11 @@ def windowed_counts(events: DataFrame, ts: str, *keys: str, size: str = "1 minut
     return events.withWatermark(ts, late).groupBy(F.window(ts, size), *keys).agg(F.count("*").alias("n"), *more).select(F.col("window.start").alias("start"), "*").drop("window")
 
 
+def histogram(seconds: Column, bounds: list[float]) -> list[Column]:
+    """``buckets``, how many are within each bound and at last how many in all, and ``seconds``, their sum: aggregates that windows can merge."""
+    return [F.array(*(F.count_if(seconds <= b) for b in bounds), F.count(seconds)).alias("buckets"), F.sum(seconds).alias("seconds")]
+
+
 def collected(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over what is there, into Parquet in the shared folder."""
     out = scratch(spark, "stream")
