@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -297,6 +298,37 @@ def parent_expand(hits: DataFrame, parents: DataFrame) -> DataFrame:
     return best.select("query_id", F.col("target").alias("chunk_id"), F.col("b.chunk_id").alias("best_leaf"), "score", F.col("b.expanded").alias("expanded"), F.row_number().over(w).alias("rank"))
 
 
+def word_overlap(queries: list[str], passages: list[str]) -> np.ndarray:
+    """The default scorer of pairs: the share of a query's different words that the passage holds, from -4 to 4."""
+    words = lambda t: set(re.findall(r"[^\W_]+", re.sub(f"([{rules.CJK}])", r" \1 ", t.lower())))
+    return np.array([8 * (len(q & words(p)) / len(q) if (q := words(query)) else 0.0) - 4 for query, p in zip(queries, passages)], float)
+
+
+def score_pairs(pairs: DataFrame, model: Callable[[list[str], list[str]], np.ndarray] = word_overlap, batch: int = 256) -> DataFrame:
+    """``pairs`` (query_id, chunk_id, query, passage, ...) without its texts and with ``raw``, what a model of pairs says of each, batch by batch."""
+    rest = [c for c in pairs.columns if c not in ("query", "passage")]
+    kinds = ", ".join(f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in rest)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for k in range(0, len(pdf), batch):
+                part = pdf.iloc[k : k + batch]
+                yield part[rest].assign(raw=np.asarray(model(part["query"].fillna("").tolist(), part["passage"].fillna("").tolist()), float))
+
+    return pairs.mapInPandas(run, f"{kinds}, raw double")
+
+
+def rerank(queries: DataFrame, hits: DataFrame, chunks: DataFrame, priors: DataFrame, k: int = 8, model: Callable[[list[str], list[str]], np.ndarray] = word_overlap) -> DataFrame:
+    """(query_id, chunk_id, score, prior, raw, sigmoid, rank): hits scored anew by a model of query and passage, with the prior of intent and source.
+
+    ``queries`` is (query_id, text), ``hits`` (query_id, chunk_id), ``chunks`` (chunk_id, title, text, source_path). A passage is title and text.
+    """
+    passage = F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")))
+    rows = hits.select("query_id", "chunk_id").join(chunks.select("chunk_id", passage.alias("passage"), T.source_type(F.coalesce("source_path", F.lit(""))).alias("source_type")), "chunk_id")
+    rows = rows.join(queries.select("query_id", F.col("text").alias("query"), T.query_intent(F.col("text")).alias("intent")), "query_id")
+    return rerank_adjust(score_pairs(rows, model), priors, k)
+
+
 def rerank_adjust(hits: DataFrame, priors: DataFrame, k: int = 8) -> DataFrame:
     """sigmoid(raw) plus the prior of (intent, source type), within 0 and 1; the first ``k``. Keeps raw, sigmoid and prior."""
     rows = hits.join(F.broadcast(priors), ["intent", "source_type"], "left").withColumn("prior", F.coalesce("prior", F.lit(0.0))).withColumn("sigmoid", 1 / (1 + F.exp(-F.col("raw"))))

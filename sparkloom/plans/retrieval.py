@@ -241,15 +241,27 @@ def metadata_filter(spark, sf):
     return filters.filter_chunks(chunks, asked)
 
 
-RERANK = f"""rr AS (SELECT fu.query_id, fu.chunk_id, CASE WHEN fu.query_id % 2 = 0 THEN 'howto' ELSE 'neutral' END AS intent, CASE fu.chunk_id % 3 WHEN 0 THEN 'doc' WHEN 1 THEN 'getting_started' ELSE 'release' END AS source_type, fu.score * 100 - 3 AS raw FROM fu),
+#: Chunks as a reranker sees them: with a title and a path, from which the source type comes. The first eight fused hits are scored by the share of the query's words they hold.
+_CHUNKS = """(SELECT doc_id AS chunk_id, 'Doc ' || doc_id AS title, coalesce(text, '') AS text, 'https://kb.example/' || source || ['/release-notes', '/FAQ', '/quickstart', '/issues/7', ''][(doc_id % 5)::INT + 1] AS path FROM documents)"""
+_WORDS = r"list_distinct(regexp_extract_all(regexp_replace(lower({}), '([CJK])', ' \\1 ', 'g'), '[\p{{L}}\p{{N}}]+'))".replace("CJK", rules.CJK)
+RERANK = f"""rw AS (SELECT fu.query_id, fu.chunk_id, {INTENT} AS intent, {STYPE} AS source_type, {_WORDS.format("q")} AS qw, {_WORDS.format("title || chr(10) || text")} AS cw FROM fu JOIN (SELECT item_id AS query_id, text AS q FROM benchmark) b ON b.query_id = fu.query_id JOIN {_CHUNKS} c ON c.chunk_id = fu.chunk_id WHERE fu.rank <= 8),
+rr AS (SELECT query_id, chunk_id, intent, source_type, 8 * CASE WHEN len(qw) = 0 THEN 0 ELSE len(list_intersect(qw, cw))::DOUBLE / len(qw) END - 4 AS raw FROM rw),
 rs AS (SELECT rr.*, coalesce(prior, 0) AS prior, round(greatest(0, least(1, 1 / (1 + exp(-raw)) + coalesce(prior, 0))), 6) AS score FROM rr LEFT JOIN {_PRIORS} ON pr.intent = rr.intent AND pr.source_type = rr.source_type),
 rk AS (SELECT * FROM (SELECT query_id, chunk_id, score, prior, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM rs) WHERE rank <= 8)"""
 
 
+def as_chunks(spark, sf):
+    """Documents as chunks with a title and a path."""
+    tail = F.element_at(F.array(*map(F.lit, ("/release-notes", "/FAQ", "/quickstart", "/issues/7", ""))), (F.pmod("doc_id", F.lit(5)) + 1).cast("int"))
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("title"), F.coalesce("text", F.lit("")).alias("text"), F.concat(F.lit("https://kb.example/"), "source", tail).alias("source_path"), "lang")
+
+
+def asked(spark, sf):
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
 def reranked(spark, sf):
-    kinds = F.array(*map(F.lit, ("doc", "getting_started", "release")))
-    rows = fused(spark, sf).select("query_id", "chunk_id", F.when(F.col("query_id") % 2 == 0, "howto").otherwise("neutral").alias("intent"), F.element_at(kinds, (F.pmod("chunk_id", F.lit(3)) + 1).cast("int")).alias("source_type"), (F.col("score") * 100 - 3).alias("raw"))
-    return search.rerank_adjust(rows, priors(spark)).select("query_id", "chunk_id", "score", "prior", "rank")
+    return search.rerank(asked(spark, sf), fused(spark, sf).where("rank <= 8"), as_chunks(spark, sf), priors(spark)).select("query_id", "chunk_id", "score", "prior", "rank")
 
 
 @register(f"WITH {BM25}, {OVERLAP}, {FUSED}, {RERANK} SELECT query_id, chunk_id, score, prior::DOUBLE AS prior, rank FROM rk")
@@ -265,32 +277,26 @@ def mmr_select(spark, sf):
 
 @register()
 def hybrid_retrieve(spark, sf):
-    """BM25 and vectors, three times forty of each because a filter on the language follows; the first eight are reranked, five diverse ones stay."""
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "lang")
-    queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    vectors = stored(vectors_of(docs.select("chunk_id", "text"), "chunk_id"), "vectors")
-    lists = [("bm25", bm25(spark, sf, k=120)), ("vector", vector_hits(queries, vectors, 120))]
-    hits = search.rrf_fuse(lists).join(docs.where("lang IN ('en', 'de', 'fr')").select("chunk_id"), "chunk_id")
-    first = search.top(hits.drop("rank"), "query_id", 8, F.desc("score"), F.col("chunk_id"))
-    rows = first.select("query_id", "chunk_id", F.lit("neutral").alias("intent"), F.lit("doc").alias("source_type"), (F.col("score") * 100 - 3).alias("raw"))
-    best = search.rerank_adjust(rows, priors(spark)).select("query_id", "chunk_id", "score", "rank")
-    return search.mmr_select(best.join(docs.select("chunk_id", "text"), "chunk_id"))
+    """BM25 and vectors, three times forty of each because a filter on the language follows; the first eight are scored again as pairs, five diverse ones stay."""
+    chunks = as_chunks(spark, sf)
+    vectors = stored(vectors_of(chunks.select("chunk_id", "text"), "chunk_id"), "vectors")
+    hits = search.rrf_fuse([("bm25", bm25(spark, sf, k=120)), ("vector", vector_hits(asked(spark, sf), vectors, 120))])
+    first = search.top(hits.join(chunks.where("lang IN ('en', 'de', 'fr')").select("chunk_id"), "chunk_id").drop("rank"), "query_id", 8, F.desc("score"), F.col("chunk_id"))
+    best = search.rerank(asked(spark, sf), first, chunks, priors(spark)).select("query_id", "chunk_id", "score", "rank")
+    return search.mmr_select(best.join(chunks.select("chunk_id", "text"), "chunk_id"))
 
 
 @register()
 def multi_query_fuse(spark, sf):
-    """Each query and a variant of its second half, by BM25 and vectors, fused per variant and again, reranked once against the query."""
-    b, docs = table(spark, sf, "benchmark"), table(spark, sf, "documents")
-    half = b.withColumn("text", F.expr("substr(text, cast(length(text) / 2 as int))"))
-    index = indexed(spark, sf)
-    vectors = stored(vectors_of(docs.select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id"), "vectors")
+    """Each query and a variant of its second half, by BM25 and vectors, fused and made diverse per variant, fused again, and scored once against the query itself."""
+    chunks, index = as_chunks(spark, sf), indexed(spark, sf)
+    vectors = stored(vectors_of(chunks.select("chunk_id", "text"), "chunk_id"), "vectors")
     lists = []
-    for name, q in (("whole", b), ("half", half)):
-        own = [("bm25", search.bm25_topk(q, docs, index=index)), ("vector", vector_hits(q.select(F.col("item_id").alias("query_id"), "text"), vectors, 40))]
-        lists.append((name, search.rrf_fuse(own)))
-    first = search.rrf_fuse(lists).where("rank <= 8")
-    rows = first.select("query_id", "chunk_id", F.lit("neutral").alias("intent"), F.lit("doc").alias("source_type"), (F.col("score") * 100 - 3).alias("raw"))
-    return search.rerank_adjust(rows, priors(spark)).select("query_id", "chunk_id", "score", "rank")
+    for name, text in (("whole", F.col("text")), ("half", F.expr("substr(text, cast(length(text) / 2 as int))"))):
+        q = asked(spark, sf).select("query_id", text.alias("text"))
+        own = search.rrf_fuse([("bm25", search.bm25_topk(q, chunks, query_id="query_id", chunk_id="chunk_id", index=index)), ("vector", vector_hits(q, vectors, 40))])
+        lists.append((name, search.mmr_select(own.join(chunks.select("chunk_id", "text"), "chunk_id"), 40).withColumnRenamed("position", "rank")))
+    return search.rerank(asked(spark, sf), search.rrf_fuse(lists).where("rank <= 8"), chunks, priors(spark)).select("query_id", "chunk_id", "score", "rank")
 
 
 @register(f"WITH {BM25}, hx AS (SELECT bm.*, CASE WHEN chunk_id % 4 = 0 THEN NULL ELSE 1000000 + chunk_id // 10 END AS parent_id FROM bm), b AS (SELECT query_id, coalesce(parent_id, chunk_id) AS target, arg_max({{'c': chunk_id, 'e': parent_id IS NOT NULL}}, {{'s': score, 'r': -rank}}) AS b, max(score) AS score FROM hx GROUP BY 1, 2) SELECT query_id, target AS chunk_id, b.c AS best_leaf, score, b.e AS expanded, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, target) AS rank FROM b")
