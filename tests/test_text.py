@@ -1,5 +1,7 @@
 """Text rules on literal cases."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
@@ -48,6 +50,33 @@ def test_sections_and_parents(spark):
     assert all(r["parent_id"] == rows[k - 1]["chunk_id"] for k, r in enumerate(rows) if r["chunk_role"] == "leaf")
 
 
+def test_sections_of_odd_headings(spark):
+    texts = ["### deep\nx\n# top\ny\n### d2\nz\n## mid\nw\n### d3\nv", "#no heading\n# \n#######  seven\n#\t tab \nt", "# A\n# B\n\n# C\n  \nend", "", None, "\n".join(f"{'#' * (k % 6 + 1)} h{k}\nb{k}" for k in range(300))]
+    got = {}
+    for r in chunk.split_sections(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")).orderBy("id", "section").collect():
+        got.setdefault(r["id"], []).append((r["section"], r["path"], r["body"]))
+    for k, text in enumerate(texts):
+        want, open_, body, n = [], [], [], 0
+        for line in [*(text or "").split("\n"), None]:
+            head = re.match(r"(#{1,6})\s+(\S.*)", line) if line is not None else True
+            if not head:
+                body.append(line)
+                continue
+            if said := "\n".join(body).strip():
+                want.append((n, [t for _, t in open_], said))
+            if line is not None:
+                open_, body, n = [o for o in open_ if o[0] < len(head[1])] + [(len(head[1]), head[2].strip())], [], n + 1
+        assert got.get(k, []) == want
+
+
+def test_chunk_ids_of_a_long_document(spark):
+    """Ten thousand sections: the ids of parents and leaves stay different past four digits."""
+    rows = chunk.parent_leaf_chunks(spark.createDataFrame([(1, "\n".join(f"# h{k}\nbody {k}" for k in range(5200)))], "doc_id long, text string"))
+    got = rows.agg(F.count("*").alias("n"), F.countDistinct("chunk_id").alias("ids"), F.max("ord").alias("last")).first()
+    assert (got["n"], got["ids"], got["last"]) == (10400, 10400, 10399)
+    assert rows.where("chunk_role = 'leaf'").join(rows.where("chunk_role = 'parent'").select(F.col("chunk_id").alias("parent_id"), F.col("ord").alias("above")), "parent_id").where("above = ord - 1").count() == 5200
+
+
 def test_mmr_drops_likeness(spark):
     rows = [(1, k, s, t, k) for k, (s, t) in enumerate([(1.0, "the same words here"), (0.9, "the same words here"), (0.5, "quite another matter"), (0.1, "zzz")])]
     df = spark.createDataFrame(rows, "query_id long, chunk_id long, score double, text string, rank long")
