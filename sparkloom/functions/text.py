@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 from html.entities import html5
 
@@ -82,6 +83,31 @@ def pii_redact(text: Column) -> Column:
     return pii_stages(text)[-1][2]
 
 
+def pii_scan(text: Column) -> Column:
+    """A struct of ``h_<kind>``, what each kind finds in the text that the kinds before it left, and ``t``, the text after all of them.
+
+    Each stage is bound once, so that finding and replacing go over the text once for each kind.
+    """
+
+    def stage(kind: str, seen: list[str], find: Callable[[Column], Column], put: Callable[[Column, Column], Column]) -> tuple[Callable[[Column], Column], ...]:
+        kept = lambda s: [s[f"h_{k}"].alias(f"h_{k}") for k in seen]
+        return lambda s: F.struct(*kept(s), find(s["t"]).alias(f"h_{kind}"), s["t"].alias("t")), lambda s: F.struct(*kept(s), s[f"h_{kind}"].alias(f"h_{kind}"), put(s["t"], s[f"h_{kind}"]).alias("t"))
+
+    def pattern(p: str, mark: str):
+        return lambda t: F.regexp_extract_all(t, F.lit(p), 0), lambda t, found: F.when(F.size(found) > 0, F.regexp_replace(t, p, mark)).otherwise(t)
+
+    def cards():
+        number = lambda card: F.concat(F.lit(r"(?<!\d)"), card, F.lit(r"(?!\d)"))
+        return lambda t: F.filter(F.regexp_extract_all(t, F.lit(rules.CARD), 0), luhn_ok), lambda t, found: F.aggregate(F.array_distinct(found), t, lambda u, card: F.regexp_replace(u, number(card), F.lit(rules.CARD_TEXT)))
+
+    bound, seen = F.array(F.struct(text.alias("t"))), []
+    for kind, (find, put) in [*((kind, pattern(p, mark)) for kind, p, mark in rules.PII), ("bankcard", cards())]:
+        for step in stage(kind, list(seen), find, put):
+            bound = F.transform(bound, step)
+        seen.append(kind)
+    return F.element_at(bound, 1)
+
+
 def low_info_score(text: Column) -> Column:
     """Near 1 for what tells nothing, 0 for prose; to three digits, which is how it is compared."""
     # bound once each: what branches repeat would be evaluated again in every one
