@@ -37,14 +37,14 @@ def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def prefix_matches(terms: DataFrame, post: DataFrame) -> DataFrame:
+def prefix_matches(terms: DataFrame, post: DataFrame, words: DataFrame | None = None) -> DataFrame:
     """(query_id, term, chunk_id, tf): a query term stands for all index terms that begin with it.
 
     Index terms that begin with the first two letters of some query term are exploded to their prefixes and joined by equality.
     """
     wanted = terms.select("term").distinct()
     head = lambda c: F.substring(c, 1, 2)
-    vocabulary = post.select(F.col("term").alias("word")).where(F.length("word") > 1).distinct()
+    vocabulary = (post.select(F.col("term").alias("word")).distinct() if words is None else words).where(F.length("word") > 1)
     vocabulary = vocabulary.withColumn("head", head("word")).join(wanted.select(head("term").alias("head")).distinct(), "head", "left_semi")
     prefixes = vocabulary.select("word", F.explode(F.transform(F.sequence(F.lit(2), F.length("word")), lambda n: F.col("word").substr(F.lit(1), n))).alias("term"))
     pairs = wanted.join(prefixes, "term")
@@ -61,10 +61,11 @@ def group_matches(terms: DataFrame, post: DataFrame) -> DataFrame:
 
 
 class Index(NamedTuple):
-    """A lexical index: ``post`` (chunk_id, term, tf, len), sorted by term in ranges, ``lengths`` (chunk_id, len), and the number of chunks."""
+    """A lexical index: ``post`` (chunk_id, term, tf, len), sorted by term in ranges, ``lengths`` (chunk_id, len), ``words`` (word), and the number of chunks."""
 
     post: DataFrame
     lengths: DataFrame
+    words: DataFrame
     corpus: DataFrame
 
 
@@ -72,7 +73,7 @@ def index_parts(id_col: str, text_col: str) -> dict[str, Callable[[DataFrame], D
     """How the tables of an index are built from chunks; a chunk's length is the number of its terms."""
 
     def post(chunks: DataFrame) -> DataFrame:
-        rows = postings(chunks, id_col, text_col)
+        rows = stored(postings(chunks, id_col, text_col), "terms")  # texts are cut into terms once
         lengths = rows.groupBy("chunk_id").agg(F.sum("tf").alias("len"))
         return rows.join(lengths, "chunk_id").repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id")
 
@@ -84,12 +85,13 @@ def build_index(chunks: DataFrame, id_col: str, text_col: str, keep: Callable[[D
     keep = keep or (lambda source, name, build: stored(build(source), name))
     made = {name: keep(chunks.select(id_col, text_col), name, build) for name, build in index_parts(id_col, text_col).items()}
     lengths = keep(made["postings"], "lengths", lambda post: post.groupBy("chunk_id").agg(F.first("len").alias("len")))
-    return Index(made["postings"], lengths, made["corpus"])
+    words = keep(made["postings"], "words", lambda post: post.select(F.col("term").alias("word")).distinct())
+    return Index(made["postings"], lengths, words, made["corpus"])
 
 
 def scored_terms(terms: DataFrame, index: Index) -> DataFrame:
     """(term, chunk_id, part): what each prefix term of the queries adds to the score of each chunk."""
-    hits = prefix_matches(terms.select("term").distinct().withColumn("query_id", F.lit(0)), index.post).select("term", "chunk_id", "tf")
+    hits = prefix_matches(terms.select("term").distinct().withColumn("query_id", F.lit(0)), index.post, index.words).select("term", "chunk_id", "tf")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     return parts_of(hits.join(df, "term"), index).select("term", "chunk_id", "part")
 
