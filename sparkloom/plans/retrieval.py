@@ -37,7 +37,7 @@ def bm25(spark, sf, k: int = 40):
 
 
 def fused(spark, sf):
-    overlap = search.overlap_topk(table(spark, sf, "benchmark"), table(spark, sf, "documents"), post=indexed(spark, sf).post)
+    overlap = search.overlap_topk(table(spark, sf, "benchmark"), table(spark, sf, "documents"), index=indexed(spark, sf))
     return search.rrf_fuse([("bm25", bm25(spark, sf)), ("overlap", overlap)])
 
 
