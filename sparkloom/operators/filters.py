@@ -108,13 +108,16 @@ def filter_chunks(chunks: DataFrame, filters: DataFrame) -> DataFrame:
     metadata meets no key. A filter that asks for nothing lets every chunk pass.
     """
     known = stored(prepared(chunks), "chunks")
-    keys = stored(keys_of(known), "keys")
-    asked = stored(wants(filters, keys.where("kind = 'date'").select("value").distinct()), "wants")
-    behind = keys.join(asked.select("kind", "value").distinct(), ["kind", "value"], "left_semi").groupBy("kind", "value").agg(F.count("*").alias("n"))
+    asked = stored(wants(filters, known.select(F.col("_date").alias("value")).where("value IS NOT NULL").distinct()), "wants")
+    # only what some filter could propose by is kept of the keys
+    keys = stored(keys_of(known).join(asked.select("kind", "value").distinct(), ["kind", "value"], "left_semi"), "keys")
+    behind = keys.groupBy("kind", "value").agg(F.count("*").alias("n"))
     size = asked.join(behind, ["kind", "value"], "left").groupBy("filter_id", "key", "piece").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
     best = size.withColumn("nth", F.row_number().over(Window.partitionBy("filter_id").orderBy("n", "key", "piece"))).where("nth = 1").drop("nth", "n")
-    proposed = asked.join(best, ["filter_id", "key", "piece"]).join(keys, ["kind", "value"]).select("filter_id", "chunk_id").distinct()
+    # repetitive columns are small as files and large in memory: keys and chunks are named as sides that no join may broadcast
+    picked = stored(asked.join(best, ["filter_id", "key", "piece"]).select("filter_id", "kind", "value"), "picked")
+    proposed = keys.hint("shuffle_merge").join(picked, ["kind", "value"]).select("filter_id", "chunk_id").distinct()
     blank = [F.coalesce(F.length(k), F.lit(0)) == 0 for k in (*SUBSTRINGS, "date_after", "date_before")] + [F.size(lowered(F.col(k))) == 0 for k in (*OVERLAPS, "source_type")]
     everything = reduce(lambda a, b: a & b, blank)
-    rows = proposed.join(filters.where(~everything), "filter_id").join(known, "chunk_id").where(passes()).select("filter_id", "chunk_id")
-    return rows.unionByName(filters.where(everything).select("filter_id").crossJoin(known.select("chunk_id")))  # all of them are the result
+    rows = proposed.join(known.hint("shuffle_merge"), "chunk_id").join(filters.where(~everything), "filter_id").where(passes()).select("filter_id", "chunk_id")
+    return rows.unionByName(F.broadcast(filters.where(everything).select("filter_id")).crossJoin(known.select("chunk_id")).select("filter_id", "chunk_id"))  # all of them are the result
