@@ -41,6 +41,19 @@ def test_shingles(spark):
     assert one(spark, T.shingles, " ") == []
 
 
+def test_shingles_in_one_pass(spark):
+    """By whole characters, of a missing text none, and without cutting the text into an array of characters."""
+    rows = spark.createDataFrame([(1, "a\U0001f600bc\nde f"), (2, None), (3, "aaaaaaa")], "k int, text string").select("k", T.shingles(F.col("text")).alias("s"))
+    assert {r["k"]: r["s"] for r in rows.collect()} == {1: ["a\U0001f600bcd", "\U0001f600bcde", "bcdef"], 2: None, 3: ["aaaaa"]}
+    assert "split(" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tail_walks_no_more_words_than_fit(spark):
+    rows = spark.createDataFrame([(" ".join(f"w{k}" for k in range(500)),)], "text string").select(chunk.tail_overlap(F.col("text"), 80).alias("t"))
+    assert rows.first()["t"] == " ".join(f"w{k}" for k in range(420, 500))
+    assert "slice(reverse(" in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_sections_and_parents(spark):
     docs = spark.createDataFrame([(1, "intro\n# A\none\n## B\ntwo\n# C\nthree"), (2, ""), (3, None)], "doc_id long, text string")
     got = [(r["path"], r["body"]) for r in chunk.split_sections(docs).orderBy("section").collect()]
