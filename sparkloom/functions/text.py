@@ -166,6 +166,11 @@ def index_tokens(text: Column) -> Column:
     return F.regexp_extract_all(spaced, F.lit(r"[\p{L}\p{N}]+"), 0)
 
 
+def index_runs(text: Column) -> Column:
+    """The runs of letters and digits of which ``index_tokens`` makes its terms, with a space between two; CJK characters are not set apart yet."""
+    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")
+
+
 def query_tokens(text: Column) -> Column:
     """Distinct ASCII terms of a query, without stop words and single characters."""
     words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), 0))

@@ -84,20 +84,29 @@ def blocks_of(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for rows in batches:
             for start in range(0, rows.num_rows, CHUNKS):
                 part = rows.slice(start, CHUNKS)
-                lens = pc.list_value_length(part.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
-                coded = part.column(1).flatten().dictionary_encode()
-                words = coded.dictionary.to_pylist()
-                order = sorted(range(len(words)), key=words.__getitem__)
-                place = np.empty(len(words), np.int64)
-                place[order] = np.arange(len(words))
-                keys, tf = np.unique(place[coded.indices.to_numpy(zero_copy_only=False)] * CHUNKS + np.repeat(np.arange(len(lens)), lens), return_counts=True)
+                lists = pc.split_pattern(part.column(1), " ")
+                coded = lists.flatten().dictionary_encode()
+                if pc.any(pc.match_substring_regex(coded.dictionary, f"[{rules.CJK}]")).as_py():
+                    lists = pc.split_pattern(pc.replace_substring_regex(part.column(1), f"([{rules.CJK}])", r" \1 "), " ")
+                    coded = lists.flatten().dictionary_encode()
+                order = pc.sort_indices(coded.dictionary).to_numpy()  # by bytes, which is by code points
+                words = coded.dictionary.take(pa.array(order))
+                empty = int(len(words) > 0 and words[0].as_py() == "")
+                words = words.slice(empty)
+                place = np.empty(len(order), np.int64)
+                place[order] = np.arange(len(order)) - empty
+                term = place[coded.indices.to_numpy(zero_copy_only=False)]
+                who = np.repeat(np.arange(part.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))[term >= 0]
+                lens = np.bincount(who, minlength=part.num_rows)
+                keys, tf = np.unique(term[term >= 0] * CHUNKS + who, return_counts=True)
                 at = np.searchsorted(keys, np.arange(len(words) + 1) * CHUNKS)
                 packed = [pa.array([x.tobytes()], pa.binary()) for x in (at.astype(np.int32), (keys % CHUNKS).astype(np.uint16), tf.astype(np.int32))]
                 ids = pa.ListArray.from_arrays(pa.array([0, len(lens)], pa.int32()), pa.concat_arrays([part.column(0)]))
-                yield pa.RecordBatch.from_arrays([ids, pa.array([lens.tolist()], pa.list_(pa.int64())), pa.array(["\n".join(words[k] for k in order)], pa.string()), *packed], names=["ids", "lens", "words", "at", "who", "tf"])
+                lines = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), "\n")
+                yield pa.RecordBatch.from_arrays([ids, pa.array([lens.tolist()], pa.list_(pa.int64())), lines, *packed], names=["ids", "lens", "words", "at", "who", "tf"])
 
     kind = rows.schema["chunk_id"].dataType.simpleString()
-    return rows.select("chunk_id", T.index_tokens(F.col("text")).alias("terms")).mapInArrow(run, f"ids array<{kind}>, lens array<long>, words string, at binary, who binary, tf binary")
+    return rows.select("chunk_id", T.index_runs(F.col("text")).alias("text")).mapInArrow(run, f"ids array<{kind}>, lens array<long>, words string, at binary, who binary, tf binary")
 
 
 def unpacked(blocks: DataFrame) -> DataFrame:
@@ -163,44 +172,82 @@ def bounded(terms: DataFrame, parts: DataFrame, k: int) -> tuple[DataFrame, Data
 SHARE = 512
 
 
-def shares(rows: DataFrame, key: str, *columns: str) -> DataFrame:
-    """(share, asked, n, total): ``rows`` as arrays of structs, up to about 512 keys together."""
-    parts = rows.agg(F.greatest(F.lit(1), F.ceil(F.count_distinct(key) / SHARE)).cast("long").alias("parts"))
+def shares(rows: DataFrame, key: str, *columns: str, size: int = SHARE) -> DataFrame:
+    """(share, asked, n, total): ``rows`` as arrays of structs, up to about ``size`` keys together."""
+    parts = rows.agg(F.greatest(F.lit(1), F.ceil(F.count_distinct(key) / size)).cast("long").alias("parts"))
     return rows.crossJoin(F.broadcast(parts)).groupBy(F.pmod(F.xxhash64(key), "parts").alias("share")).agg(F.collect_list(F.struct(*columns)).alias("asked"))
 
 
+def ranges(words: list[str], terms: list[str], exact: list[bool]) -> Iterator[tuple[int, int, int]]:
+    """(number of the term, first, end) of the sorted words that each term stands for, of terms that any do: itself if ``exact``, else those it begins."""
+    for k, (term, whole) in enumerate(zip(terms, exact)):
+        lo = bisect.bisect_left(words, term)
+        if lo < len(words) and (words[lo] == term if whole else words[lo].startswith(term)):
+            yield k, lo, lo + 1 if whole else bisect.bisect_left(words, term + chr(0x10FFFF), lo)
+
+
 def counted(words: str, at: bytes, who: bytes, tf: bytes, terms: list[str], exact: np.ndarray, chunks: int) -> np.ndarray:
     """How often each of a block's chunks holds each term, or words that begin with it where the term is not ``exact``."""
-    words, at, who, tf = words.split("\n") if words else [], np.frombuffer(at, np.int32), np.frombuffer(who, np.uint16), np.frombuffer(tf, np.int32)
+    at, who, tf = np.frombuffer(at, np.int32), np.frombuffer(who, np.uint16), np.frombuffer(tf, np.int32)
     out = np.zeros((len(terms), chunks))
-    for k, (term, whole) in enumerate(zip(terms, exact)):
-        lo = bisect.bisect_left(words, term)
-        hi = bisect.bisect_left(words, term + (chr(0) if whole else chr(0x10FFFF)), lo)
-        if hi > lo:
-            out[k] = np.bincount(who[at[lo] : at[hi]], tf[at[lo] : at[hi]], chunks)
+    for k, lo, hi in ranges(words.split("\n") if words else [], terms, exact.tolist()):
+        out[k] = np.bincount(who[at[lo] : at[hi]], tf[at[lo] : at[hi]], chunks)
     return out
 
 
-def document_counts(terms: DataFrame, index: Index) -> DataFrame:
-    """(term, kind, df): in how many chunks each term (term, kind) is; kind ``prefix`` counts words that begin with it, another the word."""
-    asked = stored(shares(terms.select("term", "kind").distinct(), "term", "term", "kind"), "terms")
+#: Terms that are looked up in a block together; for a lookup nothing is held but a number for each.
+LOOKUPS = 16_384
+
+
+def over_blocks(terms: DataFrame, index: Index, schema: str, found: Callable, ended: Callable) -> DataFrame:
+    """``terms`` (term, kind) looked up in every block; kind ``prefix`` stands for the words that begin with the term, another for the word.
+
+    ``found`` (terms, kinds, state, ids, at, who, hits) is given the ``ranges`` of a share's terms in a block, ``ended`` (terms, kinds, state) what
+    it has made of ``state``, a zero for each term, by the end of a task. Both yield batches of ``schema``.
+    """
+    asked = stored(shares(terms.select("term", "kind").distinct(), "term", "term", "kind", size=LOOKUPS), "terms")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, list] = {}
+        known: dict[int, tuple] = {}
         for batch in batches:
             for row in range(batch.num_rows):
-                share, asked, ids, words, at, who, tf = (batch.column(k)[row] for k in range(7))
+                share, rows, ids, words, at, who = (batch.column(k)[row] for k in range(6))
                 if share.as_py() not in known:
-                    told = asked.as_py()
-                    known[share.as_py()] = [[x["term"] for x in told], [x["kind"] for x in told], np.zeros(len(told), np.int64)]
-                own = known[share.as_py()]
-                held = counted(*(x.as_py() for x in (words, at, who, tf)), own[0], np.array([k != "prefix" for k in own[1]]), len(ids))
-                own[2] += (held > 0).sum(axis=1)
+                    told = rows.as_py()
+                    known[share.as_py()] = [x["term"] for x in told], [x["kind"] for x in told], np.zeros(len(told), np.int64)
+                own, words = known[share.as_py()], words.as_py()
+                hits = ranges(words.split("\n") if words else [], own[0], [kind != "prefix" for kind in own[1]])
+                yield from found(*own, ids, np.frombuffer(at.as_py(), np.int32), np.frombuffer(who.as_py(), np.uint16), hits)
         for own in known.values():
-            yield pa.RecordBatch.from_arrays([pa.array(own[0], pa.string()), pa.array(own[1], pa.string()), pa.array(own[2])], names=["term", "kind", "df"])
+            yield from ended(*own)
+
+    return asked.crossJoin(index.blocks).select("share", "asked", "ids", "words", "at", "who").mapInArrow(run, schema)
+
+
+def document_counts(terms: DataFrame, index: Index) -> DataFrame:
+    """(term, kind, df): in how many chunks each term (term, kind) is; kind ``prefix`` counts words that begin with it, another the word."""
+
+    def found(terms, kinds, state, ids, at, who, hits) -> Iterator[pa.RecordBatch]:
+        for k, lo, hi in hits:  # a word has one posting for each chunk that holds it
+            state[k] += at[hi] - at[lo] if hi == lo + 1 else np.count_nonzero(np.bincount(who[at[lo] : at[hi]]))
+        return iter(())
+
+    def ended(terms, kinds, state) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(kinds, pa.string()), pa.array(state)], names=["term", "kind", "df"])
+
+    return over_blocks(terms, index, "term string, kind string, df long", found, ended).groupBy("term", "kind").agg(F.sum("df").alias("df"))
+
+
+def holders(terms: DataFrame, index: Index) -> DataFrame:
+    """(term, chunk_id): the chunks that hold each term (term) as a word."""
+
+    def found(terms, kinds, state, ids, at, who, hits) -> Iterator[pa.RecordBatch]:
+        for k, lo, hi in hits:
+            chunks = ids.values.take(pa.array(who[at[lo] : at[hi]]))
+            yield pa.RecordBatch.from_arrays([pa.array([terms[k]] * len(chunks), pa.string()), chunks], names=["term", "chunk_id"])
 
-    pairs = asked.crossJoin(index.blocks).select("share", "asked", "ids", "words", "at", "who", "tf")
-    return pairs.mapInArrow(run, "term string, kind string, df long").groupBy("term", "kind").agg(F.sum("df").alias("df"))
+    kind = index.blocks.schema["ids"].dataType.elementType.simpleString()
+    return over_blocks(terms.select("term", F.lit("word").alias("kind")), index, f"term string, chunk_id {kind}", found, lambda *_: iter(()))
 
 
 def best_chunks(asked: DataFrame, index: Index, k: int, score: Callable[[np.ndarray, np.ndarray, pd.DataFrame, float, float], np.ndarray], exact: Callable[[pd.DataFrame], np.ndarray], held: int = 64) -> DataFrame:
