@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import enrich, evaluate
+from ..functions import text as T
+from ..operators import enrich, evaluate, search
+from ..sources.shared import stored
 from .registry import register, table
-from .retrieval import BM25, bm25
+from .retrieval import BM25, bm25, indexed
 
 #: A passage's relevant documents are those that hold it word for word.
 EVAL = f"""{BM25}, rel AS (SELECT item_id, list(doc_id ORDER BY doc_id) AS relevant FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1),
@@ -20,13 +22,16 @@ MEANS = ", ".join(f"round(coalesce(avg({m}), 0), 6)::DOUBLE AS {m}" for m in eva
 
 
 def eval_rows(spark, sf):
-    b, d = table(spark, sf, "benchmark"), table(spark, sf, "documents")
-    # candidates hold the passage's longest word; only those are searched for the whole passage
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), 0)
-    key = F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))[0]["w"]
-    q = b.select("item_id", F.col("text").alias("passage"), key.alias("w"))
-    docs = d.select("doc_id", "text", F.explode(F.array_distinct(words)).alias("w")).join(q, "w").where(F.contains("text", F.col("passage")))
-    relevant = docs.groupBy("item_id").agg(F.array_sort(F.collect_set("doc_id")).alias("relevant"))
+    b, d, index = table(spark, sf, "benchmark"), table(spark, sf, "documents"), indexed(spark, sf)
+    # a document that holds a passage holds its words, but for the first and the last, as they are: the longest of them proposes documents by the index
+    words = T.index_tokens(F.col("text"))
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    key = F.get(F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(0))["w"]
+    q = stored(b.select("item_id", F.col("text").alias("passage"), key.alias("term")), "passages")
+    proposed = stored(search.holders(q.select("term").where("term IS NOT NULL"), index).join(q, "term").select("item_id", F.col("chunk_id").alias("doc_id")), "proposed")
+    found = proposed.join(d.select("doc_id", "text"), "doc_id").join(q, "item_id").where(F.contains("text", F.col("passage")))
+    short = d.select("doc_id", "text").join(F.broadcast(q.where("term IS NULL")), F.contains("text", F.col("passage")))  # a passage of one or two words proposes nothing
+    relevant = found.select("item_id", "doc_id").unionByName(short.select("item_id", "doc_id")).groupBy("item_id").agg(F.array_sort(F.collect_set("doc_id")).alias("relevant"))
     queries = b.join(relevant, "item_id", "left").select(F.col("item_id").alias("query_id"), F.when(F.col("relevant").isNull(), "out_of_domain").when(F.col("item_id") % 2 == 0, "even").otherwise("odd").alias("category"), F.coalesce("relevant", F.array().cast("array<long>")).alias("relevant"))
     return evaluate.retrieval_rows(bm25(spark, sf).select("query_id", F.col("chunk_id").alias("source_id"), "rank"), queries)
 

@@ -1,8 +1,12 @@
 """Lookups in the lexical index: every block is unpacked once for all terms, odd texts, and passages held word for word."""
 
+import os
 
+import duckdb
+import pandas as pd
 
 from sparkloom.operators import search
+from sparkloom.plans import evaluation
 
 
 def written(monkeypatch, module=search):
@@ -38,3 +42,17 @@ def test_blocks_of_odd_texts(spark):
     assert {r["chunk_id"]: r["len"] for r in got.lengths.collect()} == {k: sums.get(k, 0) for k, _ in rows}
     terms = spark.createDataFrame([("a",), ("你",), ("b9",)], "term string")
     assert {(r["term"], r["chunk_id"]) for r in search.holders(terms, got).collect()} == {(t, c) for c, t, _ in want if t in ("a", "你", "b9")}
+
+
+def test_relevant_documents_as_in_sql(spark, tmp_path):
+    """Passages cut within a word, of one word, of none."""
+    docs = pd.DataFrame([(1, "xfoo mid longestend"), (2, "foo mid longest"), (3, "only!"), (4, "a 你好吗 b"), (5, None), (6, "... mid Foo")], columns=["doc_id", "text"])
+    asked = pd.DataFrame([(0, "oo mid longest"), (1, "nly"), (2, "..."), (3, "mid longestend"), (4, "Foo mid"), (6, "o mid L")], columns=["item_id", "text"])
+    docs.to_parquet(tmp_path / "documents.parquet")
+    asked.to_parquet(tmp_path / "benchmark.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    sql = con.execute(f"WITH {evaluation.EVAL} SELECT query_id, category, scored, first_rank, hit1, hit3, hit5, rr FROM ev ORDER BY query_id").fetchall()
+    got = [tuple(r) for r in evaluation.eval_rows(spark, os.fspath(tmp_path)).orderBy("query_id").collect()]
+    assert got == sql and sum(r[2] for r in sql) == 4
