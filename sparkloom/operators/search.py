@@ -467,16 +467,21 @@ def mmr_select(candidates: DataFrame, k: int = 5, weight: float = 0.7) -> DataFr
         chosen = list(range(len(pdf)))
         if len(pdf) > k:
             grams = [{t[i : i + 5] for i in range(max(1, len(t) - 4))} if (t := (x or "").strip()) else set() for x in pdf["text"]]
+            number: dict[str, int] = {}
+            own = [np.fromiter((number.setdefault(g, len(number)) for g in x), np.int64, len(x)) for x in grams]
+            sizes = np.array([len(x) for x in own])
+            flat, of = np.concatenate(own), np.repeat(np.arange(len(own)), sizes)
             s = pdf["score"].to_numpy(float)
             rel = (s - s.min()) / (s.max() - s.min()) if s.max() > s.min() else np.ones(len(s))
-            near, chosen, left = np.zeros(len(s)), [], list(range(len(s)))
-            while left and len(chosen) < k:
-                best = max(left, key=lambda i: (weight * rel[i] - (1 - weight) * near[i], -i))
+            near, chosen, left, held = np.zeros(len(s)), [], np.ones(len(s), bool), np.zeros(len(number), bool)
+            while left.any() and len(chosen) < k:
+                best = int(np.argmax(np.where(left, weight * rel - (1 - weight) * near, -np.inf)))
                 chosen.append(best)
-                left.remove(best)
-                for i in left:
-                    union = len(grams[i] | grams[best])
-                    near[i] = max(near[i], len(grams[i] & grams[best]) / union if union else 0.0)
+                left[best] = False
+                held[own[best]] = True
+                shared = np.bincount(of[held[flat]], minlength=len(s))
+                held[own[best]] = False
+                near = np.maximum(near, shared / np.maximum(sizes + sizes[best] - shared, 1))
         return pd.DataFrame({"query_id": pdf["query_id"].iloc[chosen], "chunk_id": pdf["chunk_id"].iloc[chosen], "position": range(1, len(chosen) + 1)})
 
     return candidates.select("query_id", "chunk_id", "score", "text", "rank").groupBy("query_id").applyInPandas(run, f"query_id {kinds[0]}, chunk_id {kinds[1]}, position long")
@@ -517,7 +522,8 @@ def rerank(queries: DataFrame, hits: DataFrame, chunks: DataFrame, priors: DataF
     ``queries`` is (query_id, text), ``hits`` (query_id, chunk_id), ``chunks`` (chunk_id, title, text, source_path). A passage is title and text.
     """
     passage = F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")))
-    rows = hits.select("query_id", "chunk_id").join(chunks.select("chunk_id", passage.alias("passage"), T.source_type(F.coalesce("source_path", F.lit(""))).alias("source_type")), "chunk_id")
+    hits = stored(hits.select("query_id", "chunk_id"), "pairs")  # so that the join knows how few they are, and moves no texts
+    rows = hits.join(chunks.select("chunk_id", passage.alias("passage"), T.source_type(F.coalesce("source_path", F.lit(""))).alias("source_type")), "chunk_id")
     rows = rows.join(queries.select("query_id", F.col("text").alias("query"), T.query_intent(F.col("text")).alias("intent")), "query_id")
     return rerank_adjust(score_pairs(rows, model), priors, k)
 

@@ -272,7 +272,7 @@ def rerank_adjust(spark, sf):
 @register()
 def mmr_select(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    return search.mmr_select(reranked(spark, sf).join(docs, "chunk_id"))
+    return search.mmr_select(stored(reranked(spark, sf), "reranked").join(docs, "chunk_id"))
 
 
 @register()
@@ -280,9 +280,9 @@ def hybrid_retrieve(spark, sf):
     """BM25 and vectors, three times forty of each because a filter on the language follows; the first eight are scored again as pairs, five diverse ones stay."""
     chunks = as_chunks(spark, sf)
     vectors = stored(vectors_of(chunks.select("chunk_id", "text"), "chunk_id"), "vectors")
-    hits = search.rrf_fuse([("bm25", bm25(spark, sf, k=120)), ("vector", vector_hits(asked(spark, sf), vectors, 120))])
+    hits = stored(search.rrf_fuse([("bm25", bm25(spark, sf, k=120)), ("vector", vector_hits(asked(spark, sf), vectors, 120))]), "fused")
     first = search.top(hits.join(chunks.where("lang IN ('en', 'de', 'fr')").select("chunk_id"), "chunk_id").drop("rank"), "query_id", 8, F.desc("score"), F.col("chunk_id"))
-    best = search.rerank(asked(spark, sf), first, chunks, priors(spark)).select("query_id", "chunk_id", "score", "rank")
+    best = stored(search.rerank(asked(spark, sf), first, chunks, priors(spark)).select("query_id", "chunk_id", "score", "rank"), "best")
     return search.mmr_select(best.join(chunks.select("chunk_id", "text"), "chunk_id"))
 
 
@@ -294,7 +294,7 @@ def multi_query_fuse(spark, sf):
     lists = []
     for name, text in (("whole", F.col("text")), ("half", F.expr("substr(text, cast(length(text) / 2 as int))"))):
         q = asked(spark, sf).select("query_id", text.alias("text"))
-        own = search.rrf_fuse([("bm25", search.bm25_topk(q, chunks, query_id="query_id", chunk_id="chunk_id", index=index)), ("vector", vector_hits(q, vectors, 40))])
+        own = stored(search.rrf_fuse([("bm25", search.bm25_topk(q, chunks, query_id="query_id", chunk_id="chunk_id", index=index)), ("vector", vector_hits(q, vectors, 40))]), "fused")
         lists.append((name, search.mmr_select(own.join(chunks.select("chunk_id", "text"), "chunk_id"), 40).withColumnRenamed("position", "rank")))
     return search.rerank(asked(spark, sf), search.rrf_fuse(lists).where("rank <= 8"), chunks, priors(spark)).select("query_id", "chunk_id", "score", "rank")
 
