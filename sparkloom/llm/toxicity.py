@@ -1,15 +1,17 @@
 """Toxicity by compression distance: zstandard dictionaries trained on toxic and on ordinary text, compared window by window.
 
 zstandard's trainer makes three dictionaries: one of ordinary text, a base that both sides share, and one more of each
-side, of equal size, from short windows of other rows. Toxic rows are mostly ordinary text, so a side is trained on those
-windows of its class that hold what tells the class: beginnings of words that its windows hold far more often than the
-other's, by a test on counts over distinct windows, so that copies count once.
+side, of equal size, from short windows of other rows. Toxic rows are mostly ordinary text, so a side is trained on what
+tells its class in the windows: words with beginnings that its windows hold far more often than the other's, by a test on
+counts over distinct windows, so that copies count once. What stands beside such words is left out, as it is ordinary
+text that shortens windows of either class.
 
 A window of a document that compresses better with the toxic dictionary than with the ordinary one holds toxic text; windows
 are short, so a few words in a long document show. The document's largest gain, its three largest, and what
 gains sum to go into a logistic curve, calibrated on sampled rows kept out of the dictionaries and weighted to the classes'
-shares of all labelled rows. Of a few bars for what tells a class, and sizes of the sides, those whose
-calibration loses least make the model.
+shares of all labelled rows. Of a few sizes of the base, with a side of ordinary text or without, and then of a few bars
+for what tells a class and sizes of the sides, those whose calibration loses least make the model. A large base shortens
+more, but its matches run from ordinary words into those that tell.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +49,14 @@ class Settings:
 
 #: What every window is compressed behind; not a piece of UTF-8. zstandard stores a short block raw unless something in it shrinks.
 LEAD = bytes(range(128, 224))
+#: Makes a shorter side as long as the other, so that the base is as far away; not a piece of UTF-8 either.
+FILLER = bytes(range(224, 256))
+#: The base is tried at the size of the settings and at these parts of it.
+BASE_PARTS = (1, 16, 64)
 #: Bars for what tells a class: times the expected number of windows, and standard deviations above it.
 BARS = ((6.0, 6.0), (4.5, 4.5), (3.0, 3.0))
+#: What a pair of dictionaries is made by: size of the base, bar, size of a side, whether ordinary text has a side too.
+Form = tuple[int, tuple[float, float], int, bool]
 BETWEEN_WORDS = re.compile(r"[\W\d_]+")
 
 
@@ -144,6 +152,13 @@ def telling(own: Counter, other: Counter, n_own: int, n_other: int, bar: tuple[f
     return found
 
 
+def telling_words(windows: list[bytes], told: set[bytes], bunch: int = 6) -> list[bytes]:
+    """Samples of the words of ``windows`` that begin with what is ``told``; those of a few windows are one, as the trainer passes over samples under 8 bytes."""
+    found = [b" ".join(w for w in window.split() if not told.isdisjoint(beginnings(w))) for window in windows]
+    found = [words for words in found if words]
+    return [b" " + b" ".join(found[k : k + bunch]) + b" " for k in range(0, len(found), bunch)]
+
+
 def training_windows(texts: DataFrame, settings: Settings) -> DataFrame:
     """(label, window), written to the shared folder: distinct windows of whole texts (label, text), about ``sample_windows`` of each label at most.
 
@@ -168,29 +183,41 @@ def training_windows(texts: DataFrame, settings: Settings) -> DataFrame:
     return cut.where(F.pmod(F.xxhash64("window"), F.lit(most)) < share)
 
 
-def measured_rows(texts: DataFrame, model: Model) -> DataFrame:
-    """(label, m): the measures of each whole text of (label, text)."""
+def measured_rows(texts: DataFrame, models: list[Model]) -> DataFrame:
+    """(label, m): the measures of each whole text of (label, text) by each of the models."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, 1):
-            found = [list(measures(gains(t, model))) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64()))], names=["label", "m"])
+            own = batch.column(1).to_pylist()
+            found = [[list(measures(gains(t, model))) for t in own] for model in models]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(zip(*found)), pa.list_(pa.list_(pa.float64())))], names=["label", "m"])
 
-    return texts.select(F.col("label").cast("int"), "text").mapInArrow(run, "label int, m array<double>")
+    return texts.select(F.col("label").cast("int"), "text").mapInArrow(run, "label int, m array<array<double>>")
 
 
-def dictionaries(made: DataFrame, settings: Settings) -> Iterator[tuple[bytes, bytes]]:
-    """(ordinary, toxic) dictionaries, a pair for each bar and size of the sides."""
+def dictionaries(made: DataFrame, settings: Settings) -> Callable[[Form], tuple[bytes, bytes]]:
+    """A function that makes (ordinary, toxic) dictionaries of a form."""
     rows = [(r["label"], bytes(r["window"])) for r in made.toLocalIterator()]
     rows.sort(key=lambda r: (zlib.crc32(r[1]), r))  # the trainer takes from each stretch of its samples, so alike ones must not stand together
-    base = content([w for label, w in rows if label < 0], settings.base_bytes)
-    sides = [[w for a, w in rows if a == label] for label in (0, 1)]
+    shared, *sides = ([w for a, w in rows if a == label] for label in (-1, 0, 1))
     counts = [Counter(p for w in side for p in beginnings(w)) for side in sides]
-    for bar in BARS:
-        words = [telling(counts[k], counts[1 - k], len(sides[k]), len(sides[1 - k]), bar) for k in (0, 1)]
-        held = [[w for w in sides[k] if not words[k].isdisjoint(beginnings(w))] for k in (0, 1)]
-        for size in settings.side_bytes:
-            yield tuple(base + content(windows, size) + LEAD for windows in held)
+
+    @functools.cache
+    def base(size: int) -> bytes:
+        return content(shared, size)
+
+    @functools.cache
+    def samples(bar: tuple[float, float]) -> list[list[bytes]]:
+        return [telling_words(sides[k], telling(counts[k], counts[1 - k], len(sides[k]), len(sides[1 - k]), bar)) for k in (0, 1)]
+
+    def make(form: Form) -> tuple[bytes, bytes]:
+        base_bytes, bar, side_bytes, both = form
+        ordinary, toxic = (content(words, side_bytes) for words in samples(bar))
+        ordinary = ordinary if both else b""
+        n = max(len(ordinary), len(toxic))
+        return tuple(base(base_bytes) + (FILLER * n)[: n - len(side)] + side + LEAD for side in (ordinary, toxic))
+
+    return make
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", settings: Settings = Settings()) -> Model:
@@ -206,23 +233,32 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("label", "text").distinct()
     # four rows of ten calibrate; of the ordinary ones, three make the base and three the side
     rows = stored(rows.withColumn("part", F.pmod(F.xxhash64("text", F.lit(1)), F.lit(10))), "labelled")
-    rest, best = rows.where("part > 5"), None
+    rest = rows.where("part > 5")
     learn = rows.where("part <= 5").select(F.when((F.col("label") == 0) & (F.col("part") < 3), -1).otherwise(F.col("label")).alias("label"), "text")
     known = {r["label"]: r["count"] for r in rest.groupBy("label").count().collect()}
     if len(known) < 2:
         return Model(LEAD, LEAD, (-4.0, *[0.0] * 6), settings)
-    for ordinary, toxic in dictionaries(training_windows(learn, settings), settings):
-        model = Model(ordinary, toxic, (), settings)
-        found = sorted((r["label"], tuple(r["m"])) for r in measured_rows(rest, model).collect())
+    make = dictionaries(training_windows(learn, settings), settings)
+
+    def best(forms: list[Form]) -> tuple[float, Model, Form]:
+        models = [Model(*make(form), (), settings) for form in forms]
+        found = sorted((r["label"], tuple(map(tuple, r["m"]))) for r in measured_rows(rest, models).collect())
         marks, measured = np.array([f[0] for f in found]), np.array([f[1] for f in found])
         weight = np.array([shares[label] / known[label] for label in marks], float)
         weight *= len(marks) / weight.sum()
-        model = dataclasses.replace(model, weights=calibrate(measured, marks, weight))
-        p = np.array([score(tuple(m), model.weights) for m in measured])
-        loss = float(-(weight * np.log(np.where(marks == 1, p, 1 - p))).sum())
-        if best is None or loss < best[0]:
-            best = loss, model
-    return best[1]
+        out = []
+        for k, model in enumerate(models):
+            model = dataclasses.replace(model, weights=calibrate(measured[:, k], marks, weight))
+            p = np.array([score(tuple(m), model.weights) for m in measured[:, k]])
+            out.append((float(-(weight * np.log(np.where(marks == 1, p, 1 - p))).sum()), model, forms[k]))
+        return min(out, key=lambda o: o[0])
+
+    bases = [n for n in (settings.base_bytes // part for part in BASE_PARTS) if n >= 1024] or [settings.base_bytes]
+    start = BARS[0], settings.side_bytes[0]
+    first = best([(base, *start, both) for base in bases for both in (True, False)])
+    base, _, _, both = first[2]
+    second = best([(base, bar, size, both) for bar in BARS for size in settings.side_bytes if (bar, size) != start])
+    return min(first, second, key=lambda o: o[0])[1]
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep_columns: bool = False) -> DataFrame:
