@@ -21,10 +21,11 @@ from ..sources.shared import stored
 K1, B, BLOCK = 1.2, 0.75, 512
 
 
-def top(rows: DataFrame, key: str | list[str], k: int, *order: Column, rank: str = "rank") -> DataFrame:
-    """The first ``k`` rows of each key in an order, numbered from 1; Spark drops what cannot be among them before the shuffle."""
+def top(rows: DataFrame, key: str | list[str], k: int | None, *order: Column, rank: str = "rank") -> DataFrame:
+    """The first ``k`` rows of each key in an order (None: all), numbered from 1; Spark drops what cannot be among them before the shuffle."""
     w = Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(*order)
-    return rows.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
+    rows = rows.withColumn(rank, F.row_number().over(w))
+    return rows if k is None else rows.where(F.col(rank) <= k)
 
 
 def postings(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -441,24 +442,27 @@ def vector_topk_ann(queries: DataFrame, vectors: DataFrame, k: int = 10, kb: str
     return top(full.select("query_id", "id", F.round(T.cosine(F.col("a"), F.col("b")), 6).alias("score")), "query_id", k, F.desc("score"), F.col("id"))
 
 
-def rrf_fuse(rankings: list[tuple[str, DataFrame]], k: int = 60) -> DataFrame:
-    """(query_id, chunk_id, score, sources, rank): sums of 1 / (k + rank) over ranked lists; ties by list, rank and id."""
+def rrf_fuse(rankings: list[tuple[str, DataFrame]], k: int = 60, depth: int | None = None) -> DataFrame:
+    """(query_id, chunk_id, score, sources, rank): sums of 1 / (k + rank) over ranked lists; ties by list, rank and id.
+
+    Ranks beyond ``depth`` add nothing to a score; what has no other follows all that have one, and none is dropped.
+    """
     rows = None
     for no, (name, df) in enumerate(rankings):
         part = df.select("query_id", "chunk_id", F.col("rank").alias("r"), F.lit(no).alias("list"), F.lit(name).alias("source"))
         rows = part if rows is None else rows.unionByName(part)
     fused = rows.groupBy("query_id", "chunk_id").agg(
-        F.round(F.sum(1.0 / (k + F.col("r"))), 9).alias("score"), F.array_join(F.array_sort(F.collect_set("source")), "+").alias("sources"), F.min(F.struct("list", "r")).alias("first")
+        F.round(F.sum(1.0 / (k + F.col("r")) if depth is None else F.when(F.col("r") <= depth, 1.0 / (k + F.col("r"))).otherwise(0.0)), 9).alias("score"), F.array_join(F.array_sort(F.collect_set("source")), "+").alias("sources"), F.min(F.struct("list", "r")).alias("first")
     )
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "first.list", "first.r", "chunk_id")
     return fused.withColumn("rank", F.row_number().over(w)).drop("first")
 
 
-def mmr_select(candidates: DataFrame, k: int = 5, weight: float = 0.7) -> DataFrame:
+def mmr_select(candidates: DataFrame, k: int = 5, weight: float = 0.7, rest: bool = False) -> DataFrame:
     """(query_id, chunk_id, position) chosen greedily for relevance against likeness to what is chosen.
 
     ``candidates`` has query_id, chunk_id, score, text, rank, and at most a few hundred rows per query. No
-    more candidates than ``k`` stay in their order.
+    more candidates than ``k`` stay in their order. With ``rest`` what is not chosen follows in its order.
     """
     kinds = [candidates.schema[c].dataType.simpleString() for c in ("query_id", "chunk_id")]
 
@@ -482,6 +486,8 @@ def mmr_select(candidates: DataFrame, k: int = 5, weight: float = 0.7) -> DataFr
                 shared = np.bincount(of[held[flat]], minlength=len(s))
                 held[own[best]] = False
                 near = np.maximum(near, shared / np.maximum(sizes + sizes[best] - shared, 1))
+            if rest:
+                chosen += np.flatnonzero(left).tolist()
         return pd.DataFrame({"query_id": pdf["query_id"].iloc[chosen], "chunk_id": pdf["chunk_id"].iloc[chosen], "position": range(1, len(chosen) + 1)})
 
     return candidates.select("query_id", "chunk_id", "score", "text", "rank").groupBy("query_id").applyInPandas(run, f"query_id {kinds[0]}, chunk_id {kinds[1]}, position long")
@@ -516,7 +522,7 @@ def score_pairs(pairs: DataFrame, model: Callable[[list[str], list[str]], np.nda
     return pairs.mapInPandas(run, f"{kinds}, raw double")
 
 
-def rerank(queries: DataFrame, hits: DataFrame, chunks: DataFrame, priors: DataFrame, k: int = 8, model: Callable[[list[str], list[str]], np.ndarray] = word_overlap) -> DataFrame:
+def rerank(queries: DataFrame, hits: DataFrame, chunks: DataFrame, priors: DataFrame, k: int | None = 8, model: Callable[[list[str], list[str]], np.ndarray] = word_overlap) -> DataFrame:
     """(query_id, chunk_id, score, prior, raw, sigmoid, rank): hits scored anew by a model of query and passage, with the prior of intent and source.
 
     ``queries`` is (query_id, text), ``hits`` (query_id, chunk_id), ``chunks`` (chunk_id, title, text, source_path). A passage is title and text.
@@ -528,8 +534,8 @@ def rerank(queries: DataFrame, hits: DataFrame, chunks: DataFrame, priors: DataF
     return rerank_adjust(score_pairs(rows, model), priors, k)
 
 
-def rerank_adjust(hits: DataFrame, priors: DataFrame, k: int = 8) -> DataFrame:
-    """sigmoid(raw) plus the prior of (intent, source type), within 0 and 1; the first ``k``. Keeps raw, sigmoid and prior."""
+def rerank_adjust(hits: DataFrame, priors: DataFrame, k: int | None = 8) -> DataFrame:
+    """sigmoid(raw) plus the prior of (intent, source type), within 0 and 1; the first ``k`` (None: all). Keeps raw, sigmoid and prior."""
     rows = hits.join(F.broadcast(priors), ["intent", "source_type"], "left").withColumn("prior", F.coalesce("prior", F.lit(0.0))).withColumn("sigmoid", 1 / (1 + F.exp(-F.col("raw"))))
     rows = rows.withColumn("score", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("sigmoid") + F.col("prior"))), 6))
     return top(rows, "query_id", k, F.desc("score"), F.col("chunk_id"))

@@ -288,15 +288,19 @@ def hybrid_retrieve(spark, sf):
 
 @register()
 def multi_query_fuse(spark, sf):
-    """Each query and a variant of its second half, by BM25 and vectors, fused and made diverse per variant, fused again, and scored once against the query itself."""
+    """Each query and a variant of its second half, by BM25 and vectors, fused and made diverse per variant, fused again, and scored once against the query itself.
+
+    Every candidate of the lists is scored and returned; ``fused`` is its place in the second fusion, of which the survey's source takes the first eight.
+    """
     chunks, index = as_chunks(spark, sf), indexed(spark, sf)
     vectors = stored(vectors_of(chunks.select("chunk_id", "text"), "chunk_id"), "vectors")
     lists = []
     for name, text in (("whole", F.col("text")), ("half", F.expr("substr(text, cast(length(text) / 2 as int))"))):
         q = asked(spark, sf).select("query_id", text.alias("text"))
         own = stored(search.rrf_fuse([("bm25", search.bm25_topk(q, chunks, query_id="query_id", chunk_id="chunk_id", index=index)), ("vector", vector_hits(q, vectors, 40))]), "fused")
-        lists.append((name, search.mmr_select(own.join(chunks.select("chunk_id", "text"), "chunk_id"), 40).withColumnRenamed("position", "rank")))
-    return search.rerank(asked(spark, sf), search.rrf_fuse(lists).where("rank <= 8"), chunks, priors(spark)).select("query_id", "chunk_id", "score", "rank")
+        lists.append((name, search.mmr_select(own.join(chunks.select("chunk_id", "text"), "chunk_id"), 40, rest=True).withColumnRenamed("position", "rank")))
+    hits = stored(search.rrf_fuse(lists, depth=40).select("query_id", "chunk_id", F.col("rank").alias("fused")), "candidates")
+    return search.rerank(asked(spark, sf), hits, chunks, priors(spark), None).select("query_id", "chunk_id", "score", "rank").join(hits, ["query_id", "chunk_id"])
 
 
 @register(f"WITH {BM25}, hx AS (SELECT bm.*, CASE WHEN chunk_id % 4 = 0 THEN NULL ELSE 1000000 + chunk_id // 10 END AS parent_id FROM bm), b AS (SELECT query_id, coalesce(parent_id, chunk_id) AS target, arg_max({{'c': chunk_id, 'e': parent_id IS NOT NULL}}, {{'s': score, 'r': -rank}}) AS b, max(score) AS score FROM hx GROUP BY 1, 2) SELECT query_id, target AS chunk_id, b.c AS best_leaf, score, b.e AS expanded, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, target) AS rank FROM b")
